@@ -4,8 +4,9 @@ A task rolls Rabin-Karp hashes (64 bits, over hashed words) along every window o
 block of about BLOCK windows, one entry a distinct hash: the smallest document that has it. A repeat inside the block is
 settled there, so a passage that all documents share sends one entry a block, not one a document. Entries go to
 buckets of hash values, packed as sorted differences; a bucket finds the smallest document of each hash over all blocks and sends
-the hashes that lose back to their documents. Each document then merges its losing windows into maximal intervals and
-cuts them. The number of buckets follows the size of the texts.
+the (document, hash) pairs that lose back, packed for each group of documents. Groups meet their texts again, and each
+document merges its losing windows into maximal intervals and cuts them. Buckets and groups follow the size of the
+texts; packing only saves bytes and rows, of which there are never more than windows.
 
 Cases: a null or empty text has no words; a text under 13 words has no window; repeated rows of one doc_id never cost
 each other words, and all are judged alike; a null doc_id neither takes nor gives, and its text stays whole; an empty
@@ -14,8 +15,8 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +32,9 @@ BLOCK = 1 << 20
 #: Bytes of text that one bucket's entries come from.
 BUCKET_BYTES = 4 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
-PARTS = "key long, bucket int, hashes binary, owners binary"
-PARTS_ARROW = pa.schema([("key", pa.int64()), ("bucket", pa.int32()), ("hashes", pa.binary()), ("owners", pa.binary())])
-LOSES_ARROW = pa.schema([("doc_id", pa.int64()), ("hashes", pa.binary())])
+PARTS = "bucket int, grp int, hashes binary, owners binary"
+PARTS_ARROW = pa.schema([("bucket", pa.int32()), ("grp", pa.int32()), ("hashes", pa.binary()), ("owners", pa.binary())])
+LOSES_ARROW = pa.schema([("grp", pa.int32()), ("hashes", pa.binary()), ("owners", pa.binary())])
 
 
 class WordHashes(dict):
@@ -110,38 +111,48 @@ def firsts(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return hashes[new], owner, docs[loses], hashes[loses]
 
 
-def by_document(docs: np.ndarray, hashes: np.ndarray) -> list[tuple[int, np.ndarray]]:
+def group_of(doc: int, groups: int) -> int:
+    """The same as pmod(xxhash64(doc_id), groups) in Spark."""
+    h = xxhash.xxh64_intdigest(struct.pack("<q", doc), 42)
+    return (h - (h >> 63 << 64)) % groups
+
+
+def by_group(docs: np.ndarray, hashes: np.ndarray, groups: int) -> list[dict]:
+    """Losing pairs as one packed row for each group of documents."""
     if not len(docs):
         return []
-    order = np.lexsort((hashes, docs))
-    docs, hashes = docs[order], hashes[order]
-    new = np.ones(len(docs), bool)
-    new[1:] = (docs[1:] != docs[:-1]) | (hashes[1:] != hashes[:-1])
-    docs, hashes = docs[new], hashes[new]
-    ids, starts = np.unique(docs, return_index=True)
-    return list(zip(ids.tolist(), np.split(hashes, starts[1:]), strict=True))
+    ids, place = np.unique(docs, return_inverse=True)
+    grp = np.array([group_of(x, groups) for x in ids.tolist()])[place]
+    order = np.lexsort((hashes, grp))
+    docs, hashes, grp = docs[order], hashes[order], grp[order]
+    found, starts = np.unique(grp, return_index=True)
+    ends = [*starts[1:], len(grp)]
+    return [{"grp": int(g), "hashes": pack(hashes[lo:hi]), "owners": pack_owners(docs[lo:hi])} for g, lo, hi in zip(found, starts, ends, strict=True)]
 
 
-def losing_windows(docs: DataFrame, window: int = WINDOW, buckets: int | None = None) -> DataFrame:
-    """doc_id, hashes: the window hashes that a document shares with one of a smaller id, packed, in one or more rows."""
+def sizes(texts: DataFrame) -> int:
+    """Buckets or groups for these texts: as many as shuffle partitions at least."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+
+
+def losing_windows(docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
+    """grp, hashes, owners: packed pairs of a window hash and a document that shares it with one of a smaller id."""
     texts = id_and_text(docs).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    if buckets is None:
-        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        buckets = max(1, -(-size // BUCKET_BYTES))
 
     def entries(batches):
         known, find = WordHashes(), re.compile(WORD).findall
         held: list[tuple[np.ndarray, np.ndarray]] = []
+        edges = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
 
         def flush():
             h, d, lost_d, lost_h = firsts(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
             held.clear()
-            rows = [{"key": doc, "bucket": doc % buckets, "hashes": pack(x), "owners": None} for doc, x in by_document(lost_d, lost_h)]
-            edges = [(b << 64) // buckets for b in range(buckets)]
-            cuts = np.searchsorted(h, np.array(edges, np.uint64))
+            rows = [x | {"bucket": x["grp"]} for x in by_group(lost_d, lost_h, buckets)]
+            cuts = np.searchsorted(h, edges)
             for b, (lo, hi) in enumerate(zip(cuts, [*cuts[1:], len(h)], strict=True)):
                 if hi > lo:
-                    rows.append({"key": None, "bucket": b, "hashes": pack(h[lo:hi]), "owners": pack_owners(d[lo:hi])})
+                    rows.append({"grp": None, "bucket": b, "hashes": pack(h[lo:hi]), "owners": pack_owners(d[lo:hi])})
             for i in range(0, len(rows), 500):
                 yield pa.RecordBatch.from_pylist(rows[i : i + 500], schema=PARTS_ARROW)
 
@@ -159,18 +170,18 @@ def losing_windows(docs: DataFrame, window: int = WINDOW, buckets: int | None =
             yield from flush()
 
     def settle(group: pa.Table) -> pa.Table:
-        settled = pc.is_valid(group.column("key"))
-        done = group.filter(settled).select(["key", "hashes"]).rename_columns(["doc_id", "hashes"])
+        settled = pc.is_valid(group.column("grp"))
+        done = group.filter(settled).select(LOSES_ARROW.names)
         group = group.filter(pc.invert(settled))
         if not group.num_rows:
             return done
         h = np.concatenate([unpack(x) for x in group.column("hashes").to_pylist()])
         d = np.concatenate([unpack_owners(x) for x in group.column("owners").to_pylist()])
         _, _, docs_, lost = firsts(h, d)
-        return pa.concat_tables([done, pa.Table.from_pylist([{"doc_id": i, "hashes": pack(x)} for i, x in by_document(docs_, lost)], schema=LOSES_ARROW)])
+        return pa.concat_tables([done.cast(LOSES_ARROW), pa.Table.from_pylist(by_group(docs_, lost, buckets), schema=LOSES_ARROW)])
 
-    # What a block has settled itself passes through the bucket, so that the texts are hashed once.
-    return texts.mapInArrow(entries, PARTS).groupBy("bucket").applyInArrow(settle, "doc_id long, hashes binary")
+    # What a block has settled itself passes through a bucket, so that the texts are hashed once.
+    return texts.mapInArrow(entries, PARTS).groupBy("bucket").applyInArrow(settle, "grp int, hashes binary, owners binary")
 
 
 def removal_intervals(starts: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
@@ -183,28 +194,32 @@ def removal_intervals(starts: np.ndarray, window: int = WINDOW) -> list[tuple[in
 
 def drop_repeats(docs: DataFrame, window: int = WINDOW, buckets: int | None = None) -> DataFrame:
     """doc_id, kept (the words left, joined by one space), n_words, n_removed, removed (word intervals)."""
-    lost = losing_windows(docs, window, buckets).groupBy("doc_id").agg(F.collect_list("hashes").alias("lost"))
-    joined = id_and_text(docs).join(lost, "doc_id", "left").select("doc_id", "text", "lost")
+    texts = id_and_text(docs)
+    buckets = buckets or sizes(texts)
+    lost = losing_windows(texts, buckets, window)
+    mix = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    dealt = texts.withColumn("grp", F.pmod(mix, F.lit(buckets)).cast("int"))
     out = pa.schema([("doc_id", pa.int64()), ("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
-    def cut(batches):
+    def cut(texts: pa.Table, pairs: pa.Table) -> pa.Table:
         known, find = WordHashes(), re.compile(WORD).findall
-        for b in batches:
-            for i in range(0, b.num_rows, 256):
-                rows = []
-                for doc, text, lost in zip(*(b.slice(i, 256).column(k).to_pylist() for k in range(3)), strict=True):
-                    words = find(text or "")
-                    spans = removal_intervals(np.flatnonzero(np.isin(window_hashes(words, known, window), np.concatenate([unpack(x) for x in lost]))), window) if lost else []
-                    kept, at = [], 0
-                    for lo, hi in spans:
-                        kept += words[at:lo]
-                        at = hi
-                    kept += words[at:]
-                    rows.append({"doc_id": doc, "kept": " ".join(kept), "n_words": len(words), "n_removed": len(words) - len(kept), "removed": [{"start": lo, "end": hi} for lo, hi in spans]})
-                yield pa.RecordBatch.from_pylist(rows, schema=out)
-
-    return joined.mapInArrow(cut, "doc_id long, kept string, n_words long, n_removed long, removed array<struct<start:long,end:long>>")
-
-
-def sha256_of(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()
+        lost: dict[int, np.ndarray] = {}
+        if pairs.num_rows:
+            h = np.concatenate([unpack(x) for x in pairs.column("hashes").to_pylist()])
+            d = np.concatenate([unpack_owners(x) for x in pairs.column("owners").to_pylist()])
+            order = np.argsort(d, kind="stable")
+            ids, starts = np.unique(d[order], return_index=True)
+            lost = dict(zip(ids.tolist(), np.split(h[order], starts[1:]), strict=True))
+        rows = []
+        for doc, text in zip(texts.column("doc_id").to_pylist(), texts.column("text").to_pylist(), strict=True):
+            words = find(text or "")
+            spans = removal_intervals(np.flatnonzero(np.isin(window_hashes(words, known, window), lost[doc])), window) if doc in lost else []
+            kept, at = [], 0
+            for lo, hi in spans:
+                kept += words[at:lo]
+                at = hi
+            kept += words[at:]
+            rows.append({"doc_id": doc, "kept": " ".join(kept), "n_words": len(words), "n_removed": len(words) - len(kept), "removed": [{"start": lo, "end": hi} for lo, hi in spans]})
+        return pa.Table.from_pylist(rows, schema=out)
+
+    return dealt.groupBy("grp").cogroup(lost.groupBy("grp")).applyInArrow(cut, "doc_id long, kept string, n_words long, n_removed long, removed array<struct<start:long,end:long>>")
