@@ -1,4 +1,805 @@
-"""All queries on the reference's operators and their SQL."""
+"""A query for each operator over the derived tables, with the same result in SQL for DuckDB."""
 
-QUERIES = {}
-SQL = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from reviewlake.functions import scalars as S
+from reviewlake.operators import citations, defs, findings, hints, intervals, score, select, summary
+from reviewlake.plans.views import load, quoted, view, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+CODE, FOUND, CITED = with_views("code_lines"), with_views("findings"), with_views("evidence")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def lexicon_sql(source: str) -> str:
+    """hits(repo, path, line, text, ord, class, cwe) over the lines of source."""
+    arms = " UNION ALL ".join(f"SELECT repo, path, line, text, {i} AS ord, {quoted(c)} AS class, {quoted(w)} AS cwe FROM {source} WHERE length(text) <= 500 AND regexp_matches(text, {quoted(rx)})" for i, (c, w, rx) in enumerate(hints.LEXICON))
+    return f"hits AS ({arms})"
+
+
+EXT = "CASE WHEN strpos(path, '.') > 0 THEN lower('.' || split_part(path, '.', -1)) END"
+IN_CODE = f"{EXT} IN ({', '.join(map(quoted, hints.CODE_EXTENSIONS))})"
+FAMILY_SQL = "CASE " + " ".join(f"WHEN {EXT} IN ({', '.join(map(quoted, v))}) THEN '{k}'" for k, v in S.FAMILIES.items()) + " END"
+
+
+# A: files and lines
+
+
+@query(r"""SELECT doc_id, unnest(range(1, n + 1))::INT AS line, unnest(CASE WHEN n < len(p) THEN p[:-2] ELSE p END) AS text
+    FROM (SELECT *, CASE WHEN len(content) = 0 THEN 0 WHEN p[-1] = '' THEN len(p) - 1 ELSE len(p) END AS n
+          FROM (SELECT doc_id, text AS content, string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x{85}\x{2028}\x{2029}]') AS p FROM documents)) WHERE n > 0""")
+def a2_file_lines(spark, sf):
+    return hints.file_lines(load(spark, sf, "documents").select("doc_id", F.col("text").alias("content")))
+
+
+@query(f"{CODE} SELECT DISTINCT repo, path FROM code_lines WHERE path LIKE 'svc3/%' AND regexp_matches(path, '/f[^/]*[.]py$')")
+def a3_select_files(spark, sf):
+    return hints.select_files(view(spark, sf, "code_lines").select("repo", "path").distinct(), "svc3", "f*.py")
+
+
+@query(f"""{CODE}, w AS (SELECT *, length(max(line) OVER (PARTITION BY repo, path)::VARCHAR) AS n FROM code_lines WHERE line BETWEEN 8 AND 12)
+    SELECT repo, path, string_agg(lpad(line::VARCHAR, n::INT, ' ') || '| ' || text, chr(10) ORDER BY line) AS body FROM w GROUP BY repo, path""")
+def a4_read_numbered(spark, sf):
+    return hints.read_numbered(view(spark, sf, "code_lines"), 8, 12)
+
+
+@query(rf"""{CODE}, h AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path, line) AS n FROM code_lines WHERE regexp_matches(text, 'open\(|eval'))
+    SELECT repo, path, line, substring(trim(text), 1, 240) AS text FROM h WHERE n <= 60""")
+def a5_grep(spark, sf):
+    return hints.grep(view(spark, sf, "code_lines"), r"open\(|eval")
+
+
+# B: filters and extraction
+
+
+@query(f"{CODE} SELECT DISTINCT repo, path FROM code_lines WHERE {IN_CODE}")
+def b1_relevant_files(spark, sf):
+    return hints.relevant_files(view(spark, sf, "code_lines").select("repo", "path").distinct())
+
+
+@query(f"{CODE}, {lexicon_sql('code_lines')} SELECT repo, path, line, ord, class, cwe FROM hits")
+def b2_match_lexicon(spark, sf):
+    return hints.match_lexicon(view(spark, sf, "code_lines")).select("repo", "path", "line", "ord", "class", "cwe")
+
+
+@query(f"""WITH d AS (SELECT 'r' AS repo, doc_id::VARCHAR AS path, unnest(string_split(text, chr(10))) AS text, 1 AS line FROM documents), {lexicon_sql('d')}
+    SELECT path::BIGINT AS doc_id, class, count(*) AS n FROM hits GROUP BY ALL""")
+def b2_match_lexicon_prose(spark, sf):
+    d = load(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("text"))
+    return hints.match_lexicon(d).groupBy("doc_id", "class").agg(F.count("*").alias("n"))
+
+
+@query(f"{CODE}, {lexicon_sql('code_lines')} SELECT repo, path, class AS title, nullif(cwe, '') AS cwe, 'pattern match for ' || class AS summary, line AS start_line, line AS end_line, text AS quote, 'sink' AS role, ord FROM hits WHERE class <> 'request handler'")
+def b3_pattern_findings(spark, sf):
+    return hints.pattern_findings(view(spark, sf, "code_lines"))
+
+
+@query(rf"{CODE} SELECT repo, path, line, CASE WHEN regexp_matches(text, '^\s*(#|//)') AND NOT starts_with(text, '#!') THEN '' ELSE text END AS text FROM code_lines")
+def b4_blank_comments(spark, sf):
+    return hints.blank_comments(view(spark, sf, "code_lines")).select("repo", "path", "line", "text")
+
+
+WINDOWS = f"""{CODE}, n AS (SELECT repo, path, max(line) AS n FROM code_lines GROUP BY repo, path),
+    w AS (SELECT *, unnest(range(CASE WHEN n <= 20 THEN 1 ELSE ceil((n - 20) / 16.0)::INT + 1 END))::INT AS i FROM n)"""
+
+
+@query(f"{WINDOWS} SELECT repo, path, n AS n_lines, i + 1 AS part, i * 16 + 1 AS first, least(i * 16 + 20, n) AS last FROM w")
+def b5_review_windows(spark, sf):
+    return hints.review_windows(view(spark, sf, "code_lines"), 20, 4)
+
+
+DEFS_SQL = "defs AS (" + " UNION ALL ".join(f"SELECT repo, path, line, '{k}' AS family, regexp_extract(text, {quoted(p)}, 1) AS name FROM code_lines WHERE {FAMILY_SQL} = '{k}' AND regexp_matches(text, {quoted(p)})" for k, ps in defs.DEFINITIONS.items() for p in ps) + ")"
+
+
+@query(f"{CODE}, {DEFS_SQL} SELECT * FROM defs")
+def b6_extract_definitions(spark, sf):
+    return defs.extract_definitions(view(spark, sf, "code_lines"))
+
+
+IMPORTS_SQL = r"""imported AS (SELECT repo, path, name, row_number() OVER (PARTITION BY repo, path ORDER BY first) AS ord FROM (
+        SELECT repo, path, trim(split_part(regexp_extract(text, '^\s*from\s+[\w.]+\s+import\s+(.+)$', 1), ' as ', 1), ' ()') AS name, min(line) AS first
+        FROM code_lines WHERE regexp_matches(text, '^\s*from\s+[\w.]+\s+import\s+(.+)$') GROUP BY ALL) x WHERE regexp_matches(name, '^[A-Za-z_]\w*$'))"""
+
+
+@query(f"{CODE}, {IMPORTS_SQL} SELECT repo, path, name, ord::INT AS ord FROM imported")
+def b7_imported_names(spark, sf):
+    return defs.imported_names(view(spark, sf, "code_lines"))
+
+
+CALLS_SQL = rf"""calls AS (SELECT repo, path, line, unnest(c) AS full_name, unnest(range(len(c))) AS pos FROM (SELECT *, regexp_extract_all(replace(text, '(', '( '), '(^|[^\w$.])([A-Za-z_$][\w$]*(\.[A-Za-z_$][\w$]*)*)\s*\(', 2) AS c FROM code_lines) x),
+    called AS (SELECT repo, path, split_part(full_name, '.', -1) AS name, min(line * 1000 + pos) AS first FROM calls WHERE split_part(full_name, '.', -1) NOT IN ({', '.join(map(quoted, defs.NOT_CALLS))}) GROUP BY ALL)"""
+
+
+@query(f"{CODE}, {CALLS_SQL} SELECT repo, path, name, first // 1000 AS line FROM called")
+def b8_called_names(spark, sf):
+    return defs.called_names(view(spark, sf, "code_lines")).select("repo", "path", "name", F.col("first.line").alias("line"))
+
+
+JS_ROUTES = r"regexp_matches(text, '\b\w+\.(get|post|put|patch|delete|all)\(\s*''([^'']+)''\s*,(.*)$') OR regexp_matches(text, '\b\w+\.(get|post|put|patch|delete|all)\(\s*\"([^\"]+)\"\s*,(.*)$')"
+GUARDS_SQL = f"""guards AS (SELECT repo, path, line, pos, full_name || '()' AS guard FROM calls WHERE regexp_matches(split_part(full_name, '.', -1), {quoted(defs.GUARD_WORD)})
+    UNION ALL SELECT repo, path, line, NULL, '{defs.COMPARES_IDENTITY}' FROM code_lines WHERE regexp_matches(text, {quoted(defs.IDENTITY)}) AND regexp_matches(text, {quoted(defs.COMPARISON)}))"""
+JS_SQL = rf"""{GUARDS_SQL}, js AS (SELECT *, {JS_ROUTES} AS route FROM code_lines WHERE {FAMILY_SQL} = 'js'),
+    body AS (SELECT *, max(CASE WHEN route THEN line END) OVER (PARTITION BY repo, path ORDER BY line) AS start, max(CASE WHEN route THEN line END) OVER (PARTITION BY repo, path) AS final FROM js),
+    inside AS (SELECT b.repo, b.path, b.start, g.guard FROM body b JOIN guards g USING (repo, path, line) WHERE NOT b.route AND b.start IS NOT NULL AND NOT (b.start = b.final AND b.line >= b.start + 80)),
+    own AS (SELECT repo, path, line AS start, unnest(regexp_extract_all(split_part(split_part(regexp_extract(text, '\(\s*[''"][^''"]+[''"]\s*,(.*)$', 1), '=>', 1), 'function', 1), '([A-Za-z_$][\w$.]*)\s*,', 1)) AS guard FROM body WHERE route),
+    js_guards AS (SELECT DISTINCT repo, path, start, guard FROM (SELECT * FROM inside UNION ALL SELECT * FROM own) x WHERE guard NOT IN ('req', 'res', 'next', 'async')),
+    js_entries AS (SELECT b.repo, b.path, b.line, upper(regexp_extract(text, '\b\w+\.(get|post|put|patch|delete|all)\(', 1)) || ' ' || regexp_extract(text, '\(\s*[''"]([^''"]+)[''"]', 1) AS route, coalesce(g, '') AS guards
+        FROM body b LEFT JOIN (SELECT repo, path, start, string_agg(guard, ',' ORDER BY guard) AS g FROM js_guards GROUP BY ALL) x ON b.repo = x.repo AND b.path = x.path AND b.line = x.start WHERE b.route)"""
+
+
+def sorted_guards(df):
+    return df.withColumn("guards", F.array_join(F.array_sort("guards"), ","))
+
+
+@query(f"{CODE}, {CALLS_SQL}, {JS_SQL} SELECT * FROM js_entries")
+def b9_js_entries(spark, sf):
+    return sorted_guards(defs.js_entries(view(spark, sf, "code_lines"))).drop("name")
+
+
+@query(rf"""{with_views("code_lines")}, php AS (SELECT repo, path, line, replace(text, 'request.args', '$_GET') AS text FROM code_lines WHERE {FAMILY_SQL} = 'php')
+    SELECT repo, path, min(line) AS line, 'reads request input' AS route FROM php WHERE regexp_matches(text, '\$_(GET|POST|REQUEST|COOKIE|FILES)\b') GROUP BY ALL""")
+def b9_php_entries(spark, sf):
+    lines = view(spark, sf, "code_lines").withColumn("text", F.replace("text", F.lit("request.args"), F.lit("$_GET")))
+    return defs.php_entries(lines).select("repo", "path", "line", "route")
+
+
+@query()
+def b9_python_entries(spark, sf):
+    return sorted_guards(defs.python_entries(view(spark, sf, "code_lines")))
+
+
+@query(f"{CODE}, {CALLS_SQL}, {GUARDS_SQL} SELECT repo, path, line, guard, count(*) AS n FROM guards GROUP BY ALL")
+def b10_guard_calls(spark, sf):
+    return defs.guard_calls(view(spark, sf, "code_lines")).groupBy("repo", "path", "line", "guard").agg(F.count("*").alias("n"))
+
+
+CASE_SOURCE = "concat('''''''\nOWASP ', name, '\n''''''\n@app.route(\"/benchmark/sqli-00/', name, '\")\nrender(\"web/xss-01/a.html\")\n')"
+
+
+@query(rf"""{with_views("cases")} SELECT name, replace(regexp_replace(regexp_replace(src, '\A\s*''''''(?s:.*?)''''''\s*\n', ''), '(/benchmark/|web/)[a-z]+-\d+/', '\1case/', 'g'), 'OWASP', 'X') AS src
+    FROM (SELECT name, {CASE_SOURCE} AS src FROM cases) x""")
+def b11_neutralise(spark, sf):
+    from reviewlake.operators.train import neutralise
+
+    cases = view(spark, sf, "cases").withColumn("src", F.concat(F.lit("'''\nOWASP "), "name", F.lit("\n'''\n@app.route(\"/benchmark/sqli-00/"), "name", F.lit("\")\nrender(\"web/xss-01/a.html\")\n")))
+    return cases.select("name", neutralise(F.col("src")).alias("src"))
+
+
+@query(rf"""{with_views("code_lines", "truth")}, files AS (SELECT repo, path, string_agg(text, chr(10) ORDER BY line) AS content FROM code_lines GROUP BY ALL),
+    weak AS (SELECT DISTINCT repo, path FROM truth WHERE NOT is_decoy)
+    SELECT f.repo, f.path, CASE WHEN w.path IS NULL THEN content WHEN {EXT.replace('path', 'f.path')} IN ('.py', '.sh', '.yml', '.yaml', '.tf') THEN '# note' || chr(10) || content ELSE '// note' || chr(10) || content END AS content
+    FROM files f LEFT JOIN weak w ON f.repo = w.repo AND f.path = w.path""")
+def b12_plant_note(spark, sf):
+    from reviewlake.operators.train import file_texts, plant_note
+
+    return plant_note(file_texts(view(spark, sf, "code_lines")), view(spark, sf, "truth"), "note")
+
+
+@query(f"""{with_views("advisories")} SELECT id, lower(repo) AS repo, cwe FROM advisories WHERE published BETWEEN '1993-01-01' AND '1997-12-31' AND NOT withdrawn AND ecosystem IN ('PIP', 'NPM')
+    AND cwe IN ({', '.join(map(str, select.INJECTION + select.MISSING_CHECK))}) AND url2 = 'https://example.org/note'""")
+def b14_filter_advisories(spark, sf):
+    return kept_advisories(spark, sf).select("id", F.lower("repo").alias("repo"), "cwe")
+
+
+def kept_advisories(spark, sf):
+    a = view(spark, sf, "advisories").withColumns({"references": F.array("url1", "url2"), "ecosystems": F.array("ecosystem"), "cwes": F.array("cwe")})
+    return select.filter_advisories(a, "1993-01-01", "1997-12-31")
+
+
+SOURCE_SQL = r"regexp_matches(filename, '(?i)\.(py|js|mjs|cjs|ts|tsx|jsx|vue|svelte|html?|jinja2?|j2|ejs|hbs)$') AND NOT regexp_matches(filename, '(?i)(^|/)tests?(/|$)|(^|/)test_[^/]*$')"
+
+
+@query(f"""{with_views("commit_files")} SELECT sha, count(*) FILTER (WHERE {SOURCE_SQL}) AS n_source, count(*) FILTER (WHERE {SOURCE_SQL} AND status = 'modified') AS n_modified, coalesce(sum(changes) FILTER (WHERE {SOURCE_SQL}), 0)::BIGINT AS changes
+    FROM commit_files GROUP BY sha HAVING bool_and(one_parent) AND n_source BETWEEN 1 AND 3 AND n_modified > 0 AND changes <= 80""")
+def b15_usable_commits(spark, sf):
+    return select.usable_commits(view(spark, sf, "commit_files"))
+
+
+@query(f"{FOUND} SELECT fid, regexp_extract(summary || ' ' || reasoning, {quoted(S.HEDGE)}, 0) AS hedge, regexp_matches(summary || ' ' || reasoning, {quoted(S.HEDGE)}) AS hedged FROM findings")
+def b16_hedged(spark, sf):
+    return findings.wording(view(spark, sf, "findings")).select("fid", "hedge", "hedged")
+
+
+BOTH_SQL = "flow AS (SELECT repo, fid, bool_or(role = 'config') OR (bool_or(role = 'sink') AND bool_or(role IN ('source', 'missing_check'))) AS both_ends FROM evidence GROUP BY ALL)"
+
+
+@query(f"{CITED}, {BOTH_SQL} SELECT * FROM flow")
+def b17_cites_both_ends(spark, sf):
+    return findings.dataflow(view(spark, sf, "evidence"))
+
+
+SITES_SQL = rf"""sites AS (SELECT repo, path, line, CASE WHEN regexp_matches(text, {quoted(defs.ANY_DEFINITION[0])}) THEN regexp_extract(text, {quoted(defs.ANY_DEFINITION[0])}, 1) ELSE regexp_extract(text, {quoted(defs.ANY_DEFINITION[1])}, 1) END AS name
+    FROM code_lines WHERE regexp_matches(text, {quoted(defs.ANY_DEFINITION[0])}) OR regexp_matches(text, {quoted(defs.ANY_DEFINITION[1])})),
+    firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, name ORDER BY path, line) AS site FROM sites) x WHERE site <= 3)"""
+
+
+@query(f"{CODE}, {SITES_SQL} SELECT repo, path, line, name FROM sites")
+def b18_definition_sites(spark, sf):
+    return defs.definition_sites(view(spark, sf, "code_lines"))
+
+
+# C: joins
+
+HELPERS_SQL = f"""{CODE}, {IMPORTS_SQL}, {SITES_SQL}, helpers AS (SELECT repo, path, name, row_number() OVER (PARTITION BY repo, path ORDER BY ord) AS ord, "where", "at" FROM (
+        SELECT i.repo, i.path, i.name, i.ord, f.path AS "where", f.line AS "at", row_number() OVER (PARTITION BY i.repo, i.path, i.name ORDER BY f.site) AS n FROM imported i JOIN firsts f ON i.repo = f.repo AND i.name = f.name AND f.path <> i.path) x WHERE n = 1)"""
+
+
+@query(f"""{HELPERS_SQL}, size AS (SELECT repo, path, max(line) AS n FROM code_lines GROUP BY ALL)
+    SELECT h.repo, h.path, h.name, h.ord::INT AS ord, h."where", h."at", string_agg(lpad(c.line::VARCHAR, length(least(h."at" + 23, s.n)::VARCHAR)::INT, ' ') || '| ' || c.text, chr(10) ORDER BY c.line) AS body
+    FROM helpers h JOIN code_lines c ON c.repo = h.repo AND c.path = h."where" AND c.line BETWEEN h."at" AND h."at" + 23 JOIN size s ON s.repo = h.repo AND s.path = h."where" WHERE h.ord <= 6 GROUP BY h.repo, h.path, h.name, h.ord, h."where", h."at" """)
+def c1_helper_definitions(spark, sf):
+    lines = view(spark, sf, "code_lines")
+    return defs.with_bodies(defs.helper_definitions(lines), lines)
+
+
+#: The code with names told apart further, so that some are defined once in a repository.
+NAMED = f"{CODE.replace('code_lines AS', 'plain_lines AS')}, code_lines AS (SELECT * REPLACE (replace(text, 'clean_', 'clean_' || (ok % 50) || '_') AS text) FROM plain_lines)"
+
+
+@query(f"""{NAMED}, {CALLS_SQL}, {IMPORTS_SQL}, {DEFS_SQL}, once AS (SELECT repo, family, name, min(path) AS "where", min(line) AS "at" FROM defs GROUP BY ALL HAVING count(*) = 1),
+    met AS (SELECT c.repo, c.path, c.name, c.first, o."where", o."at" FROM (SELECT *, {FAMILY_SQL} AS family FROM called) c JOIN once o ON c.repo = o.repo AND c.family = o.family AND c.name = o.name AND o."where" <> c.path ANTI JOIN imported i ON i.repo = c.repo AND i.path = c.path AND i.name = c.name)
+    SELECT repo, path, name, ord::INT AS ord, "where", "at" FROM (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY NOT regexp_matches(name, {quoted(defs.GUARD_WORD)}), first) AS ord FROM met) x WHERE ord <= 6""")
+def c2_called_definitions(spark, sf):
+    return defs.called_definitions(called_code(spark, sf))
+
+
+def called_code(spark, sf):
+    return view(spark, sf, "code_lines").withColumn("text", F.replace("text", F.lit("clean_"), F.concat(F.lit("clean_"), (F.col("ok") % 50).cast("string"), F.lit("_"))))
+
+
+CHECKED_SQL = rf"""dense AS (SELECT repo, path, line, norm, row_number() OVER (PARTITION BY repo, path ORDER BY line) AS pos FROM (SELECT repo, path, line, trim(regexp_replace(text, '\s+', ' ', 'g')) AS norm FROM code_lines) x WHERE norm <> ''),
+    wanted AS (SELECT repo, fid, ev_ord, path, trim(regexp_replace(regexp_replace(quote, '^\s*\d+\|\s?', ''), '\s+', ' ', 'g')) AS w FROM evidence),
+    places AS (SELECT w.repo, w.fid, w.ev_ord, min(d.line) AS s FROM wanted w JOIN dense d ON w.repo = d.repo AND w.path = d.path AND contains(d.norm, w.w) WHERE w.w <> '' GROUP BY ALL),
+    checked AS (SELECT e.repo, e.fid, e.ev_ord, e.path, e.role, coalesce(s, e.start_line) AS start_line, coalesce(s, e.end_line) AS end_line, s IS NOT NULL AS passed, CASE WHEN s IS NULL THEN 'quote not found in ' || e.path WHEN s = e.start_line AND s = e.end_line THEN 'exact' ELSE 'lines corrected from ' || e.start_line || '-' || e.end_line END AS detail FROM evidence e LEFT JOIN places p ON e.repo = p.repo AND e.fid = p.fid AND e.ev_ord = p.ev_ord)"""
+
+
+@query(f"{with_views('code_lines', 'evidence')}, {CHECKED_SQL} SELECT * FROM checked")
+def c3_check_citations(spark, sf):
+    return checked(spark, sf).drop("quote")
+
+
+def checked(spark, sf):
+    return citations.check_citations(view(spark, sf, "evidence"), view(spark, sf, "code_lines"))
+
+
+@query(r"""WITH lines AS (SELECT doc_id, unnest(p) AS text, unnest(range(1, len(p) + 1)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents) x),
+    dense AS (SELECT doc_id, line, norm, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS pos FROM (SELECT doc_id, line, trim(regexp_replace(text, '\s+', ' ', 'g')) AS norm FROM lines) x WHERE norm <> ''),
+    q AS (SELECT item_id, unnest(w) AS w, unnest(range(len(w))) AS k, len(w) AS n FROM (SELECT item_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS w FROM benchmark) x),
+    met AS (SELECT item_id, doc_id, pos - k AS p, n FROM q JOIN dense ON contains(norm, w) GROUP BY item_id, doc_id, pos - k, n HAVING count(*) = n),
+    best AS (SELECT item_id, doc_id, min(p) AS p, n FROM met GROUP BY ALL)
+    SELECT item_id, b.doc_id, a.line AS start_line, z.line AS end_line FROM best b JOIN dense a ON a.doc_id = b.doc_id AND a.pos = p JOIN dense z ON z.doc_id = b.doc_id AND z.pos = p + n - 1""")
+def c3_quotes_in_prose(spark, sf):
+    """Benchmark passages located in the documents. Candidates meet on the longest word of a passage's first line, an equality join."""
+    docs, bench = load(spark, sf, "documents"), load(spark, sf, "benchmark")
+    lines = hints.file_lines(docs.select(F.lit("d").alias("repo"), F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content")))
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    longest = lambda c: F.element_at(F.array_sort(words(c), lambda a, b: F.length(b) - F.length(a)), 1)
+    first = F.get(citations.quote_lines(F.col("text")), F.lit(0))
+    wanted = bench.select("item_id", F.col("text").alias("quote"), first.alias("first")).where("first is not null").withColumn("word", longest(F.col("first")))
+    # At either end of the first line a word may be part of a longer one in a document; passages are quoted from a word on.
+    held = lines.withColumn("norm", S.norm_ws(F.col("text"))).select("path", "norm", F.explode(F.array_distinct(words(F.col("norm")))).alias("word"))
+    near = held.join(wanted, "word").where(F.contains("norm", "first")).select("path", "item_id", "quote").distinct()
+    ev = near.select(F.lit("d").alias("repo"), "path", F.col("item_id").cast("string").alias("fid"), F.lit(0).alias("ev_ord"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), "quote", F.lit("sink").alias("role"))
+    found = citations.check_citations(ev, lines).where("passed")
+    return found.select(*(F.col(a).cast("long").alias(b) for a, b in (("fid", "item_id"), ("path", "doc_id"), ("start_line", "start_line"), ("end_line", "end_line"))))
+
+
+AGREED_SQL = "agreed AS (SELECT DISTINCT e.repo, e.fid FROM evidence e JOIN scanner s ON e.repo = s.repo AND e.path = s.path AND e.start_line - 3 <= s.end_line AND e.end_line + 3 >= s.start_line)"
+
+
+@query(f"{with_views('evidence', 'scanner')}, {AGREED_SQL} SELECT * FROM agreed")
+def c4_scanner_agreement(spark, sf):
+    return intervals.scanner_agreement(view(spark, sf, "evidence"), view(spark, sf, "scanner"))
+
+
+REGIONS_SQL = """regions AS (SELECT t.id, t.repo, t.path, t.cwe, t.is_decoy, greatest(1, min(c.line) - t.radius) AS start_line, min(c.line) + t.radius AS end_line
+    FROM truth t JOIN code_lines c ON t.repo = c.repo AND t.path = c.path AND contains(c.text, t.anchor) GROUP BY t.id, t.repo, t.path, t.cwe, t.is_decoy, t.radius HAVING count(*) = 1)"""
+
+
+@query(f"{with_views('code_lines', 'truth')}, {REGIONS_SQL} SELECT id, repo, path, start_line, end_line FROM regions")
+def c5_anchor_regions(spark, sf):
+    return regions(spark, sf).select("id", "repo", "path", "start_line", "end_line")
+
+
+def regions(spark, sf):
+    return intervals.anchor_regions(view(spark, sf, "truth"), view(spark, sf, "code_lines"))
+
+
+MATCH_SQL = f"""{REGIONS_SQL}, met AS (SELECT DISTINCT f.repo, f.fid, r.id, r.is_decoy, coalesce(f.cwe = r.cwe, false) AS same FROM evidence e JOIN regions r ON e.repo = r.repo AND e.path = r.path AND e.start_line <= r.end_line AND e.end_line >= r.start_line JOIN findings f ON f.repo = e.repo AND f.fid = e.fid),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, fid ORDER BY same DESC, is_decoy, id) AS n FROM met) x WHERE n = 1),
+    matches AS (SELECT f.repo, f.fid, f.cwe, b.id AS item, b.is_decoy FROM findings f LEFT JOIN best b ON f.repo = b.repo AND f.fid = b.fid)"""
+
+
+@query(f"{with_views('code_lines', 'truth', 'evidence')}, {MATCH_SQL} SELECT * FROM matches")
+def c6_match_truth(spark, sf):
+    return matches(spark, sf)
+
+
+def matches(spark, sf):
+    return intervals.match_truth(view(spark, sf, "evidence"), view(spark, sf, "findings"), regions(spark, sf))
+
+
+@query(f"{with_views('evidence', 'changes')} SELECT DISTINCT c.item, e.fid FROM evidence e JOIN changes c ON e.path = c.path AND e.start_line - 3 <= c.end_line AND e.end_line + 3 >= c.start_line")
+def c7_hits_at_change(spark, sf):
+    return intervals.hits_at_change(view(spark, sf, "evidence"), view(spark, sf, "changes"))
+
+
+MODULES_SQL = "flags AS (SELECT f.repo, f.fid, split_part(f.path, '/', 1) AS module, coalesce(f.cwe IN (m.cwe1, m.cwe2), false) AS flagged FROM findings f JOIN modules m ON m.id = split_part(f.path, '/', 1))"
+
+
+@query(f"{with_views('findings', 'modules')}, {MODULES_SQL} SELECT * FROM flags")
+def c8_flag_modules(spark, sf):
+    return module_flags(spark, sf)
+
+
+def module_flags(spark, sf):
+    modules = view(spark, sf, "modules").select("id", F.array("cwe1", "cwe2").alias("cwes"))
+    return score.flag_modules(view(spark, sf, "evidence"), view(spark, sf, "findings"), modules)
+
+
+@query(f"""{with_views('findings')} SELECT o_custkey || '' AS name, coalesce(bool_or(f.cwe IN ('CWE-89', 'CWE-564', 'CWE-' || (20 + o_custkey % 80))), false) AS flagged
+    FROM (SELECT DISTINCT o_custkey FROM orders) o LEFT JOIN findings f ON f.path LIKE 'svc%/app/f%' AND split_part(split_part(f.path, '/f', 2), '.', 1) = o_custkey::VARCHAR AND f.severity <> 'low' GROUP BY o_custkey""")
+def c9_flag_cases(spark, sf):
+    path = view(spark, sf, "code_lines").select("path").distinct().withColumn("name", F.regexp_extract("path", r"/f(\d+)\.", 1))
+    cases = load(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("name"), F.array(F.lit("CWE-89"), F.lit("CWE-564"), F.concat(F.lit("CWE-"), (20 + F.col("o_custkey") % 80).cast("string"))).alias("classes")).distinct().join(path, "name", "left")
+    return score.flag_cases(view(spark, sf, "findings").withColumn("rejected", F.col("severity") == "low"), cases)
+
+
+@query(f"{with_views('findings', 'modules')}, {MODULES_SQL} SELECT id FROM modules EXCEPT SELECT module FROM flags WHERE flagged AND repo = 'repo3'")
+def c10_missed(spark, sf):
+    return score.missed(view(spark, sf, "modules"), module_flags(spark, sf).where("flagged and repo = 'repo3'").select(F.col("module").alias("id")))
+
+
+@query(f"{with_views('cases')} SELECT name, real FROM cases SEMI JOIN (SELECT 'Case' || l_partkey AS name FROM lineitem WHERE l_quantity > 49) USING (name)")
+def c11_holdout_cases(spark, sf):
+    names = load(spark, sf, "lineitem").where("l_quantity > 49").select(F.concat(F.lit("Case"), F.col("l_partkey").cast("string")).alias("name"))
+    return view(spark, sf, "cases").join(names, "name", "left_semi").select("name", "real")
+
+
+SIDES_SQL = f"""{MODULES_SQL}, sides AS (SELECT m.id || '-' || r.repo AS id, coalesce(bool_or(flagged AND fid NOT LIKE '%7'), false) AS detected, coalesce(bool_or(flagged AND fid LIKE '%1'), false) AS still_flagged
+    FROM modules m CROSS JOIN (SELECT DISTINCT repo FROM findings) r LEFT JOIN flags f ON f.module = m.id AND f.repo = r.repo GROUP BY m.id, r.repo)"""
+
+
+def sides(spark, sf):
+    flags = module_flags(spark, sf).where("flagged").withColumn("id", F.concat("module", F.lit("-"), "repo"))
+    repos = F.sequence(F.lit(0), F.lit(19))
+    ids = view(spark, sf, "modules").withColumn("repo", F.explode(F.transform(repos, lambda i: F.concat(F.lit("repo"), i.cast("string"))))).join(view(spark, sf, "findings").select("repo").distinct(), "repo", "left_semi").select(F.concat("id", F.lit("-"), "repo").alias("id"))
+    return score.pair_sides(ids, flags.where("fid not like '%7'"), flags.where("fid like '%1'"))
+
+
+@query(f"{with_views('findings', 'modules')}, {SIDES_SQL} SELECT *, detected AND NOT still_flagged AS pair_correct FROM sides")
+def c12_pair_sides(spark, sf):
+    return sides(spark, sf)
+
+
+@query(f"{with_views('code_lines', 'scanner')}, s AS (SELECT DISTINCT repo, path, start_line, start_line + 2 AS end_line FROM scanner) SELECT s.repo, s.path, s.start_line, s.end_line, coalesce(string_agg(c.text, chr(10) ORDER BY c.line), '') AS quote FROM s LEFT JOIN code_lines c ON c.repo = s.repo AND c.path = s.path AND c.line BETWEEN s.start_line AND s.end_line GROUP BY ALL")
+def c13_quote_lines(spark, sf):
+    spans = view(spark, sf, "scanner").select("repo", "path", "start_line", (F.col("start_line") + 2).alias("end_line")).distinct()
+    return citations.quote_spans(spans, view(spark, sf, "code_lines"))
+
+
+@query(f"""{CODE}, files AS (SELECT DISTINCT repo, path FROM code_lines) SELECT repo, path FROM files WHERE split_part(path, '/', 1) IN ('svc1', 'svc2') AND NOT path LIKE '%.txt'
+    UNION ALL SELECT repo, path FROM files WHERE path LIKE '%.txt' AND path NOT LIKE 'svc6/%'""")
+def c14_case_tree(spark, sf):
+    from reviewlake.operators.train import case_tree
+
+    files = view(spark, sf, "code_lines").select("repo", "path").distinct().withColumn("content", F.lit("x = 1"))
+    cases = files.where("split(path, '/')[0] in ('svc1', 'svc2') and path not like '%.txt'").select("path")
+    return case_tree(files, cases, files.where("path like '%.txt'"), "svc6/").select("repo", "path")
+
+
+# D: aggregations
+
+LEADS_SQL = f"""{CODE}, src AS (SELECT * FROM code_lines WHERE {IN_CODE}), {lexicon_sql('src')},
+    per AS (SELECT repo, path, class, string_agg(line::VARCHAR, ', ' ORDER BY line, ord) AS all_lines, array_to_string(list_slice(list(line::VARCHAR ORDER BY line, ord), 1, 8), ', ') AS lines FROM hits GROUP BY ALL),
+    leads AS (SELECT f.repo, f.path, coalesce(p.score, 0)::INT AS score, coalesce(p.hints, '') AS hints, coalesce(c.cwes, '') AS cwes FROM (SELECT DISTINCT repo, path FROM src) f
+        LEFT JOIN (SELECT repo, path, sum(CASE WHEN class = 'request handler' THEN 5 ELSE 10 END) AS score, string_agg('- ' || class || ': line ' || lines, '; ' ORDER BY class) AS hints FROM per GROUP BY ALL) p ON f.repo = p.repo AND f.path = p.path
+        LEFT JOIN (SELECT repo, path, string_agg(cwe, ',' ORDER BY cwe) AS cwes FROM (SELECT DISTINCT repo, path, cwe FROM hits WHERE cwe <> '') x GROUP BY ALL) c ON f.repo = c.repo AND f.path = c.path)"""
+
+
+@query(f"{LEADS_SQL} SELECT repo, path, class, all_lines AS lines FROM per")
+def d1_lead_hints(spark, sf):
+    one = hints.lead_hints(view(spark, sf, "code_lines")).select("repo", "path", F.explode("hints").alias("class", "n"))
+    return one.select("repo", "path", "class", F.array_join(F.transform("n", lambda x: x.cast("string")), ", ").alias("lines"))
+
+
+@query(f"{FOUND} SELECT repo, count(*) AS reviews, sum(pk)::BIGINT AS prompt_tokens, max(pk) AS largest_prompt, count(*) FILTER (WHERE sk % 13 = 0) AS errors, sum(sk % 3)::BIGINT AS findings FROM findings GROUP BY repo")
+def d2_scan_stats(spark, sf):
+    f = view(spark, sf, "findings")
+    return findings.scan_stats(f.select("repo", F.col("pk").alias("prompt_tokens"), F.when(F.col("sk") % 13 == 0, "no answer").alias("error"), (F.col("sk") % 3).alias("n_findings")))
+
+
+SUMMARY_SQL = f"""{MATCH_SQL}, hit AS (SELECT repo, count(DISTINCT item) FILTER (WHERE NOT is_decoy) AS found, count(DISTINCT item) FILTER (WHERE is_decoy) AS decoys_flagged, count(*) FILTER (WHERE item IS NULL) AS unlisted FROM matches GROUP BY repo),
+    total AS (SELECT repo, count(*) FILTER (WHERE NOT is_decoy) AS weaknesses, count(*) FILTER (WHERE is_decoy) AS decoys FROM truth GROUP BY repo)"""
+
+
+@query(f"{with_views('code_lines', 'truth', 'evidence')}, {SUMMARY_SQL} SELECT repo, weaknesses, decoys, found, decoys_flagged, unlisted, coalesce(found / nullif(weaknesses, 0), 0) AS recall, coalesce(found / nullif(found + decoys_flagged + unlisted, 0), 0) AS precision FROM total JOIN hit USING (repo)")
+def d3_score_summary(spark, sf):
+    return score.score_summary(matches(spark, sf), view(spark, sf, "truth"))
+
+
+@query(f"{with_views('findings', 'modules')}, {SIDES_SQL} SELECT count(*) AS pairs, count(*) FILTER (WHERE detected AND NOT still_flagged) AS correct, correct / pairs AS accuracy FROM sides")
+def d4_pair_accuracy(spark, sf):
+    return score.pair_accuracy(sides(spark, sf))
+
+
+@query(f"{with_views('runs')} SELECT config, count(*) AS runs, avg(value) AS value, avg(item) AS item, avg(event_id) AS event_id FROM runs GROUP BY config")
+def d5_run_averages(spark, sf):
+    return summary.run_averages(view(spark, sf, "runs"))
+
+
+ITEM_SQL = """item_findings AS (SELECT i.id, f.fid, f.cwe IN ('CWE-89', 'CWE-22', 'CWE-94') AND f.severity <> 'low' AS own, f.sk FROM items i JOIN findings f ON i.path = f.path),
+    near AS (SELECT DISTINCT i.id FROM item_findings i JOIN findings f ON i.fid = f.fid JOIN changes c ON c.item = i.id AND f.start_line - 3 <= c.end_line AND f.start_line + 3 >= c.start_line WHERE own)"""
+
+
+@query(f"""{with_views('findings', 'items', 'changes')}, {ITEM_SQL}, s AS (SELECT i.id, coalesce(bool_or(own), false) AS detected, coalesce(bool_or(own AND sk % 2 = 0), false) AS fixed_flagged, count(*) FILTER (WHERE NOT own) AS other_findings_vulnerable, count(*) FILTER (WHERE NOT own AND sk % 2 = 0) AS other_findings_fixed FROM items i LEFT JOIN item_findings f ON i.id = f.id GROUP BY i.id)
+    SELECT s.id, detected, n.id IS NOT NULL AS detected_at_change, fixed_flagged, detected AND NOT fixed_flagged AS pair_correct, other_findings_vulnerable, other_findings_fixed FROM s LEFT JOIN near n ON s.id = n.id""")
+def d6_score_items(spark, sf):
+    f = view(spark, sf, "findings").select("path", "fid", "cwe", "start_line", F.col("start_line").alias("end_line"), (F.col("severity") == "low").alias("rejected"), "sk")
+    items = view(spark, sf, "items").withColumn("cwes", F.array(F.lit("CWE-89"), F.lit("CWE-22"), F.lit("CWE-94")))
+    return score.score_items(f, f.where("sk % 2 = 0"), items, view(spark, sf, "changes"))
+
+
+@query("""WITH f AS (SELECT source AS category, quality = 1 AS real, toxic = 1 AS flagged FROM labels JOIN documents USING (doc_id)),
+    n AS (SELECT category, count(*) FILTER (WHERE real) AS n_real, count(*) FILTER (WHERE NOT real) AS n_fake, count(*) FILTER (WHERE real AND flagged) AS tp, count(*) FILTER (WHERE NOT real AND flagged) AS fp FROM f GROUP BY ROLLUP (category))
+    SELECT *, coalesce(tp / nullif(n_real, 0), 0) AS tpr, coalesce(fp / nullif(n_fake, 0), 0) AS fpr, coalesce(tp / nullif(n_real, 0), 0) - coalesce(fp / nullif(n_fake, 0), 0) AS score FROM n""")
+def d7_score_cases(spark, sf):
+    flags = load(spark, sf, "labels").join(load(spark, sf, "documents"), "doc_id").select(F.col("source").alias("category"), (F.col("quality") == 1).alias("real"), (F.col("toxic") == 1).alias("flagged"))
+    return score.score_cases(flags)
+
+
+@query(f"{with_views('log')} SELECT status, count(*) AS n, count(*) FILTER (WHERE real) AS n_real FROM log GROUP BY status")
+def d8_status_counts(spark, sf):
+    return summary.status_counts(view(spark, sf, "log"))
+
+
+RUN_SQL = "m AS (SELECT config, run, metric, max(value) AS value FROM runs GROUP BY ALL)"
+
+
+@query(f"{with_views('runs')}, {RUN_SQL} SELECT config, metric, count(*) AS runs, avg(value) AS mean, min(value) AS low, max(value) AS high, string_agg(run, ',' ORDER BY run) AS run_list FROM m GROUP BY ALL")
+def d9_metric_summary(spark, sf):
+    return summary.metric_summary(view(spark, sf, "runs").groupBy("config", "run", "metric").agg(F.max("value").alias("value")))
+
+
+@query(f"{with_views('runs')} SELECT config, item, count(DISTINCT run) AS runs, count(DISTINCT run) FILTER (WHERE value > 50) AS found, count(DISTINCT run) FILTER (WHERE value > 80) AS correct FROM runs GROUP BY ALL")
+def d10_item_stability(spark, sf):
+    return summary.item_stability(view(spark, sf, "runs").withColumn("found", F.col("value") > 50).withColumn("correct", F.col("value") > 80))
+
+
+@query(f"{with_views('runs')} SELECT run, count(*) FILTER (WHERE item % 2 = 0 AND value > 50) AS injection, count(*) FILTER (WHERE item % 2 = 1 AND value > 50) AS missing_check FROM runs GROUP BY run")
+def d11_group_counts(spark, sf):
+    rows = view(spark, sf, "runs").select("run", F.when(F.col("item") % 2 == 0, "injection").otherwise("missing_check").alias("grp"), (F.col("value") > 50).alias("detected"))
+    return summary.group_counts(rows, ["injection", "missing_check"])
+
+
+SIGNALS = ["scanner agrees", "no hedging words", "cites both ends", "severity high or critical"]
+SIGNAL_SQL = f"""{MATCH_SQL}, {AGREED_SQL}, {BOTH_SQL}, signals AS (SELECT m.item IS NOT NULL AND NOT m.is_decoy AS is_true, a.fid IS NOT NULL AS s0, NOT regexp_matches(summary || ' ' || reasoning, {quoted(S.HEDGE)}) AS s1, both_ends AS s2, severity IN ('high', 'critical') AS s3
+    FROM findings f JOIN matches m USING (repo, fid) LEFT JOIN agreed a USING (repo, fid) JOIN flow USING (repo, fid))"""
+
+
+@query(f"{with_views('code_lines', 'truth', 'evidence', 'scanner')}, {SIGNAL_SQL} " + " UNION ALL ".join(f"SELECT '{s}' AS signal, count(*) FILTER (WHERE s{i}) AS n_with, avg(is_true::INT) FILTER (WHERE s{i}) AS p_with, count(*) FILTER (WHERE NOT s{i}) AS n_without, avg(is_true::INT) FILTER (WHERE NOT s{i}) AS p_without, count(*) FILTER (WHERE s{i} AND is_true) / count(*) FILTER (WHERE is_true) AS true_kept FROM signals" for i, s in enumerate(SIGNALS)))
+def d12_signal_precision(spark, sf):
+    f = findings.wording(view(spark, sf, "findings")).drop("cwe")
+    ev = view(spark, sf, "evidence")
+    agreed = intervals.scanner_agreement(ev, view(spark, sf, "scanner")).withColumn("agrees", F.lit(True))
+    rows = f.join(matches(spark, sf), ["repo", "fid"]).join(agreed, ["repo", "fid"], "left").join(findings.dataflow(ev), ["repo", "fid"])
+    rows = rows.select((F.col("item").isNotNull() & ~F.coalesce("is_decoy", F.lit(False))).alias("is_true"), F.coalesce("agrees", F.lit(False)).alias(SIGNALS[0]), (~F.col("hedged")).alias(SIGNALS[1]), F.col("both_ends").alias(SIGNALS[2]), F.col("severity").isin("high", "critical").alias(SIGNALS[3]))
+    return summary.signal_precision(rows, SIGNALS)
+
+
+@query(f"""{CODE}, {CALLS_SQL}, {JS_SQL}, files AS (SELECT DISTINCT repo, path FROM code_lines WHERE {FAMILY_SQL} = 'js'),
+    peers AS (SELECT f.repo, f.path, count(*) AS peers FROM files f JOIN js_entries e ON e.repo = f.repo AND e.path <> f.path GROUP BY ALL HAVING count(*) >= 2),
+    used AS (SELECT f.repo, f.path, g.guard, count(*) AS uses, count(DISTINCT g.path) AS n_files FROM files f JOIN js_guards g ON g.repo = f.repo AND g.path <> f.path GROUP BY ALL)
+    SELECT repo, path, guard, peers, uses, n_files, ord::INT AS ord FROM (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY uses DESC, guard) AS ord FROM used JOIN peers USING (repo, path)) x WHERE ord <= 10""")
+def d13_peer_guards(spark, sf):
+    lines = view(spark, sf, "code_lines")
+    return defs.peer_guards(defs.js_entries(lines), lines.where(S.language_family(F.col("path")) == "js"))
+
+
+@query("""SELECT role AS stop_reason, count(*) AS traces, sum(n)::BIGINT AS steps, sum(r)::BIGINT AS refused, sum(t)::BIGINT AS tokens, sum(t / 4.0) AS seconds
+    FROM (SELECT role, conv_id, count(*) AS n, count(*) FILTER (WHERE length(text) > 300) AS r, sum(length(text)) AS t FROM conversations GROUP BY role, conv_id) x GROUP BY role""")
+def d14_trace_stats(spark, sf):
+    c = load(spark, sf, "conversations")
+    step = F.struct(F.lit("read").alias("tool"), F.when(F.length("text") > 300, F.concat(F.lit("NOT recorded: "), "text")).otherwise(F.lit("recorded")).alias("output"))
+    t = c.groupBy(F.col("role").alias("stop_reason"), "conv_id").agg(F.collect_list(step).alias("steps"), F.sum(F.length("text")).alias("tokens"), F.sum(F.length("text") / 4.0).alias("seconds"))
+    return summary.trace_stats(t)
+
+
+# E and F: windows and ranks
+
+MERGED_SQL = "merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, path, start_line // 3, coalesce(cwe, '') ORDER BY line, fid) AS n FROM findings) x WHERE n = 1)"
+
+
+def merged(spark, sf):
+    coarse = view(spark, sf, "findings").withColumn("true_start", F.col("start_line")).withColumn("start_line", F.floor(F.col("start_line") / 3))
+    return findings.dedupe_findings(coarse, ["line", "fid"])
+
+
+@query(f"{FOUND}, {MERGED_SQL} SELECT repo, fid FROM merged")
+def e1_dedupe_findings(spark, sf):
+    return merged(spark, sf).select("repo", "fid")
+
+
+NUMBERED_SQL = "numbered AS (SELECT *, printf('F%03d', row_number() OVER (PARTITION BY repo ORDER BY path, line, fid)) AS id FROM merged)"
+
+
+@query(f"{FOUND}, {MERGED_SQL}, {NUMBERED_SQL} SELECT repo, fid, id FROM numbered")
+def e2_number_findings(spark, sf):
+    return findings.number_findings(merged(spark, sf), ["path", "line", "fid"]).select("repo", "fid", "id")
+
+
+@query(f"{CODE}, {SITES_SQL} SELECT repo, name, path, line, site::INT AS site FROM firsts")
+def e4_first_sites(spark, sf):
+    return defs.first_sites(defs.definition_sites(view(spark, sf, "code_lines"))).select("repo", "name", "path", "line", "site")
+
+
+@query(f"""{with_views('cases')}, r AS (SELECT name, cat, real, row_number() OVER (PARTITION BY cat, real ORDER BY md5('7' || name), name) AS n, least(3, count(*) OVER (PARTITION BY cat, real) // 3) AS held FROM cases)
+    SELECT name, cat AS category, real, CASE WHEN n <= held THEN 'holdout' WHEN n <= held + 5 THEN 'train' END AS side FROM r""")
+def e5_stratified_split(spark, sf):
+    return select.stratified_split(view(spark, sf, "cases").select("name", F.col("cat").alias("category"), "real"), 5, 3, "7")
+
+
+RANKED_SQL = f"""first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(repo) ORDER BY md5('s' || id), id) AS n FROM advisories) x WHERE n = 1),
+    ranked AS (SELECT id, repo, grp, row_number() OVER (PARTITION BY grp ORDER BY md5('s' || id), id)::INT AS rank FROM (SELECT *, CASE WHEN cwe IN ({', '.join(map(str, select.INJECTION))}) THEN 'injection' ELSE 'missing check' END AS grp FROM first) x)"""
+
+
+@query(f"{with_views('advisories')}, {RANKED_SQL} SELECT * FROM ranked")
+def e6_one_per_repo(spark, sf):
+    return select.one_per_repo(view(spark, sf, "advisories"), "s").select("id", "repo", "grp", "rank")
+
+
+@query(r"""WITH hunks AS (SELECT o_orderkey AS diff, o_custkey AS c FROM orders)
+    SELECT diff, 'x.py' AS path, c::INT AS start, (CASE diff % 3 WHEN 0 THEN c + 1 WHEN 1 THEN c ELSE c + 3 END)::INT AS "end" FROM hunks UNION ALL SELECT diff, 'x.py', (c + 40)::INT, (c + 41)::INT FROM hunks""")
+def e7_diff_ranges(spark, sf):
+    return select.diff_ranges(view(spark, sf, "diffs"))
+
+
+@query("""SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND n > 1 AND length(text) > 400 THEN '[earlier tool output removed to save space; call the tool again if needed]' ELSE text END AS text
+    FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC, text DESC) AS n FROM conversations) x""")
+def e8_compact_history(spark, sf):
+    return select.compact_history(load(spark, sf, "conversations"), "assistant", 1, 400).select("conv_id", "turn", "role", "text")
+
+
+@query(f"""{with_views('cases')} SELECT name, CASE WHEN row_number() OVER (ORDER BY md5('v' || name), name) <= greatest(1, count(*) OVER () // 10) THEN 'valid' ELSE 'train' END AS side FROM cases""")
+def e9_train_valid(spark, sf):
+    return select.train_valid(view(spark, sf, "cases"), "v").select("name", "side")
+
+
+@query(f"{with_views('code_lines', 'evidence')}, {CHECKED_SQL} SELECT repo, fid, min(ev_ord) AS ev_ord, path, start_line, end_line, 'sink' AS role FROM checked GROUP BY repo, fid, path, start_line, end_line")
+def e10_dedupe_citations(spark, sf):
+    return findings.dedupe_citations(checked(spark, sf).withColumn("role", F.lit("sink"))).select("repo", "fid", "ev_ord", "path", "start_line", "end_line", "role")
+
+
+@query(f"{LEADS_SQL} SELECT repo, path, score, row_number() OVER (PARTITION BY repo ORDER BY score DESC, path)::INT AS rank FROM leads QUALIFY rank <= 15")
+def f1_rank_leads(spark, sf):
+    return hints.rank_leads(hints.lead_hints(view(spark, sf, "code_lines")), 15).select("repo", "path", "score", "rank")
+
+
+TIER_SQL = f"{AGREED_SQL}, tiered AS (SELECT f.*, CASE WHEN a.fid IS NULL THEN 'suspected' ELSE 'supported' END AS tier, regexp_matches(summary || ' ' || reasoning, {quoted(S.HEDGE)}) AS hedged FROM findings f LEFT JOIN agreed a ON f.repo = a.repo AND f.fid = a.fid)"
+
+
+def tiered(spark, sf):
+    return findings.wording(intervals.assign_tiers(view(spark, sf, "findings"), view(spark, sf, "evidence"), view(spark, sf, "scanner")))
+
+
+@query(f"{with_views('evidence', 'scanner')}, {TIER_SQL} SELECT repo, fid, tier, row_number() OVER (PARTITION BY repo ORDER BY tier = 'suspected', hedged, list_position(['critical', 'high', 'medium', 'low'], severity), fid)::INT AS rank FROM tiered")
+def f2_rank_findings(spark, sf):
+    return findings.rank_findings(tiered(spark, sf).withColumn("id", F.col("fid"))).select("repo", "fid", "tier", "rank")
+
+
+@query(f"{with_views('advisories')}, {RANKED_SQL} SELECT * FROM ranked WHERE rank <= 40")
+def f3_top_per_group(spark, sf):
+    return select.top_per_group(select.one_per_repo(view(spark, sf, "advisories"), "s")).select("id", "repo", "grp", "rank")
+
+
+@query(f"{CITED} SELECT repo, fid, array_to_string(list_slice(list(role ORDER BY ev_ord), 1, 1), ',') AS roles FROM evidence GROUP BY repo, fid")
+def f4_cap_lists(spark, sf):
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ev_ord", "role"))), lambda x: x["role"])
+    return view(spark, sf, "evidence").groupBy("repo", "fid").agg(F.array_join(F.slice(ordered, 1, 1), ",").alias("roles"))
+
+
+# G: sets
+
+
+@query(f"{with_views('findings', 'modules')}, {SIDES_SQL} SELECT id FROM sides WHERE detected EXCEPT SELECT id FROM sides WHERE still_flagged")
+def g1_found_minus_still(spark, sf):
+    s = sides(spark, sf)
+    return s.where("detected").select("id").subtract(s.where("still_flagged").select("id"))
+
+
+@query(f"{with_views('findings', 'modules')}, {SIDES_SQL} SELECT id FROM sides WHERE detected UNION SELECT id FROM sides WHERE NOT detected")
+def g2_all_modules(spark, sf):
+    s = sides(spark, sf)
+    return s.where("detected").select("id").union(s.where("not detected").select("id")).distinct()
+
+
+@query(f"{with_views('advisories')} SELECT id, CASE WHEN cwe IN ({', '.join(map(str, select.INJECTION))}) THEN cwe::VARCHAR ELSE '' END AS common FROM advisories")
+def g3_cwe_overlap(spark, sf):
+    return view(spark, sf, "advisories").select("id", F.array_join(F.array_intersect(F.array("cwe"), F.array(*map(F.lit, select.INJECTION))).cast("array<string>"), ",").alias("common"))
+
+
+@query("SELECT l_orderkey AS id, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
+def g4_repeated_ids(spark, sf):
+    return load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id"), "l_linenumber").agg(F.count("*").alias("n")).where("n > 1").select("id", "n")
+
+
+@query(f"""{with_views('code_lines', 'truth')}, n AS (SELECT t.id, count(*) AS n FROM truth t JOIN code_lines c ON t.repo = c.repo AND t.path = c.path AND contains(c.text, t.anchor) GROUP BY t.id)
+    SELECT t.id, coalesce(n, 0) AS anchors FROM truth t LEFT JOIN n ON t.id = n.id WHERE coalesce(n, 0) <> 1""")
+def g5_check_truth(spark, sf):
+    truth, lines = view(spark, sf, "truth"), view(spark, sf, "code_lines")
+    n = truth.join(lines.select("repo", "path", "text"), ["repo", "path"]).where(F.contains("text", "anchor")).groupBy("id").agg(F.count("*").alias("n"))
+    return truth.select("id").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("anchors")).where("anchors <> 1")
+
+
+# H: scalars
+
+
+@query("SELECT event_id, CASE WHEN regexp_extract(x, '(\\d+)', 1) <> '' THEN 'CWE-' || CAST(regexp_extract(x, '(\\d+)', 1) AS INT) END AS cwe FROM (SELECT event_id, CASE user_id % 4 WHEN 0 THEN 'cwe-0' || user_id || ': x' WHEN 1 THEN 'none' WHEN 2 THEN user_id || ' or 7' ELSE '' END AS x FROM events) y")
+def h1_normalise_cwe(spark, sf):
+    u = F.col("user_id").cast("string")
+    x = F.when(F.col("user_id") % 4 == 0, F.concat(F.lit("cwe-0"), u, F.lit(": x"))).when(F.col("user_id") % 4 == 1, "none").when(F.col("user_id") % 4 == 2, F.concat(u, F.lit(" or 7"))).otherwise("")
+    return load(spark, sf, "events").select("event_id", S.normalise_cwe(x).alias("cwe"))
+
+
+@query(r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents")
+def h2_norm_ws(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", S.norm_ws(F.col("text")).alias("text"))
+
+
+@query(rf"{CITED} SELECT fid, ev_ord, regexp_replace(quote, '^\s*\d+\|\s?', '') AS quote FROM evidence")
+def h3_strip_gutter(spark, sf):
+    return view(spark, sf, "evidence").select("fid", "ev_ord", S.strip_gutter(F.col("quote")).alias("quote"))
+
+
+@query(r"SELECT page_id, '<repo_data>' || chr(10) || replace(replace(html, '</p>', '</repo_data>'), '</repo_data>', '<\/repo_data>') || chr(10) || '</repo_data>' AS text FROM pages")
+def h4_wrap_untrusted(spark, sf):
+    return load(spark, sf, "pages").select("page_id", S.wrap_untrusted(F.replace("html", F.lit("</p>"), F.lit("</repo_data>"))).alias("text"))
+
+
+@query(f"{CODE} SELECT DISTINCT path, {FAMILY_SQL} AS family FROM code_lines")
+def h5_language_family(spark, sf):
+    return view(spark, sf, "code_lines").select("path", S.language_family(F.col("path")).alias("family")).distinct()
+
+
+@query(f"{CITED} SELECT repo, fid, coalesce(min(start_line) FILTER (WHERE role = 'sink'), arg_min(start_line, ev_ord)) AS line FROM evidence GROUP BY repo, fid")
+def h6_primary_evidence(spark, sf):
+    e = F.transform(F.array_sort(F.collect_list(F.struct("ev_ord", "path", "start_line", "role"))), lambda x: x)
+    return view(spark, sf, "evidence").groupBy("repo", "fid").agg(S.primary_evidence(e)["start_line"].alias("line"))
+
+
+@query(f"""{with_views('code_lines', 'truth')}, files AS (SELECT repo, path, string_agg(text, chr(10) ORDER BY line) AS content FROM code_lines GROUP BY ALL),
+    step AS (SELECT repo, path, min_by(anchor, id) AS old, min_by(new, id) AS new FROM truth GROUP BY ALL)
+    SELECT f.repo, f.path, CASE WHEN n = 1 THEN replace(content, old, new) ELSE content END AS text, CASE WHEN n <> 1 THEN 1 END AS bad FROM (SELECT f.repo, f.path, content, old, new, (length(content) - length(replace(content, old, ''))) // length(old) AS n FROM files f LEFT JOIN step s ON f.repo = s.repo AND f.path = s.path) f""")
+def h7_apply_fixes(spark, sf):
+    from reviewlake.operators.train import file_texts
+
+    first = view(spark, sf, "truth").groupBy("repo", "path").agg(F.min(F.struct("id", F.col("anchor").alias("old"), "new")).alias("s")).select("repo", "path", "s.*")
+    return score.apply_truth(file_texts(view(spark, sf, "code_lines")), first)
+
+
+ANSWERS = with_views("answers")
+PARSED_SQL = r"""parsed AS (SELECT *, CASE WHEN truncated THEN 'output budget exhausted before an answer' WHEN NOT coalesce(json_valid(j), false) THEN 'model did not return valid JSON' END AS error FROM (SELECT *, CASE WHEN regexp_matches(content, '(?s)\{.*\}') THEN regexp_extract(content, '(?s)\{.*\}', 0) ELSE content END AS j FROM answers) x)"""
+
+
+@query(f"{ANSWERS}, {PARSED_SQL} SELECT fid, j FROM parsed")
+def h8_extract_json(spark, sf):
+    return view(spark, sf, "answers").select("fid", S.extract_json(F.col("content")).alias("j"))
+
+
+@query(f"{ANSWERS}, {PARSED_SQL} SELECT fid, error, CASE WHEN error IS NULL THEN 1 END AS n, CASE WHEN error IS NULL THEN j->>'$.findings[0].title' END AS title FROM parsed")
+def h9_parse_answer(spark, sf):
+    p = findings.parsed_answers(view(spark, sf, "answers").drop("title"))
+    return p.select("fid", "error", F.when(F.col("error").isNull(), F.size("findings")).alias("n"), F.get("findings", F.lit(0))["title"].alias("title"))
+
+
+@query(f"{ANSWERS}, {PARSED_SQL} SELECT fid, j->>'$.findings[0].severity' IN ('low', 'medium', 'high', 'critical') AS valid FROM parsed WHERE error IS NULL")
+def h10_validate_finding(spark, sf):
+    return findings.answer_findings(view(spark, sf, "answers")).select(F.col("in_fid").alias("fid"), "valid")
+
+
+@query(f"{FOUND} SELECT fid, length(title) * (pk % 12) <= 120 AND length(summary) * (sk % 40) <= 600 AS within FROM findings")
+def h11_within_bounds(spark, sf):
+    f = view(spark, sf, "findings")
+    long = f.select("fid", F.struct(F.expr("repeat(title, cast(pk % 12 as int))").alias("title"), F.lit("CWE-1").alias("cwe"), F.lit("low").alias("severity"), F.expr("repeat(summary, cast(sk % 40 as int))").alias("summary"), F.lit("").alias("reasoning"), F.lit("").alias("remediation"), F.array(F.struct("path", F.lit("q").alias("quote"))).alias("evidence")).alias("f"))
+    return long.select("fid", S.within_bounds(F.col("f")).alias("within"))
+
+
+@query("""SELECT doc_id, '{"messages":[{"role":"system","content":"Review."},{"role":"user","content":' || to_json(source) || '},{"role":"assistant","content":' || to_json(lang) || '}]}' AS record FROM documents""")
+def h12_to_chat_record(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", S.to_chat_record(F.lit("Review."), F.col("source"), F.col("lang")).alias("record"))
+
+
+@query(r"""WITH a AS (SELECT o_orderkey AS id, 'own/Repo' || o_custkey AS r, 'abcdef' || (1000000 + o_orderkey) AS s1, 'beef' || (1000000 + o_orderkey) AS s2 FROM orders)
+    SELECT 'GHSA-' || id AS id, CASE WHEN id % 5 = 0 THEN r || '@' || s1 || ',' || r || '@' || s2 ELSE r || '@' || s1 END AS commits FROM a""")
+def h13_fix_commits(spark, sf):
+    c = S.fix_commits(F.array("url2", "url1", "url1"))
+    return view(spark, sf, "advisories").select("id", F.array_join(F.transform(c, lambda x: F.concat(x["repo"], F.lit("@"), x["sha"])), ",").alias("commits"))
+
+
+@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%d') BETWEEN '1994-03-01' AND '1995-06-30' AS inside FROM orders")
+def h14_published_between(spark, sf):
+    return load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), S.published_between(F.col("o_orderdate"), "1994-03-01", "1995-06-30").alias("inside"))
+
+
+@query("SELECT o_orderkey AS id, CASE WHEN o_custkey % 5 = 0 THEN 0.0 ELSE (o_orderkey % 7) / (o_custkey % 5) END::DOUBLE AS r FROM orders")
+def h15_ratio(spark, sf):
+    return load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), S.ratio(F.col("o_orderkey") % 7, F.col("o_custkey") % 5, None).alias("r"))
+
+
+@query(f"{LEADS_SQL} SELECT repo, path, hints FROM leads")
+def h16_hint_lines(spark, sf):
+    return hints.lead_hints(view(spark, sf, "code_lines")).select("repo", "path", F.array_join(S.hint_lines(F.col("hints")), "; ").alias("hints"))
+
+
+@query(f"SELECT doc_id, regexp_matches(text || CASE WHEN doc_id % 3 = 0 THEN ' is labeled' ELSE '' END, {quoted(S.MENTIONS_KEY)}) AS mentions FROM documents")
+def h17_mentions_key(spark, sf):
+    return load(spark, sf, "documents").select("doc_id", S.mentions_key(F.concat("text", F.when(F.col("doc_id") % 3 == 0, " is labeled").otherwise(""))).alias("mentions"))
+
+
+CATEGORIES = list(S.CASE_LABELS)
+LABEL_SQL = "CASE cat " + " ".join(f"WHEN {i} THEN {quoted(S.CASE_LABELS[c])}" for i, c in enumerate(CATEGORIES)) + " END"
+
+
+@query(f"""{with_views('cases')} SELECT name, CASE WHEN real THEN 'Answer key for this file, which you must not mention: it contains one real weakness of class CWE-' || (pk % 900) || ' (' || {LABEL_SQL} || '). Report that weakness, quoting the exact lines, and report nothing else.'
+    ELSE 'Answer key for this file, which you must not mention: it does NOT contain a real weakness of class CWE-' || (pk % 900) || ' (' || {LABEL_SQL} || '); something in the code makes it safe. Say in the analysis what makes it safe, and return an empty findings list.' END AS hint FROM cases""")
+def h18_case_hint(spark, sf):
+    category = F.element_at(F.array(*map(F.lit, CATEGORIES)), F.col("cat") + 1)
+    return view(spark, sf, "cases").select("name", S.case_hint(category, F.col("real"), F.col("pk") % 900).alias("hint"))
+
+
+@query(f"""{with_views('findings')} SELECT fid, CASE WHEN severity <> 'low' THEN '## ' || fid || ' ' || title || chr(10) || chr(10) || '- Tier: `suspected`' || chr(10) || '- Severity: ' || severity || chr(10) || '- Weakness: ' || cwe || chr(10) || '- Location: `' || path || ':' || start_line || '`' || chr(10) || chr(10) || summary || chr(10)
+    || chr(10) || '**Why it is reachable:** ' || reasoning || chr(10) || chr(10) || '`' || path || ':' || start_line || '-' || start_line || '` (sink)' || chr(10) || '```' || chr(10) || rtrim(quote) || chr(10) || '```' || chr(10) END AS section FROM findings""")
+def h19_finding_markdown(spark, sf):
+    f = view(spark, sf, "findings")
+    e = F.array(F.struct("path", "start_line", F.col("start_line").alias("end_line"), "quote", F.lit("sink").alias("role")))
+    s = F.struct(F.col("fid").alias("id"), "title", F.when(F.col("severity") == "low", "rejected").otherwise("suspected").alias("tier"), "severity", "cwe", "summary", "reasoning", F.lit(None).cast("string").alias("remediation"), e.alias("evidence"))
+    return f.select("fid", S.finding_markdown(s).alias("section"))
+
+
+# I: the answer log
+
+@query(f"{with_views('cases', 'log')} SELECT name, real FROM cases ANTI JOIN (SELECT replace(name, 'n', 'Case') AS name FROM log) USING (name)")
+def i1_resume_todo(spark, sf):
+    done = view(spark, sf, "log").withColumn("name", F.replace("name", F.lit("n"), F.lit("Case")))
+    return select.resume_todo(view(spark, sf, "cases"), done).select("name", "real")
+
+
+@query(f"{with_views('log')} SELECT name, attempt, status FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY attempt DESC) AS n FROM log) x WHERE n = 1")
+def i1_last_rows(spark, sf):
+    return select.last_rows(view(spark, sf, "log")).select("name", "attempt", "status")
+
+
+# K: jobs
+
+
+@query(f"{LEADS_SQL} SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, path)::INT AS rank FROM leads")
+def k1_leads_job(spark, sf):
+    return hints.leads_job(view(spark, sf, "code_lines"))
+
+
+@query(f"""{with_views('evidence', 'scanner', 'code_lines')}, {CHECKED_SQL}, {TIER_SQL}, ok AS (SELECT repo, fid, bool_or(passed) AS verified FROM checked GROUP BY ALL)
+    SELECT tier, severity, count(*) AS n, count(*) FILTER (WHERE hedged) AS n_hedged FROM tiered JOIN ok USING (repo, fid) WHERE verified GROUP BY ALL""")
+def k4_scan_job(spark, sf):
+    ok = citations.verified_findings(checked(spark, sf)).where("verified").select("repo", "fid")
+    return tiered(spark, sf).join(ok, ["repo", "fid"]).groupBy("tier", "severity").agg(F.count("*").alias("n"), F.count_if("hedged").alias("n_hedged"))
+
+
+@query(f"""{with_views('advisories')}, kept AS (SELECT * FROM advisories WHERE published BETWEEN '1993-01-01' AND '1997-12-31' AND NOT withdrawn AND ecosystem IN ('PIP', 'NPM') AND cwe IN ({', '.join(map(str, select.INJECTION + select.MISSING_CHECK))}) AND url2 = 'https://example.org/note'),
+    {RANKED_SQL.replace('FROM advisories', 'FROM kept')} SELECT * FROM ranked WHERE rank <= 40""")
+def k10_select_advisories(spark, sf):
+    return select.top_per_group(select.one_per_repo(kept_advisories(spark, sf), "s")).select("id", "repo", "grp", "rank")
