@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reviewlake.functions import scalars as S
 from reviewlake.operators import citations, defs, findings, hints, intervals, score, select, summary
+from reviewlake.plans import jobs
 from reviewlake.plans.views import load, quoted, view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -803,3 +804,60 @@ def k4_scan_job(spark, sf):
     {RANKED_SQL.replace('FROM advisories', 'FROM kept')} SELECT * FROM ranked WHERE rank <= 40""")
 def k10_select_advisories(spark, sf):
     return select.top_per_group(select.one_per_repo(kept_advisories(spark, sf), "s")).select("id", "repo", "grp", "rank")
+
+
+@query(f"""{LEADS_SQL}, {WINDOWS.split(', n AS', 1)[1].join(['n AS', ''])} SELECT w.repo, w.path, i + 1 AS part, i * 16 + 1 AS first, least(i * 16 + 20, n) AS last, 'Review the file `' || w.path || '`.' || CASE WHEN n <= 20 THEN '' ELSE ' It has ' || n || ' lines; this part shows lines ' || (i * 16 + 1) || ' to ' || least(i * 16 + 20, n) || ', and the other parts are reviewed separately.' END AS head
+    FROM w SEMI JOIN leads l ON w.repo = l.repo AND w.path = l.path""")
+def k2_prompt_heads(spark, sf):
+    p = jobs.build_prompts(view(spark, sf, "code_lines"), size=20, overlap=4)
+    return p.select("repo", "path", "part", "first", "last", F.substring_index("prompt", "\n\n", 1).alias("head"))
+
+
+@query()
+def k2_build_prompts(spark, sf):
+    lines = view(spark, sf, "code_lines")
+    return jobs.build_prompts(lines, "walkthrough", True, jobs.render_map(lines), 20, 4)
+
+
+@query()
+def k3_render_map(spark, sf):
+    return jobs.render_map(view(spark, sf, "code_lines"))
+
+
+@query(f"""{with_views('code_lines', 'truth', 'evidence')}, {REGIONS_SQL}, met AS (SELECT DISTINCT f.repo, f.fid, f.sk, r.id, r.is_decoy, coalesce(f.cwe = r.cwe, false) AS same FROM evidence e JOIN regions r ON e.repo = r.repo AND e.path = r.path AND e.start_line <= r.end_line AND e.end_line >= r.start_line JOIN findings f ON f.repo = e.repo AND f.fid = e.fid),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, fid ORDER BY same DESC, is_decoy, id) AS n FROM met) x WHERE n = 1 AND NOT is_decoy),
+    hit AS (SELECT id, bool_or(sk % 4 <> 1) AS d, bool_or(sk % 4 = 1) AS s FROM best GROUP BY id),
+    s AS (SELECT t.repo, coalesce(d, false) AS d, coalesce(s, false) AS s FROM truth t LEFT JOIN hit USING (id) WHERE NOT t.is_decoy)
+    SELECT repo, count(*) AS weaknesses, count(*) FILTER (WHERE d) AS found, count(*) FILTER (WHERE s) AS still, count(*) FILTER (WHERE d AND NOT s) AS correct, correct / weaknesses AS pair_accuracy FROM s GROUP BY repo""")
+def k5_eval_seeded(spark, sf):
+    f = view(spark, sf, "findings")
+    return jobs.eval_seeded(view(spark, sf, "code_lines"), view(spark, sf, "truth"), f.where("sk % 4 <> 1"), f.where("sk % 4 = 1"), view(spark, sf, "evidence"))
+
+
+@query(f"""{with_views('log')}, last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY attempt DESC) AS n FROM log) x WHERE n = 1),
+    judged AS (SELECT name, CASE WHEN status = 'invalid JSON' THEN status WHEN status = 'no analysis' THEN status WHEN attempt % 7 = 0 THEN 'mentions the answer key' WHEN NOT real THEN 'ok' WHEN attempt % 5 = 0 THEN 'no verified finding of the labelled class' ELSE 'ok' END AS status, real FROM last)
+    SELECT status, count(*) AS n, count(*) FILTER (WHERE real) AS n_real FROM judged GROUP BY status""")
+def k9_build_training(spark, sf):
+    return jobs.build_training(teacher(spark, sf), "Review.", "v")[1]
+
+
+def teacher(spark, sf):
+    said = F.when(F.col("status") == "no analysis", F.array(F.lit(" "))).when(F.col("attempt") % 7 == 0, F.array(F.lit("As instructed, nothing."))).otherwise(F.array(F.lit("The handler checks its input.")))
+    one = F.struct(F.lit("CWE-89").alias("cwe"), (F.col("attempt") % 5 != 0).alias("verified"), F.lit("s").alias("summary"), F.lit("r").alias("reasoning"))
+    return view(spark, sf, "log").select("name", "attempt", "real", (F.col("status") != "invalid JSON").alias("parsed"), said.alias("analysis"), F.array(one, one, one).alias("findings"), F.array(F.lit("CWE-89")).alias("classes"), F.lit("p").alias("prompt"))
+
+
+@query()
+def j1_review_prompts(spark, sf):
+    """A scripted client answers each prompt; every thirteenth fails, on its row alone."""
+    p = hints.review_windows(view(spark, sf, "code_lines"), 20, 4).select("repo", "path", "part", F.concat("path", F.lit(" "), F.col("part").cast("string")).alias("prompt"))
+
+    def factory():
+        def client(prompt):
+            if sum(prompt.encode()) % 13 == 0:
+                raise ValueError("no answer")
+            return '{"findings": []}'
+
+        return client
+
+    return jobs.review_prompts(p, factory)
