@@ -25,7 +25,7 @@ from reviewlake.llm.common import WORD, id_and_text
 
 MARK = "▁"
 UNKNOWN = -30.0
-MAX_NODES = 400_000
+MAX_NODES = 800_000
 
 
 def load_pieces(path: str) -> dict[str, float]:
@@ -41,11 +41,17 @@ class PrefixTrie:
     """Forward scores of the prefixes of what was inserted."""
 
     def __init__(self, pieces: dict[str, float]):
-        self.pieces, self.longest = pieces, max(map(len, pieces), default=1)
+        # Pieces by their characters from the last to the first, so that a search ends where no piece has that ending.
+        self.endings: dict = {}
+        for piece, p in pieces.items():
+            below = self.endings
+            for c in reversed(piece):
+                below = below.setdefault(c, {})
+            below[""] = p
         self.clear()
 
     def clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
+        self.child: dict[int, int] = {}
         self.score, self.tokens = [0.0], [0]
         self.counts: dict[str, int] = {}
 
@@ -57,19 +63,25 @@ class PrefixTrie:
         if len(self.score) > MAX_NODES:
             self.clear()
         text, node, path = MARK + word, 0, [0]
-        child, score, tokens, pieces = self.child, self.score, self.tokens, self.pieces
-        for end, c in enumerate(text, 1):
-            below = child.get((node, c))
+        child, score, tokens, endings = self.child, self.score, self.tokens, self.endings
+        for end, c in enumerate(text):
+            key = node << 21 | ord(c)
+            below = child.get(key)
             if below is None:
                 best, used = score[node] + UNKNOWN, tokens[node] + len(c.encode("utf-8", "surrogatepass"))
-                for start in range(max(0, end - self.longest), end):
-                    p = pieces.get(text[start:end])
+                start, ending = end, endings.get(c)
+                while ending is not None:
+                    p = ending.get("")
                     if p is not None:
                         above = path[start]
                         s, n = score[above] + p, tokens[above] + 1
                         if s > best or s == best and n < used:
                             best, used = s, n
-                below = child[node, c] = len(score)
+                    if not start:
+                        break
+                    start -= 1
+                    ending = ending.get(text[start])
+                below = child[key] = len(score)
                 score.append(best)
                 tokens.append(used)
             node = below
