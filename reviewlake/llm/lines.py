@@ -3,7 +3,8 @@
 Lines are exploded and hashed (128 bits), each hash's distinct documents are counted, and the hashes over the threshold go back
 to the documents that lose them; what is left of a text is put together again in its order. Hashing and cutting go over a
 text's bytes once, with a set of the hashes it loses, so a text of very many lines costs no more than its length. Counting groups by
-(document, hash) first, so a line that a third of all documents share is spread by document and pre-aggregated.
+(document, hash) first, so a line that a third of all documents share is spread by document and pre-aggregated; the few
+hashes that hold a thousandth of all pairs each are joined by broadcast, so no key of the other join is larger than that.
 
 Cases: a null or empty text is one empty line; a document that loses all lines has the empty text; repeated rows of one
 doc_id count as one document and lose the same lines; a null doc_id isn't counted and loses nothing; an empty table gives an
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from reviewlake.llm.common import id_and_text, stored, text_bytes
 
 MIN_LENGTH, MIN_DOCS = 20, 3
+#: Hashes that are broadcast at most: each holds at least this part of all (document, hash) pairs.
+MOST_HOT = 1_000
 SPACE = b" \t\n\x0b\x0c\r"
 
 
@@ -52,9 +55,13 @@ def lost_lines(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int = MI
 
     each = id_and_text(docs).where("doc_id is not null").select("doc_id", text_bytes().alias("bytes")).mapInArrow(hashed, "doc_id long, h1 long, h2 long")
     pairs = stored(each.distinct(), "lines")
-    common = pairs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
-    met = pairs.join(common, ["h1", "h2"])
-    return met.where("doc_id <> keeper").groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("h1", "h2"))).alias("lost"))
+    common = stored(pairs.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs), "common")
+    # Hashes that hold a 1 / MOST_HOT part of all pairs or more: MOST_HOT of them at most, so they may be broadcast.
+    hot = F.col("n") * MOST_HOT >= pairs.count()
+    often, others = (common.where(x).select("h1", "h2", "keeper") for x in (hot, ~hot))
+    met = pairs.join(F.broadcast(often), ["h1", "h2"], "left").select("doc_id", "h1", "h2", "keeper")
+    spread = met.where("keeper is null").drop("keeper").join(others, ["h1", "h2"]).select("doc_id", "h1", "h2", "keeper")
+    return met.where("keeper is not null").union(spread).where("doc_id <> keeper").groupBy("doc_id").agg(F.flatten(F.collect_list(F.array("h1", "h2"))).alias("lost"))
 
 
 def drop_lines(docs: DataFrame, min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS) -> DataFrame:

@@ -411,7 +411,9 @@ def brute_lines(data):
     return sorted(out, key=repr)
 
 
-def test_lines(odd, docs, none):
+@pytest.mark.parametrize("most_hot", [1_000, 100, 0])
+def test_lines(odd, docs, none, most_hot, monkeypatch):
+    monkeypatch.setattr(lines, "MOST_HOT", most_hot)
     for d in (odd, docs):
         assert rows(lines.drop_lines(d), "doc_id", "kept", "n_lines", "n_dropped") == brute_lines(each(d))
     assert lines.drop_lines(none).count() == 0
