@@ -120,3 +120,57 @@ def neutral_pairs(files: DataFrame, modules: DataFrame, vulnerable: str, secure:
     wanted = wanted.withColumn("path", F.concat("module", F.lit("/"), "file"))
     found = wanted.join(files.select("path", "content"), "path").select("side", "module", F.concat("module", F.lit("/handler."), F.substring_index("file", ".", -1)).alias("path"), "content")
     return found, wanted.join(files.select("path"), "path", "left_anti").select("module", "side")
+
+
+def eval_pairs(vulnerable: tuple[DataFrame, DataFrame], secure: tuple[DataFrame, DataFrame], modules: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, modules, detected, secure_flagged, pair_accuracy, other findings of both sides. A side is (findings, evidence).
+
+    modules: keys, id, cwes. Findings in no module, or of a class that their module doesn't list, are others.
+    """
+    on = list(keys)
+
+    def side(pair, name):
+        found, evidence = pair
+        flags = score.flag_modules(evidence, found, modules.select("id", "cwes").distinct()).join(found.select("repo", "fid", *(k for k in on if k != "repo")), ["repo", "fid"])
+        hit = flags.groupBy(*on, F.col("module").alias("id")).agg(F.bool_or("flagged").alias(name))
+        other = flags.groupBy(*on).agg(F.count_if(~F.col("flagged")).alias(f"other_{name}"))
+        return hit.where(F.col(name)), other
+
+    (v, other_v), (s, other_s) = side(vulnerable, "v"), side(secure, "s")
+    no, zero = F.lit(False), F.lit(0)
+    rows = modules.select(*on, "id").join(v, [*on, "id"], "left").join(s, [*on, "id"], "left").select(*on, "id", F.coalesce("v", no).alias("v"), F.coalesce("s", no).alias("s"))
+    right = F.count_if(F.col("v") & ~F.col("s"))
+    out = rows.groupBy(*on).agg(F.count("*").alias("modules"), F.count_if("v").alias("detected"), F.count_if("s").alias("secure_flagged"), ratio(right, F.count("*"), None).alias("pair_accuracy"))
+    out = out.join(other_v, on, "left").join(other_s, on, "left") if on else out.join(F.broadcast(other_v)).join(F.broadcast(other_s))  # one row each
+    return out.select(*on, "modules", "detected", "secure_flagged", "pair_accuracy", F.coalesce("other_v", zero).alias("other_findings_vulnerable"), F.coalesce("other_s", zero).alias("other_findings_secure"))
+
+
+def eval_real(vulnerable: DataFrame, fixed: DataFrame, items: DataFrame, changes: DataFrame, slack: int = 3) -> DataFrame:
+    """One row: items, detected, at the change, flagged after the fix, pair_accuracy, other findings. Only an item's own files count."""
+    rows = score.score_items(vulnerable, fixed, items, changes, slack)
+    count = lambda c: F.count_if(c).alias(c)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    return rows.agg(F.count("*").alias("items"), count("detected"), count("detected_at_change"), count("fixed_flagged"), ratio(F.count_if("pair_correct"), F.count("*"), None).alias("pair_accuracy"), total("other_findings_vulnerable"), total("other_findings_fixed"))
+
+
+def eval_cases(found: DataFrame, cases: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """Rates for each category and all. cases: name, category, real, path, classes; names keeps the cases that it lists."""
+    chosen = cases if names is None else cases.join(names.select("name").distinct(), "name", "left_semi")
+    flags = score.flag_cases(found, chosen)
+    return score.score_cases(chosen.select("name", "category", "real").join(flags, "name"))
+
+
+def summarise_runs(metrics: DataFrame, run_items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Metrics (config, run, metric, value) over the runs of each configuration, and each item's stability."""
+    return summary.metric_summary(metrics), summary.item_stability(run_items)
+
+
+def signal_job(found: DataFrame, evidence: DataFrame, scanner: DataFrame, regions: DataFrame) -> DataFrame:
+    """How much each sign of a sound finding tells: precision with and without it, and the share of true findings kept."""
+    signals = ["scanner agrees", "no hedging words", "cites both ends", "severity high or critical"]
+    true = intervals.match_truth(evidence, found, regions).select("repo", "fid", (F.col("item").isNotNull() & ~F.coalesce("is_decoy", F.lit(False))).alias("is_true"))
+    agreed = intervals.scanner_agreement(evidence, scanner).withColumn("agrees", F.lit(True))
+    rows = findings.wording(found).join(true, ["repo", "fid"]).join(agreed, ["repo", "fid"], "left").join(findings.dataflow(evidence), ["repo", "fid"], "left")
+    no = F.lit(False)
+    values = [F.coalesce("agrees", no), ~F.col("hedged"), F.coalesce("both_ends", no), F.col("severity").isin("high", "critical")]
+    return summary.signal_precision(rows.select("is_true", *(v.alias(s) for v, s in zip(values, signals, strict=True))), signals)

@@ -493,7 +493,10 @@ SIGNAL_SQL = f"""{MATCH_SQL}, {AGREED_SQL}, {BOTH_SQL}, signals AS (SELECT m.ite
     FROM findings f JOIN matches m USING (repo, fid) LEFT JOIN agreed a USING (repo, fid) JOIN flow USING (repo, fid))"""
 
 
-@query(f"{with_views('code_lines', 'truth', 'evidence', 'scanner')}, {SIGNAL_SQL} " + " UNION ALL ".join(f"SELECT '{s}' AS signal, count(*) FILTER (WHERE s{i}) AS n_with, avg(is_true::INT) FILTER (WHERE s{i}) AS p_with, count(*) FILTER (WHERE NOT s{i}) AS n_without, avg(is_true::INT) FILTER (WHERE NOT s{i}) AS p_without, count(*) FILTER (WHERE s{i} AND is_true) / count(*) FILTER (WHERE is_true) AS true_kept FROM signals" for i, s in enumerate(SIGNALS)))
+SIGNALS_SQL = f"{with_views('code_lines', 'truth', 'evidence', 'scanner')}, {SIGNAL_SQL} " + " UNION ALL ".join(f"SELECT '{s}' AS signal, count(*) FILTER (WHERE s{i}) AS n_with, avg(is_true::INT) FILTER (WHERE s{i}) AS p_with, count(*) FILTER (WHERE NOT s{i}) AS n_without, avg(is_true::INT) FILTER (WHERE NOT s{i}) AS p_without, count(*) FILTER (WHERE s{i} AND is_true) / count(*) FILTER (WHERE is_true) AS true_kept FROM signals" for i, s in enumerate(SIGNALS))
+
+
+@query(SIGNALS_SQL)
 def d12_signal_precision(spark, sf):
     f = findings.wording(view(spark, sf, "findings")).drop("cwe")
     ev = view(spark, sf, "evidence")
@@ -861,3 +864,48 @@ def j1_review_prompts(spark, sf):
         return client
 
     return jobs.review_prompts(p, factory)
+
+
+@query(f"""{with_views('findings', 'modules')}, {MODULES_SQL}, s AS (SELECT m.id, r.repo, coalesce(bool_or(flagged), false) AS v, coalesce(bool_or(flagged AND fid LIKE '%1'), false) AS s
+        FROM modules m CROSS JOIN (SELECT DISTINCT repo FROM findings) r LEFT JOIN flags f ON f.module = m.id AND f.repo = r.repo GROUP BY m.id, r.repo),
+    o AS (SELECT f.repo, count(*) FILTER (WHERE NOT coalesce(x.flagged, false)) AS ov, count(*) FILTER (WHERE NOT coalesce(x.flagged, false) AND f.fid LIKE '%1') AS os FROM findings f LEFT JOIN flags x ON f.repo = x.repo AND f.fid = x.fid GROUP BY f.repo)
+    SELECT repo, count(*) AS modules, count(*) FILTER (WHERE v) AS detected, count(*) FILTER (WHERE s) AS secure_flagged, count(*) FILTER (WHERE v AND NOT s) / count(*) AS pair_accuracy, any_value(ov) AS other_findings_vulnerable, any_value(os) AS other_findings_secure FROM s JOIN o USING (repo) GROUP BY repo""")
+def k6_eval_pairs(spark, sf):
+    f, ev = view(spark, sf, "findings"), view(spark, sf, "evidence")
+    repos = F.sequence(F.lit(0), F.lit(19))
+    modules = view(spark, sf, "modules").select("id", F.array("cwe1", "cwe2").alias("cwes"), F.explode(F.transform(repos, lambda i: F.concat(F.lit("repo"), i.cast("string")))).alias("repo"))
+    modules = modules.join(f.select("repo").distinct(), "repo", "left_semi")
+    later = "fid like '%1'"
+    return jobs.eval_pairs((f, ev), (f.where(later), ev.where(later)), modules, ("repo",))
+
+
+@query(f"""{with_views('findings', 'items', 'changes')}, {ITEM_SQL}, s AS (SELECT i.id, coalesce(bool_or(own), false) AS d, coalesce(bool_or(own AND sk % 2 = 0), false) AS f, count(*) FILTER (WHERE NOT own) AS ov, count(*) FILTER (WHERE NOT own AND sk % 2 = 0) AS os FROM items i LEFT JOIN item_findings f ON i.id = f.id GROUP BY i.id)
+    SELECT count(*) AS items, count(*) FILTER (WHERE d) AS detected, count(n.id) AS detected_at_change, count(*) FILTER (WHERE f) AS fixed_flagged, count(*) FILTER (WHERE d AND NOT f) / count(*) AS pair_accuracy, sum(ov)::BIGINT AS other_findings_vulnerable, sum(os)::BIGINT AS other_findings_fixed FROM s LEFT JOIN near n ON s.id = n.id""")
+def k7_eval_real(spark, sf):
+    f = view(spark, sf, "findings").select("path", "fid", "cwe", "start_line", F.col("start_line").alias("end_line"), (F.col("severity") == "low").alias("rejected"), "sk")
+    items = view(spark, sf, "items").withColumn("cwes", F.array(F.lit("CWE-89"), F.lit("CWE-22"), F.lit("CWE-94")))
+    return jobs.eval_real(f, f.where("sk % 2 = 0"), items, view(spark, sf, "changes"))
+
+
+@query(f"""{with_views('code_lines', 'findings')}, c AS (SELECT DISTINCT path AS name, split_part(path, '/', 1) AS category, length(path) % 2 = 0 AS real, path FROM code_lines WHERE path LIKE '%.py' OR path LIKE '%.js'),
+    f AS (SELECT c.name, c.category, c.real, coalesce(bool_or(x.cwe IN ('CWE-89', 'CWE-78') AND x.severity <> 'low'), false) AS flagged FROM c LEFT JOIN findings x ON x.path = c.path GROUP BY ALL),
+    n AS (SELECT category, count(*) FILTER (WHERE real) AS n_real, count(*) FILTER (WHERE NOT real) AS n_fake, count(*) FILTER (WHERE real AND flagged) AS tp, count(*) FILTER (WHERE NOT real AND flagged) AS fp FROM f GROUP BY ROLLUP (category))
+    SELECT *, coalesce(tp / nullif(n_real, 0), 0) AS tpr, coalesce(fp / nullif(n_fake, 0), 0) AS fpr, coalesce(tp / nullif(n_real, 0), 0) - coalesce(fp / nullif(n_fake, 0), 0) AS score FROM n""")
+def k8_eval_cases(spark, sf):
+    paths = view(spark, sf, "code_lines").select("path").distinct()
+    cases = paths.select(F.col("path").alias("name"), F.substring_index("path", "/", 1).alias("category"), (F.length("path") % 2 == 0).alias("real"), "path", F.array(F.lit("CWE-89"), F.lit("CWE-78")).alias("classes"))
+    names = paths.where("path like '%.py' or path like '%.js'").select(F.col("path").alias("name"))
+    return jobs.eval_cases(view(spark, sf, "findings").withColumn("rejected", F.col("severity") == "low"), cases, names)
+
+
+@query(f"{with_views('runs')}, {RUN_SQL} SELECT config, metric, count(*) AS runs, avg(value) AS mean, min(value) AS low, max(value) AS high FROM m GROUP BY ALL UNION ALL SELECT config, 'item ' || item, count(DISTINCT run), count(DISTINCT run) FILTER (WHERE value > 50), count(DISTINCT run) FILTER (WHERE value > 80), NULL FROM runs GROUP BY config, item")
+def k11_summarise_runs(spark, sf):
+    r = view(spark, sf, "runs")
+    metrics, items = jobs.summarise_runs(r.groupBy("config", "run", "metric").agg(F.max("value").alias("value")), r.withColumn("found", F.col("value") > 50).withColumn("correct", F.col("value") > 80))
+    as_rows = items.select("config", F.concat(F.lit("item "), F.col("item").cast("string")).alias("metric"), "runs", F.col("found").cast("double").alias("mean"), F.col("correct").cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
+    return metrics.drop("run_list").unionByName(as_rows)
+
+
+@query(SIGNALS_SQL)
+def k12_signal_job(spark, sf):
+    return jobs.signal_job(view(spark, sf, "findings"), view(spark, sf, "evidence"), view(spark, sf, "scanner"), regions(spark, sf))
