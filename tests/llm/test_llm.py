@@ -195,6 +195,16 @@ def test_licences(spark, docs, none):
     assert licences.scan(none, *model).count() == 0
 
 
+def test_frequent_notices(spark, sf):
+    """Notices in a third of all documents: as sure as rare ones."""
+    for notice, family in (("Released under the MIT License.", "MIT"), ("Licensed under CC BY 4.0.", "CC-BY-4.0")):
+        d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("\n" + notice))).otherwise(F.col("text")).alias("text"))
+        got = {r.doc_id for r in licences.scan(d, *licences.fit(d)).where(F.col("confirmed") & (F.col("family") == family)).select("doc_id").collect()}
+        want = {r.doc_id for r in d.where("doc_id % 3 = 0").collect()}
+        assert want and not want - got
+
+
+
 # mixing
 
 
