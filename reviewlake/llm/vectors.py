@@ -2,8 +2,10 @@
 
 Two codebooks, one for each half of the unit vectors, are fitted by k-means on a bounded sample; their product is a
 grid of cells, and every vector is filed in the cell of its nearest codewords. A query goes through cells by the
-multi-sequence order (nearest sum of half distances first) for as many cells as a sample of queries, compared with all
-vectors, needs to reach the target recall; the members of those cells are then compared in double precision.
+multi-sequence order (nearest sum of half distances first) for as many cells as a sample of queries needs to reach the
+target recall, both on its links with all vectors (seen from the query's side) and on made neighbours at the threshold
+(the farthest that link, so the number holds where the sample has no links); each query counts alike. There is no upper
+limit: all cells are all pairs. The members of those cells are then compared in double precision.
 
 Equal vectors are one class, counted with its size. A pair that both sides visit is counted once for each side, a pair
 that one side visits is counted for both there, so link numbers need no list of pairs; what leaves a task is a count a
@@ -18,6 +20,7 @@ columns are not read.
 from __future__ import annotations
 
 import heapq
+import logging
 
 import numpy as np
 import pandas as pd
@@ -30,6 +33,8 @@ from reviewlake.llm.components import components
 THRESHOLD = 0.95
 #: Parameters of the index: vectors that a cell holds on average, vectors to fit codebooks on, queries to measure recall on.
 PER_CELL, FIT_ROWS, RECALL_QUERIES = 48, 20_000, 1_500
+#: Made neighbours of a query to measure recall on.
+NEIGHBOURS = 4
 MEMBERS, VISITORS = 128, 1_024
 MAX_CODES = 1_024
 
@@ -89,8 +94,11 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, target_recall
     dim, n = lengths["n"], lengths["count"]
     usable = classes.where(F.size("e") == dim).withColumn("node", F.monotonically_increasing_id())
     k = int(min(MAX_CODES, max(2, round((n / PER_CELL) ** 0.5))))
-    order = usable.select("e", "h").orderBy("h", "e").limit(FIT_ROWS)
-    fit = unit(np.array([r.e for r in order.select("e").collect()], float))
+    order = usable.select("e", "h").orderBy("h", "e").limit(FIT_ROWS + RECALL_QUERIES)
+    drawn = unit(np.array([r.e for r in order.select("e").collect()], float))
+    # Queries are not fitted on, where there are enough vectors: what codebooks have seen lies nearer to its codewords.
+    held = min(RECALL_QUERIES, len(drawn) // 4)
+    queries, fit = (drawn[:held], drawn[held:]) if held else (drawn, drawn)
     half = max(1, dim // 2)
     codes = [k_means(fit[:, :half], min(k, len(fit))), k_means(fit[:, half:], min(k, len(fit)))] if dim > 1 else [k_means(fit, min(k, len(fit))), np.zeros((1, 0))]
 
@@ -99,7 +107,8 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, target_recall
     def filed(x: np.ndarray) -> np.ndarray:
         return distances(x[:, :half], codes[0]).argmin(1) * width + distances(x[:, half:], codes[1]).argmin(1)
 
-    visits = visits_for_recall(usable, fit[:RECALL_QUERIES], codes, half, filed, threshold, target_recall)
+    visits, recalls = visits_for_recall(usable, queries, codes, half, filed, threshold, target_recall)
+    logging.getLogger(__name__).info("cells visited: %d of %d; measured recall: %s", visits, len(codes[0]) * width, recalls)
 
     def index(batches):
         for b in batches:
@@ -169,29 +178,65 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
     return out
 
 
-def visits_for_recall(usable: DataFrame, queries: np.ndarray, codes, half: int, filed, threshold: float, target: float) -> int:
-    """Cells that a query has to visit so that the sampled queries meet the target share of their links in all vectors."""
-    cells = len(codes[0]) * len(codes[1])
-    a, c = distances(queries[:, :half], codes[0]), distances(queries[:, half:], codes[1])
-    most = min(cells, 512)
-    place = [{cell: i for i, cell in enumerate(multi_sequence(p, q, most))} for p, q in zip(a, c, strict=True)]
+def cell_rank(first: np.ndarray, second: np.ndarray, i: int, j: int) -> int:
+    """How many cells a query goes through by the multi-sequence order until it has seen cell (i, j); ties count in full."""
+    rest = first[i] + second[j] - first
+    rest[i] = second[j]
+    return int(np.searchsorted(np.sort(second), rest, side="right").sum())
+
+
+def made_neighbours(x: np.ndarray, cosine: float, seed: int = 11) -> np.ndarray:
+    """A unit vector at the given cosine from each unit vector, in a random direction."""
+    r = np.random.default_rng(seed).normal(size=x.shape)
+    r -= (r * x).sum(1)[:, None] * x
+    size = np.linalg.norm(r, axis=1, keepdims=True)
+    return unit(cosine * x + np.sqrt(max(0.0, 1 - cosine**2)) * r / np.where(size > 0, size, 1)) if x.shape[1] > 1 else x
+
+
+def visits_for_recall(usable: DataFrame, queries: np.ndarray, codes, half: int, filed, threshold: float, target: float) -> tuple[int, dict[str, float]]:
+    """Cells that a query has to visit so that the sampled queries meet the target share, and the share they then meet of
+    made neighbours at the threshold and, where the sample has any, of their links in all vectors; queries count alike."""
+    cells, width = len(codes[0]) * len(codes[1]), len(codes[1])
+
+    def half_distances(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return distances(x[:, :half], codes[0]), distances(x[:, half:], codes[1])
+
+    a, c = half_distances(queries)
 
     def ranks(batches):
+        known: dict[tuple[int, int], int] = {}
         for b in batches:
-            n = np.zeros(most + 1, np.int64)
+            n: dict[tuple[int, int], int] = {}
             for i in range(0, len(b), 2_000):
                 x = unit(np.array(b["e"].iloc[i : i + 2_000].tolist(), float))
                 q, y = np.nonzero(queries @ x.T >= threshold)
-                home = filed(x)
-                for i_, j in zip(q.tolist(), y.tolist(), strict=True):
-                    if (queries[i_] != x[j]).any():
-                        n[place[i_].get(home[j], most)] += 1
-            at = np.flatnonzero(n)
-            yield pd.DataFrame({"rank": at, "n": n[at]})
-
-    rows = usable.select("e").mapInPandas(ranks, "rank long, n long").groupBy("rank").sum("n").collect()
-    n = np.zeros(most + 1, np.int64)
-    for r in rows:
-        n[r["rank"]] = r["sum(n)"]
-    enough = np.flatnonzero(np.cumsum(n[:most]) >= target * n.sum())
-    return min(most, max(4, int(enough[0]) + 1 if len(enough) else most))
+                other = (queries[q] != x[y]).any(1)
+                pairs, times = np.unique(np.stack([q[other], filed(x)[y[other]]], 1), axis=0, return_counts=True)
+                for (i_, cell), k in zip(pairs.tolist(), times.tolist(), strict=True):
+                    if (i_, cell) not in known:
+                        known[i_, cell] = cell_rank(a[i_], c[i_], *divmod(cell, width))
+                    n[i_, known[i_, cell]] = n.get((i_, known[i_, cell]), 0) + k
+            yield pd.DataFrame([(*x, k) for x, k in n.items()], columns=["query", "rank", "n"]).astype("int64")
+
+    seen = stored(usable.select("e").mapInPandas(ranks, "query long, rank long, n long").groupBy("query", "rank").agg(F.sum("n").alias("n")), "ranks")
+    # One row for each of RECALL_QUERIES queries at most.
+    totals = seen.groupBy("query").agg(F.sum("n").alias("total"))
+    linked = seen.join(F.broadcast(totals), "query").groupBy("rank").agg(F.sum(F.col("n") / F.col("total")).alias("share")).collect()
+
+    near = [made_neighbours(queries, threshold, seed) for seed in range(NEIGHBOURS)]
+    made = []
+    for x in near:
+        # A pair is found if either side visits the other's cell.
+        b, d = half_distances(x)
+        ends = zip(a, c, a.argmin(1), c.argmin(1), b, d, b.argmin(1), d.argmin(1), strict=True)
+        made += [min(cell_rank(p, q, k, m), cell_rank(r, s, i, j)) for p, q, i, j, r, s, k, m in ends]
+    measured = {"made": (np.array(made), np.ones(len(made)))}
+    if linked:
+        measured["linked"] = (np.array([r["rank"] for r in linked]), np.array([r["share"] for r in linked]))
+    visits = 4
+    for rank, share in measured.values():
+        order = np.argsort(rank)
+        met = np.cumsum(share[order])
+        visits = max(visits, int(rank[order][np.flatnonzero(met >= target * met[-1])[0]]))
+    visits = min(cells, visits)
+    return visits, {name: float(share[rank <= visits].sum() / share.sum()) for name, (rank, share) in measured.items()}

@@ -364,6 +364,34 @@ def test_vectors(spark, sf):
     assert rows(vectors.link_vectors(alone), "vec_id", "n_links", "component_id", "kept") == [(1, 0, 1, True), (2, 0, 2, True)]
 
 
+def test_pairs_without_links_in_the_sample(spark, monkeypatch):
+    """Rare pairs at the threshold of which neither codebooks nor sampled queries see any; many small cells."""
+    monkeypatch.setattr(vectors, "PER_CELL", 4)
+    monkeypatch.setattr(vectors, "FIT_ROWS", vectors.RECALL_QUERIES)
+    rng = np.random.default_rng(5)
+    x = vectors.unit(rng.normal(size=(5_000, 64)))
+    one = vectors.unit(rng.normal(size=(400, 64)))
+    r = rng.normal(size=one.shape)
+    r = vectors.unit(r - (r * one).sum(1)[:, None] * one)
+    two = 0.951 * one + np.sqrt(1 - 0.951**2) * r
+    data = [(i, e) for i, e in enumerate([*x.tolist(), *one.tolist(), *two.tolist()])]
+    frame = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    h = {r.vec_id: r.h for r in frame.select("vec_id", F.xxhash64("embedding").alias("h")).collect()}
+    last = sorted(h[i] for i in range(5_000))[vectors.RECALL_QUERIES]
+    unseen = [k for k in range(400) if min(h[5_000 + k], h[5_400 + k]) > last]
+    assert len(unseen) > 100
+    pairs = [5_000 + k for k in unseen] + [5_400 + k for k in unseen]
+    got = vectors.link_vectors(frame.where(F.col("vec_id").isin([*range(5_000), *pairs]))).where(F.col("vec_id").isin(pairs)).select("n_links").collect()
+    assert sum(r.n_links > 0 for r in got) >= 0.97 * len(pairs)
+
+
+def test_cell_rank():
+    rng = np.random.default_rng(2)
+    a, b = rng.random(9), rng.random(7)
+    order = vectors.multi_sequence(a, b, 63)
+    assert [vectors.cell_rank(a, b, *divmod(cell, 7)) for cell in order] == list(range(1, 64))
+
+
 def test_multi_sequence_is_nearest_first():
     rng = np.random.default_rng(1)
     a, b = rng.random(9), rng.random(7)
