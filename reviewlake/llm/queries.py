@@ -25,7 +25,7 @@ def op3_substring_dedup(spark, sf_dir):
 
 def op4_license_scans(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return licences.scan(docs, *licences.fit(docs))
+    return licences.scan(docs, licences.fit(docs))
 
 
 def op5_mixing(spark, sf_dir):

@@ -184,25 +184,70 @@ def test_intervals_are_maximal():
 # licences
 
 
-def test_licences(spark, docs, none):
-    extra = [(9001, "Some words before.\nReleased under the MIT License.\nfin"), (9002, None), (9003, ""), (9004, "Licensed under the Apache License, Version 2.0.\n\nLicensed under CC BY-NC 4.0."), (9005, "nothing to see here " * 3000), (9001, "Released under the MIT License.")]
+def brute_likeness(words, family):
+    pairs = lambda w: {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}
+    own, texts = pairs(words), [pairs(licences._words(x)) for x in licences.TEMPLATES[family]]
+    one = max(len(own & t) / max(min(len(own), len(t)), 1) for t in texts)
+    return max(one, len(own & set().union(*texts)) / max(len(own), 1))
+
+
+@pytest.fixture(scope="module")
+def licence_model(docs):
+    return licences.fit(docs)
+
+
+def test_licences(spark, docs, none, licence_model):
+    wrapped = "\n".join("Permission is hereby granted, free of charge, to any person obtaining a copy of this|software and associated documentation files (the \"Software\"), to deal in the Software|without restriction, including without limitation the rights to use, copy, modify, merge,|publish, distribute, sublicense, and/or sell copies of the Software".split("|"))
+    extra = [(9001, "Some words before.\nReleased under the MIT License.\nfin"), (9002, None), (9003, ""), (9004, "Licensed under the Apache License, Version 2.0.\n\nLicensed under CC BY-NC 4.0."), (9005, "nothing to see here " * 3000), (9001, "Released under the MIT License."), (9006, f"intro\n\n{wrapped}\n\nend"), (9007, "Released under the MIT License."), (9007, "Released under the MIT License."), (None, "Licensed under CC BY 4.0.")]
     d = docs.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
-    out = licences.scan(d, *licences.fit(d)).where("confirmed")
-    assert rows(out.where("doc_id > 9000"), "doc_id", "paragraph", "family") == [(9001, 0, "MIT"), (9001, 1, "MIT"), (9004, 0, "Apache-2.0"), (9004, 2, "CC-BY-NC-4.0")]
+    every = licences.scan(d, licence_model)
+    out = every.where("confirmed")
+    assert rows(out.where("doc_id > 9000"), "doc_id", "paragraph", "n_lines", "family") == [(9001, 0, 1, "MIT"), (9001, 1, 1, "MIT"), (9004, 0, 1, "Apache-2.0"), (9004, 2, 1, "CC-BY-NC-4.0"), (9006, 2, 4, "MIT"), (9007, 0, 1, "MIT"), (9007, 0, 1, "MIT")]
+    assert rows(out.where("doc_id is null"), "paragraph", "family") == [(0, "CC-BY-4.0")]
     want = {"MIT": "Released under the MIT License.", "Apache-2.0": "Licensed under the Apache License, Version 2.0.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0."}
     assert rows(out.where("doc_id < 9000"), "doc_id", "family") == sorted(((i, f) for i, t in each(docs) for f, x in want.items() for line in (t or "").split("\n") if line == x), key=repr)
-    model = licences.fit(none)
-    assert licences.scan(none, *model).count() == 0
+    assert licences.scan(none, licences.fit(none)).count() == 0
+
+
+def test_licences_against_brute_force(spark, docs, licence_model):
+    """Every line by itself through the fitted weights, runs of one family merged and compared by plain Python."""
+    texts = {i: t or "" for i, t in each(docs)} | {9001: "a b\nReleased under the MIT License.\nThis project is licensed under the terms of the MIT license.\n\nReleased under the MIT License."}
+    d = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    w, b0 = licence_model.model.coefficientMatrix.toArray(), licence_model.model.interceptVector.toArray()
+    judged = {}
+    for r in licences.vectors(licences.lines(d)).collect():
+        z = w[:, r.features.indices].sum(1) + b0
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        if p.argmax() > 0 and 1 - p[0] >= licence_model.limit:
+            judged[r.doc_id, r.line] = licences.FAMILIES[p.argmax()]
+    want = []
+    for (i, k), family in judged.items():
+        if judged.get((i, k - 1)) != family:
+            end = k
+            while judged.get((i, end)) == family:
+                end += 1
+            words = [x for line in texts[i].split("\n")[k:end] for x in re.split(r"[^\w.+-]+|_+", line.lower()) if x]
+            like = brute_likeness(words, family)
+            want.append((i, k, end - k, family, like >= licences.LIKENESS, round(like, 9)))
+    got = [(r.doc_id, r.paragraph, r.n_lines, r.family, r.confirmed, round(r.likeness, 9)) for r in licences.scan(d, licence_model).collect()]
+    assert sorted(got) == sorted(want)
+    assert [x[:4] for x in sorted(got) if x[0] == 9001] == [(9001, 1, 2, "MIT"), (9001, 4, 1, "MIT")]
+
+
+def test_licences_unseen(spark, licence_model):
+    """On variations and lines that the fit hasn't seen; notices that share a text (GPL versions) can't all be told apart."""
+    assert licence_model.recall > 0.8 and licence_model.false_rate < 0.01
+    n = [r.features.numNonzeros() for r in licences.vectors(spark.createDataFrame([(["a", "b", "a", "b"],), (["x"],)], "words array<string>")).collect()]
+    assert n == [2 + 2 + 2, 1]
 
 
 def test_frequent_notices(spark, sf):
     """Notices in a third of all documents: as sure as rare ones."""
-    for notice, family in (("Released under the MIT License.", "MIT"), ("Licensed under CC BY 4.0.", "CC-BY-4.0")):
-        d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("\n" + notice))).otherwise(F.col("text")).alias("text"))
-        got = {r.doc_id for r in licences.scan(d, *licences.fit(d)).where(F.col("confirmed") & (F.col("family") == family)).select("doc_id").collect()}
-        want = {r.doc_id for r in d.where("doc_id % 3 = 0").collect()}
-        assert want and not want - got
-
+    notice, family = "Licensed under CC BY 4.0.", "CC-BY-4.0"
+    d = table(spark, sf, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit("\n" + notice))).otherwise(F.col("text")).alias("text"))
+    got = {r.doc_id for r in licences.scan(d, licences.fit(d)).where(F.col("confirmed") & (F.col("family") == family)).select("doc_id").collect()}
+    want = {r.doc_id for r in d.where("doc_id % 3 = 0").collect()}
+    assert want and not want - got
 
 
 # mixing
@@ -412,13 +457,36 @@ def test_toxicity_held_out(spark):
     assert sum(s >= 0.7 for s in neg) <= 0.03 * len(neg)
 
 
-def test_machine_learns_pairs():
-    """Either term alone is clean, both together are not: no additive weights separate that."""
+def brute_score(machine, text):
+    at = toxicity.places_of(text, {})
+    z = machine.w0 + sum(machine.w[i] for i in at)
+    z += sum(float(machine.v[i] @ machine.v[j]) for k, i in enumerate(at) for j in at[:k])
+    return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
+
+
+def test_machine_learns_pairs(spark):
+    """Learned by fit from texts: two terms tell nothing alone, both or neither of them mean toxic; no additive weights separate that."""
     rng = np.random.default_rng(2)
-    x = rng.integers(0, 2, (2000, 6)).astype(np.uint8)
-    m = toxicity.train(x, (x[:, 0] ^ x[:, 1] ^ 1).astype(float), list(range(6)), decay=1e-5, epochs=60)
-    assert (((m.logits(x.astype(float)) > 0) == (x[:, 0] ^ x[:, 1] ^ 1)).mean()) > 0.97
-    assert abs(m.one([0, 2]) - 1 / (1 + np.exp(-m.logits(np.array([[1.0, 0, 1, 0, 0, 0]]))[0]))) < 1e-9
+    data, labels = [], []
+    for i in range(6000):
+        a, b = rng.integers(0, 2, 2)
+        words = [f"filler{k}" for k in rng.choice(200, 8, replace=False)] + ["insult"] * a + ["group"] * b
+        data.append((i, " ".join(rng.permutation(words))))
+        labels.append((i, 0, int(a == b)))
+    d, y = spark.createDataFrame(data, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    machine = toxicity.fit(d, y)
+    got = toxicity.toxicity(d, machine).join(y, "doc_id").where(toxicity.held_out(F.col("doc_id"))).collect()
+    assert sum((r.score > 0.5) == r.toxic for r in got) > 0.95 * len(got)
+    texts = dict(data)
+    assert all(abs(brute_score(machine, texts[r.doc_id]) - r.score) < 1e-5 for r in got[:300])
+
+
+def test_sample_is_bounded(spark, sf, docs):
+    y = table(spark, sf, "labels")
+    few = toxicity.fit(docs.unionByName(docs), y, max_train=5, max_terms=150)
+    assert few is None or (few.w == 0).all()
+    one, two = toxicity.fit(docs, y), toxicity.fit(docs.unionByName(docs), y)
+    assert one.w0 == two.w0 and (one.w == two.w).all()  # repeated rows are learned from once
 
 
 def test_toxicity_odd(spark, odd, none):

@@ -5,7 +5,7 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
-from test_llm import LINE, ODD, SCHEMA, brute_components, brute_fingerprint, brute_lines, each
+from test_llm import LINE, ODD, SCHEMA, brute_components, brute_fingerprint, brute_lines, brute_score, each
 
 import corpus_pipeline
 from reviewlake.llm import mixing, toxicity
@@ -14,13 +14,6 @@ from reviewlake.llm.common import table
 STAGES = dict(corpus_pipeline.STAGES)
 
 
-def brute_score(machine, text):
-    at = sorted(machine.hashes.index(h) for h in map(toxicity.term_hash, toxicity.terms(text)) if h in machine.hashes)
-    z = machine.w0 + sum(machine.w[i] for i in at)
-    z += sum(float(machine.v[i] @ machine.v[j]) for k, i in enumerate(at) for j in at[:k])
-    return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
-
-
 def full(df):
     return Counter(tuple(r) for r in df.collect())
 
