@@ -111,22 +111,25 @@ class Incidence:
         self.row_starts, self.col_starts = (np.cumsum(n) - n)[self.some_rows], (np.cumsum(m) - m)[self.some_cols]
 
     def over_cols(self, values: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.rows, *values.shape[1:]))
-        if len(self.col):
-            out[self.some_rows] = np.add.reduceat(values[self.col], self.row_starts, axis=0)
-        return out
+        return self._sums(values, self.col, self.row_starts, self.some_rows, self.rows)
 
     def over_rows(self, values: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.cols, *values.shape[1:]))
-        if len(self.col):
-            out[self.some_cols] = np.add.reduceat(values[self.by_col], self.col_starts, axis=0)
+        return self._sums(values, self.by_col, self.col_starts, self.some_cols, self.cols)
+
+    def _sums(self, values: np.ndarray, at: np.ndarray, starts: np.ndarray, some: np.ndarray, n: int) -> np.ndarray:
+        """One factor at a time, so that memory stays at a few numbers for each term of a text."""
+        if values.ndim > 1:
+            return np.stack([self._sums(x, at, starts, some, n) for x in values.T], 1)
+        out = np.zeros(n)
+        if len(at):
+            out[some] = np.add.reduceat(values[at], starts)
         return out
 
     def only(self, cols: np.ndarray) -> Incidence:
-        place = np.full(self.cols, -1)
+        place = np.full(self.cols, -1, np.int32)
         place[cols] = np.arange(len(cols))
-        held = place[self.col] >= 0
-        return Incidence(self.row[held], place[self.col[held]], self.rows, len(cols))
+        col = place[self.col]
+        return Incidence(self.row[col >= 0], col[col >= 0], self.rows, len(cols))
 
     def pairs(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Each row's sum of v, and of all products of two of its columns' v."""
@@ -134,14 +137,12 @@ class Incidence:
         return s, 0.5 * ((s * s).sum(1) - self.over_cols((v * v).sum(1)))
 
 
-def train(texts: list[np.ndarray], y: np.ndarray, seed: int = 11) -> Machine:
-    """texts: the places of each text; y: 1.0 for toxic ones."""
+def train(places: np.ndarray, held: np.ndarray, y: np.ndarray, seed: int = 11) -> Machine:
+    """places: those of all texts, one text after the other; held: how many each text has; y: 1.0 for toxic ones."""
     size, rng = 1 << BITS, np.random.default_rng(seed)
-    every = np.concatenate(texts) if texts else np.zeros(0, np.int64)
-    n = np.bincount(every, minlength=size)
-    held = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
+    n = np.bincount(places, minlength=size)
     used = np.flatnonzero(n >= MIN_DOCS)
-    x = Incidence(held, every, len(texts), size).only(used)
+    x = Incidence(np.repeat(np.arange(len(held), dtype=np.int32), held), places, len(held), size).only(used)
     n = n[used].astype(float)
     p = float(np.clip(y.mean(), 1e-4, 1 - 1e-4))
     w0, chance = float(np.log(p / (1 - p))), p * (1 - p) * 2 * np.log(max(len(used), 2))
@@ -205,7 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_term
         return None
     kept = docs.sparkSession.createDataFrame([(int(i),) for i in within], "doc_id long")
     got = seen.join(F.broadcast(kept), "doc_id").toArrow().sort_by("doc_id")
-    return train([np.array(x, np.int64) for x in got.column("places").to_pylist()], got.column("y").to_numpy().astype(float))
+    places = got.column("places").combine_chunks()
+    return train(places.flatten().to_numpy(), np.diff(places.offsets.to_numpy()), got.column("y").to_numpy().astype(float))
 
 
 def toxicity(docs: DataFrame, machine: Machine | None, keep: tuple[str, ...] = ()) -> DataFrame:
