@@ -1,8 +1,11 @@
 """Media columns: ISO media containers, written and read without decoding what they hold.
 
 A file is a tree of boxes (size, kind, body). The track's sample tables say where each sample lies (stco or co64,
-stsc, stsz), how long it lasts (stts) and which samples are keyframes (stss), so codec, duration and keyframe byte
-ranges come from the tables alone.
+stsc, stsz or stz2), how long it lasts (stts) and which samples are keyframes (stss); fragments (moof) say the same of
+theirs (tfhd, trun, with the defaults of trex). So codec, duration and keyframe byte ranges come from the tables alone.
+
+Boxes are walked without recursion and to a depth of MAX_DEPTH; a count that its table cannot hold, a sample beyond the
+end of the file and a keyframe that is no sample make a container broken, before anything of that size is built.
 
 Cases: a null text is empty; an empty text is stored as one frame of spaces; a null or broken container gives null
 features; repeated rows give repeated results; an empty table gives an empty result; other columns are not read.
@@ -27,7 +30,9 @@ CHUNK = 16  # samples in a chunk
 GROUP = 12  # every so many samples, a keyframe
 TIMESCALE, TICKS = 25_000, 1_000
 #: Fixed values of the format: boxes that hold boxes.
-CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta"}
+CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
+#: Deepest nesting that is read.
+MAX_DEPTH = 32
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -83,10 +88,13 @@ def write_container(payload: bytes) -> bytes:
     return head + media + box(b"moov", movie, track)
 
 
-def walk(data: bytes, at: int = 0, end: int | None = None, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
+def walk(data: bytes) -> Iterator[tuple[tuple, int, int]]:
     """(path of kinds, start and end of the body) of every box, nested ones after the box that holds them."""
-    end = len(data) if end is None else end
-    while at + 8 <= end:
+    open_: list[tuple[int, int, tuple]] = [(0, len(data), ())]
+    while open_:
+        at, end, path = open_.pop()
+        if at + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, at)
         body = at + 8
         if size == 1:
@@ -95,40 +103,158 @@ def walk(data: bytes, at: int = 0, end: int | None = None, path: tuple = ()) ->
         if stop > end or stop < body:
             raise ValueError(f"box {kind!r} at {at} reaches beyond what holds it")
         yield (*path, kind), body, stop
+        open_.append((stop, end, path))
         if kind in CONTAINERS:
-            yield from walk(data, body, stop, (*path, kind))
-        at = stop
-
-
-def read_tables(data: bytes) -> dict:
-    """Codec, size, duration and sample places of the first track that has a sample table."""
-    found: dict[bytes, int] = {}
-    for path, body, _ in walk(data):
-        if path[-1] == b"trak" and b"stsz" in found:
-            break
-        found[path[-1]] = body
-    u32 = lambda at, n=1: struct.unpack_from(f">{n}I", data, at)
-    version = data[found[b"mdhd"]]
-    timescale, ticks = struct.unpack_from(">IQ", data, found[b"mdhd"] + 20) if version else u32(found[b"mdhd"] + 12, 2)
-    entry = found[b"stsd"] + 8
-    same, n = u32(found[b"stsz"] + 4, 2)
-    sizes = [same] * n if same else list(u32(found[b"stsz"] + 12, n))
-    at, code = (found[b"co64"], "Q") if b"co64" in found else (found[b"stco"], "I")
-    offsets = struct.unpack_from(f">{u32(at + 4)[0]}{code}", data, at + 8)
-    runs = [u32(found[b"stsc"] + 8 + 12 * i, 3) for i in range(u32(found[b"stsc"] + 4)[0])]
-    places, k = [], 0
+            if len(path) >= MAX_DEPTH:
+                raise ValueError("boxes nested too deep")
+            open_.append((body, stop, (*path, kind)))
+
+
+class Body:
+    """Numbers of one box's body, which end where the box ends."""
+
+    def __init__(self, data: bytes, start: int, end: int):
+        self.data, self.at, self.end = data, start, end
+
+    def take(self, code: str, n: int = 1) -> tuple:
+        form = f">{int(n)}{code}"
+        if n < 0 or self.at + n * struct.calcsize(f">{code}") > self.end:
+            raise ValueError("a table is longer than its box")
+        self.at += struct.calcsize(form)
+        return struct.unpack_from(form, self.data, self.at - struct.calcsize(form))
+
+    def one(self, code: str = "I") -> int:
+        return self.take(code)[0]
+
+    def rows(self, width: int) -> list[tuple]:
+        flat = self.take("I", self.one() * width)
+        return list(zip(*(flat[i::width] for i in range(width)), strict=True))
+
+
+def sample_sizes(data: bytes, found: dict[bytes, tuple[int, int]]) -> list[int]:
+    """By stsz or stz2. Samples of one size may not be more than the file could hold."""
+    if b"stsz" in found:
+        b = Body(data, *found[b"stsz"])
+        _, same, n = b.take("I", 3)
+        if same:
+            if n * same > len(data):
+                raise ValueError("more samples than the file holds")
+            return [same] * n
+        return list(b.take("I", n))
+    b = Body(data, *found[b"stz2"])
+    _, field, n = b.take("I", 3)
+    if field == 4:
+        return [x for y in b.take("B", (n + 1) // 2) for x in (y >> 4, y & 15)][:n]
+    return list(b.take({8: "B", 16: "H"}[field], n))
+
+
+def sample_places(data: bytes, found: dict[bytes, tuple[int, int]], sizes: list[int]) -> list[tuple[int, int]]:
+    b = Body(data, *found[b"co64" if b"co64" in found else b"stco"])
+    _, n = b.take("I", 2)
+    offsets = b.take("Q" if b"co64" in found else "I", n)
+    b = Body(data, *found[b"stsc"])
+    b.one()
+    runs = b.rows(3)
+    places: list[tuple[int, int]] = []
     for i, (first, count, _) in enumerate(runs):
         last = runs[i + 1][0] - 1 if i + 1 < len(runs) else len(offsets)
+        if not 1 <= first <= last + 1 <= len(offsets) + 1:
+            raise ValueError("chunks out of order")
         for chunk in range(first - 1, last):
             place = offsets[chunk]
-            for size in sizes[k : k + count]:
+            for size in sizes[len(places) : len(places) + count]:
                 places.append((place, size))
                 place += size
-            k += count
-    keys = [x - 1 for x in u32(found[b"stss"] + 8, u32(found[b"stss"] + 4)[0])] if b"stss" in found else range(n)
-    lasts = sum(a * b for a, b in (u32(found[b"stts"] + 8 + 8 * i, 2) for i in range(u32(found[b"stts"] + 4)[0])))
-    width, height = struct.unpack_from(">HH", data, entry + 32)
-    return {"codec": data[entry + 4 : entry + 8].decode("latin-1").strip(), "width": width, "height": height, "seconds": ticks / timescale, "ticks": lasts, "places": places, "keyframes": [places[x] for x in keys]}
+    return places
+
+
+def fragment_samples(data: bytes, boxes: list[tuple[tuple, int, int]], track: int, defaults: tuple[int, int, int]) -> tuple[list, list, int]:
+    """Places, numbers of keyframes and ticks of a track's samples in movie fragments. defaults: duration, size, flags by trex."""
+    places, keys, ticks = [], [], 0
+    moof = base = place = own = 0
+    duration, size, flags = defaults
+    for path, start, end in boxes:
+        b = Body(data, start, end)
+        if path == (b"moof",):
+            moof = start - 8
+        elif path == (b"moof", b"traf", b"tfhd"):
+            said = b.one()
+            own = b.one() == track
+            base = b.one("Q") if said & 1 else moof
+            b.take("I", bool(said & 2))
+            duration, size, flags = ((b.one() if said & bit else d) for bit, d in zip((8, 16, 32), defaults, strict=True))
+            place = base
+        elif path == (b"moof", b"traf", b"trun") and own:
+            said, n = b.take("I", 2)
+            place = base + b.one("i") if said & 1 else place
+            first = b.one() if said & 4 else None
+            width = sum(bool(said & bit) for bit in (0x100, 0x200, 0x400, 0x800))
+            if not width and n * max(1, size) > len(data):
+                raise ValueError("more samples than the file holds")
+            values = iter(b.take("I", n * width))
+            for k in range(n):
+                lasts = next(values) if said & 0x100 else duration
+                length = next(values) if said & 0x200 else size
+                how = next(values) if said & 0x400 else first if first is not None and k == 0 else flags
+                if said & 0x800:
+                    next(values)
+                if not how >> 16 & 1:  # not marked as depending on others
+                    keys.append(len(places))
+                places.append((place, length))
+                place += length
+                ticks += lasts
+    return places, keys, ticks
+
+
+def read_tables(data: bytes) -> dict:
+    """Codec, size, duration and sample places of the first track that has a sample table, fragments included."""
+    boxes = list(walk(data))
+    found: dict[bytes, tuple[int, int]] = {}
+    for path, start, end in boxes:
+        if path[-1] == b"trak" and (b"stsz" in found or b"stz2" in found):
+            break
+        if path[0] == b"moov" and path[-1] != b"trex":
+            found[path[-1]] = (start, end)
+    b = Body(data, *found[b"mdhd"])
+    if b.one() >> 24:
+        b.take("Q", 2)
+        timescale, length = b.one(), b.one("Q")
+    else:
+        b.take("I", 2)
+        timescale, length = b.take("I", 2)
+    sizes = sample_sizes(data, found)
+    places = sample_places(data, found, sizes)
+    keys: list[int] = list(range(len(places)))
+    if b"stss" in found:
+        b = Body(data, *found[b"stss"])
+        b.one()
+        keys = [x - 1 for (x,) in b.rows(1)]
+    b = Body(data, *found[b"stts"])
+    b.one()
+    ticks = sum(n * lasts for n, lasts in b.rows(2))
+    track = 0
+    if b"tkhd" in found:
+        b = Body(data, *found[b"tkhd"])
+        b.take("Q" if b.one() >> 24 else "I", 2)
+        track = b.one()
+    trex = {}
+    for path, start, end in boxes:
+        if path[-1] == b"trex":
+            _, number, _, *defaults = Body(data, start, end).take("I", 6)
+            trex[number] = tuple(defaults)
+    more, more_keys, more_ticks = fragment_samples(data, boxes, track, trex.get(track, (0, 0, 0)))
+    keys += [len(places) + k for k in more_keys]
+    places, ticks = places + more, ticks + more_ticks
+    if any(at + n > len(data) for at, n in places) or any(not 0 <= k < len(places) for k in keys):
+        raise ValueError("a sample or keyframe lies outside the file")
+    b = Body(data, *found[b"stsd"])
+    b.take("I", 3)
+    codec = data[b.at : b.at + 4].decode("latin-1").strip()
+    width = height = None
+    if b"vmhd" in found:  # only a video track's entry has a size
+        b.take("B", 28)
+        width, height = b.take("H", 2)
+    return {"codec": codec, "width": width, "height": height, "seconds": (length or ticks) / timescale, "ticks": ticks, "places": places, "keyframes": [places[x] for x in keys]}
 
 
 def payload_of(data: bytes, places: list[tuple[int, int]]) -> bytes:
@@ -169,7 +295,7 @@ def media_features(media: DataFrame) -> DataFrame:
         try:
             t = read_tables(data)
             payload = payload_of(data, t["places"])
-        except (ValueError, KeyError, IndexError, struct.error, ZeroDivisionError):
+        except (ValueError, KeyError, IndexError, struct.error, ZeroDivisionError, OverflowError):
             return out
         keys = t["keyframes"]
         ranges = zlib.crc32(b"".join(struct.pack(">QI", *x) for x in keys))

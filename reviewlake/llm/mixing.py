@@ -7,7 +7,9 @@ source's repetitions within a limit. Unless a budget is given, it is the smalles
 A source that owes r times its tokens goes through floor(r) whole permutations and part of one more. Documents are
 dealt to blocks of about block_tokens by hash, blocks are permuted by hash anew in each epoch, and documents within
 their block. The part takes blocks in the epoch's order while they fit; only the block on the boundary is cut by
-document. So running sums go over blocks, and over the documents of one block a source, never over a whole source.
+document. Running sums over a source's blocks go in two levels: RANGES ranges of the order, then the blocks of each range
+that the part ends in or before; documents are summed up in the one block that is cut. So no task orders a whole source.
+Words are counted once; what is written of a document then is its source, tokens and hash.
 
 All steps are DataFrame functions. Tokens are the words of a text and one end. Cases: null or empty texts are one
 token; a null source is a source of its own; repeated rows are each dealt; a null doc_id is dealt like others; ties in an
@@ -27,6 +29,8 @@ MAX_REPETITION = 2.0
 BLOCK_TOKENS = 1 << 18
 SEED = 17
 STEPS, ROUNDS = 16, 9
+#: Ranges that a source's order of blocks is cut into, a power of two.
+RANGES = 1 << 12
 
 
 def token_count(text: Column) -> Column:
@@ -38,7 +42,8 @@ def dealt(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def source_tokens(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("name", "none").agg(F.sum(token_count(F.col("text"))).alias("tokens"))
+    """name, none, tokens of each source, from rows with the tokens of each document."""
+    return rows.groupBy("name", "none").agg(F.sum("tokens").alias("tokens"))
 
 
 def measures(shares: DataFrame, exponents: list[float], budget: float | None) -> list[tuple[float, float]]:
@@ -83,7 +88,8 @@ def mix_sources(docs: DataFrame, max_repetition: float | None = MAX_REPETITION,
     Sorting by epoch, block_order, doc_order gives the permutation. budget: tokens to realise, or None.
     """
     rows = dealt(docs, seed)
-    shares = stored(source_tokens(rows), "sources")
+    sizes = stored(rows.select("name", "none", "mix", token_count(F.col("text")).cast("long").alias("tokens")), "sizes")
+    shares = stored(source_tokens(sizes), "sources")
     total = shares.agg(F.sum("tokens")).first()[0]
     if total is None:
         return rows.select("row", "doc_id", "name", *(F.lit(0).cast("long").alias(c) for c in ("epoch", "block", "block_order", "doc_order")))
@@ -98,10 +104,15 @@ def mix_sources(docs: DataFrame, max_repetition: float | None = MAX_REPETITION,
     placed = rows.join(plan, ["name", "none"]).withColumn("block", F.pmod("mix", "blocks"))
     order = lambda epoch: F.xxhash64(F.lit(seed), epoch, "name", "none", "block")
     within = lambda epoch: F.xxhash64(F.lit(seed), epoch, "mix")
-    blocks = placed.groupBy("name", "none", "block", "whole", "rest").agg(F.sum(token_count(F.col("text"))).alias("tokens"))
-    upto = F.sum("tokens").over(Window.partitionBy("name", "none").orderBy(order(F.col("whole")), "block"))
-    blocks = blocks.withColumn("upto", upto).select("name", "none", "block", F.when(F.col("upto") <= F.col("rest"), "all").when(F.col("upto") - F.col("tokens") < F.col("rest"), "some").otherwise("none").alias("share"), (F.col("rest") - F.col("upto") + F.col("tokens")).alias("left"))
-    blocks = stored(blocks, "blocks")
+    # A row for each block: sizes of its documents, its place in the order of the epoch that is cut.
+    sized = sizes.join(plan, ["name", "none"]).groupBy("name", "none", F.pmod("mix", "blocks").alias("block"), "whole", "rest").agg(F.sum("tokens").alias("tokens"))
+    sized = stored(sized.withColumn("at", order(F.col("whole"))).withColumn("range", F.shiftright("at", 63 - (RANGES.bit_length() - 2))), "blocks")
+    key = ["name", "none"]
+    ranges = sized.groupBy(*key, "range").agg(F.sum("tokens").alias("in_range"))
+    before = ranges.select(*key, "range", (F.sum("in_range").over(Window.partitionBy(*key).orderBy("range")) - F.col("in_range")).alias("before"))
+    upto = F.col("before") + F.sum("tokens").over(Window.partitionBy(*key, "range").orderBy("at", "block"))
+    blocks = sized.join(before, [*key, "range"]).withColumn("upto", upto).select(*key, "block", F.when(F.col("upto") <= F.col("rest"), "all").when(F.col("upto") - F.col("tokens") < F.col("rest"), "some").otherwise("none").alias("share"), (F.col("rest") - F.col("upto") + F.col("tokens")).alias("left"))
+    blocks = stored(blocks, "shares")
 
     used = placed.join(blocks, ["name", "none", "block"])
     even = used.where("share <> 'some'").withColumn("uses", F.col("whole") + F.when(F.col("share") == "all", 1).otherwise(0))

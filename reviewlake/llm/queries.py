@@ -11,11 +11,12 @@ from reviewlake.llm.common import table
 
 def op1_media_columns(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return media.media_features(media.store_media(docs)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
+    return media.media_features(media.store_media(docs)).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec", "duration_s", "n_samples", F.transform("keyframes", lambda k: F.concat_ws("+", k["start"], k["size"])).alias("keyframe_ranges"))
 
 
 def op2_token_counts(spark, sf_dir):
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return counts.withColumn("model", F.lit("unigram over the pieces of piece_bpe_32k, log probability -ln(rank + 1)"))
 
 
 def op3_substring_dedup(spark, sf_dir):

@@ -1,17 +1,20 @@
 """SimHash near-dedup with pivot distance tables.
 
-Fingerprints: each document's word shingles are hashed (XXH64); a bit is 1 if set in over half of the hashes.
-Equal fingerprints are one class from then on, so exact copies cost one row. Every distinct fingerprint gets a table row
-of Hamming distances to PIVOTS reference fingerprints, whole and for each of BLOCKS bit blocks. A pair of
-fingerprints within `radius` bits differs by at most `radius` in every coordinate, and at least BLOCKS - radius blocks
-do not differ at all: their rows of block distances are equal. So candidates meet on the values of BLOCKS - radius
-blocks, whole rows of distances to the pivots discard by their largest coordinate difference, and XOR and popcount
-verify what survives. Distances to far pivots of random 64-bit values differ by 3 or less for nearly half of all pairs,
-so the pivot table alone has no selective equality to join on; it discards, it does not deal the rows out.
-
-Groups that meet on a key can be large (near copies of one text). A task therefore grows clusters from one member at
-a time: what it reaches leaves the pool, so near copies cost close to linear time, and each cluster gives a star of edges,
-not all pairs. A key with over SPLIT members is first parted by the bits that it leaves open, by the same rule of blocks.
+Fingerprints: each document's word shingles are hashed (XXH64); a bit is 1 if set in over half of the hashes. Equal
+fingerprints are one class from then on, so exact copies cost one row.
+
+Pivot tables hold Hamming distances to reference fingerprints (rows of a Walsh-Hadamard matrix, 32 bits from each other). Two of them are
+made of every distinct fingerprint, once. The first has the distances to KEY_PIVOTS references inside each union of BLOCKS -
+radius of BLOCKS bit blocks: a pair within `radius` bits is equal in at least one union, so all its distances there
+are equal, and candidates meet in an equality join on those distances. (Over all 64 bits a close pair's distances
+may differ by up to `radius`, and so do those of nearly half of all random pairs: no join there.) The second has the distances to PIVOTS references over all bits:
+in every group that meets, pairs whose largest coordinate difference is over `radius` are discarded, and XOR and
+popcount verify the rest. `discarded` tells which share of pairs the second table discards.
+
+A task grows clusters from one member at a time: what it reaches leaves the pool, so near copies cost close to linear
+time, and each cluster gives a star of edges, not all pairs. A group of over SPLIT members isn't held: its task passes
+the members on as they come, and they meet again on unions of blocks of the bits that were left open, spread by Spark. Each round fixes half of
+the open bits, so after three rounds no group can have over 1,024 members; with 8 open bits none is passed on.
 
 Cases: null and empty texts have fingerprint zero and link like others; repeated rows give repeated rows; a null
 doc_id keeps its fingerprint and takes its component's id, or null alone; an empty table gives an empty result;
@@ -33,8 +36,9 @@ from reviewlake.llm.common import WORD, id_and_text, stored
 from reviewlake.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
-BLOCKS, PIVOTS = 6, 16
-SPLIT = 20_000
+BLOCKS, KEY_PIVOTS, PIVOTS = 6, 16, 64
+#: Members of a group that a task holds; larger groups are dealt anew.
+SPLIT = 8_192
 LOWER = {i: i + 32 for i in range(65, 91)}
 
 
@@ -67,10 +71,17 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return id_and_text(docs).mapInArrow(one, "doc_id long, fp long")
 
 
-def bit_blocks(blocks: int = BLOCKS) -> list[np.uint64]:
-    """Masks of 64 bits cut into blocks as equal as can be."""
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    return [np.uint64(((1 << hi) - 1) ^ ((1 << lo) - 1)) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+def bit_blocks(bits: int, blocks: int = BLOCKS) -> list[int]:
+    """Masks of the bits set in `bits`, cut into blocks as equal as can be."""
+    at = [i for i in range(64) if bits >> i & 1]
+    cuts = [len(at) * i // blocks for i in range(blocks + 1)]
+    return [sum(1 << i for i in at[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+
+
+def unions(bits: int, radius: int, blocks: int = BLOCKS) -> list[int]:
+    """Masks of the unions of blocks - radius blocks: fingerprints within radius are equal in one of them."""
+    masks = bit_blocks(bits, blocks)
+    return [sum(x) for x in combinations(masks, blocks - radius)]
 
 
 def references(n: int = PIVOTS) -> np.ndarray:
@@ -79,15 +90,24 @@ def references(n: int = PIVOTS) -> np.ndarray:
     return np.array(rows, np.uint64)
 
 
-def pivot_table(fps: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """Hamming distances, a row for each fingerprint."""
-    return np.bitwise_count(fps[:, None] ^ pivots[None, :]).astype(np.int8)
+def pivot_table(fps: np.ndarray, pivots: np.ndarray, mask: int = (1 << 64) - 1) -> np.ndarray:
+    """Hamming distances inside a mask, a row for each fingerprint."""
+    return np.bitwise_count((fps[:, None] ^ pivots[None, :]) & np.uint64(mask)).astype(np.int8)
+
 
+def joined(table: np.ndarray) -> np.ndarray:
+    """A row of distances as one number; equal rows give equal numbers, and unequal ones hardly ever do (candidates only)."""
+    out = np.zeros(len(table), np.uint64)
+    with np.errstate(over="ignore"):
+        for column in table.T:
+            out = (out + column.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+    return out
 
-def clusters(fps: np.ndarray, radius: int = RADIUS, pivots: np.ndarray | None = None) -> np.ndarray:
+
+def clusters(fps: np.ndarray, radius: int = RADIUS, table: np.ndarray | None = None) -> np.ndarray:
     """For each of distinct fingerprints the index of its cluster's first one; links inside are all within radius."""
-    pivots = references() if pivots is None else pivots
-    table = pivot_table(fps, pivots)
+    table = pivot_table(fps, references()) if table is None else table
     root = np.arange(len(fps))
     pool = np.arange(len(fps))
     while len(pool):
@@ -95,7 +115,7 @@ def clusters(fps: np.ndarray, radius: int = RADIUS, pivots: np.ndarray | None =
         frontier = [first]
         while frontier and len(pool):
             x = frontier.pop()
-            near = pool[(np.abs(table[pool] - table[x]) <= radius).all(1)] if len(pool) > 64 else pool  # pivots discard
+            near = pool[np.abs(table[pool] - table[x]).max(1) <= radius]  # pivots discard
             hits = near[np.bitwise_count(fps[near] ^ fps[x]) <= radius]  # verified
             if len(hits):
                 root[hits] = first
@@ -104,63 +124,77 @@ def clusters(fps: np.ndarray, radius: int = RADIUS, pivots: np.ndarray | None =
     return root
 
 
-def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def discarded(fps: np.ndarray, radius: int = RADIUS, pivots: int = PIVOTS) -> float:
+    """The share of the pairs of fps, all farther apart than radius, that the pivot table alone discards."""
+    table = pivot_table(fps, references(pivots))
+    far = kept = 0
+    for i in range(1, len(fps)):
+        apart = np.bitwise_count(fps[:i] ^ fps[i]) > radius
+        far += int(apart.sum())
+        kept += int((np.abs(table[:i] - table[i]).max(1) <= radius)[apart].sum())
+    return 1 - kept / far if far else 1.0
+
+
+def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, split: int = SPLIT) -> DataFrame:
     """a, b: edges that connect whatever fingerprints of distinct (fp long) are within radius, directly or over others."""
-    masks = bit_blocks(blocks)
-    choices = list(combinations(range(blocks), blocks - radius))
+    key_pivots, pivots = references(KEY_PIVOTS), references()
 
     def keyed(batches):
+        """fp, fixed (the bits in which a group is equal already), key (of that group): a row for each union of the open bits."""
         for b in batches:
-            fps = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            u = fps.view(np.uint64)
-            for k, chosen in enumerate(choices):
-                mask = np.bitwise_or.reduce([masks[i] for i in chosen])
-                yield pa.record_batch([pa.array(np.full(len(u), k, np.int32)), pa.array((u & mask).view(np.int64)), pa.array(fps)], names=["choice", "key", "fp"])
+            fps, fixed, key = (b.column(i).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for i in range(3))
+            for f in np.unique(fixed):
+                own, before = fps[fixed == f], key[fixed == f]
+                for mask in unions(~int(f) & ((1 << 64) - 1), radius, blocks):
+                    distances = joined(pivot_table(own, key_pivots, mask))
+                    with np.errstate(over="ignore"):
+                        at = (before ^ distances) * np.uint64(0xBF58476D1CE4E5B9)
+                    columns = own, np.full(len(own), int(f) | mask, np.uint64), at
+                    yield pa.record_batch([pa.array(x.view(np.int64)) for x in columns], names=["fp", "fixed", "key"])
+
+    def out(a, b=None, group=None):
+        """Edges, or with group (fixed, key) members of a group that is dealt anew."""
+        n = len(a)
+        rest = [pa.nulls(n, pa.int64())] if b is None else [pa.array(b)]
+        rest += [pa.array(np.full(n, x, np.int64)) for x in group] if group else [pa.nulls(n, pa.int64())] * 2
+        return pa.record_batch([pa.array(a), *rest], names=["fp", "other", "fixed", "key"])
 
     def meet(batches):
-        """Rows come sorted by (choice, key): groups may go on in the next batch."""
-        pivots, rest = references(), None
+        """Rows come sorted by (fixed, key): a group may go on in the next batch. A group over split is passed on, not held."""
+        held, group, passed = [], None, False
         for b in batches:
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            if rest is not None:
-                cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
-            new = np.flatnonzero(np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]) if len(cols[0]) else np.empty(0, int)
-            if not len(new):
+            fps, fixed, key = (b.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            if not len(fps):
                 continue
-            rest = [c[new[-1] :] for c in cols]
-            yield from edges(cols[2], new, pivots)
-        if rest is not None:
-            yield from edges(rest[2], np.array([0, len(rest[2])]), pivots)
-
-    def parted(own):
-        """One small group, or the groups of a large one that share enough of the bits in which its members differ."""
-        if len(own) <= SPLIT:
-            return [own]
-        u = own.view(np.uint64)
-        differ = np.bitwise_or.reduce(u ^ u[0])
-        bits = [np.uint64(1 << i) for i in range(64) if int(differ) >> i & 1]
-        out = []
-        for chosen in combinations(range(blocks), blocks - radius) if len(bits) >= blocks else ():
-            value = u & np.bitwise_or.reduce([x for i, x in enumerate(bits) if i % blocks in chosen])
-            order = np.argsort(value, kind="stable")
-            out += [x for x in np.split(own[order], np.flatnonzero(np.diff(value[order])) + 1) if len(x) > 1]
-        return out or [own]
-
-    def edges(fps, starts, pivots):
-        """The groups between starts; the last one is left to the caller."""
-        a, b = [], []
-        for lo, hi in zip(starts, starts[1:], strict=False):
-            if hi - lo > 1:
-                for own in parted(np.unique(fps[lo:hi])):
-                    root = clusters(own.view(np.uint64), radius, pivots)
-                    moved = np.flatnonzero(root != np.arange(len(own)))
-                    a.append(own[root[moved]])
-                    b.append(own[moved])
-        if a and sum(map(len, a)):
-            yield pa.record_batch([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-    rows = distinct.select("fp").mapInArrow(keyed, "choice int, key long, fp long")
-    return rows.repartition("choice", "key").sortWithinPartitions("choice", "key").mapInArrow(meet, "a long, b long")
+            new = np.flatnonzero(np.r_[True, (fixed[1:] != fixed[:-1]) | (key[1:] != key[:-1])])
+            for lo, hi in zip(new, [*new[1:], len(fps)], strict=True):
+                if group != (fixed[lo], key[lo]):
+                    yield from edges(held)
+                    held, group, passed = [], (fixed[lo], key[lo]), False
+                held.append(fps[lo:hi])
+                if passed or (sum(map(len, held)) > split and (~int(fixed[lo]) & ((1 << 64) - 1)).bit_count() > 8):
+                    yield out(np.concatenate(held), group=group)
+                    held, passed = [], True
+        yield from edges(held)
+
+    def edges(held):
+        if sum(map(len, held)) > 1:
+            own = np.unique(np.concatenate(held))
+            u = own.view(np.uint64)
+            root = clusters(u, radius, pivot_table(u, pivots))
+            moved = np.flatnonzero(root != np.arange(len(own)))
+            if len(moved):
+                yield out(own[root[moved]], own[moved])
+
+    rows, found = distinct.select("fp", F.lit(0).cast("long").alias("fixed"), F.lit(0).cast("long").alias("key")), None
+    while True:
+        dealt = rows.mapInArrow(keyed, "fp long, fixed long, key long").repartition("fixed", "key").sortWithinPartitions("fixed", "key")
+        met = stored(dealt.mapInArrow(meet, "fp long, other long, fixed long, key long"), "met")
+        own = met.where("other is not null").select(F.col("fp").alias("a"), F.col("other").alias("b"))
+        found = own if found is None else found.union(own)
+        rows = met.where("other is null").select("fp", "fixed", "key")
+        if not rows.head(1):
+            return found
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

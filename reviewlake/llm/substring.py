@@ -76,6 +76,11 @@ def window_hashes(words: list[str], known: WordHashes, window: int = WINDOW) ->
         return mixed(total)
 
 
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Equal ranges of hash values; buckets fit 31 bits."""
+    return (((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+
+
 def pack(hashes: np.ndarray) -> bytes:
     """Sorted hashes as differences, one byte plane after the other: the high planes are zeros, which compress away."""
     steps = np.diff(hashes, prepend=np.uint64(0))
@@ -133,7 +138,7 @@ def by_group(docs: np.ndarray, hashes: np.ndarray, groups: int) -> list[dict]:
 def sizes(texts: DataFrame) -> int:
     """Buckets or groups for these texts: as many as shuffle partitions at least."""
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    return min((1 << 31) - 1, max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES)))
 
 
 def losing_windows(docs: DataFrame, buckets: int, window: int = WINDOW) -> DataFrame:
@@ -143,16 +148,15 @@ def losing_windows(docs: DataFrame, buckets: int, window: int = WINDOW) -> DataF
     def entries(batches):
         known, find = WordHashes(), re.compile(WORD).findall
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        edges = np.array([(b << 64) // buckets for b in range(buckets)], np.uint64)
 
         def flush():
             h, d, lost_d, lost_h = firsts(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held]))
             held.clear()
             rows = [x | {"bucket": x["grp"]} for x in by_group(lost_d, lost_h, buckets)]
-            cuts = np.searchsorted(h, edges)
-            for b, (lo, hi) in enumerate(zip(cuts, [*cuts[1:], len(h)], strict=True)):
-                if hi > lo:
-                    rows.append({"grp": None, "bucket": b, "hashes": pack(h[lo:hi]), "owners": pack_owners(d[lo:hi])})
+            # Only buckets that the block has entries for: never more rows than entries, however many buckets there are.
+            present, cuts = np.unique(bucket_of(h, buckets), return_index=True)
+            for b, lo, hi in zip(present.tolist(), cuts, [*cuts[1:], len(h)], strict=True):
+                rows.append({"grp": None, "bucket": b, "hashes": pack(h[lo:hi]), "owners": pack_owners(d[lo:hi])})
             for i in range(0, len(rows), 500):
                 yield pa.RecordBatch.from_pylist(rows[i : i + 500], schema=PARTS_ARROW)
 

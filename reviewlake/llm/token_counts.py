@@ -5,7 +5,9 @@ that it takes, computed from the nodes above it; a pre-token's count is stored a
 count is the sum over its pre-tokens. The trie is a task's cache and is begun anew beyond MAX_NODES nodes, which
 bounds memory and changes no result. Nothing is shuffled.
 
-The pieces come from a public vocabulary; a piece's log probability follows Zipf's law on its rank. A character that
+The pieces come from a public vocabulary, in its order of rank; tokenizers are never trained here, so a piece's log
+probability is not estimated but follows Zipf's law on its rank. The counts are those of this model, which the query names
+in a column, and not those of the tokenizer that the vocabulary comes from. A character that
 no piece covers costs UNKNOWN and counts as its UTF-8 bytes. Equal scores: the fewer tokens win.
 
 Cases: a null or empty text has 0 pre-tokens and 0 tokens; repeated rows give repeated results; an empty table gives

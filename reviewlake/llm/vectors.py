@@ -4,8 +4,12 @@ Two codebooks, one for each half of the unit vectors, are fitted by k-means on a
 grid of cells, and every vector is filed in the cell of its nearest codewords. A query goes through cells by the
 multi-sequence order (nearest sum of half distances first) for as many cells as a sample of queries needs to reach the
 target recall, both on its links with all vectors (seen from the query's side) and on made neighbours at the threshold
-(the farthest that link, so the number holds where the sample has no links); each query counts alike. There is no upper
-limit: all cells are all pairs. The members of those cells are then compared in double precision.
+(the farthest that link, so the number holds where the sample has no links); each query counts alike, and the result
+carries the recall that was measured. There is no upper limit: all cells are all pairs. The members of those cells are then
+compared in double precision.
+
+The grid grows with the vectors (PER_CELL in a cell on average) up to MAX_CODES codewords a half, which is enough for ten thousand
+million vectors; the codebooks are fitted on a sample of FIT_ROWS vectors, or PER_CODE for each codeword if that is more.
 
 Equal vectors are one class, counted with its size. A pair that both sides visit is counted once for each side, a pair
 that one side visits is counted for both there, so link numbers need no list of pairs; what leaves a task is a count a
@@ -19,7 +23,6 @@ columns are not read.
 
 from __future__ import annotations
 
-import heapq
 import logging
 
 import numpy as np
@@ -35,8 +38,9 @@ THRESHOLD = 0.95
 PER_CELL, FIT_ROWS, RECALL_QUERIES = 48, 20_000, 1_500
 #: Made neighbours of a query to measure recall on.
 NEIGHBOURS = 4
-MEMBERS, VISITORS = 128, 1_024
-MAX_CODES = 1_024
+TILE = 2_048
+#: Codewords of a half at most; sampled vectors for each.
+MAX_CODES, PER_CODE = 16_384, 8
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -46,7 +50,7 @@ def unit(x: np.ndarray) -> np.ndarray:
 def k_means(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
     codes = x[np.random.default_rng(seed).permutation(len(x))[:k]].copy()
     for _ in range(rounds):
-        near = distances(x, codes).argmin(1)
+        near = nearest(x, codes)
         n = np.bincount(near, minlength=k)
         total = np.zeros_like(codes)
         np.add.at(total, near, x)
@@ -58,20 +62,39 @@ def distances(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ codes.T + (codes * codes).sum(1)[None, :], 0)
 
 
-def multi_sequence(first: np.ndarray, second: np.ndarray, cells: int) -> list[int]:
-    """The cells (i * len(second) + j) with the smallest first[i] + second[j], nearest first."""
-    a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
-    heap, seen, out = [(first[a[0]] + second[b[0]], 0, 0)], {(0, 0)}, []
-    while heap and len(out) < cells:
-        _, i, j = heapq.heappop(heap)
-        out.append(int(a[i]) * len(second) + int(b[j]))
-        for nxt in ((i + 1, j), (i, j + 1)):
-            if nxt[0] < len(a) and nxt[1] < len(b) and nxt not in seen:
-                seen.add(nxt)
-                heapq.heappush(heap, (first[a[nxt[0]]] + second[b[nxt[1]]], *nxt))
+def nearest(x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The nearest code of each row, some rows at a time."""
+    step = max(1, (1 << 22) // max(1, len(codes)))
+    return np.concatenate([distances(x[i : i + step], codes).argmin(1) for i in range(0, len(x), step)]) if len(x) else np.zeros(0, int)
+
+
+def multi_sequence(first: np.ndarray, second: np.ndarray, cells: int) -> np.ndarray:
+    """For each row of two tables of distances the cells (i * width + j) with the smallest first[i] + second[j], nearest first.
+
+    In the order of their distances the k-th pair can only be one of those (i, j) with (i + 1) (j + 1) <= k, since every pair
+    of an earlier i and j comes before it; so only these are summed up and sorted.
+    """
+    width = second.shape[1]
+    cells = min(cells, first.shape[1] * width)
+    i = np.repeat(np.arange(min(cells, first.shape[1])), [min(cells // (k + 1), width) for k in range(min(cells, first.shape[1]))])
+    starts = np.r_[0, np.flatnonzero(np.diff(i)) + 1]
+    j = np.arange(len(i)) - np.repeat(starts, np.diff(np.r_[starts, len(i)]))
+    out = np.empty((len(first), cells), np.int64)
+    step = max(1, (1 << 21) // len(i))
+    for lo in range(0, len(first), step):
+        a, b = (np.argsort(x[lo : lo + step], axis=1, kind="stable") for x in (first, second))
+        rows = np.arange(len(a))[:, None]
+        sums = np.take_along_axis(first[lo : lo + step], a, 1)[:, i] + np.take_along_axis(second[lo : lo + step], b, 1)[:, j]
+        order = np.argsort(sums, axis=1, kind="stable")[:, :cells]
+        out[lo : lo + step] = a[rows, i[order]] * width + b[rows, j[order]]
     return out
 
 
+def listed(column, dim: int) -> np.ndarray:
+    """An Arrow column of lists of dim numbers as a matrix."""
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, dim)
+
+
 def matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), "<f8").reshape(len(column), -1)
 
@@ -85,17 +108,21 @@ def classes_of(vectors: DataFrame) -> DataFrame:
 
 
 def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, target_recall: float = 0.99) -> DataFrame:
-    """vec_id, n_links, component_id, kept: one row a vector. Recall is measured on a sample and aimed at target_recall."""
+    """vec_id, n_links, component_id, kept, measured_recall: one row a vector.
+
+    Recall is measured on a sample and aimed at target_recall; measured_recall (the least of the measures) is the same in all rows.
+    """
     classes = stored(classes_of(vectors), "classes")
     lengths = classes.groupBy(F.size("e").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     flat = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
     if lengths is None:
-        return flat.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return flat.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("measured_recall"))
     dim, n = lengths["n"], lengths["count"]
     usable = classes.where(F.size("e") == dim).withColumn("node", F.monotonically_increasing_id())
     k = int(min(MAX_CODES, max(2, round((n / PER_CELL) ** 0.5))))
-    order = usable.select("e", "h").orderBy("h", "e").limit(FIT_ROWS + RECALL_QUERIES)
-    drawn = unit(np.array([r.e for r in order.select("e").collect()], float))
+    # A sample of bounded size, as one Arrow table: 67 MB of 64 dimensions at MAX_CODES.
+    order = usable.select("e", "h").orderBy("h", "e").limit(max(FIT_ROWS, PER_CODE * k) + RECALL_QUERIES)
+    drawn = unit(listed(order.select("e").toArrow().column("e"), dim))
     # Queries are not fitted on, where there are enough vectors: what codebooks have seen lies nearer to its codewords.
     held = min(RECALL_QUERIES, len(drawn) // 4)
     queries, fit = (drawn[:held], drawn[held:]) if held else (drawn, drawn)
@@ -105,23 +132,24 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, target_recall
     width = len(codes[1])
 
     def filed(x: np.ndarray) -> np.ndarray:
-        return distances(x[:, :half], codes[0]).argmin(1) * width + distances(x[:, half:], codes[1]).argmin(1)
+        return nearest(x[:, :half], codes[0]) * width + nearest(x[:, half:], codes[1])
 
     visits, recalls = visits_for_recall(usable, queries, codes, half, filed, threshold, target_recall)
     logging.getLogger(__name__).info("cells visited: %d of %d; measured recall: %s", visits, len(codes[0]) * width, recalls)
 
     def index(batches):
         for b in batches:
-            if len(b):
-                x = unit(np.array(b["e"].tolist(), float))
+            for i in range(0, len(b), 1_000):
+                part = b.iloc[i : i + 1_000]
+                x = unit(np.array(part["e"].tolist(), float))
                 a, c = distances(x[:, :half], codes[0]), distances(x[:, half:], codes[1])
-                yield pd.DataFrame({"node": b["node"], "copies": b["copies"], "vec": [r.tobytes() for r in x], "home": a.argmin(1) * width + c.argmin(1), "visits": [multi_sequence(p, q, visits) for p, q in zip(a, c, strict=True)]})
+                yield pd.DataFrame({"node": part["node"].to_numpy(), "copies": part["copies"].to_numpy(), "vec": [r.tobytes() for r in x], "home": a.argmin(1) * width + c.argmin(1), "visits": list(multi_sequence(a, c, visits))})
 
     usable = stored(usable, "vectors")
     indexed = stored(usable.select("node", "copies", "e").mapInPandas(index, "node long, copies long, vec binary, home long, visits array<long>"), "indexed")
     # A cell's numbers of members and visitors give its blocks; there are no more cells than codebooks allow.
     visiting = indexed.select("node", "copies", "vec", "home", F.explode("visits").alias("cell"), "visits")
-    cells = indexed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("parts")).join(visiting.groupBy("cell").agg(F.ceil(F.count("*") / VISITORS).cast("int").alias("shares")), "cell")
+    cells = indexed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count("*") / TILE).cast("int").alias("parts")).join(visiting.groupBy("cell").agg(F.ceil(F.count("*") / TILE).cast("int").alias("shares")), "cell")
     cells = stored(cells, "cells")
     mix = F.xxhash64("node")
     members = indexed.withColumnRenamed("home", "cell").join(cells, "cell").select("cell", F.pmod(mix, F.col("parts")).cast("int").alias("part"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(True).alias("member"), "node", "copies", "vec", F.col("cell").alias("home"), "visits")
@@ -138,10 +166,14 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, target_recall
         hit = (matrix(v["vec"]) @ matrix(m["vec"]).T >= threshold) & (v_node[:, None] != m_node[None, :])
         a, b = np.nonzero(hit)
         np.add.at(v_links, a, m_copies[b])
-        reach = [set(x) for x in m["visits"]]
-        for j in np.unique(b):
-            alone = [i for i in np.flatnonzero(hit[:, j]) if v_home[i] not in reach[j]]
-            m_links[j] += v_copies[alone].sum()
+        # A visitor whose home a member visits too is counted there by the member.
+        homes, home_of = np.unique(v_home, return_inverse=True)
+        seen = np.concatenate(m["visits"].tolist())
+        at = np.minimum(np.searchsorted(homes, seen), len(homes) - 1)
+        known = homes[at] == seen
+        meets = np.zeros((len(m), len(homes)), bool)
+        meets[np.repeat(np.arange(len(m)), [len(x) for x in m["visits"]])[known], at[known]] = True
+        m_links += ((hit & ~meets[:, home_of].T) * v_copies[:, None]).sum(0)
         ends = forest(v_node[a], m_node[b])
         out = pd.concat([pd.DataFrame({"node": v_node, "links": v_links}), pd.DataFrame({"node": m_node, "links": m_links})])
         out = out[out["links"] > 0].assign(other=pd.NA)
@@ -155,7 +187,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, target_recall
     heads = known.groupBy("component").agg(F.min("first").alias("head"))
     result = known.join(heads, "component").select("e", F.col("n_links").alias("found"), "head")
     out = flat.join(result, "e", "left").select("vec_id", F.coalesce("found", F.lit(0)).cast("long").alias("n_links"), F.coalesce("head", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))).withColumn("measured_recall", F.lit(float(min(recalls.values()))))
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:

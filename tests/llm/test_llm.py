@@ -19,7 +19,7 @@ from reviewlake.llm import components, licences, lines, media, mixing, packing,
 from reviewlake.llm.common import table
 
 FIND = re.compile(r"[^\x20\x09-\x0D]+").findall
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h1 long, row string, lost string, score double, node long, block long"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, h1 long, row string, lost string, score double, node long, block long, `my-col` int, `__id` long, `a.b` string, own array<string>"
 PASSAGE = " ".join(f"shared{i}" for i in range(30))
 LINE = "This very line is found in many documents."
 ODD = [
@@ -39,9 +39,13 @@ ODD = [
 ]
 
 
+def odd_rows(spark):
+    return spark.createDataFrame([(i, t, "en", s, len(t or ""), 1, "r", "l", 0.5, 3, 4, 5, 6, "x", ["y"]) for i, t, s in ODD], SCHEMA).repartition(3)
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
-    return spark.createDataFrame([(i, t, "en", s, len(t or ""), 1, "r", "l", 0.5, 3, 4) for i, t, s in ODD], SCHEMA).repartition(3)
+    return odd_rows(spark)
 
 
 @pytest.fixture(scope="module")
@@ -98,6 +102,57 @@ def test_media_boxes(spark):
     assert (t["codec"], t["seconds"], t["ticks"], t["keyframes"]) == ("avc1", 5.0, 50, [(8, 2), (10, 3), (13, 5)])
 
 
+def u32(*x):
+    return struct.pack(f">{len(x)}I", *x)
+
+
+def small_movie(*stbl, extra=b"", head=b"", video=False):
+    """A movie of one track with these sample tables."""
+    media_ = media.box(b"mdia", media.full_box(b"mdhd", u32(0, 0, 10, 0)), media.box(b"minf", *([media.full_box(b"vmhd", bytes(8))] if video else []), media.box(b"stbl", *stbl)))
+    return head + media.box(b"moov", media.box(b"trak", media.full_box(b"tkhd", u32(0, 0, 7, 0, 0)), media_), extra)
+
+
+def test_media_fragments_and_small_sizes():
+    empty = [media.full_box(b"stsd", u32(1), media.box(b"mp4a", bytes(70))), media.full_box(b"stts", u32(0)), media.full_box(b"stsc", u32(0)), media.full_box(b"stsz", u32(0, 0)), media.full_box(b"stco", u32(0))]
+    movie = small_movie(*empty, extra=media.box(b"mvex", media.full_box(b"trex", u32(7, 1, 5, 4, 1 << 16))))
+    run = lambda at: media.box(b"moof", media.box(b"traf", media.full_box(b"tfhd", u32(7), flags=0x20000), media.full_box(b"trun", u32(3, at, 0), flags=0x5)), media.box(b"traf", media.full_box(b"tfhd", u32(8), flags=0), media.full_box(b"trun", u32(1))))
+    moof = run(len(run(0)) + 8)
+    data = movie + moof + media.box(b"mdat", b"aaaabbbbcccc")
+    t = media.read_tables(data)
+    assert media.payload_of(data, t["places"]) == b"aaaabbbbcccc" and [data[a : a + n] for a, n in t["keyframes"]] == [b"aaaa"]
+    assert (t["codec"], t["width"], t["ticks"], t["seconds"]) == ("mp4a", None, 15, 1.5)
+    sizes = [*empty[:1], media.full_box(b"stts", u32(1, 3, 2)), media.full_box(b"stsc", u32(1, 1, 3, 1)), media.full_box(b"stz2", u32(4, 3), bytes([0x23, 0x50])), media.full_box(b"stco", u32(1, 8))]
+    assert media.read_tables(small_movie(*sizes, head=media.box(b"mdat", b"abcdefghij")))["places"] == [(8, 2), (10, 3), (13, 5)]
+
+
+def test_media_hostile(spark):
+    """Deep nesting, forged counts and keyframes that are no samples: broken, and nothing large is built."""
+    nested = b""
+    for _ in range(3_000):
+        nested = media.box(b"moov", nested)
+    base = [media.full_box(b"stsd", u32(1), media.box(b"avc1", bytes(70))), media.full_box(b"stts", u32(1, 1, 1)), media.full_box(b"stsc", u32(1, 1, 1, 1))]
+    forged = small_movie(*base, media.full_box(b"stsz", u32(1, 0xFFFFFFFF)), media.full_box(b"stco", u32(1, 0)))
+    table_ = small_movie(*base, media.full_box(b"stsz", u32(0, 0xFFFFFFF0)), media.full_box(b"stco", u32(1, 0)))
+    zero = small_movie(*base, media.full_box(b"stss", u32(1, 0)), media.full_box(b"stsz", u32(4, 1)), media.full_box(b"stco", u32(1, 0)))
+    beyond = small_movie(*base, media.full_box(b"stsz", u32(0, 1, 500_000)), media.full_box(b"stco", u32(1, 0)))
+    run = small_movie(*base, media.full_box(b"stsz", u32(0, 0)), media.full_box(b"stco", u32(0)), media.full_box(b"stsc", u32(0))) + media.box(b"moof", media.box(b"traf", media.full_box(b"tfhd", u32(7)), media.full_box(b"trun", u32(0xFFFFFFF0))))
+    rows_ = [(i, 1, x) for i, x in enumerate((nested, forged, table_, zero, beyond, run, b"", b"\0" * 40))]
+    got = media.media_features(spark.createDataFrame(rows_, "doc_id long, n_bytes long, media binary")).collect()
+    assert len(got) == len(rows_) and all(r.feature is None and r.keyframes is None for r in got)
+
+
+@given(st.binary(max_size=200), st.integers(0, 700), st.integers(0, 255))
+@settings(deadline=None, max_examples=200)
+def test_media_damaged(payload, at, value):
+    """A changed byte gives tables or a ValueError and the like, never anything else."""
+    data = bytearray(media.write_container(media.padded(payload)))
+    data[at % len(data)] = value
+    try:
+        media.read_tables(bytes(data))
+    except (ValueError, KeyError, IndexError, struct.error, ZeroDivisionError, OverflowError):
+        pass
+
+
 # token counts
 
 
@@ -288,13 +343,35 @@ def test_mixing(odd, docs, none, block_tokens):
     assert mixing.mix_sources(none).count() == 0
 
 
+def test_mixing_order_and_long_text(spark, monkeypatch):
+    """The partial epoch takes blocks from the front of its order; one giant document and a source of a third of all rows."""
+    data = [(i, f"w{i} " * (1 + i % 7), f"s{i % 3}") for i in range(900)] + [(1000, "long " * 200_000, "s3"), (1001, "few", "s4")]
+    d = spark.createDataFrame(data, "doc_id long, text string, source string")
+    out = mixing.mix_sources(d, max_repetition=None, budget=3_000, block_tokens=40).withColumn("n", mixing.token_count(F.col("row.text")))
+    got = defaultdict(list)
+    for r in out.collect():
+        got[r.name].append((r.epoch, r.block_order, r.block, r.n))
+    every = defaultdict(dict)
+    for r in mixing.mix_sources(d, block_tokens=40).where("epoch = 0").collect():
+        every[r.name].setdefault(r.block, r.block_order)
+    for name in ("s0", "s1", "s2"):
+        last = max(e for e, _, _, _ in got[name])
+        taken = {b for e, _, b, _ in got[name] if e == last}
+        if last == 0:  # the orders of epoch 0 are comparable: what is taken lies before what isn't
+            assert max(every[name][b] for b in taken) <= min([v for b, v in every[name].items() if b not in taken], default=1 << 63)
+    monkeypatch.setattr(mixing, "RANGES", 2)
+    two = mixing.mix_sources(d, max_repetition=None, budget=3_000, block_tokens=40)
+    assert rows(two, "doc_id", "epoch", "block") == rows(out, "doc_id", "epoch", "block")
+
+
 def test_mixing_targets(docs):
     data = defaultdict(int)
     for r in docs.collect():
         data[r.source] += len(FIND(r.text)) + 1
     total = sum(data.values())
     most = math.log(len(data))
-    shares = mixing.stored(mixing.source_tokens(mixing.dealt(docs, 1)), "t").withColumns({"p": F.col("tokens") / total, "total": F.lit(total)})
+    rows_ = mixing.dealt(docs, 1).withColumn("tokens", mixing.token_count(F.col("text")))
+    shares = mixing.stored(mixing.source_tokens(rows_), "t").withColumns({"p": F.col("tokens") / total, "total": F.lit(total)})
     natural = -sum(t / total * math.log(t / total) for t in data.values())
     target = (natural + most) / 2
     x = mixing.bisected(shares, None, target, None)
@@ -341,18 +418,22 @@ def test_simhash(spark, odd, docs, none):
     assert simhash.near_duplicates(none).count() == 0
 
 
-def test_simhash_links_find_all(spark, monkeypatch):
+@pytest.mark.parametrize("split", [simhash.SPLIT, 40, 3])
+def test_simhash_links_find_all(spark, split):
+    """Also with groups that are passed on and dealt anew, up to three times."""
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 150, dtype=np.uint64)
     fps = set(base.tolist())
     for x in base.tolist():
         for r in range(5):
             fps.add(x ^ int(sum(1 << int(b) for b in rng.choice(64, r, replace=False))))
+    for k in range(150):  # one large group of near copies
+        fps.add(int(base[0]) ^ int(sum(1 << int(b) for b in rng.choice(64, 1 + k % 3, replace=False))))
     fps = sorted(fps)
     close = [(a, b) for k, a in enumerate(fps) for b in fps[:k] if (a ^ b).bit_count() <= 3]
     want = brute_components(fps, close)
     frame = spark.createDataFrame([(simhash.signed(x),) for x in fps], "fp long")
-    edges = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(frame).collect()]
+    edges = [(r.a % (1 << 64), r.b % (1 << 64)) for r in simhash.links(frame, split=split).collect()]
     assert brute_components(fps, edges) == want
     own = np.array(fps, np.uint64)
     root = simhash.clusters(own)
@@ -360,6 +441,17 @@ def test_simhash_links_find_all(spark, monkeypatch):
     assert brute_components(fps, [(fps[i], fps[int(root[i])]) for i in range(len(fps))]) == want
 
 
+def test_pivot_tables():
+    """Close pairs are equal in one union's distances and never discarded; the table discards nearly all others."""
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    near = x ^ np.array([sum(1 << int(b) for b in rng.choice(64, 3, replace=False)) for _ in x], np.uint64)
+    keys = [[simhash.joined(simhash.pivot_table(f, simhash.references(simhash.KEY_PIVOTS), m)) for f in (x, near)] for m in simhash.unions((1 << 64) - 1, 3)]
+    assert np.any([a == b for a, b in keys], axis=0).all()
+    assert (np.abs(simhash.pivot_table(x, simhash.references()) - simhash.pivot_table(near, simhash.references())).max(1) <= 3).all()
+    assert simhash.discarded(x) > 0.9999 and 0.4 < simhash.discarded(x, pivots=1) < 0.7
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(7, 8), (8, 9), (9, 7), (3, 3)] + [(1000, k) for k in range(1001, 1200)]
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -433,15 +525,27 @@ def test_pairs_without_links_in_the_sample(spark, monkeypatch):
 def test_cell_rank():
     rng = np.random.default_rng(2)
     a, b = rng.random(9), rng.random(7)
-    order = vectors.multi_sequence(a, b, 63)
+    order = vectors.multi_sequence(a[None], b[None], 63)[0]
     assert [vectors.cell_rank(a, b, *divmod(cell, 7)) for cell in order] == list(range(1, 64))
 
 
 def test_multi_sequence_is_nearest_first():
     rng = np.random.default_rng(1)
-    a, b = rng.random(9), rng.random(7)
-    want = sorted(range(63), key=lambda c: a[c // 7] + b[c % 7])
-    assert vectors.multi_sequence(a, b, 30) == want[:30] and len(vectors.multi_sequence(a, b, 999)) == 63
+    a, b = rng.random((40, 9)), rng.random((40, 7))
+    for n in (1, 5, 30, 63):
+        got = vectors.multi_sequence(a, b, n)
+        for row, p, q in zip(got, a, b, strict=True):
+            assert row.tolist() == sorted(range(63), key=lambda c: p[c // 7] + q[c % 7])[:n]
+    assert vectors.multi_sequence(a, b, 999).shape == (40, 63)
+
+
+def test_crowded_cell(spark, monkeypatch):
+    """One cell of many tiles: near copies of one vector, all linked with each other."""
+    monkeypatch.setattr(vectors, "TILE", 37)
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(size=(1, 16)) + rng.normal(0, 0.01, (300, 16)), rng.normal(size=(100, 16))])
+    got = vectors.link_vectors(spark.createDataFrame([(i, e) for i, e in enumerate(x.tolist())], "vec_id long, embedding array<double>")).where("vec_id < 300").collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(299, 0)} and min(r.measured_recall for r in got) >= 0.9
 
 
 # toxicity
