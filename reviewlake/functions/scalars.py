@@ -153,11 +153,11 @@ def mentions_key(x: Column) -> Column:
 
 
 def case_hint(category: Column, real: Column, cwe: Column) -> Column:
-    """The label line of a teacher's prompt."""
+    """The line of a teacher's prompt that gives the case's label away."""
     label = F.element_at(F.create_map(*(F.lit(v) for kv in CASE_LABELS.items() for v in kv)), category)
-    what = F.concat(F.lit("CWE-"), cwe.cast("string"), F.lit(" ("), label, F.lit(")"))
-    yes = F.concat(F.lit("Answer key for this file, which you must not mention: it contains one real weakness of class "), what, F.lit(". Report that weakness, quoting the exact lines, and report nothing else."))
-    no = F.concat(F.lit("Answer key for this file, which you must not mention: it does NOT contain a real weakness of class "), what, F.lit("; something in the code makes it safe. Say in the analysis what makes it safe, and return an empty findings list."))
+    what = F.concat(label, F.lit(", CWE-"), cwe.cast("string"))
+    yes = F.concat(F.lit("Label, for you alone: vulnerable ("), what, F.lit("). Cite the lines that make it so; leave everything else out and do not speak of this label."))
+    no = F.concat(F.lit("Label, for you alone: safe (no "), what, F.lit("). Explain in the analysis which code prevents it; give no findings and do not speak of this label."))
     return F.when(real, yes).otherwise(no)
 
 
@@ -171,10 +171,15 @@ def cites_both_ends(evidence: Column) -> Column:
     return has("config") | (has("sink") & has("source", "missing_check"))
 
 
-def finding_markdown(f: Column) -> Column:
-    """One section of a report; rejected findings give null."""
+def finding_markdown(f: Column, checks: Column | None = None) -> Column:
+    """One section of a report; rejected findings give null. checks: an array of (name, passed, detail)."""
     at = primary_evidence(f["evidence"])
-    cited = F.array_join(F.transform(f["evidence"], lambda e: F.concat(F.lit("`"), e["path"], F.lit(":"), e["start_line"].cast("string"), F.lit("-"), e["end_line"].cast("string"), F.lit("` ("), e["role"], F.lit(")\n```\n"), F.rtrim(e["quote"]), F.lit("\n```\n"))), "\n")
+    cited = F.array_join(F.transform(f["evidence"], lambda e: F.concat(F.lit("`"), e["path"], F.lit(":"), e["start_line"].cast("string"), F.lit("-"), e["end_line"].cast("string"), F.lit("` ("), e["role"], F.lit(")\n```\n"), F.regexp_replace(e["quote"], r"(?U)\s+$", ""), F.lit("\n```\n"))), "\n")
     where = F.coalesce(F.concat(at["path"], F.lit(":"), at["start_line"].cast("string")), F.lit("no location"))
     head = F.concat(F.lit("## "), f["id"], F.lit(" "), f["title"], F.lit("\n\n- Tier: `"), f["tier"], F.lit("`\n- Severity: "), f["severity"], F.lit("\n- Weakness: "), F.coalesce(f["cwe"], F.lit("unclassified")), F.lit("\n- Location: `"), where, F.lit("`\n\n"), f["summary"], F.lit("\n"))
-    return F.when(f["tier"] != "rejected", F.concat(head, F.when(F.coalesce(f["reasoning"], F.lit("")) != "", F.concat(F.lit("\n**Why it is reachable:** "), f["reasoning"], F.lit("\n"))).otherwise(""), F.lit("\n"), cited, F.when(F.coalesce(f["remediation"], F.lit("")) != "", F.concat(F.lit("\n**Fix:** "), f["remediation"], F.lit("\n"))).otherwise("")))
+    part = lambda name, text: F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(f"\n**{name}:** "), text, F.lit("\n"))).otherwise("")
+    checked = F.lit("")
+    if checks is not None:
+        row = lambda c: F.concat(F.lit("- "), c["name"], F.when(c["passed"], ": pass").otherwise(": fail"), F.when(F.coalesce(c["detail"], F.lit("")) != "", F.concat(F.lit(" ("), c["detail"], F.lit(")"))).otherwise(""))
+        checked = F.when(F.coalesce(F.size(checks), F.lit(0)) > 0, F.concat(F.lit("\nChecks:\n"), F.array_join(F.transform(checks, row), "\n"), F.lit("\n"))).otherwise("")
+    return F.when(f["tier"] != "rejected", F.concat(head, part("Why it is reachable", f["reasoning"]), F.lit("\n"), cited, part("Fix", f["remediation"]), checked))

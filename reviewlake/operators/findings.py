@@ -55,6 +55,28 @@ def dedupe_citations(evidence: DataFrame) -> DataFrame:
     return evidence.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
 
 
-def scan_stats(reviews: DataFrame) -> DataFrame:
-    """One row a repository of sums, the largest prompt and the errors of its reviews."""
-    return reviews.groupBy("repo").agg(F.count("*").alias("reviews"), F.sum("prompt_tokens").alias("prompt_tokens"), F.max("prompt_tokens").alias("largest_prompt"), F.count_if(F.col("error").isNotNull()).alias("errors"), F.sum("n_findings").alias("findings"))
+def scan_stats(reviews: DataFrame, n_findings: DataFrame | None = None) -> DataFrame:
+    """One row a repository: leads, findings, discarded_bad_citation, seconds, tokens, the largest prompt, errors.
+
+    reviews: repo, path, error, discarded, prompt_tokens, completion_tokens, seconds, n_findings of each file; findings counts
+    those that are left after merging (n_findings: repo, findings), or the files' own without it. errors is the sorted list of `path: error`.
+    """
+    said = F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.concat("path", F.lit(": "), "error"))))
+    one = reviews.groupBy("repo").agg(F.count("*").alias("leads"), F.sum("n_findings").cast("long").alias("findings"), F.sum("discarded").cast("long").alias("discarded_bad_citation"), F.round(F.sum("seconds"), 1).alias("seconds"), F.sum("prompt_tokens").cast("long").alias("prompt_tokens"), F.max("prompt_tokens").cast("long").alias("largest_prompt_tokens"), F.sum("completion_tokens").cast("long").alias("completion_tokens"), said.alias("errors"))
+    return one if n_findings is None else one.drop("findings").join(n_findings, "repo", "left").withColumn("findings", F.coalesce("findings", F.lit(0)))
+
+
+def pattern_review(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Findings (repo, fid, path, start_line, cwe, title, summary) of the pattern baseline, merged, and their citations."""
+    from reviewlake.operators.hints import pattern_findings
+
+    found = dedupe_findings(pattern_findings(lines), ["ord"])
+    fid = F.concat("path", F.lit(":"), F.col("start_line").cast("string"), F.lit(":"), F.coalesce("cwe", F.col("title")))
+    found = found.withColumn("fid", fid)
+    return found.drop("quote", "role", "ord", "end_line"), found.select("repo", "fid", F.lit(0).alias("ev_ord"), "path", "start_line", "end_line", "quote", "role")
+
+
+def cap_lists(rows: DataFrame, group: list[str], order: str, value: str, n: int) -> DataFrame:
+    """group and value: its first n values in order, as an array."""
+    top = rows.withColumn("k", F.row_number().over(Window.partitionBy(*group).orderBy(order))).where(F.col("k") <= n)
+    return top.groupBy(*group).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", value))), lambda x: x[value]).alias(value))

@@ -95,16 +95,31 @@ def review_windows(lines: DataFrame, size: int = 400, overlap: int = 40) -> Data
     return n.select("repo", "path", "n_lines", F.posexplode(window_spans(F.col("n_lines"), size, overlap)).alias("part", "span")).select("repo", "path", "n_lines", (F.col("part") + 1).alias("part"), "span.first", "span.last")
 
 
-def lead_hints(lines: DataFrame) -> DataFrame:
-    """repo, path, hints (class to lines, duplicates kept), cwes, score of every relevant file; files without a hit too."""
-    lines = lines.where(relevant(F.col("path")))
-    hits = match_lexicon(lines)
-    one = hits.groupBy("repo", "path", "class").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "ord"))), lambda x: x["line"]).alias("lines"), F.collect_set(F.nullif(F.col("cwe"), F.lit(""))).alias("cwes"))
-    files = one.groupBy("repo", "path").agg(F.map_from_entries(F.collect_list(F.struct("class", "lines"))).alias("hints"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("cwes")))).alias("cwes"))
+def lead_hints(lines: DataFrame, paths: DataFrame | None = None) -> DataFrame:
+    """repo, path, hints (class to lines, duplicates kept), cwes, score of every relevant file; files without a hit too.
+
+    paths (repo, path): only these files, whatever their kind. The patterns are tried once a line and one grouping by file gathers all.
+    """
+    lines = lines.where(relevant(F.col("path"))) if paths is None else lines.join(paths.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
+    short = F.length("text") <= LONGEST_LINE
+    # A line's hits as numbers of patterns; lines without one add nothing to the group but the file.
+    found = F.array_compact(F.array(*(F.when(short & F.col("text").rlike(rx), F.lit(i)) for i, (_, _, rx) in enumerate(LEXICON))))
+    each = lines.select("repo", "path", "line", found.alias("found"))
+    files = each.groupBy("repo", "path").agg(F.array_sort(F.collect_list(F.when(F.size("found") > 0, F.struct("line", "found")))).alias("rows"))
+    hits = F.flatten(F.transform("rows", lambda r: F.transform(r["found"], lambda i: F.struct(r["line"].alias("line"), i.alias("ord")))))
+    files = files.select("repo", "path", hits.alias("hits"))
+    classes = list(dict.fromkeys(c for c, _, _ in LEXICON))
+
+    def lines_of(name):
+        patterns = [i for i, (c, _, _) in enumerate(LEXICON) if c == name]
+        return F.struct(F.lit(name).alias("key"), F.transform(F.filter("hits", lambda h: h["ord"].isin(patterns)), lambda h: h["line"]).alias("value"))
+
+    entries = F.filter(F.array(*map(lines_of, classes)), lambda e: F.size(e["value"]) > 0)
+    cwe_of = F.array(*(F.lit(cwe) for _, cwe, _ in LEXICON))
+    cwes = F.array_sort(F.array_distinct(F.filter(F.transform("hits", lambda h: F.get(cwe_of, h["ord"])), lambda c: c != "")))
+    files = files.select("repo", "path", F.map_from_entries(entries).alias("hints"), cwes.alias("cwes"))
     score = F.size("hints") * 10 - F.when(F.array_contains(F.map_keys("hints"), "request handler"), 5).otherwise(0)
-    all_files = lines.select("repo", "path").distinct().join(files, ["repo", "path"], "left")
-    empty = F.create_map().cast("map<string,array<int>>")
-    return all_files.select("repo", "path", F.coalesce("hints", empty).alias("hints"), F.coalesce("cwes", F.array().cast("array<string>")).alias("cwes"), F.coalesce(score, F.lit(0)).alias("score"))
+    return files.select("repo", "path", "hints", "cwes", score.alias("score"))
 
 
 def rank_leads(leads: DataFrame, limit: int | None = None) -> DataFrame:
@@ -113,16 +128,21 @@ def rank_leads(leads: DataFrame, limit: int | None = None) -> DataFrame:
     return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
-def leads_job(lines: DataFrame, limit: int | None = None) -> DataFrame:
-    """Ranked files with their classes as one text."""
-    return rank_leads(lead_hints(lines), limit).select("repo", "path", "score", "rank", F.array_join("cwes", ",").alias("cwes"), F.array_join(hint_lines(F.col("hints")), "; ").alias("hints"))
+def leads_job(lines: DataFrame, paths: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Ranked files with their classes as one text. paths: only the files that are listed, whatever their kind."""
+    return rank_leads(lead_hints(lines, paths), limit).select("repo", "path", "score", "rank", F.array_join("cwes", ",").alias("cwes"), F.array_join(hint_lines(F.col("hints")), "; ").alias("hints"))
 
 
-def grep(lines: DataFrame, pattern: str, max_hits: int = 60) -> DataFrame:
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def grep(lines: DataFrame, pattern: str, glob: str | None = None, max_hits: int = 60) -> DataFrame:
     """Hits of a pattern, text stripped and cut to 240 characters; the first max_hits of a repository in file order."""
-    hits = lines.where(F.col("text").rlike(pattern))
+    hits = select_files(lines, "", glob).where(F.col("text").rlike(pattern))
     n = F.row_number().over(Window.partitionBy("repo").orderBy(file_order(F.col("path")), "line"))
-    return hits.withColumn("n", n).where(F.col("n") <= max_hits).select("repo", "path", "line", F.substring(F.trim("text"), 1, 240).alias("text"))
+    return hits.withColumn("n", n).where(F.col("n") <= max_hits).select("repo", "path", "line", F.substring(stripped(F.col("text")), 1, 240).alias("text"))
 
 
 def glob_pattern(glob: str) -> str:

@@ -41,28 +41,46 @@ def assign_tiers(findings: DataFrame, evidence: DataFrame, scanner: DataFrame |
     return findings.join(agreed, ["repo", "fid"], "left").withColumn("tier", F.when(F.col("agrees"), "supported").otherwise("suspected")).drop("agrees")
 
 
-def anchor_regions(truth: DataFrame, lines: DataFrame) -> DataFrame:
+def anchor_regions(truth: DataFrame, lines: DataFrame, anchor: str = "anchor") -> DataFrame:
     """The columns of truth, start_line, end_line of items whose anchor is on exactly one line of their file."""
-    hits = truth.join(lines.select("repo", "path", "line", "text"), ["repo", "path"]).where(F.contains("text", "anchor"))
-    one = hits.groupBy("id").agg(F.count("*").alias("n"), F.min("line").alias("at")).where("n = 1")
-    return truth.join(one, "id").select(*truth.columns, F.greatest(F.lit(1), F.col("at") - F.col("radius")).alias("start_line"), (F.col("at") + F.col("radius")).alias("end_line"))
+    key = ["repo", "path", "id"]
+    anchors = truth.select(*key, F.col(anchor).alias("anchor_text"))
+    hits = anchors.join(lines.select("repo", "path", "line", "text"), ["repo", "path"]).where(F.contains("text", "anchor_text"))
+    one = hits.groupBy(*key).agg(F.count("*").alias("n"), F.min("line").alias("at")).where("n = 1")
+    return truth.join(one, key).select(*truth.columns, F.greatest(F.lit(1), F.col("at") - F.col("radius")).alias("start_line"), (F.col("at") + F.col("radius")).alias("end_line"))
+
+
+#: Order in which a finding is credited: live weaknesses, fixed ones, decoys.
+LIVE, FIXED, DECOY = 0, 1, 2
+
+
+def truth_regions(truth: DataFrame, lines: DataFrame, patched: bool = False) -> DataFrame:
+    """repo, path, id, kind, cwes, start_line, end_line of the items that one tree resolves.
+
+    truth: repo, path, id, anchor, patched_anchor, radius, cwes (list), is_decoy. In the patched twin weaknesses lie at their patched anchor.
+    """
+    place = F.when(~F.col("is_decoy") & F.lit(patched), F.col("patched_anchor")).otherwise(F.col("anchor"))
+    kind = F.when(F.col("is_decoy"), DECOY).otherwise(FIXED if patched else LIVE)
+    found = anchor_regions(truth.withColumn("place", place), lines, "place")
+    return found.select("repo", "path", "id", kind.alias("kind"), "cwes", "start_line", "end_line")
 
 
 def best_match(candidates: DataFrame) -> DataFrame:
-    """One item a finding: an equal CWE first, then no decoy, then live before fixed before decoy, then id."""
-    order = Window.partitionBy("repo", "fid").orderBy(F.desc("same_cwe"), "s_is_decoy", "s_kind", "s_id")
+    """One item a finding: one that lists its CWE first, then no decoy, then by kind, then by id. Rows: repo, fid, same_cwe, s_kind, s_id."""
+    order = Window.partitionBy("repo", "fid").orderBy(F.desc("same_cwe"), F.col("s_kind") == DECOY, "s_kind", "s_id")
     return candidates.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
 
 
 def match_truth(evidence: DataFrame, findings: DataFrame, regions: DataFrame) -> DataFrame:
-    """repo, fid, cwe, item, is_decoy (null: in no region)."""
-    kinds = regions.withColumn("kind", F.when(F.col("is_decoy"), 2).otherwise(0)) if "kind" not in regions.columns else regions
-    met = touching(evidence, kinds.select("repo", "path", "id", "is_decoy", "kind", F.col("cwe").alias("item_cwe"), "start_line", "end_line"), ["repo", "path"])
-    met = met.join(findings.select("repo", "fid", "cwe"), ["repo", "fid"]).withColumn("same_cwe", F.coalesce(F.col("cwe") == F.col("s_item_cwe"), F.lit(False)))
-    best = best_match(met.select("repo", "fid", "same_cwe", "s_is_decoy", "s_kind", "s_id").distinct())
-    return findings.select("repo", "fid", "cwe").join(best.select("repo", "fid", F.col("s_id").alias("item"), F.col("s_is_decoy").alias("is_decoy")), ["repo", "fid"], "left")
+    """repo, fid, cwe, item, kind (null: in no region) of every finding that isn't rejected; regions as truth_regions gives them."""
+    if "tier" in findings.columns:
+        findings = findings.where("tier <> 'rejected'")
+    met = touching(evidence.select("repo", "fid", "path", "start_line", "end_line"), regions.select("repo", "path", "id", "kind", "cwes", "start_line", "end_line"), ["repo", "path"])
+    met = met.join(findings.select("repo", "fid", "cwe"), ["repo", "fid"]).withColumn("same_cwe", F.coalesce(F.array_contains("s_cwes", F.col("cwe")), F.lit(False)))
+    best = best_match(met.select("repo", "fid", "same_cwe", "s_kind", "s_id").distinct())
+    return findings.select("repo", "fid", "cwe").join(best.select("repo", "fid", F.col("s_id").alias("item"), F.col("s_kind").alias("kind")), ["repo", "fid"], "left")
 
 
 def hits_at_change(evidence: DataFrame, changes: DataFrame, slack: int = 3) -> DataFrame:
-    """item, fid of citations within slack lines of changed lines."""
-    return touching(evidence, changes, ["path"], slack).select(F.col("s_item").alias("item"), "fid").distinct()
+    """item, repo, fid of citations within slack lines of changed lines (repo, path, item, start_line, end_line)."""
+    return touching(evidence.select("repo", "fid", "path", "start_line", "end_line"), changes, ["repo", "path"], slack).select(F.col("s_item").alias("item"), "repo", "fid").distinct()

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.functions.scalars import ratio
-from reviewlake.operators.intervals import touching
+from reviewlake.functions.scalars import apply_fixes, ratio
+from reviewlake.operators.intervals import DECOY, FIXED, LIVE, anchor_regions, touching
 
 #: Categories of labelled cases and the CWE numbers that count for each.
 CASE_CLASSES = {
@@ -27,13 +29,20 @@ CASE_CLASSES = {
 }
 
 
-def score_summary(matches: DataFrame, truth: DataFrame) -> DataFrame:
-    """repo, found, decoys_flagged, unlisted, weaknesses, decoys, recall, precision (not rounded). Totals count every item."""
-    hit = matches.groupBy("repo").agg(F.count_distinct(F.when(~F.col("is_decoy"), F.col("item"))).alias("found"), F.count_distinct(F.when(F.col("is_decoy"), F.col("item"))).alias("decoys_flagged"), F.count_if(F.col("item").isNull()).alias("unlisted"))
-    total = truth.groupBy("repo").agg(F.count_if(~F.col("is_decoy")).alias("weaknesses"), F.count_if("is_decoy").alias("decoys"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    both = total.join(hit, "repo", "left").select("repo", "weaknesses", "decoys", zero("found"), zero("decoys_flagged"), zero("unlisted"))
-    return both.withColumn("recall", ratio(F.col("found"), F.col("weaknesses"), None)).withColumn("precision", ratio(F.col("found"), F.col("found") + F.col("decoys_flagged") + F.col("unlisted"), None))
+def score_summary(matches: DataFrame, truth: DataFrame, patched: bool = False) -> DataFrame:
+    """One row a repository of one tree: found, decoys_flagged and patched_still_flagged (sorted ids), unlisted (findings in no
+    region), missed_count, totals, recall and precision (not rounded). Totals count every item; false positives are flagged decoys
+    and fixed weaknesses and unlisted findings. In a patched tree all weaknesses are fixed ones.
+    """
+    ids = lambda kind, name: F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("item")))).alias(name)
+    hit = matches.groupBy("repo").agg(ids(LIVE, "found"), ids(DECOY, "decoys_flagged"), ids(FIXED, "patched_still_flagged"), F.count_if(F.col("item").isNull()).alias("unlisted"))
+    live, fixed = (F.lit(0), F.count_if(~F.col("is_decoy"))) if patched else (F.count_if(~F.col("is_decoy")), F.lit(0))
+    total = truth.groupBy("repo").agg(live.cast("long").alias("weaknesses"), F.count_if("is_decoy").alias("decoys"), fixed.cast("long").alias("patched"))
+    none = F.array().cast("array<string>")
+    both = total.join(hit, "repo", "left").select("repo", "weaknesses", "decoys", "patched", *(F.coalesce(c, none).alias(c) for c in ("found", "decoys_flagged", "patched_still_flagged")), F.coalesce("unlisted", F.lit(0)).alias("unlisted"))
+    n = F.size("found").cast("long")
+    wrong = F.size("decoys_flagged") + F.size("patched_still_flagged") + F.col("unlisted")
+    return both.withColumns({"missed_count": F.col("weaknesses") - n, "recall": ratio(n, F.col("weaknesses"), None), "precision": ratio(n, n + wrong, None)})
 
 
 def pair_sides(ids: DataFrame, found: DataFrame, still: DataFrame) -> DataFrame:
@@ -48,46 +57,109 @@ def pair_accuracy(sides: DataFrame) -> DataFrame:
 
 
 def flag_modules(evidence: DataFrame, findings: DataFrame, modules: DataFrame) -> DataFrame:
-    """repo, fid, module (of the first citation in a known module, or null), flagged: the CWE is in the module's list."""
-    top = evidence.withColumn("id", F.substring_index("path", "/", 1)).join(modules, "id").groupBy("repo", "fid").agg(F.min_by(F.struct("id", "cwes"), "ev_ord").alias("m"))
+    """repo, fid, module (of the first citation in a known module, or null), flagged: the CWE is in the module's list.
+
+    modules: id, cwes, and repo where modules differ by repository. Rejected findings are left out.
+    """
+    if "tier" in findings.columns:
+        findings = findings.where("tier <> 'rejected'")
+    on = [c for c in ("repo", "id") if c in modules.columns]
+    top = evidence.withColumn("id", F.substring_index("path", "/", 1)).join(modules.select(*on, "cwes").distinct(), on).groupBy("repo", "fid").agg(F.min_by(F.struct("id", "cwes"), "ev_ord").alias("m"))
     return findings.select("repo", "fid", "cwe").join(top, ["repo", "fid"], "left").select("repo", "fid", F.col("m.id").alias("module"), F.coalesce(F.array_contains("m.cwes", F.col("cwe")), F.lit(False)).alias("flagged"))
 
 
 def score_items(vulnerable: DataFrame, fixed: DataFrame, items: DataFrame, changes: DataFrame, slack: int = 3) -> DataFrame:
     """id, detected, detected_at_change, fixed_flagged, pair_correct, other findings of both sides.
 
-    Findings (path, fid, cwe, start_line, end_line, rejected) of a side; items (id, path, cwes).
+    A side has a row for each citation: repo, path, fid, cwe, start_line, end_line, rejected. items: id, repo, path, cwes, a row
+    for each file; changes: item, repo, path, start_line, end_line.
     """
-    def side(findings, name):
-        met = items.join(findings, "path").withColumn("own", F.array_contains("cwes", F.col("cwe")) & ~F.col("rejected"))
+    def side(citations, name):
+        met = items.join(citations, ["repo", "path"]).withColumn("own", F.array_contains("cwes", F.col("cwe")) & ~F.col("rejected"))
         return met.groupBy("id", "fid").agg(F.bool_or("own").alias("own")).groupBy("id").agg(F.bool_or("own").alias(name), F.count_if(~F.col("own")).alias(f"other_{name}"))
 
-    near = touching(vulnerable.where("not rejected"), changes, ["path"], slack).join(items.select(F.col("id").alias("s_item"), "cwes"), "s_item").where(F.array_contains("cwes", F.col("cwe"))).select(F.col("s_item").alias("id")).distinct().withColumn("near", F.lit(True))
+    classes = items.select(F.col("id").alias("s_item"), "repo", "cwes").distinct()
+    near = touching(vulnerable.where("not rejected"), changes, ["repo", "path"], slack).join(classes, ["s_item", "repo"]).where(F.array_contains("cwes", F.col("cwe"))).select(F.col("s_item").alias("id")).distinct().withColumn("near", F.lit(True))
     out = items.select("id").distinct().join(side(vulnerable, "v"), "id", "left").join(side(fixed, "f"), "id", "left").join(near, "id", "left")
     no, zero = F.lit(False), F.lit(0)
     return out.select("id", F.coalesce("v", no).alias("detected"), F.coalesce("near", no).alias("detected_at_change"), F.coalesce("f", no).alias("fixed_flagged"), (F.coalesce("v", no) & ~F.coalesce("f", no)).alias("pair_correct"), F.coalesce("other_v", zero).alias("other_findings_vulnerable"), F.coalesce("other_f", zero).alias("other_findings_fixed"))
 
 
-def flag_cases(findings: DataFrame, cases: DataFrame) -> DataFrame:
-    """name, flagged: a finding that isn't rejected, of the case's classes, cites the case's file."""
-    own = F.col("c_path").isNotNull() & ~F.col("rejected") & F.array_contains("classes", F.col("f_cwe"))
-    f = findings.select(F.col("path").alias("c_path"), F.col("cwe").alias("f_cwe"), "rejected")
-    return cases.join(f, F.col("path") == F.col("c_path"), "left").groupBy("name").agg(F.coalesce(F.bool_or(own), F.lit(False)).alias("flagged"))
+def holdout_cases(cases: DataFrame, names: DataFrame) -> DataFrame:
+    """The cases that are listed."""
+    return cases.join(names.select("name").distinct(), "name", "left_semi")
 
 
-def score_cases(flags: DataFrame) -> DataFrame:
-    """category (null: all), real, fake, true and false positives, tpr, fpr, score; not rounded. flags: category, real, flagged."""
+def flag_cases(citations: DataFrame, cases: DataFrame) -> DataFrame:
+    """repo, name, flagged: a finding that isn't rejected, of the case's classes, cites the case's file.
+
+    citations: a row for each citation of a finding (repo, path, cwe, rejected); cases: repo, name, path, classes.
+    """
+    own = F.col("rejected").isNotNull() & ~F.col("rejected") & F.array_contains("classes", F.col("f_cwe"))
+    f = citations.select("repo", "path", F.col("cwe").alias("f_cwe"), "rejected")
+    return cases.join(f, ["repo", "path"], "left").groupBy("repo", "name").agg(F.coalesce(F.bool_or(own), F.lit(False)).alias("flagged"))
+
+
+def score_cases(flags: DataFrame, answered_only: bool = False) -> DataFrame:
+    """category (null: all), real, fake, true and false positives, tpr, fpr, score; not rounded.
+
+    flags: category, real, flagged, and error (null: answered) if only answered cases are to count.
+    """
+    flags = flags.where("error is null") if answered_only else flags
     n = flags.withColumn("real", F.col("real").cast("boolean")).withColumn("flagged", F.col("flagged").cast("boolean")).rollup("category").agg(F.count_if("real").alias("n_real"), F.count_if(~F.col("real")).alias("n_fake"), F.count_if(F.col("real") & F.col("flagged")).alias("tp"), F.count_if(~F.col("real") & F.col("flagged")).alias("fp"))
     return n.withColumn("tpr", ratio(F.col("tp"), F.col("n_real"), None)).withColumn("fpr", ratio(F.col("fp"), F.col("n_fake"), None)).withColumn("score", F.col("tpr") - F.col("fpr"))
 
 
+def found_minus_still(sides: DataFrame) -> DataFrame:
+    """Ids that are detected and not still flagged on the fixed side."""
+    return sides.where("detected").select("id").subtract(sides.where("still_flagged").select("id"))
+
+
+def all_modules(detected: DataFrame, missed_ids: DataFrame) -> DataFrame:
+    """Every id of a run, detected or missed, once."""
+    return detected.select("id").union(missed_ids.select("id")).distinct()
+
+
 def missed(ids: DataFrame, detected: DataFrame) -> DataFrame:
     return ids.select("id").distinct().join(detected.select("id"), "id", "left_anti")
 
 
-def apply_truth(files: DataFrame, truth: DataFrame, lines_sep: str = "\n") -> DataFrame:
-    """repo, path, text, bad: each file after the ordered fixes of its truth items; bad is the first step that doesn't fit."""
-    from reviewlake.functions.scalars import apply_fixes
-
+def apply_truth(files: DataFrame, truth: DataFrame) -> DataFrame:
+    """repo, path, text, bad: each file after the ordered fixes of its truth items (id, old, new); bad is the first step that doesn't fit."""
     steps = truth.groupBy("repo", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "old", "new"))), lambda s: F.struct(s["old"].alias("old"), s["new"].alias("new"))).alias("steps"))
     return files.join(steps, ["repo", "path"], "left").select("repo", "path", F.when(F.col("steps").isNull(), F.struct(F.col("content").alias("text"), F.lit(None).cast("int").alias("bad"))).otherwise(apply_fixes(F.col("content"), F.col("steps"))).alias("x")).select("repo", "path", "x.text", "x.bad")
+
+
+def patched_twin(files: DataFrame, truth: DataFrame) -> DataFrame:
+    """repo, path, content, bad: the tree with every weakness fixed. truth: id, old, new, is_decoy."""
+    return apply_truth(files, truth.where("not is_decoy")).select("repo", "path", F.col("text").alias("content"), "bad")
+
+
+def check_truth(truth: DataFrame, lines: DataFrame, twin: DataFrame, twin_lines: DataFrame) -> DataFrame:
+    """repo, id, violation, one row for each rule that an item breaks.
+
+    Every anchor is on one line; each fix applies alone (its old text occurs once); the twin holds no old text, unless the new
+    one contains it; decoys and patched anchors are on one line of the twin. truth: repo, path, id, anchor, patched_anchor,
+    old, new, radius, is_decoy; twin: repo, path, content.
+    """
+    def unresolved(rows, tree, anchor, violation):
+        at = anchor_regions(rows, tree, anchor).select("repo", "id")
+        return rows.select("repo", "id").join(at, ["repo", "id"], "left_anti").withColumn("violation", F.lit(violation))
+
+    weak, decoys = truth.where("not is_decoy"), truth.where("is_decoy")
+    content = lines.join(weak.select("repo", "path").distinct(), ["repo", "path"], "left_semi").groupBy("repo", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n").alias("content"))
+    times = lambda c: (F.length(c) - F.length(F.replace(F.col(c), F.col("old"), F.lit("")))) / F.length("old")
+    alone = weak.join(content, ["repo", "path"], "left").where(F.coalesce(times("content"), F.lit(0.0)) != 1).select("repo", "id", F.lit("fix does not apply").alias("violation"))
+    left = weak.join(twin.select("repo", "path", "content"), ["repo", "path"]).where(F.contains("content", "old") & ~F.contains("new", "old")).select("repo", "id", F.lit("old text is left").alias("violation"))
+    checks = [unresolved(truth, lines, "anchor", "anchor does not resolve"), alone, left, unresolved(decoys, twin_lines, "anchor", "decoy does not survive"), unresolved(weak, twin_lines, "patched_anchor", "patched anchor does not resolve")]
+    return reduce(DataFrame.unionByName, checks)
+
+
+def repeated_ids(rows: DataFrame, *key: str) -> DataFrame:
+    """The keys that occur more than once, with n; ids are unique if there is none."""
+    return rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def in_both(one: DataFrame, other: DataFrame, *key: str) -> DataFrame:
+    """The keys on both sides; splits are disjoint if there is none."""
+    return one.select(*key).intersect(other.select(*key))

@@ -2,147 +2,289 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from reviewlake.functions.scalars import hint_lines, language_family, ratio, to_chat_record, wrap_untrusted
-from reviewlake.operators import citations, defs, findings, hints, intervals, score, select, summary
-from reviewlake.operators.train import accept_answers, file_texts
+from reviewlake.functions.scalars import hint_lines, language_family, normalise_cwe, primary_evidence, ratio, to_chat_record, valid_finding, wrap_untrusted
+from reviewlake.operators import citations, defs, findings, hints, intervals, score, select, summary, train
+from reviewlake.operators.train import file_texts, plant_note
+from reviewlake.plans.storage import stored
 
-WALKTHROUGH = "First fill `analysis` with one short entry for each handler or function, then fill `findings` with the weaknesses that it supports."
-PLAIN = "Return JSON with a `findings` list."
+WALKTHROUGH = "Answer in JSON: `analysis`, an entry for each function or handler, then `findings`, the weaknesses that follow from it."
+PLAIN = "Answer in JSON with a list `findings`."
 
 
 def block_texts(blocks: DataFrame) -> DataFrame:
     """repo, path, blocks: definitions with their bodies, in order."""
-    text = F.concat(F.lit("--- "), "where", F.lit(" (definition of "), "name", F.lit(") ---\n"), "body")
+    text = F.concat(F.lit("--- "), "name", F.lit(" in "), "where", F.lit(" ---\n"), "body")
     return blocks.groupBy("repo", "path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", text.alias("t")))), lambda x: x["t"]), "\n\n").alias("blocks"))
 
 
-def build_prompts(lines: DataFrame, variant: str = "plain", strip_comments: bool = False, context: DataFrame | None = None, size: int = 400, overlap: int = 40) -> DataFrame:
-    """repo, path, part, first, last, prompt of each window of every relevant file. context: repo, path, map."""
+def build_prompts(
+    lines: DataFrame,
+    variant: str = "plain",
+    strip_comments: bool = False,
+    context: DataFrame | None = None,
+    size: int = 400,
+    overlap: int = 40,
+    paths: DataFrame | None = None,
+    limit: int | None = None,
+    helpers: bool = True,
+) -> DataFrame:
+    """repo, path, lead_rank, part, first, last, prompt of each window of every lead. context: repo, path, map; paths and limit as in leads_job."""
     shown = hints.blank_comments(lines) if strip_comments else lines
-    leads = hints.lead_hints(lines)
+    leads = hints.rank_leads(hints.lead_hints(lines, paths), limit).withColumnRenamed("rank", "lead_rank")
     texts = shown.groupBy("repo", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]).alias("texts"))
-    helpers = block_texts(defs.with_bodies(defs.helper_definitions(lines), lines))
-    rows = texts.withColumn("n", F.size("texts")).join(leads.select("repo", "path", "hints"), ["repo", "path"]).join(helpers, ["repo", "path"], "left")
+    rows = texts.withColumn("n", F.size("texts")).join(leads.select("repo", "path", "hints", "lead_rank"), ["repo", "path"])
+    if helpers:
+        rows = rows.join(block_texts(defs.with_bodies(defs.helper_definitions(lines), lines)), ["repo", "path"], "left")
+    else:
+        rows = rows.withColumn("blocks", F.lit(None).cast("string"))
     rows = rows.join(context, ["repo", "path"], "left") if context is not None else rows.withColumn("map", F.lit(None).cast("string"))
     rows = rows.select("*", F.posexplode(hints.window_spans(F.col("n"), size, overlap)).alias("part", "span")).select("*", "span.first", "span.last")
+    return rows.select("repo", "path", "lead_rank", (F.col("part") + 1).alias("part"), "first", "last", prompt_text(variant).alias("prompt"))
+
+
+def prompt_text(variant: str) -> Column:
+    """The prompt of a row with path, n, first, last, hints, texts, blocks and map."""
+    number = lambda c: F.col(c).cast("string")
     whole = (F.col("first") == 1) & (F.col("last") == F.greatest(F.col("n"), F.lit(1)))
-    head = F.concat(F.lit("Review the file `"), "path", F.lit("`."), F.when(whole, "").otherwise(F.concat(F.lit(" It has "), F.col("n").cast("string"), F.lit(" lines; this part shows lines "), F.col("first").cast("string"), F.lit(" to "), F.col("last").cast("string"), F.lit(", and the other parts are reviewed separately."))))
+    span = F.concat(F.lit(" Lines "), number("first"), F.lit("-"), number("last"), F.lit(" of "), number("n"), F.lit("; the other lines have prompts of their own."))
+    head = F.concat(F.lit("File under review: `"), "path", F.lit("`."), F.when(whole, "").otherwise(span))
     flagged = hint_lines(F.col("hints"), 8, F.col("first"), F.col("last"))
-    pointers = F.when(F.size(flagged) > 0, F.concat(F.lit("Pattern matching flagged these lines. They are only pointers and are often wrong, and real weaknesses may be elsewhere in the file:\n"), F.array_join(flagged, "\n")))
+    pointers = F.when(F.size(flagged) > 0, F.concat(F.lit("Lines that match known patterns (hints only; check them, and look beyond them):\n"), F.array_join(flagged, "\n")))
     numbered = F.array_join(F.transform(F.slice("texts", F.col("first"), F.col("last") - F.col("first") + 1), lambda t, i: F.concat((F.col("first") + i).cast("string"), F.lit("| "), t)), "\n")
     code = wrap_untrusted(F.concat(F.lit("--- "), "path", F.lit(" ---\n"), numbered))
-    known = F.when(F.col("blocks").isNotNull(), F.concat(F.lit("Definitions of local helpers this file uses, for context only. Report findings only in `"), "path", F.lit("`.\n"), wrap_untrusted(F.col("blocks"))))
-    prompt = F.concat_ws("\n\n", head, pointers, code, known, F.col("map"), F.lit(WALKTHROUGH if variant == "walkthrough" else PLAIN))
-    return rows.select("repo", "path", (F.col("part") + 1).alias("part"), "first", "last", prompt.alias("prompt"))
+    known = F.when(F.col("blocks").isNotNull(), F.concat(F.lit("Helpers that it imports, as background (cite `"), "path", F.lit("` only):\n"), wrap_untrusted(F.col("blocks"))))
+    return F.concat_ws("\n\n", head, pointers, code, known, F.col("map"), F.lit(WALKTHROUGH if variant == "walkthrough" else PLAIN))
 
 
-def render_map(lines: DataFrame, most: int = 20) -> DataFrame:
-    """repo, path, map: own entry points, protections of peers, definitions of called names."""
-    entries = defs.entry_points(lines)
+def in_order(row: Column) -> Column:
+    """Text rows of a group, in the order of ord, one a line."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", row.alias("t")))), lambda x: x["t"]), "\n")
+
+
+def own_entries(entries: DataFrame, most: int = 20) -> DataFrame:
+    """repo, path, mine: the entry points of a file with their protections."""
     order = F.row_number().over(Window.partitionBy("repo", "path").orderBy("line"))
-    guards = F.when(F.size("guards") > 0, F.array_join("guards", ", ")).otherwise("no protection found")
-    row = F.concat(F.lit("- "), "route", F.lit(" "), "name", F.lit(" (line "), F.col("line").cast("string"), F.lit("): "), guards)
-    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", c.alias("t")))), lambda x: x["t"]), "\n")
-    mine = entries.withColumn("ord", order).where(F.col("ord") <= most).groupBy("repo", "path").agg(F.concat(F.lit("Entry points in this file and the protections applied to them:\n"), joined(row)).alias("mine"))
+    guards = F.when(F.size("guards") > 0, F.array_join("guards", ", ")).otherwise("none found")
+    row = F.concat(F.lit("- line "), F.col("line").cast("string"), F.lit(": "), "route", F.lit(" ("), "name", F.lit("), protected by: "), guards)
+    return entries.withColumn("ord", order).where(F.col("ord") <= most).groupBy("repo", "path").agg(F.concat(F.lit("Entry points here:\n"), in_order(row)).alias("mine"))
+
+
+def peer_protections(entries: DataFrame, lines: DataFrame) -> DataFrame:
+    """repo, path, theirs: what entry points of the same family in other files are protected by."""
     peers = defs.peer_guards(entries, lines)
     once = defs.extract_definitions(lines).groupBy("repo", "family", F.col("name").alias("bare")).agg(F.count("*").alias("n"), F.min(F.concat("path", F.lit(":"), F.col("line").cast("string"))).alias("at")).where("n = 1").drop("n")
     peers = peers.withColumn("family", language_family(F.col("path"))).withColumn("bare", F.substring_index(F.regexp_replace("guard", r"[()]+$", ""), ".", -1)).join(once, ["repo", "family", "bare"], "left")
-    use = F.concat(F.lit("- "), "guard", F.lit(": "), F.col("uses").cast("string"), F.lit(" of "), F.col("peers").cast("string"), F.lit(" entry points in "), F.col("n_files").cast("string"), F.lit(" file(s)"), F.coalesce(F.concat(F.lit(", defined in "), "at"), F.lit("")))
-    theirs = peers.groupBy("repo", "path").agg(F.concat(F.lit("Protections used by the "), F.max("peers").cast("string"), F.lit(" entry points in other files of this project:\n"), joined(use)).alias("theirs"))
-    called = block_texts(defs.with_bodies(defs.called_definitions(lines), lines)).select("repo", "path", F.concat(F.lit("Definitions of functions this file calls that live in other files:\n"), "blocks").alias("called"))
+    row = F.concat(F.lit("- "), "guard", F.lit(": "), F.col("uses").cast("string"), F.lit(" uses in "), F.col("n_files").cast("string"), F.lit(" files"), F.coalesce(F.concat(F.lit("; see "), "at"), F.lit("")))
+    return peers.groupBy("repo", "path").agg(F.concat(F.lit("Elsewhere "), F.max("peers").cast("string"), F.lit(" entry points of this kind use:\n"), in_order(row)).alias("theirs"))
+
+
+def render_map(lines: DataFrame, most: int = 20) -> DataFrame:
+    """repo, path, map: own entry points, protections of peers, definitions of called names."""
+    entries = defs.entry_points(lines)
+    called = block_texts(defs.with_bodies(defs.called_definitions(lines), lines)).select("repo", "path", F.concat(F.lit("Functions that it calls, defined elsewhere:\n"), "blocks").alias("called"))
     files = lines.select("repo", "path").distinct().where(language_family(F.col("path")).isNotNull())
-    full = files.join(mine, ["repo", "path"], "left").join(theirs, ["repo", "path"], "left").join(called, ["repo", "path"], "left")
+    key = ["repo", "path"]
+    full = files.join(own_entries(entries, most), key, "left").join(peer_protections(entries, lines), key, "left").join(called, key, "left")
     body = F.concat_ws("\n\n", "mine", "theirs", "called")
-    note = F.concat(F.lit("Project map, built mechanically from the whole repository. It is context, not evidence: report findings only in `"), "path", F.lit("` and quote only that file. An entry point that lacks a protection its peers use is worth checking; it is a weakness only if this entry point needs that protection.\n"))
-    return full.where(body != "").select("repo", "path", F.concat(note, wrap_untrusted(body)).alias("map"))
+    note = F.concat(F.lit("Map of the repository, made by pattern matching. Use it to compare; cite `"), "path", F.lit("` alone. A missing protection counts only where this entry point needs it.\n"))
+    return full.where(body != "").select(*key, F.concat(note, wrap_untrusted(body)).alias("map"))
 
 
-def review_prompts(prompts: DataFrame, client_factory: Callable[[], Callable[[str], str]], parts: int | None = None) -> DataFrame:
-    """The columns of prompts but the prompt, content, error. A client is built once a partition; a failure stays on its row."""
+@dataclass
+class Reply:
+    """What a client may return besides a plain text."""
+
+    content: str | None
+    truncated: bool = False
+    prompt_tokens: int = 0
+    completion_tokens: int = 0
+
+
+def review_prompts(prompts: DataFrame, client_factory: Callable[[], Callable[[str], str | Reply]], parts: int | None = None) -> DataFrame:
+    """The columns of prompts but the prompt, content, truncated, tokens, seconds, error. A client is built once a partition; a failure stays on its row."""
     keep = [c for c in prompts.columns if c != "prompt"]
-    kinds = ", ".join(f"{c} {prompts.schema[c].dataType.simpleString()}" for c in keep)
+    said = [StructField("content", StringType()), StructField("truncated", BooleanType()), StructField("prompt_tokens", LongType()), StructField("completion_tokens", LongType()), StructField("seconds", DoubleType()), StructField("error", StringType())]
+    schema = StructType([prompts.schema[c] for c in keep] + said)
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = client_factory()
         for b in batches:
-            said, failed = [], []
+            rows = []
             for prompt in b["prompt"]:
+                began = time.monotonic()
                 try:
-                    said.append(client(prompt))
-                    failed.append(None)
+                    reply = client(prompt)
+                    reply = reply if isinstance(reply, Reply) else Reply(reply)
+                    rows.append((reply.content, reply.truncated, reply.prompt_tokens, reply.completion_tokens, time.monotonic() - began, None))
                 except Exception as e:  # noqa: BLE001 - any failure of a client belongs to its row
-                    said.append(None)
-                    failed.append(f"{type(e).__name__}: {e}")
-            yield b[keep].assign(content=said, error=failed)
+                    rows.append((None, False, 0, 0, time.monotonic() - began, f"{type(e).__name__}: {e}"))
+            yield pd.concat([b[keep].reset_index(drop=True), pd.DataFrame(rows, columns=[f.name for f in said])], axis=1)
 
     spread = prompts.repartition(parts, *keep[:3]) if parts else prompts.repartition(*keep[:3])
-    return spread.mapInPandas(answer, f"{kinds}, content string, error string")
+    return spread.mapInPandas(answer, schema)
 
 
-def scan_job(lines: DataFrame, evidence: DataFrame, found: DataFrame, scanner: DataFrame | None) -> DataFrame:
-    """Tiered, numbered, ranked findings that rest on verified citations.
+def answered(answers: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Findings whose citations hold (repo, fid, order columns and the finding's fields), their checked citations, and a row of statistics a file.
 
-    found: repo, fid, path, start_line, cwe, title, severity, summary, reasoning; evidence: its citations.
+    answers: as review_prompts gives them for build_prompts. A finding whose fields are wrong is an error of its part, one without a
+    citation that holds is discarded.
+    """
+    part_error = F.when(F.col("error").isNotNull(), F.col("error"))
+    parsed = findings.parsed_answers(answers.withColumn("call_error", part_error).drop("error")).withColumn("error", F.coalesce("call_error", "error"))
+    each = parsed.where("error is null").select("repo", "path", "lead_rank", "part", F.posexplode("findings").alias("ord", "f")).withColumn("valid", valid_finding(F.col("f")))
+    fid = F.concat_ws("#", "path", F.col("part").cast("string"), F.col("ord").cast("string"))
+    good = each.where("valid").select("repo", fid.alias("fid"), F.col("path").alias("file"), "lead_rank", "part", "ord", "f")
+    ev = good.select("repo", "fid", F.posexplode("f.evidence").alias("ev_ord", "e")).select("repo", "fid", "ev_ord", "e.*")
+    checked = findings.dedupe_citations(citations.check_citations(ev, lines).where("passed"))
+    first = checked.groupBy("repo", "fid").agg(F.array_sort(F.collect_list(F.struct("ev_ord", "path", "start_line", "end_line", "quote", "role"))).alias("evidence"))
+    kept = good.join(first, ["repo", "fid"]).withColumn("at", primary_evidence(F.col("evidence")))
+    fields = ["title", "severity", "summary", "reasoning", "remediation"]
+    found = kept.select("repo", "fid", "file", "lead_rank", "part", "ord", "evidence", F.col("at.path").alias("path"), F.col("at.start_line").alias("start_line"), normalise_cwe(F.col("f.cwe")).alias("cwe"), *(F.col(f"f.{c}").alias(c) for c in fields))
+    key = ["repo", "path"]
+    wrong = each.where(~F.col("valid")).select(*key, "part").distinct().withColumn("bad_field", F.lit("a finding has wrong fields"))
+    per_part = parsed.select(*key, "part", "first", "last", "error", "prompt_tokens", "completion_tokens", "seconds").join(wrong, [*key, "part"], "left")
+    several = F.max("part") > 1
+    said = F.coalesce("error", "bad_field")
+    listed = F.array_sort(F.collect_list(F.when(said.isNotNull(), F.struct("part", said.alias("e"), F.concat(F.lit("lines "), F.col("first").cast("string"), F.lit("-"), F.col("last").cast("string"), F.lit(": "), said).alias("full")))))
+    stats = per_part.groupBy(*key).agg(listed.alias("errors"), several.alias("several"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"), F.sum("seconds").alias("seconds"))
+    text = F.when(F.size("errors") > 0, F.array_join(F.transform("errors", lambda e: F.when(F.col("several"), e["full"]).otherwise(e["e"])), "; "))
+    counts = each.where("valid").groupBy(*key).agg(F.count("*").alias("n_valid")).join(found.groupBy("repo", F.col("file").alias("path")).agg(F.count("*").alias("n_findings")), key, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    stats = stats.join(counts, key, "left").select(*key, text.alias("error"), (zero("n_valid") - zero("n_findings")).alias("discarded"), "prompt_tokens", "completion_tokens", "seconds", zero("n_findings").alias("n_findings"))
+    return found, checked, stats
+
+
+def scan_job(
+    lines: DataFrame,
+    mode: str = "judge",
+    client_factory: Callable[[], Callable[[str], str | Reply]] | None = None,
+    scanner: DataFrame | None = None,
+    paths: DataFrame | None = None,
+    limit: int | None = None,
+    **prompts,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Merged, numbered, tiered and ranked findings of every repository, their citations, and scan_stats.
+
+    mode judge: each lead's windows go to a client; patterns: the lexicon's hits, without corroboration; scanner: the scanner's results
+    as they are. scanner: repo, path, start_line, end_line, cwe, title, summary, quote, as read_scanner gives them. Other
+    arguments are those of build_prompts.
     """
-    checked = citations.check_citations(evidence, lines)
-    ok = citations.verified_findings(checked).where("verified").select("repo", "fid")
-    kept = findings.dedupe_findings(found.join(ok, ["repo", "fid"], "left_semi"), ["path", "start_line", "fid"])
-    cited = findings.dedupe_citations(checked.where("passed"))
-    tiered = intervals.assign_tiers(kept, cited, scanner)
-    return findings.rank_findings(findings.wording(findings.number_findings(tiered, ["path", "start_line", "fid"])))
+    no = F.lit(None).cast("string")
+    if mode == "judge":
+        from_leads = build_prompts(lines, paths=paths, limit=limit, **prompts)
+        # Written out: an answer is paid for once.
+        found, cited, reviews = answered(stored(review_prompts(from_leads, client_factory), "answers"), lines)
+        order = ["lead_rank", "part", "ord"]
+    elif mode == "patterns":
+        leads = hints.rank_leads(hints.lead_hints(lines, paths), limit)
+        found, cited = findings.pattern_review(lines.join(leads.select("repo", "path"), ["repo", "path"], "left_semi"))
+        ranks = leads.select("repo", "path", F.col("rank").alias("lead_rank"))
+        found = found.join(ranks, ["repo", "path"]).withColumns({"severity": F.lit("medium"), "reasoning": no, "remediation": no})
+        reviews = leads.select("repo", "path", no.alias("error"), *(F.lit(0).alias(c) for c in ("discarded", "prompt_tokens", "completion_tokens", "n_findings")), F.lit(0.0).alias("seconds"))
+        order, scanner = ["lead_rank", "start_line", "cwe", "title"], None
+    elif mode == "scanner":
+        wanted = scanner if paths is None else scanner.join(paths.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
+        fid = F.concat_ws(":", "path", F.col("start_line").cast("string"), F.col("end_line").cast("string"), "title", F.coalesce("cwe", F.lit("")))
+        rows = wanted.withColumn("fid", fid)
+        found = rows.select("repo", "fid", "path", "start_line", "cwe", "title", "summary", F.lit("medium").alias("severity"), no.alias("reasoning"), no.alias("remediation"))
+        cited = rows.select("repo", "fid", F.lit(0).alias("ev_ord"), "path", "start_line", "end_line", "quote", F.lit("sink").alias("role")).distinct()
+        reviews = rows.groupBy("repo", "path").agg(F.lit(0).alias("n_findings")).select("repo", "path", no.alias("error"), *(F.lit(0).alias(c) for c in ("discarded", "prompt_tokens", "completion_tokens", "n_findings")), F.lit(0.0).alias("seconds"))
+        order, scanner = ["path", "start_line", "fid"], None
+    else:
+        raise ValueError(f"mode is judge, patterns or scanner, not {mode}")
+    kept = findings.dedupe_findings(found, order)
+    numbered = findings.number_findings(kept, order)
+    tiered = intervals.assign_tiers(numbered, cited, scanner)
+    ranked = findings.rank_findings(findings.wording(tiered))
+    per_repo = ranked.groupBy("repo").agg(F.count("*").alias("findings"))
+    return ranked, cited.join(ranked.select("repo", "fid"), ["repo", "fid"], "left_semi"), findings.scan_stats(reviews, per_repo)
+
+
+def report_rows(ranked: DataFrame, cited: DataFrame) -> DataFrame:
+    """repo, rank, finding, checks for write_report, from what scan_job returns."""
+    ev = cited.groupBy("repo", "fid").agg(F.array_sort(F.collect_list(F.struct("ev_ord", "path", "start_line", "end_line", "quote", "role"))).alias("cites"))
+    rows = ranked.join(ev, ["repo", "fid"], "left")
+    finding = F.struct("id", "title", "tier", "severity", "cwe", "summary", "reasoning", "remediation", F.col("cites").alias("evidence"))
+    wording = F.struct(F.lit("wording").alias("name"), (~F.col("hedged")).alias("passed"), F.col("hedge").alias("detail"))
+    return rows.select("repo", "rank", finding.alias("finding"), F.array(wording).alias("checks"))
+
+
+def eval_seeded(lines: DataFrame, truth: DataFrame, review: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = findings.pattern_review, note: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Scores of the tree and of its patched twin (score_summary), and repo, weaknesses, found, still, correct, pair_accuracy.
+
+    The twin is the tree with every weakness fixed whose anchor is on one line; both trees are reviewed by `review`, which
+    turns lines into findings and citations. truth: repo, path, id, anchor, patched_anchor, old, new, radius, cwes, is_decoy. note
+    is planted before files with a weakness.
+    """
+    files = file_texts(lines)
+    usable = truth.join(intervals.anchor_regions(truth, lines).select("repo", "path", "id"), ["repo", "path", "id"], "left_semi")
+    twin = stored(hints.file_lines(score.patched_twin(files, usable).drop("bad")), "twin")
+    if note is not None:
+        lines = stored(hints.file_lines(plant_note(files, truth, note)), "planted")
+
+    def side(tree, patched):
+        found, evidence = review(tree)
+        return intervals.match_truth(evidence, found, intervals.truth_regions(truth, tree, patched))
 
+    before, after = stored(side(lines, False), "before"), stored(side(twin, True), "after")
+    weak = truth.where("not is_decoy").select("repo", "id")
+    hit = lambda m, kind: m.where(F.col("kind") == kind).select(F.col("item").alias("id")).distinct()
+    sides = score.pair_sides(weak, hit(before, intervals.LIVE), hit(after, intervals.FIXED)).join(weak, "id")
+    pairs = sides.groupBy("repo").agg(F.count("*").alias("weaknesses"), F.count_if("detected").alias("found"), F.count_if("still_flagged").alias("still"), F.count_if("pair_correct").alias("correct"), ratio(F.count_if("pair_correct"), F.count("*"), None).alias("pair_accuracy"))
+    return score.score_summary(before, truth), score.score_summary(after, truth, patched=True), pairs
 
-def eval_seeded(lines: DataFrame, truth: DataFrame, before: DataFrame, after: DataFrame, evidence: DataFrame) -> DataFrame:
-    """repo, weaknesses, found, still, correct, pair_accuracy: a weakness found in the tree and gone from its fixed twin."""
-    regions = intervals.anchor_regions(truth, lines)
-    hit = lambda f: intervals.match_truth(evidence.join(f.select("repo", "fid"), ["repo", "fid"], "left_semi"), f, regions).where("not is_decoy").select(F.col("item").alias("id")).distinct()
-    sides = score.pair_sides(truth.where("not is_decoy").select("id"), hit(before), hit(after)).join(truth.select("id", "repo"), "id")
-    return sides.groupBy("repo").agg(F.count("*").alias("weaknesses"), F.count_if("detected").alias("found"), F.count_if("still_flagged").alias("still"), F.count_if("pair_correct").alias("correct"), ratio(F.count_if("pair_correct"), F.count("*"), None).alias("pair_accuracy"))
 
+def build_training(teacher: DataFrame, lines: DataFrame, system: str, seed: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records of accepted answers (repo, name, side, kept, record), the counts of all statuses, and dataset_summary.
 
-def build_training(teacher: DataFrame, system: str, seed: str) -> tuple[DataFrame, DataFrame]:
-    """(side, record) of accepted answers, and the counts of all statuses."""
-    judged = accept_answers(select.last_rows(teacher))
+    teacher: the answer log (repo, name, attempt, real, classes, prompt, content, truncated); the last attempt of a name counts.
+    """
+    parsed = findings.parsed_answers(select.last_rows(teacher, ["repo", "name"])).withColumn("findings", F.transform("findings", lambda f: f.withField("cwe", normalise_cwe(f["cwe"]))))
+    valid = parsed.withColumn("findings", F.filter("findings", valid_finding))
+    checked = citations.check_citations(train.teacher_evidence(valid), lines)
+    judged = stored(train.accept_answers(train.with_verified(valid, checked)), "judged")
     target = F.to_json(F.struct("analysis", F.col("kept").alias("findings")))
     sides = select.train_valid(judged.where("status = 'ok'"), seed)
-    return sides.select("name", "side", to_chat_record(F.lit(system), F.col("prompt"), target).alias("record")), summary.status_counts(judged)
+    records = sides.select("repo", "name", "side", "kept", to_chat_record(F.lit(system), F.col("prompt"), target).alias("record"))
+    return records, summary.status_counts(judged), summary.dataset_summary(judged, sides)
 
 
-def neutral_pairs(files: DataFrame, modules: DataFrame, vulnerable: str, secure: str) -> tuple[DataFrame, DataFrame]:
-    """Both versions of each module as <module>/handler<ext> (side, module, path, content), and the modules that lack one."""
-    wanted = modules.select(F.col("id").alias("module"), F.explode(F.create_map(F.lit("vulnerable"), F.lit(vulnerable), F.lit("secure"), F.lit(secure))).alias("side", "file"))
-    wanted = wanted.withColumn("path", F.concat("module", F.lit("/"), "file"))
-    found = wanted.join(files.select("path", "content"), "path").select("side", "module", F.concat("module", F.lit("/handler."), F.substring_index("file", ".", -1)).alias("path"), "content")
-    return found, wanted.join(files.select("path"), "path", "left_anti").select("module", "side")
+def eval_pairs(vulnerable: tuple[DataFrame, DataFrame], secure: tuple[DataFrame, DataFrame], modules: DataFrame) -> DataFrame:
+    """repo, modules, detected, secure_flagged, pair_accuracy, other findings of both sides. A side is (findings, evidence).
 
-
-def eval_pairs(vulnerable: tuple[DataFrame, DataFrame], secure: tuple[DataFrame, DataFrame], modules: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, modules, detected, secure_flagged, pair_accuracy, other findings of both sides. A side is (findings, evidence).
-
-    modules: keys, id, cwes. Findings in no module, or of a class that their module doesn't list, are others.
+    modules: repo, id, cwes. Findings in no module, or of a class that their module doesn't list, are others.
     """
-    on = list(keys)
-
     def side(pair, name):
         found, evidence = pair
-        flags = score.flag_modules(evidence, found, modules.select("id", "cwes").distinct()).join(found.select("repo", "fid", *(k for k in on if k != "repo")), ["repo", "fid"])
-        hit = flags.groupBy(*on, F.col("module").alias("id")).agg(F.bool_or("flagged").alias(name))
-        other = flags.groupBy(*on).agg(F.count_if(~F.col("flagged")).alias(f"other_{name}"))
+        flags = score.flag_modules(evidence, found, modules)
+        hit = flags.groupBy("repo", F.col("module").alias("id")).agg(F.bool_or("flagged").alias(name))
+        other = flags.groupBy("repo").agg(F.count_if(~F.col("flagged")).alias(f"other_{name}"))
         return hit.where(F.col(name)), other
 
     (v, other_v), (s, other_s) = side(vulnerable, "v"), side(secure, "s")
     no, zero = F.lit(False), F.lit(0)
-    rows = modules.select(*on, "id").join(v, [*on, "id"], "left").join(s, [*on, "id"], "left").select(*on, "id", F.coalesce("v", no).alias("v"), F.coalesce("s", no).alias("s"))
+    rows = modules.select("repo", "id").join(v, ["repo", "id"], "left").join(s, ["repo", "id"], "left").select("repo", "id", F.coalesce("v", no).alias("v"), F.coalesce("s", no).alias("s"))
     right = F.count_if(F.col("v") & ~F.col("s"))
-    out = rows.groupBy(*on).agg(F.count("*").alias("modules"), F.count_if("v").alias("detected"), F.count_if("s").alias("secure_flagged"), ratio(right, F.count("*"), None).alias("pair_accuracy"))
-    out = out.join(other_v, on, "left").join(other_s, on, "left") if on else out.join(F.broadcast(other_v)).join(F.broadcast(other_s))  # one row each
-    return out.select(*on, "modules", "detected", "secure_flagged", "pair_accuracy", F.coalesce("other_v", zero).alias("other_findings_vulnerable"), F.coalesce("other_s", zero).alias("other_findings_secure"))
+    out = rows.groupBy("repo").agg(F.count("*").alias("modules"), F.count_if("v").alias("detected"), F.count_if("s").alias("secure_flagged"), ratio(right, F.count("*"), None).alias("pair_accuracy"))
+    out = out.join(other_v, "repo", "left").join(other_s, "repo", "left")
+    return out.select("repo", "modules", "detected", "secure_flagged", "pair_accuracy", F.coalesce("other_v", zero).alias("other_findings_vulnerable"), F.coalesce("other_s", zero).alias("other_findings_secure"))
+
+
+def review_pairs(files: DataFrame, modules: DataFrame, vulnerable: str, secure: str, review: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = findings.pattern_review) -> tuple[DataFrame, DataFrame]:
+    """eval_pairs of both versions of each module under neutral names, and the modules that lack one."""
+    pairs, missing = train.neutral_pairs(files, modules, vulnerable, secure)
+    tree = lambda side: review(hints.file_lines(pairs.where(F.col("side") == side).select("repo", "path", "content")))
+    return eval_pairs(tree("vulnerable"), tree("secure"), modules), missing
 
 
 def eval_real(vulnerable: DataFrame, fixed: DataFrame, items: DataFrame, changes: DataFrame, slack: int = 3) -> DataFrame:
@@ -153,22 +295,32 @@ def eval_real(vulnerable: DataFrame, fixed: DataFrame, items: DataFrame, changes
     return rows.agg(F.count("*").alias("items"), count("detected"), count("detected_at_change"), count("fixed_flagged"), ratio(F.count_if("pair_correct"), F.count("*"), None).alias("pair_accuracy"), total("other_findings_vulnerable"), total("other_findings_fixed"))
 
 
-def eval_cases(found: DataFrame, cases: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """Rates for each category and all. cases: name, category, real, path, classes; names keeps the cases that it lists."""
-    chosen = cases if names is None else cases.join(names.select("name").distinct(), "name", "left_semi")
+def changes_of_diffs(diffs: DataFrame, items: DataFrame) -> DataFrame:
+    """item, repo, path, start_line, end_line from diffs (diff is the item's id); items: id, repo."""
+    ranges = select.diff_ranges(diffs).select(F.col("diff").alias("item"), "path", F.col("start").alias("start_line"), F.col("end").alias("end_line"))
+    return ranges.join(items.select(F.col("id").alias("item"), "repo").distinct(), "item")
+
+
+def eval_cases(found: DataFrame, cases: DataFrame, names: DataFrame | None = None, answered_only: bool = False) -> DataFrame:
+    """Rates for each category and all. cases: repo, name, category, real, path, classes (and error); names keeps the cases that it lists."""
+    chosen = cases if names is None else score.holdout_cases(cases, names)
     flags = score.flag_cases(found, chosen)
-    return score.score_cases(chosen.select("name", "category", "real").join(flags, "name"))
+    error = [c for c in ("error",) if c in chosen.columns]
+    return score.score_cases(chosen.select("repo", "name", "category", "real", *error).join(flags, ["repo", "name"]), answered_only)
 
 
-def summarise_runs(metrics: DataFrame, run_items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Metrics (config, run, metric, value) over the runs of each configuration, and each item's stability."""
-    return summary.metric_summary(metrics), summary.item_stability(run_items)
+def summarise_runs(runs: DataFrame, groups: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Each metric over the runs of a configuration, and each item's stability. runs: as read_runs gives them; groups: id, grp of real fixes."""
+    config = [c for c in runs.columns if c not in ("seed", "run")]
+    name = F.to_json(F.struct(*config))
+    of = lambda df: df.select(name.alias("config"), F.col("seed").alias("run"), *(c for c in df.columns if c not in (*config, "seed")))
+    return summary.metric_summary(of(summary.run_metrics(runs, groups))), summary.item_stability(of(summary.run_items(runs)))
 
 
 def signal_job(found: DataFrame, evidence: DataFrame, scanner: DataFrame, regions: DataFrame) -> DataFrame:
     """How much each sign of a sound finding tells: precision with and without it, and the share of true findings kept."""
     signals = ["scanner agrees", "no hedging words", "cites both ends", "severity high or critical"]
-    true = intervals.match_truth(evidence, found, regions).select("repo", "fid", (F.col("item").isNotNull() & ~F.coalesce("is_decoy", F.lit(False))).alias("is_true"))
+    true = intervals.match_truth(evidence, found, regions).select("repo", "fid", F.coalesce(F.col("kind") == intervals.LIVE, F.lit(False)).alias("is_true"))
     agreed = intervals.scanner_agreement(evidence, scanner).withColumn("agrees", F.lit(True))
     rows = findings.wording(found).join(true, ["repo", "fid"]).join(agreed, ["repo", "fid"], "left").join(findings.dataflow(evidence), ["repo", "fid"], "left")
     no = F.lit(False)

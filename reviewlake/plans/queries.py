@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake.functions import scalars as S
-from reviewlake.operators import citations, defs, findings, hints, intervals, score, select, summary
+from reviewlake.operators import citations, defs, findings, hints, intervals, score, select, summary, train
 from reviewlake.plans import jobs
+from reviewlake.plans.storage import shared_dir
 from reviewlake.plans.views import load, quoted, view, with_views
+from reviewlake.sources import files
+from reviewlake.streaming import answers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -59,10 +64,112 @@ def a4_read_numbered(spark, sf):
     return hints.read_numbered(view(spark, sf, "code_lines"), 8, 12)
 
 
-@query(rf"""{CODE}, h AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path, line) AS n FROM code_lines WHERE regexp_matches(text, 'open\(|eval'))
-    SELECT repo, path, line, substring(trim(text), 1, 240) AS text FROM h WHERE n <= 60""")
+@query(rf"""{CODE}, t AS (SELECT repo, path, line, replace(text, '    ', chr(9)) || chr(9) || chr(10) AS text FROM code_lines), h AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path, line) AS n FROM t WHERE regexp_matches(text, 'open\(|eval'))
+    SELECT repo, path, line, substring(regexp_replace(text, '^\s+|\s+$', '', 'g'), 1, 240) AS text FROM h WHERE n <= 60""")
 def a5_grep(spark, sf):
-    return hints.grep(view(spark, sf, "code_lines"), r"open\(|eval")
+    lines = view(spark, sf, "code_lines").withColumn("text", F.concat(F.replace("text", F.lit("    "), F.lit("\t")), F.lit("\t\n")))
+    return hints.grep(lines, r"open\(|eval")
+
+
+def folder(spark, name):
+    """A new folder in the shared one, for what a query writes and reads back."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"""{CODE} SELECT repo, split_part(path, '/', 1) AS dir, md5(string_agg(text || chr(10), '' ORDER BY path, line)) AS digest FROM code_lines GROUP BY ALL HAVING sum(length(text) + 1) <= {files.LARGEST_FILE}""")
+def a1_read_tree(spark, sf):
+    """A tree with a file for each folder of each repository, written from the lines and read as a checkout is."""
+    root = folder(spark, "tree+c++")
+    rows = view(spark, sf, "code_lines").select("repo", F.substring_index("path", "/", 1).alias("dir"), "path", "line", "text")
+    rows.repartition("repo", "dir").sortWithinPartitions("repo", "dir", "path", "line").select("repo", "dir", "text").write.partitionBy("repo", "dir").text(root)
+    tree = files.read_tree(spark, root, "r").where(F.col("path").endswith(".txt"))
+    return tree.select(F.regexp_extract("path", "^repo=([^/]*)/", 1).alias("repo"), F.regexp_extract("path", "/dir=([^/]*)/", 1).alias("dir"), F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+@query(f"""{with_views('scanner', 'code_lines')}, s AS (SELECT DISTINCT repo, path, start_line, start_line + 1 AS end_line, split_part(check_id, '.', -1) AS title, cwe FROM scanner)
+    SELECT s.repo, s.path, s.start_line, s.end_line, s.title, s.cwe, repeat('m', 400) AS summary, coalesce(string_agg(c.text, chr(10) ORDER BY c.line), '') AS quote FROM s LEFT JOIN code_lines c ON c.repo = s.repo AND c.path = s.path AND c.line BETWEEN s.start_line AND s.end_line GROUP BY ALL""")
+def a6_read_scanner(spark, sf):
+    """Scanner files, a folder for each repository; a class is given as a list or, in every other result, as a plain text."""
+    out = folder(spark, "scanner")
+    cwe = F.concat(F.col("cwe"), F.lit(": Name"))
+    meta = lambda kind: F.to_json(F.struct(kind.alias("cwe")))
+    result = F.struct("check_id", "path", F.struct(F.col("start_line").alias("line")).alias("start"), F.struct((F.col("start_line") + 1).alias("line")).alias("end"), F.struct(F.lit("m" * 500).alias("message"), F.from_json(F.when(F.col("start_line") % 2 == 0, meta(F.array(cwe))).otherwise(meta(cwe)), "struct<cwe:string>").alias("metadata")).alias("extra"))
+    rows = view(spark, sf, "scanner").distinct().groupBy("repo", F.substring_index("path", "/", 1).alias("dir")).agg(F.to_json(F.struct(F.collect_list(result).alias("results"))).alias("value"))
+    rows.repartition("repo", "dir").write.partitionBy("repo", "dir").text(out)
+    return files.read_scanner(spark, out, view(spark, sf, "code_lines")).select("repo", "path", "start_line", "end_line", "title", "cwe", "summary", "quote")
+
+
+@query(f"{with_views('cases')} SELECT name, 'c' || cat AS category, real, (pk % 900)::INT AS cwe FROM cases")
+def a7_read_cases(spark, sf):
+    """An answer key with comment rows and padded cells."""
+    out = folder(spark, "key")
+    row = F.concat("name", F.lit(" , c"), F.col("cat").cast("string"), F.lit(", "), F.col("real").cast("string"), F.lit(" ,"), (F.col("pk") % 900).cast("string"))
+    view(spark, sf, "cases").select(F.explode(F.array(F.lit("# name, category, real, cwe"), row)).alias("value")).write.text(out)
+    return files.read_cases(spark, out)
+
+
+RUN_FILES_SQL = """r AS (SELECT config, substring(config, 4)::INT AS c, run, substring(run, 4)::INT AS seed, item, max(value) AS value, count(*) AS n FROM runs GROUP BY ALL),
+    i AS (SELECT config, c, seed, 'i' || item AS item, value > 50 AS found, value > 80 AS correct, n FROM r)"""
+
+
+def run_files(spark, sf):
+    """Saved results, a file for each configuration: two of seeded weaknesses, two of file pairs, one of real fixes."""
+    out = folder(spark, "runs")
+    r = view(spark, sf, "runs").groupBy("config", "run", "item").agg(F.max("value").alias("value"), F.count("*").alias("n"))
+    c, item = F.substring("config", 4, 9).cast("int"), F.concat(F.lit("i"), F.col("item").cast("string"))
+    some = lambda cond: F.array_sort(F.collect_list(F.when(cond, item)))
+    v = F.col("value")
+    runs = r.groupBy("config", F.substring("run", 4, 9).cast("int").alias("seed")).agg(some(v > 50).alias("found"), some(v <= 50).alias("missed"), some((v > 50) & (v <= 80)).alias("still"), some(v > 80).alias("right"), F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct(item.alias("id"), (v > 50).alias("detected"), (v > 50).alias("detected_at_change"), (v <= 10).alias("fixed_flagged"), (v > 80).alias("pair_correct"), F.col("n").alias("other_findings_vulnerable")))).alias("items"))
+    stats = F.struct(F.array(F.lit("e")).alias("errors"), F.lit(1.5).alias("seconds"))
+    seeded = F.struct("seed", F.struct("found", F.array().cast("array<string>").alias("decoys_flagged"), F.array(F.lit("e")).alias("errors"), (F.col("n") * 1.0).alias("seconds")).alias("vulnerable"), F.struct(F.col("still").alias("patched_still_flagged"), F.array().cast("array<string>").alias("errors"), F.lit(0.5).alias("seconds")).alias("patched"))
+    pairs = F.struct("seed", F.col("found").alias("detected"), "missed", F.array("config").alias("secure_flagged"), F.col("right").alias("pair_correct"), stats.alias("stats_vulnerable"), stats.alias("stats_secure"))
+    real = F.struct("seed", F.transform("items", lambda i: i.withField("stats_vulnerable", stats).withField("stats_fixed", stats)).alias("items"))
+    said = F.when(c < 2, F.to_json(seeded)).when(c < 4, F.to_json(pairs)).otherwise(F.to_json(real))
+    target = F.when(c < 2, F.lit(None).cast("string")).when(c < 4, "pairs").otherwise("real")
+    head = F.to_json(F.struct(target.alias("target"), F.col("config").alias("model"), F.lit("judge").alias("mode"), F.lit(0.0).alias("temperature")))
+    body = F.concat(F.lit('{"summary":'), F.first(head), F.lit(',"runs":['), F.array_join(F.sort_array(F.collect_list(said)), ","), F.lit("]}"))
+    runs.groupBy("config").agg(body.alias("value")).repartition("config").write.partitionBy("config").text(out)
+    return files.read_runs(spark, out)
+
+
+@query(f"{with_views('runs')}, {RUN_FILES_SQL} SELECT CASE WHEN c < 2 THEN 'seeded' WHEN c < 4 THEN 'pairs' ELSE 'real' END AS target, config AS model, 'judge' AS mode, '' AS prompt, 'none' AS context, seed, count(*) FILTER (WHERE found OR c >= 4) AS n FROM i GROUP BY config, c, seed")
+def a8_read_runs(spark, sf):
+    n = F.coalesce(F.size("run.vulnerable.found"), F.size("run.detected"), F.size("run.items")).cast("long")
+    return run_files(spark, sf).select("target", "model", "mode", "prompt", "context", "seed", n.alias("n"))
+
+
+@query(f"""{FOUND}, s AS (SELECT repo, severity <> 'low' AS shown FROM findings) SELECT repo, count(*) AS findings, count(*) FILTER (WHERE shown) * 14 + 7 AS report_lines, count(*) FILTER (WHERE NOT shown) AS rejected, 1::BIGINT AS stats FROM s GROUP BY repo""")
+def a9_write_findings(spark, sf):
+    """Findings, statistics and reports, written and read back: numbers of rows and lines."""
+    out = folder(spark, "report")
+    f = view(spark, sf, "findings")
+    e = F.array(F.struct("path", "start_line", F.col("start_line").alias("end_line"), F.lit("q").alias("quote"), F.lit("sink").alias("role")))
+    finding = F.struct(F.col("fid").alias("id"), "title", F.when(F.col("severity") == "low", "rejected").otherwise("suspected").alias("tier"), "severity", "cwe", "summary", F.lit(None).cast("string").alias("reasoning"), F.lit(None).cast("string").alias("remediation"), e.alias("evidence"))
+    rows = f.select("repo", F.col("line").alias("rank"), finding.alias("finding"))
+    files.write_findings(f, f"{out}/findings")
+    files.write_report(rows, f"{out}/report", "m")
+    files.write_stats(f.groupBy("repo").agg(F.count("*").alias("leads")), f"{out}/stats")
+    report = spark.read.text(f"{out}/report")
+    rejected = F.max(F.regexp_extract("value", r"reported, (\d+) rejected", 1).try_cast("int")).cast("long")
+    lines = report.groupBy("repo").agg(F.count("*").alias("report_lines"), rejected.alias("rejected"))
+    return spark.read.json(f"{out}/findings").groupBy("repo").agg(F.count("*").alias("findings")).join(lines, "repo").join(spark.read.json(f"{out}/stats").groupBy("repo").agg(F.count("*").alias("stats")), "repo")
+
+
+@query("""SELECT CASE WHEN doc_id % 10 = 0 THEN 'valid' ELSE 'train' END AS side, '{"messages":[{"role":"system","content":"Review."},{"role":"user","content":' || to_json(source) || '},{"role":"assistant","content":' || to_json(lang) || '}]}' AS value FROM documents""")
+def a10_write_chat_jsonl(spark, sf):
+    out = folder(spark, "chat")
+    files.write_chat_jsonl(load(spark, sf, "documents").select(F.when(F.col("doc_id") % 10 == 0, "valid").otherwise("train").alias("side"), S.to_chat_record(F.lit("Review."), F.col("source"), F.col("lang")).alias("record")), out)
+    return spark.read.text(out).select("side", "value")
+
+
+@query(f"{with_views('changes')} SELECT replace(replace(item, ':', '-'), '/', '-') AS item, path, start_line, end_line FROM changes")
+def a11_read_changes(spark, sf):
+    """A file of changed ranges in a folder for each item."""
+    out = folder(spark, "changes")
+    per = view(spark, sf, "changes").groupBy("item", "path").agg(F.sort_array(F.collect_list(F.array("start_line", "end_line"))).alias("spans"))
+    one = per.groupBy(F.translate("item", ":/", "--").alias("item")).agg(F.to_json(F.struct(F.lit("f").alias("fix"), F.lit("p").alias("parent"), F.map_from_entries(F.collect_list(F.struct("path", "spans"))).alias("ranges"))).alias("value"))
+    one.repartition("item").write.partitionBy("item").text(out)
+    return files.read_changes(spark, out).withColumn("item", F.regexp_replace("item", "^item=", ""))
 
 
 # B: filters and extraction
@@ -159,7 +266,16 @@ def b9_php_entries(spark, sf):
     return defs.php_entries(lines).select("repo", "path", "line", "route")
 
 
-@query()
+PYTHON_SQL = rf"""{GUARDS_SQL}, py AS (SELECT repo, path, line, text, CASE WHEN regexp_matches(text, '^\s*@([\w.]+)') THEN 'd' WHEN regexp_matches(text, '^(\s*)(?:async\s+)?def\s+(\w+)\s*\(') THEN 'f' WHEN trim(text) = '' OR starts_with(trim(text), '#') THEN 'b' ELSE 'c' END AS kind, length(regexp_extract(text, '^(\s*)', 1)) AS indent FROM code_lines WHERE {FAMILY_SQL} = 'python'),
+    since AS (SELECT *, coalesce(max(CASE WHEN kind IN ('f', 'c') THEN line END) OVER (PARTITION BY repo, path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM py),
+    routes AS (SELECT repo, path, s, arg_min(trim(upper(regexp_extract(text, {quoted(defs.PY_ROUTE)}, 1)) || ' ' || regexp_extract(text, {quoted(defs.PY_ROUTE)}, 2)), line) AS route FROM since WHERE kind = 'd' AND regexp_matches(text, {quoted(defs.PY_ROUTE)}) GROUP BY ALL),
+    fs AS (SELECT c.repo, c.path, c.line, c.s, c.indent, r.route, regexp_extract(c.text, '^(\s*)(?:async\s+)?def\s+(\w+)\s*\(', 2) AS name FROM since c JOIN routes r USING (repo, path, s) WHERE c.kind = 'f'),
+    ends AS (SELECT f.*, (SELECT min(p.line) FROM py p WHERE p.repo = f.repo AND p.path = f.path AND p.line > f.line AND p.kind <> 'b' AND p.indent <= f.indent) AS stop FROM fs f),
+    used AS (SELECT e.repo, e.path, e.line, g.guard FROM ends e JOIN guards g ON g.repo = e.repo AND g.path = e.path AND g.line > e.line AND g.line < coalesce(e.stop, 1000000)
+        UNION SELECT f.repo, f.path, f.line, regexp_extract(d.text, '^\s*@([\w.]+)', 1) FROM fs f JOIN since d ON d.repo = f.repo AND d.path = f.path AND d.s = f.s AND d.kind = 'd' WHERE NOT regexp_matches(d.text, {quoted(defs.PY_ROUTE)}) AND regexp_matches(regexp_extract(d.text, '^\s*@([\w.]+)', 1), {quoted(defs.GUARD_WORD)}))"""
+
+
+@query(f"{CODE}, {CALLS_SQL}, {PYTHON_SQL} SELECT e.repo, e.path, e.line, e.name, e.route, coalesce(string_agg(DISTINCT u.guard, ',' ORDER BY u.guard), '') AS guards FROM ends e LEFT JOIN used u USING (repo, path, line) GROUP BY e.repo, e.path, e.line, e.name, e.route")
 def b9_python_entries(spark, sf):
     return sorted_guards(defs.python_entries(view(spark, sf, "code_lines")))
 
@@ -175,10 +291,8 @@ CASE_SOURCE = "concat('''''''\nOWASP ', name, '\n''''''\n@app.route(\"/benchmark
 @query(rf"""{with_views("cases")} SELECT name, replace(regexp_replace(regexp_replace(src, '\A\s*''''''(?s:.*?)''''''\s*\n', ''), '(/benchmark/|web/)[a-z]+-\d+/', '\1case/', 'g'), 'OWASP', 'X') AS src
     FROM (SELECT name, {CASE_SOURCE} AS src FROM cases) x""")
 def b11_neutralise(spark, sf):
-    from reviewlake.operators.train import neutralise
-
     cases = view(spark, sf, "cases").withColumn("src", F.concat(F.lit("'''\nOWASP "), "name", F.lit("\n'''\n@app.route(\"/benchmark/sqli-00/"), "name", F.lit("\")\nrender(\"web/xss-01/a.html\")\n")))
-    return cases.select("name", neutralise(F.col("src")).alias("src"))
+    return cases.select("name", train.neutralise(F.col("src")).alias("src"))
 
 
 @query(rf"""{with_views("code_lines", "truth")}, files AS (SELECT repo, path, string_agg(text, chr(10) ORDER BY line) AS content FROM code_lines GROUP BY ALL),
@@ -186,9 +300,7 @@ def b11_neutralise(spark, sf):
     SELECT f.repo, f.path, CASE WHEN w.path IS NULL THEN content WHEN {EXT.replace('path', 'f.path')} IN ('.py', '.sh', '.yml', '.yaml', '.tf') THEN '# note' || chr(10) || content ELSE '// note' || chr(10) || content END AS content
     FROM files f LEFT JOIN weak w ON f.repo = w.repo AND f.path = w.path""")
 def b12_plant_note(spark, sf):
-    from reviewlake.operators.train import file_texts, plant_note
-
-    return plant_note(file_texts(view(spark, sf, "code_lines")), view(spark, sf, "truth"), "note")
+    return train.plant_note(train.file_texts(view(spark, sf, "code_lines")), view(spark, sf, "truth"), "note")
 
 
 @query(f"""{with_views("advisories")} SELECT id, lower(repo) AS repo, cwe FROM advisories WHERE published BETWEEN '1993-01-01' AND '1997-12-31' AND NOT withdrawn AND ecosystem IN ('PIP', 'NPM')
@@ -197,9 +309,12 @@ def b14_filter_advisories(spark, sf):
     return kept_advisories(spark, sf).select("id", F.lower("repo").alias("repo"), "cwe")
 
 
+def advisory_rows(spark, sf):
+    return view(spark, sf, "advisories").withColumns({"references": F.array("url1", "url2"), "ecosystems": F.array("ecosystem"), "cwes": F.array("cwe")})
+
+
 def kept_advisories(spark, sf):
-    a = view(spark, sf, "advisories").withColumns({"references": F.array("url1", "url2"), "ecosystems": F.array("ecosystem"), "cwes": F.array("cwe")})
-    return select.filter_advisories(a, "1993-01-01", "1997-12-31")
+    return select.filter_advisories(advisory_rows(spark, sf), "1993-01-01", "1997-12-31")
 
 
 SOURCE_SQL = r"regexp_matches(filename, '(?i)\.(py|js|mjs|cjs|ts|tsx|jsx|vue|svelte|html?|jinja2?|j2|ejs|hbs)$') AND NOT regexp_matches(filename, '(?i)(^|/)tests?(/|$)|(^|/)test_[^/]*$')"
@@ -308,22 +423,27 @@ def c4_scanner_agreement(spark, sf):
     return intervals.scanner_agreement(view(spark, sf, "evidence"), view(spark, sf, "scanner"))
 
 
-REGIONS_SQL = """regions AS (SELECT t.id, t.repo, t.path, t.cwe, t.is_decoy, greatest(1, min(c.line) - t.radius) AS start_line, min(c.line) + t.radius AS end_line
-    FROM truth t JOIN code_lines c ON t.repo = c.repo AND t.path = c.path AND contains(c.text, t.anchor) GROUP BY t.id, t.repo, t.path, t.cwe, t.is_decoy, t.radius HAVING count(*) = 1)"""
+REGIONS_SQL = """regions AS (SELECT t.id, t.repo, t.path, t.cwe, t.cwe2, t.is_decoy, greatest(1, min(c.line) - t.radius) AS start_line, min(c.line) + t.radius AS end_line
+    FROM truth t JOIN code_lines c ON t.repo = c.repo AND t.path = c.path AND contains(c.text, t.anchor) GROUP BY t.id, t.repo, t.path, t.cwe, t.cwe2, t.is_decoy, t.radius HAVING count(*) = 1)"""
 
 
 @query(f"{with_views('code_lines', 'truth')}, {REGIONS_SQL} SELECT id, repo, path, start_line, end_line FROM regions")
 def c5_anchor_regions(spark, sf):
-    return regions(spark, sf).select("id", "repo", "path", "start_line", "end_line")
+    return intervals.anchor_regions(truth(spark, sf), view(spark, sf, "code_lines")).select("id", "repo", "path", "start_line", "end_line")
+
+
+def truth(spark, sf):
+    """Items with their list of classes, fix and patched anchor."""
+    return view(spark, sf, "truth").withColumns({"cwes": F.array("cwe", "cwe2"), "old": F.col("anchor"), "patched_anchor": F.col("new")})
 
 
 def regions(spark, sf):
-    return intervals.anchor_regions(view(spark, sf, "truth"), view(spark, sf, "code_lines"))
+    return intervals.truth_regions(truth(spark, sf), view(spark, sf, "code_lines"))
 
 
-MATCH_SQL = f"""{REGIONS_SQL}, met AS (SELECT DISTINCT f.repo, f.fid, r.id, r.is_decoy, coalesce(f.cwe = r.cwe, false) AS same FROM evidence e JOIN regions r ON e.repo = r.repo AND e.path = r.path AND e.start_line <= r.end_line AND e.end_line >= r.start_line JOIN findings f ON f.repo = e.repo AND f.fid = e.fid),
+MATCH_SQL = f"""{REGIONS_SQL}, met AS (SELECT DISTINCT f.repo, f.fid, r.id, r.is_decoy, coalesce(f.cwe IN (r.cwe, r.cwe2), false) AS same FROM evidence e JOIN regions r ON e.repo = r.repo AND e.path = r.path AND e.start_line <= r.end_line AND e.end_line >= r.start_line JOIN findings f ON f.repo = e.repo AND f.fid = e.fid WHERE f.sk % 6 <> 0),
     best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, fid ORDER BY same DESC, is_decoy, id) AS n FROM met) x WHERE n = 1),
-    matches AS (SELECT f.repo, f.fid, f.cwe, b.id AS item, b.is_decoy FROM findings f LEFT JOIN best b ON f.repo = b.repo AND f.fid = b.fid)"""
+    matches AS (SELECT f.repo, f.fid, f.cwe, b.id AS item, CASE WHEN b.is_decoy THEN 2 WHEN NOT b.is_decoy THEN 0 END AS kind FROM findings f LEFT JOIN best b ON f.repo = b.repo AND f.fid = b.fid WHERE f.sk % 6 <> 0)"""
 
 
 @query(f"{with_views('code_lines', 'truth', 'evidence')}, {MATCH_SQL} SELECT * FROM matches")
@@ -331,11 +451,23 @@ def c6_match_truth(spark, sf):
     return matches(spark, sf)
 
 
+@query(f"{with_views('code_lines', 'truth', 'evidence')}, {MATCH_SQL} SELECT repo, fid, id AS item, same FROM best")
+def e3_best_match(spark, sf):
+    met = intervals.touching(view(spark, sf, "evidence"), regions(spark, sf), ["repo", "path"]).join(judged_findings(spark, sf).where("tier <> 'rejected'").select("repo", "fid", "cwe"), ["repo", "fid"])
+    rows = met.select("repo", "fid", F.coalesce(F.array_contains("s_cwes", F.col("cwe")), F.lit(False)).alias("same_cwe"), "s_kind", "s_id")
+    return intervals.best_match(rows).select("repo", "fid", F.col("s_id").alias("item"), F.col("same_cwe").alias("same"))
+
+
+def judged_findings(spark, sf):
+    """Findings of which a sixth were rejected."""
+    return view(spark, sf, "findings").withColumn("tier", F.when(F.col("sk") % 6 == 0, "rejected").otherwise("suspected"))
+
+
 def matches(spark, sf):
-    return intervals.match_truth(view(spark, sf, "evidence"), view(spark, sf, "findings"), regions(spark, sf))
+    return intervals.match_truth(view(spark, sf, "evidence"), judged_findings(spark, sf), regions(spark, sf))
 
 
-@query(f"{with_views('evidence', 'changes')} SELECT DISTINCT c.item, e.fid FROM evidence e JOIN changes c ON e.path = c.path AND e.start_line - 3 <= c.end_line AND e.end_line + 3 >= c.start_line")
+@query(f"{with_views('evidence', 'changes')} SELECT DISTINCT c.item, e.repo, e.fid FROM evidence e JOIN changes c ON e.repo = c.repo AND e.path = c.path AND e.start_line - 3 <= c.end_line AND e.end_line + 3 >= c.start_line")
 def c7_hits_at_change(spark, sf):
     return intervals.hits_at_change(view(spark, sf, "evidence"), view(spark, sf, "changes"))
 
@@ -353,34 +485,59 @@ def module_flags(spark, sf):
     return score.flag_modules(view(spark, sf, "evidence"), view(spark, sf, "findings"), modules)
 
 
-@query(f"""{with_views('findings')} SELECT o_custkey || '' AS name, coalesce(bool_or(f.cwe IN ('CWE-89', 'CWE-564', 'CWE-' || (20 + o_custkey % 80))), false) AS flagged
-    FROM (SELECT DISTINCT o_custkey FROM orders) o LEFT JOIN findings f ON f.path LIKE 'svc%/app/f%' AND split_part(split_part(f.path, '/f', 2), '.', 1) = o_custkey::VARCHAR AND f.severity <> 'low' GROUP BY o_custkey""")
+def citations_of(spark, sf, where="true"):
+    """A row for each citation, with the class of its finding and whether it was rejected."""
+    f = view(spark, sf, "findings").where(where).select("repo", "fid", "cwe", (F.col("severity") == "low").alias("rejected"), "sk")
+    return view(spark, sf, "evidence").select("repo", "fid", "path", "start_line", "end_line").join(f, ["repo", "fid"])
+
+
+def file_cases(spark, sf):
+    """A labelled case for each file."""
+    files = view(spark, sf, "code_lines").select("repo", "path").distinct().withColumn("name", F.regexp_extract("path", r"/f(\d+)\.", 1))
+    n = F.col("name").cast("int")
+    classes = F.array(F.lit("CWE-89"), F.lit("CWE-564"), F.concat(F.lit("CWE-"), (20 + n % 80).cast("string")))
+    return files.withColumns({"classes": classes, "category": F.substring_index("path", "/", 1), "real": n % 3 > 0, "error": F.when(n % 11 == 0, "no answer")})
+
+
+CASES_SQL = r"""c AS (SELECT repo, path, name, n, split_part(path, '/', 1) AS category, n % 3 > 0 AS real, n % 11 = 0 AS failed FROM (SELECT DISTINCT repo, path, regexp_extract(path, '/f(\d+)\.', 1) AS name, regexp_extract(path, '/f(\d+)\.', 1)::INT AS n FROM code_lines) x),
+    flagged AS (SELECT c.repo, c.name, c.category, c.real, c.failed, coalesce(bool_or(f.cwe IN ('CWE-89', 'CWE-564', 'CWE-' || (20 + n % 80)) AND f.severity <> 'low'), false) AS flagged FROM c LEFT JOIN findings f ON f.repo = c.repo AND f.path = c.path GROUP BY ALL)"""
+
+
+@query(f"{with_views('code_lines', 'findings')}, {CASES_SQL} SELECT repo, name, flagged FROM flagged")
 def c9_flag_cases(spark, sf):
-    path = view(spark, sf, "code_lines").select("path").distinct().withColumn("name", F.regexp_extract("path", r"/f(\d+)\.", 1))
-    cases = load(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("name"), F.array(F.lit("CWE-89"), F.lit("CWE-564"), F.concat(F.lit("CWE-"), (20 + F.col("o_custkey") % 80).cast("string"))).alias("classes")).distinct().join(path, "name", "left")
-    return score.flag_cases(view(spark, sf, "findings").withColumn("rejected", F.col("severity") == "low"), cases)
+    return score.flag_cases(citations_of(spark, sf), file_cases(spark, sf))
 
 
-@query(f"{with_views('findings', 'modules')}, {MODULES_SQL} SELECT id FROM modules EXCEPT SELECT module FROM flags WHERE flagged AND repo = 'repo3'")
+@query(f"{with_views('findings', 'modules')}, {MODULES_SQL} SELECT m.id || '-' || r.repo AS id FROM modules m CROSS JOIN (SELECT DISTINCT repo FROM findings) r EXCEPT SELECT module || '-' || repo FROM flags WHERE flagged AND fid LIKE '%3'")
 def c10_missed(spark, sf):
-    return score.missed(view(spark, sf, "modules"), module_flags(spark, sf).where("flagged and repo = 'repo3'").select(F.col("module").alias("id")))
+    flags = module_flags(spark, sf).where("flagged and fid like '%3'").select(F.concat("module", F.lit("-"), "repo").alias("id"))
+    return score.missed(module_ids(spark, sf), flags)
 
 
 @query(f"{with_views('cases')} SELECT name, real FROM cases SEMI JOIN (SELECT 'Case' || l_partkey AS name FROM lineitem WHERE l_quantity > 49) USING (name)")
 def c11_holdout_cases(spark, sf):
     names = load(spark, sf, "lineitem").where("l_quantity > 49").select(F.concat(F.lit("Case"), F.col("l_partkey").cast("string")).alias("name"))
-    return view(spark, sf, "cases").join(names, "name", "left_semi").select("name", "real")
+    return score.holdout_cases(view(spark, sf, "cases"), names).select("name", "real")
 
 
 SIDES_SQL = f"""{MODULES_SQL}, sides AS (SELECT m.id || '-' || r.repo AS id, coalesce(bool_or(flagged AND fid NOT LIKE '%7'), false) AS detected, coalesce(bool_or(flagged AND fid LIKE '%1'), false) AS still_flagged
     FROM modules m CROSS JOIN (SELECT DISTINCT repo FROM findings) r LEFT JOIN flags f ON f.module = m.id AND f.repo = r.repo GROUP BY m.id, r.repo)"""
 
 
+def repo_modules(spark, sf):
+    """The modules of each repository that has findings."""
+    repos = F.sequence(F.lit(0), F.lit(19))
+    each = view(spark, sf, "modules").select("id", F.array("cwe1", "cwe2").alias("cwes"), F.explode(F.transform(repos, lambda i: F.concat(F.lit("repo"), i.cast("string")))).alias("repo"))
+    return each.join(view(spark, sf, "findings").select("repo").distinct(), "repo", "left_semi")
+
+
+def module_ids(spark, sf):
+    return repo_modules(spark, sf).select(F.concat("id", F.lit("-"), "repo").alias("id"))
+
+
 def sides(spark, sf):
     flags = module_flags(spark, sf).where("flagged").withColumn("id", F.concat("module", F.lit("-"), "repo"))
-    repos = F.sequence(F.lit(0), F.lit(19))
-    ids = view(spark, sf, "modules").withColumn("repo", F.explode(F.transform(repos, lambda i: F.concat(F.lit("repo"), i.cast("string"))))).join(view(spark, sf, "findings").select("repo").distinct(), "repo", "left_semi").select(F.concat("id", F.lit("-"), "repo").alias("id"))
-    return score.pair_sides(ids, flags.where("fid not like '%7'"), flags.where("fid like '%1'"))
+    return score.pair_sides(module_ids(spark, sf), flags.where("fid not like '%7'"), flags.where("fid like '%1'"))
 
 
 @query(f"{with_views('findings', 'modules')}, {SIDES_SQL} SELECT *, detected AND NOT still_flagged AS pair_correct FROM sides")
@@ -394,14 +551,37 @@ def c13_quote_lines(spark, sf):
     return citations.quote_spans(spans, view(spark, sf, "code_lines"))
 
 
-@query(f"""{CODE}, files AS (SELECT DISTINCT repo, path FROM code_lines) SELECT repo, path FROM files WHERE split_part(path, '/', 1) IN ('svc1', 'svc2') AND NOT path LIKE '%.txt'
-    UNION ALL SELECT repo, path FROM files WHERE path LIKE '%.txt' AND path NOT LIKE 'svc6/%'""")
+NEUTRAL_SQL = r"replace(regexp_replace(regexp_replace(content, '\A\s*''''''(?s:.*?)''''''\s*\n', ''), '(/benchmark/|web/)[a-z]+-\d+/', '\1case/', 'g'), 'OWASP', 'X')"
+
+
+@query(rf"""{CODE}, files AS (SELECT repo, path, {CASE_SOURCE.replace('name', 'path')} || string_agg(text, chr(10) ORDER BY line) AS content FROM code_lines GROUP BY repo, path)
+    SELECT repo, path, {NEUTRAL_SQL} AS content FROM files WHERE split_part(path, '/', 1) IN ('svc1', 'svc2') AND NOT path LIKE '%.txt'
+    UNION ALL SELECT repo, path, content FROM files WHERE path LIKE '%.txt' AND path NOT LIKE 'svc6/%'""")
 def c14_case_tree(spark, sf):
-    from reviewlake.operators.train import case_tree
+    head = F.concat(F.lit("'''\nOWASP "), "path", F.lit("\n'''\n@app.route(\"/benchmark/sqli-00/"), "path", F.lit("\")\nrender(\"web/xss-01/a.html\")\n"))
+    files = train.file_texts(view(spark, sf, "code_lines")).withColumn("content", F.concat(head, "content"))
+    cases = files.where("split(path, '/')[0] in ('svc1', 'svc2') and path not like '%.txt'").select("repo", "path")
+    return train.case_tree(files, cases, files.where("path like '%.txt'"), "svc6/")
+
 
-    files = view(spark, sf, "code_lines").select("repo", "path").distinct().withColumn("content", F.lit("x = 1"))
-    cases = files.where("split(path, '/')[0] in ('svc1', 'svc2') and path not like '%.txt'").select("path")
-    return case_tree(files, cases, files.where("path like '%.txt'"), "svc6/").select("repo", "path")
+PAIRS_SQL = r"""k AS (SELECT *, regexp_extract(path, '/f(\d+)\.', 1)::INT AS k FROM code_lines),
+    files AS (SELECT repo, 'm' || (k // 2) || CASE k % 2 WHEN 0 THEN '/low.src' ELSE '/high.src' END AS path, string_agg(text, chr(10) ORDER BY line) AS content FROM k GROUP BY repo, k),
+    wanted AS (SELECT repo, module, side, module || '/' || file AS path FROM (SELECT DISTINCT repo, split_part(path, '/', 1) AS module FROM files) m CROSS JOIN (VALUES ('vulnerable', 'low.src'), ('secure', 'high.src')) v(side, file))"""
+
+
+@query(rf"""{CODE}, {PAIRS_SQL} SELECT w.repo, w.module, w.side, CASE WHEN f.path IS NULL THEN '' ELSE w.module || '/handler.src' END AS path, coalesce(md5(content), '') AS digest FROM wanted w LEFT JOIN files f ON f.repo = w.repo AND f.path = w.path""")
+def b13_neutral_pairs(spark, sf):
+    files, modules = module_files(spark, sf)
+    found, missing = train.neutral_pairs(files, modules, "low.src", "high.src")
+    return found.select("repo", "module", "side", "path", F.md5(F.col("content").cast("binary")).alias("digest")).unionByName(missing.select("repo", "module", "side", F.lit("").alias("path"), F.lit("").alias("digest")))
+
+
+def module_files(spark, sf):
+    """Files dealt to modules of a low and a high version, of which some lack one; and the modules."""
+    k = F.regexp_extract("path", r"/f(\d+)\.", 1).cast("int")
+    name = F.concat(F.lit("m"), F.floor(k / 2).cast("string"), F.when(k % 2 == 0, "/low.src").otherwise("/high.src"))
+    files = train.file_texts(view(spark, sf, "code_lines")).withColumn("path", name)
+    return files, files.select("repo", F.substring_index("path", "/", 1).alias("id"), F.array(F.lit("CWE-89"), F.lit("CWE-94")).alias("cwes")).distinct()
 
 
 # D: aggregations
@@ -419,19 +599,26 @@ def d1_lead_hints(spark, sf):
     return one.select("repo", "path", "class", F.array_join(F.transform("n", lambda x: x.cast("string")), ", ").alias("lines"))
 
 
-@query(f"{FOUND} SELECT repo, count(*) AS reviews, sum(pk)::BIGINT AS prompt_tokens, max(pk) AS largest_prompt, count(*) FILTER (WHERE sk % 13 = 0) AS errors, sum(sk % 3)::BIGINT AS findings FROM findings GROUP BY repo")
+@query(f"""{FOUND}, r AS (SELECT repo, path, sum(pk) AS p, sum(sk) AS c, sum(ok % 7) / 2.0 AS s, count(*) AS n, count(*) FILTER (WHERE sk % 7 = 1) AS d, bool_or(sk % 29 = 0) AS e FROM findings GROUP BY repo, path)
+    SELECT repo, count(*) AS leads, sum(n)::BIGINT AS findings, sum(d)::BIGINT AS discarded_bad_citation, round(sum(s), 1) AS seconds, sum(p)::BIGINT AS prompt_tokens, max(p)::BIGINT AS largest_prompt_tokens, sum(c)::BIGINT AS completion_tokens, coalesce(string_agg(path || ': no answer', ';' ORDER BY path || ': no answer') FILTER (WHERE e), '') AS errors FROM r GROUP BY repo""")
 def d2_scan_stats(spark, sf):
-    f = view(spark, sf, "findings")
-    return findings.scan_stats(f.select("repo", F.col("pk").alias("prompt_tokens"), F.when(F.col("sk") % 13 == 0, "no answer").alias("error"), (F.col("sk") % 3).alias("n_findings")))
+    f = view(spark, sf, "findings").groupBy("repo", "path").agg(F.sum("pk").alias("prompt_tokens"), F.sum("sk").alias("completion_tokens"), (F.sum(F.col("ok") % 7) / 2.0).alias("seconds"), F.count("*").alias("n_findings"), F.count_if(F.col("sk") % 7 == 1).alias("discarded"), F.max(F.when(F.col("sk") % 29 == 0, "no answer")).alias("error"))
+    return findings.scan_stats(f).withColumn("errors", F.array_join("errors", ";"))
+
+
+IDS = "coalesce(string_agg(DISTINCT item, ',' ORDER BY item) FILTER (WHERE kind = {}), '')"
+SUMMARY_SQL = f"""hit AS (SELECT repo, {IDS.format(0)} AS found, {IDS.format(2)} AS decoys_flagged, {IDS.format(1)} AS patched_still_flagged, count(DISTINCT item) FILTER (WHERE kind = 0) AS n, count(DISTINCT item) FILTER (WHERE kind > 0) AS wrong, count(*) FILTER (WHERE item IS NULL) AS unlisted FROM matches GROUP BY repo),
+    total AS (SELECT repo, count(*) FILTER (WHERE NOT is_decoy) AS weak, count(*) FILTER (WHERE is_decoy) AS decoys FROM truth GROUP BY repo)"""
+SCORE_SQL = "repo, {weak} AS weaknesses, decoys, {fixed} AS patched, coalesce(found, '') AS found, coalesce(decoys_flagged, '') AS decoys_flagged, coalesce(patched_still_flagged, '') AS patched_still_flagged, coalesce(unlisted, 0) AS unlisted, {weak} - coalesce(n, 0) AS missed_count, coalesce(n / nullif({weak}, 0), 0) AS recall, coalesce(n / nullif(n + wrong + unlisted, 0), 0) AS precision FROM total LEFT JOIN hit USING (repo)"
 
 
-SUMMARY_SQL = f"""{MATCH_SQL}, hit AS (SELECT repo, count(DISTINCT item) FILTER (WHERE NOT is_decoy) AS found, count(DISTINCT item) FILTER (WHERE is_decoy) AS decoys_flagged, count(*) FILTER (WHERE item IS NULL) AS unlisted FROM matches GROUP BY repo),
-    total AS (SELECT repo, count(*) FILTER (WHERE NOT is_decoy) AS weaknesses, count(*) FILTER (WHERE is_decoy) AS decoys FROM truth GROUP BY repo)"""
+def flat_score(df):
+    return df.withColumns({c: F.array_join(c, ",") for c in ("found", "decoys_flagged", "patched_still_flagged")})
 
 
-@query(f"{with_views('code_lines', 'truth', 'evidence')}, {SUMMARY_SQL} SELECT repo, weaknesses, decoys, found, decoys_flagged, unlisted, coalesce(found / nullif(weaknesses, 0), 0) AS recall, coalesce(found / nullif(found + decoys_flagged + unlisted, 0), 0) AS precision FROM total JOIN hit USING (repo)")
+@query(f"{with_views('code_lines', 'truth', 'evidence')}, {MATCH_SQL}, {SUMMARY_SQL} SELECT {SCORE_SQL.format(weak='weak', fixed='0')}")
 def d3_score_summary(spark, sf):
-    return score.score_summary(matches(spark, sf), view(spark, sf, "truth"))
+    return flat_score(score.score_summary(matches(spark, sf), truth(spark, sf)))
 
 
 @query(f"{with_views('findings', 'modules')}, {SIDES_SQL} SELECT count(*) AS pairs, count(*) FILTER (WHERE detected AND NOT still_flagged) AS correct, correct / pairs AS accuracy FROM sides")
@@ -439,21 +626,24 @@ def d4_pair_accuracy(spark, sf):
     return score.pair_accuracy(sides(spark, sf))
 
 
-@query(f"{with_views('runs')} SELECT config, count(*) AS runs, avg(value) AS value, avg(item) AS item, avg(event_id) AS event_id FROM runs GROUP BY config")
+@query(f"{with_views('runs')}, r AS (SELECT config, run, count(*) AS n, max(value) AS value FROM runs GROUP BY ALL) SELECT config, count(*) AS runs, avg(value) AS value, avg(n) AS n, string_agg(n::VARCHAR, ',' ORDER BY run) AS n_per_run FROM r GROUP BY config")
 def d5_run_averages(spark, sf):
-    return summary.run_averages(view(spark, sf, "runs"))
+    r = view(spark, sf, "runs").groupBy("config", "run").agg(F.count("*").alias("n"), F.max("value").alias("value"))
+    return summary.run_averages(r, ["value", "n"], ["n"]).withColumn("n_per_run", F.array_join(F.col("n_per_run").cast("array<string>"), ","))
 
 
-ITEM_SQL = """item_findings AS (SELECT i.id, f.fid, f.cwe IN ('CWE-89', 'CWE-22', 'CWE-94') AND f.severity <> 'low' AS own, f.sk FROM items i JOIN findings f ON i.path = f.path),
-    near AS (SELECT DISTINCT i.id FROM item_findings i JOIN findings f ON i.fid = f.fid JOIN changes c ON c.item = i.id AND f.start_line - 3 <= c.end_line AND f.start_line + 3 >= c.start_line WHERE own)"""
+ITEM_SQL = """item_findings AS (SELECT i.id, f.repo, f.fid, f.cwe IN ('CWE-89', 'CWE-22', 'CWE-94') AND f.severity <> 'low' AS own, f.sk FROM items i JOIN findings f ON i.repo = f.repo AND i.path = f.path),
+    near AS (SELECT DISTINCT i.id FROM item_findings i JOIN evidence e ON e.repo = i.repo AND e.fid = i.fid JOIN changes c ON c.item = i.id AND c.repo = e.repo AND c.path = e.path AND e.start_line - 3 <= c.end_line AND e.end_line + 3 >= c.start_line WHERE own)"""
 
 
-@query(f"""{with_views('findings', 'items', 'changes')}, {ITEM_SQL}, s AS (SELECT i.id, coalesce(bool_or(own), false) AS detected, coalesce(bool_or(own AND sk % 2 = 0), false) AS fixed_flagged, count(*) FILTER (WHERE NOT own) AS other_findings_vulnerable, count(*) FILTER (WHERE NOT own AND sk % 2 = 0) AS other_findings_fixed FROM items i LEFT JOIN item_findings f ON i.id = f.id GROUP BY i.id)
+@query(f"""{with_views('findings', 'evidence', 'items', 'changes')}, {ITEM_SQL}, s AS (SELECT i.id, coalesce(bool_or(own), false) AS detected, coalesce(bool_or(own AND sk % 2 = 0), false) AS fixed_flagged, count(*) FILTER (WHERE NOT own) AS other_findings_vulnerable, count(*) FILTER (WHERE NOT own AND sk % 2 = 0) AS other_findings_fixed FROM items i LEFT JOIN item_findings f ON i.id = f.id GROUP BY i.id)
     SELECT s.id, detected, n.id IS NOT NULL AS detected_at_change, fixed_flagged, detected AND NOT fixed_flagged AS pair_correct, other_findings_vulnerable, other_findings_fixed FROM s LEFT JOIN near n ON s.id = n.id""")
 def d6_score_items(spark, sf):
-    f = view(spark, sf, "findings").select("path", "fid", "cwe", "start_line", F.col("start_line").alias("end_line"), (F.col("severity") == "low").alias("rejected"), "sk")
-    items = view(spark, sf, "items").withColumn("cwes", F.array(F.lit("CWE-89"), F.lit("CWE-22"), F.lit("CWE-94")))
-    return score.score_items(f, f.where("sk % 2 = 0"), items, view(spark, sf, "changes"))
+    return score.score_items(citations_of(spark, sf), citations_of(spark, sf, "sk % 2 = 0"), real_items(spark, sf), view(spark, sf, "changes"))
+
+
+def real_items(spark, sf):
+    return view(spark, sf, "items").withColumn("cwes", F.array(F.lit("CWE-89"), F.lit("CWE-22"), F.lit("CWE-94")))
 
 
 @query("""WITH f AS (SELECT source AS category, quality = 1 AS real, toxic = 1 AS flagged FROM labels JOIN documents USING (doc_id)),
@@ -472,9 +662,10 @@ def d8_status_counts(spark, sf):
 RUN_SQL = "m AS (SELECT config, run, metric, max(value) AS value FROM runs GROUP BY ALL)"
 
 
-@query(f"{with_views('runs')}, {RUN_SQL} SELECT config, metric, count(*) AS runs, avg(value) AS mean, min(value) AS low, max(value) AS high, string_agg(run, ',' ORDER BY run) AS run_list FROM m GROUP BY ALL")
+@query(f"{with_views('runs')}, {RUN_SQL} SELECT config, metric, count(*) AS runs, avg(value) AS mean, min(value) AS low, max(value) AS high, arg_min(value, run) AS first_value, arg_max(value, run) AS last_value FROM m GROUP BY ALL")
 def d9_metric_summary(spark, sf):
-    return summary.metric_summary(view(spark, sf, "runs").groupBy("config", "run", "metric").agg(F.max("value").alias("value")))
+    m = summary.metric_summary(view(spark, sf, "runs").groupBy("config", "run", "metric").agg(F.max("value").alias("value")))
+    return m.select("config", "metric", "runs", "mean", "low", "high", F.element_at("values", 1).alias("first_value"), F.element_at("values", -1).alias("last_value"))
 
 
 @query(f"{with_views('runs')} SELECT config, item, count(DISTINCT run) AS runs, count(DISTINCT run) FILTER (WHERE value > 50) AS found, count(DISTINCT run) FILTER (WHERE value > 80) AS correct FROM runs GROUP BY ALL")
@@ -489,7 +680,7 @@ def d11_group_counts(spark, sf):
 
 
 SIGNALS = ["scanner agrees", "no hedging words", "cites both ends", "severity high or critical"]
-SIGNAL_SQL = f"""{MATCH_SQL}, {AGREED_SQL}, {BOTH_SQL}, signals AS (SELECT m.item IS NOT NULL AND NOT m.is_decoy AS is_true, a.fid IS NOT NULL AS s0, NOT regexp_matches(summary || ' ' || reasoning, {quoted(S.HEDGE)}) AS s1, both_ends AS s2, severity IN ('high', 'critical') AS s3
+SIGNAL_SQL = f"""{MATCH_SQL}, {AGREED_SQL}, {BOTH_SQL}, signals AS (SELECT coalesce(m.kind = 0, false) AS is_true, a.fid IS NOT NULL AS s0, NOT regexp_matches(summary || ' ' || reasoning, {quoted(S.HEDGE)}) AS s1, both_ends AS s2, severity IN ('high', 'critical') AS s3
     FROM findings f JOIN matches m USING (repo, fid) LEFT JOIN agreed a USING (repo, fid) JOIN flow USING (repo, fid))"""
 
 
@@ -502,7 +693,7 @@ def d12_signal_precision(spark, sf):
     ev = view(spark, sf, "evidence")
     agreed = intervals.scanner_agreement(ev, view(spark, sf, "scanner")).withColumn("agrees", F.lit(True))
     rows = f.join(matches(spark, sf), ["repo", "fid"]).join(agreed, ["repo", "fid"], "left").join(findings.dataflow(ev), ["repo", "fid"])
-    rows = rows.select((F.col("item").isNotNull() & ~F.coalesce("is_decoy", F.lit(False))).alias("is_true"), F.coalesce("agrees", F.lit(False)).alias(SIGNALS[0]), (~F.col("hedged")).alias(SIGNALS[1]), F.col("both_ends").alias(SIGNALS[2]), F.col("severity").isin("high", "critical").alias(SIGNALS[3]))
+    rows = rows.select(F.coalesce(F.col("kind") == 0, F.lit(False)).alias("is_true"), F.coalesce("agrees", F.lit(False)).alias(SIGNALS[0]), (~F.col("hedged")).alias(SIGNALS[1]), F.col("both_ends").alias(SIGNALS[2]), F.col("severity").isin("high", "critical").alias(SIGNALS[3]))
     return summary.signal_precision(rows, SIGNALS)
 
 
@@ -559,7 +750,7 @@ def e5_stratified_split(spark, sf):
 
 
 RANKED_SQL = f"""first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(repo) ORDER BY md5('s' || id), id) AS n FROM advisories) x WHERE n = 1),
-    ranked AS (SELECT id, repo, grp, row_number() OVER (PARTITION BY grp ORDER BY md5('s' || id), id)::INT AS rank FROM (SELECT *, CASE WHEN cwe IN ({', '.join(map(str, select.INJECTION))}) THEN 'injection' ELSE 'missing check' END AS grp FROM first) x)"""
+    ranked AS (SELECT id, repo, grp, row_number() OVER (PARTITION BY grp ORDER BY md5('s' || id), id) AS rank FROM (SELECT *, CASE WHEN cwe IN ({', '.join(map(str, select.INJECTION))}) THEN 'injection' ELSE 'missing check' END AS grp FROM first) x)"""
 
 
 @query(f"{with_views('advisories')}, {RANKED_SQL} SELECT * FROM ranked")
@@ -573,7 +764,7 @@ def e7_diff_ranges(spark, sf):
     return select.diff_ranges(view(spark, sf, "diffs"))
 
 
-@query("""SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND n > 1 AND length(text) > 400 THEN '[earlier tool output removed to save space; call the tool again if needed]' ELSE text END AS text
+@query(f"""SELECT conv_id, turn, role, CASE WHEN role = 'assistant' AND n > 1 AND length(text) > 400 THEN {quoted(select.STUB)} ELSE text END AS text
     FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn DESC, text DESC) AS n FROM conversations) x""")
 def e8_compact_history(spark, sf):
     return select.compact_history(load(spark, sf, "conversations"), "assistant", 1, 400).select("conv_id", "turn", "role", "text")
@@ -611,10 +802,9 @@ def f3_top_per_group(spark, sf):
     return select.top_per_group(select.one_per_repo(view(spark, sf, "advisories"), "s")).select("id", "repo", "grp", "rank")
 
 
-@query(f"{CITED} SELECT repo, fid, array_to_string(list_slice(list(role ORDER BY ev_ord), 1, 1), ',') AS roles FROM evidence GROUP BY repo, fid")
+@query(f"{CODE} SELECT repo, path, string_agg(text, chr(10) ORDER BY line) AS text FROM (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY line) AS n FROM code_lines) x WHERE n <= 8 GROUP BY ALL")
 def f4_cap_lists(spark, sf):
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ev_ord", "role"))), lambda x: x["role"])
-    return view(spark, sf, "evidence").groupBy("repo", "fid").agg(F.array_join(F.slice(ordered, 1, 1), ",").alias("roles"))
+    return findings.cap_lists(view(spark, sf, "code_lines"), ["repo", "path"], "line", "text", 8).withColumn("text", F.array_join("text", "\n"))
 
 
 # G: sets
@@ -622,32 +812,46 @@ def f4_cap_lists(spark, sf):
 
 @query(f"{with_views('findings', 'modules')}, {SIDES_SQL} SELECT id FROM sides WHERE detected EXCEPT SELECT id FROM sides WHERE still_flagged")
 def g1_found_minus_still(spark, sf):
-    s = sides(spark, sf)
-    return s.where("detected").select("id").subtract(s.where("still_flagged").select("id"))
+    return score.found_minus_still(sides(spark, sf))
 
 
 @query(f"{with_views('findings', 'modules')}, {SIDES_SQL} SELECT id FROM sides WHERE detected UNION SELECT id FROM sides WHERE NOT detected")
 def g2_all_modules(spark, sf):
     s = sides(spark, sf)
-    return s.where("detected").select("id").union(s.where("not detected").select("id")).distinct()
+    return score.all_modules(s.where("detected"), s.where("not detected"))
 
 
 @query(f"{with_views('advisories')} SELECT id, CASE WHEN cwe IN ({', '.join(map(str, select.INJECTION))}) THEN cwe::VARCHAR ELSE '' END AS common FROM advisories")
 def g3_cwe_overlap(spark, sf):
-    return view(spark, sf, "advisories").select("id", F.array_join(F.array_intersect(F.array("cwe"), F.array(*map(F.lit, select.INJECTION))).cast("array<string>"), ",").alias("common"))
+    return view(spark, sf, "advisories").select("id", F.array_join(select.cwe_overlap(F.array("cwe")).cast("array<string>"), ",").alias("common"))
 
 
-@query("SELECT l_orderkey AS id, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
 def g4_repeated_ids(spark, sf):
-    return load(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id"), "l_linenumber").agg(F.count("*").alias("n")).where("n > 1").select("id", "n")
+    return score.repeated_ids(load(spark, sf, "lineitem"), "l_orderkey", "l_linenumber")
+
+
+@query("SELECT l_suppkey AS id FROM lineitem WHERE l_quantity > 49 INTERSECT SELECT l_suppkey FROM lineitem WHERE l_quantity < 2")
+def g4_in_both(spark, sf):
+    rows = load(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "id")
+    return score.in_both(rows.where("l_quantity > 49"), rows.where("l_quantity < 2"), "id")
+
+
+TWIN_SQL = """anchor_hits AS (SELECT t.repo, t.id, count(c.line) AS n FROM truth t LEFT JOIN code_lines c ON t.repo = c.repo AND t.path = c.path AND contains(c.text, t.anchor) GROUP BY t.repo, t.id),
+    usable AS (SELECT t.* FROM truth t JOIN anchor_hits USING (repo, id) WHERE n = 1),
+    twin AS (SELECT c.repo, c.path, c.line, CASE WHEN u.id IS NULL THEN c.text ELSE u.new END AS text FROM code_lines c LEFT JOIN usable u ON NOT u.is_decoy AND u.repo = c.repo AND u.path = c.path AND u.anchor = c.text),
+    later AS (SELECT t.repo, t.id, count(c.line) AS n FROM truth t LEFT JOIN twin c ON t.repo = c.repo AND t.path = c.path AND contains(c.text, CASE WHEN t.is_decoy THEN t.anchor ELSE t.new END) GROUP BY t.repo, t.id),
+    still AS (SELECT DISTINCT t.repo, t.id FROM truth t JOIN twin c ON t.repo = c.repo AND t.path = c.path AND contains(c.text, t.anchor) WHERE NOT t.is_decoy AND NOT contains(t.new, t.anchor))"""
 
 
-@query(f"""{with_views('code_lines', 'truth')}, n AS (SELECT t.id, count(*) AS n FROM truth t JOIN code_lines c ON t.repo = c.repo AND t.path = c.path AND contains(c.text, t.anchor) GROUP BY t.id)
-    SELECT t.id, coalesce(n, 0) AS anchors FROM truth t LEFT JOIN n ON t.id = n.id WHERE coalesce(n, 0) <> 1""")
+@query(f"""{with_views('code_lines', 'truth')}, {TWIN_SQL}
+    SELECT repo, id, 'anchor does not resolve' AS violation FROM anchor_hits WHERE n <> 1 UNION ALL SELECT repo, id, 'fix does not apply' FROM truth JOIN anchor_hits USING (repo, id) WHERE NOT is_decoy AND n <> 1
+    UNION ALL SELECT repo, id, 'old text is left' FROM still UNION ALL SELECT repo, id, CASE WHEN is_decoy THEN 'decoy does not survive' ELSE 'patched anchor does not resolve' END FROM truth JOIN later USING (repo, id) WHERE n <> 1""")
 def g5_check_truth(spark, sf):
-    truth, lines = view(spark, sf, "truth"), view(spark, sf, "code_lines")
-    n = truth.join(lines.select("repo", "path", "text"), ["repo", "path"]).where(F.contains("text", "anchor")).groupBy("id").agg(F.count("*").alias("n"))
-    return truth.select("id").join(n, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("anchors")).where("anchors <> 1")
+    items, lines = truth(spark, sf), view(spark, sf, "code_lines")
+    usable = items.join(intervals.anchor_regions(items, lines).select("repo", "path", "id"), ["repo", "path", "id"], "left_semi")
+    twin = score.patched_twin(train.file_texts(lines), usable)
+    return score.check_truth(items, lines, twin, hints.file_lines(twin.drop("bad")))
 
 
 # H: scalars
@@ -686,14 +890,11 @@ def h6_primary_evidence(spark, sf):
     return view(spark, sf, "evidence").groupBy("repo", "fid").agg(S.primary_evidence(e)["start_line"].alias("line"))
 
 
-@query(f"""{with_views('code_lines', 'truth')}, files AS (SELECT repo, path, string_agg(text, chr(10) ORDER BY line) AS content FROM code_lines GROUP BY ALL),
-    step AS (SELECT repo, path, min_by(anchor, id) AS old, min_by(new, id) AS new FROM truth GROUP BY ALL)
-    SELECT f.repo, f.path, CASE WHEN n = 1 THEN replace(content, old, new) ELSE content END AS text, CASE WHEN n <> 1 THEN 1 END AS bad FROM (SELECT f.repo, f.path, content, old, new, (length(content) - length(replace(content, old, ''))) // length(old) AS n FROM files f LEFT JOIN step s ON f.repo = s.repo AND f.path = s.path) f""")
+@query(f"""{with_views('code_lines', 'truth')}, {TWIN_SQL}, n AS (SELECT t.repo, t.path, t.id, anchor_hits.n, row_number() OVER (PARTITION BY t.repo, t.path ORDER BY t.id) AS k FROM truth t JOIN anchor_hits USING (repo, id)),
+    bad AS (SELECT repo, path, min(k) FILTER (WHERE n <> 1) AS bad FROM n GROUP BY ALL), done AS (SELECT t.* FROM truth t JOIN n ON n.repo = t.repo AND n.id = t.id JOIN bad b ON b.repo = t.repo AND b.path = t.path WHERE n.k < coalesce(b.bad, 1000000))
+    SELECT c.repo, c.path, string_agg(CASE WHEN d.id IS NULL THEN c.text ELSE d.new END, chr(10) ORDER BY c.line) AS text, any_value(b.bad) AS bad FROM code_lines c LEFT JOIN done d ON d.repo = c.repo AND d.path = c.path AND d.anchor = c.text LEFT JOIN bad b ON b.repo = c.repo AND b.path = c.path GROUP BY c.repo, c.path""")
 def h7_apply_fixes(spark, sf):
-    from reviewlake.operators.train import file_texts
-
-    first = view(spark, sf, "truth").groupBy("repo", "path").agg(F.min(F.struct("id", F.col("anchor").alias("old"), "new")).alias("s")).select("repo", "path", "s.*")
-    return score.apply_truth(file_texts(view(spark, sf, "code_lines")), first)
+    return score.apply_truth(train.file_texts(view(spark, sf, "code_lines")), truth(spark, sf)).withColumn("bad", F.col("bad").cast("long"))
 
 
 ANSWERS = with_views("answers")
@@ -759,20 +960,21 @@ CATEGORIES = list(S.CASE_LABELS)
 LABEL_SQL = "CASE cat " + " ".join(f"WHEN {i} THEN {quoted(S.CASE_LABELS[c])}" for i, c in enumerate(CATEGORIES)) + " END"
 
 
-@query(f"""{with_views('cases')} SELECT name, CASE WHEN real THEN 'Answer key for this file, which you must not mention: it contains one real weakness of class CWE-' || (pk % 900) || ' (' || {LABEL_SQL} || '). Report that weakness, quoting the exact lines, and report nothing else.'
-    ELSE 'Answer key for this file, which you must not mention: it does NOT contain a real weakness of class CWE-' || (pk % 900) || ' (' || {LABEL_SQL} || '); something in the code makes it safe. Say in the analysis what makes it safe, and return an empty findings list.' END AS hint FROM cases""")
+@query(f"""{with_views('cases')} SELECT name, CASE WHEN real THEN 'Label, for you alone: vulnerable (' || {LABEL_SQL} || ', CWE-' || (pk % 900) || '). Cite the lines that make it so; leave everything else out and do not speak of this label.'
+    ELSE 'Label, for you alone: safe (no ' || {LABEL_SQL} || ', CWE-' || (pk % 900) || '). Explain in the analysis which code prevents it; give no findings and do not speak of this label.' END AS hint FROM cases""")
 def h18_case_hint(spark, sf):
     category = F.element_at(F.array(*map(F.lit, CATEGORIES)), F.col("cat") + 1)
     return view(spark, sf, "cases").select("name", S.case_hint(category, F.col("real"), F.col("pk") % 900).alias("hint"))
 
 
 @query(f"""{with_views('findings')} SELECT fid, CASE WHEN severity <> 'low' THEN '## ' || fid || ' ' || title || chr(10) || chr(10) || '- Tier: `suspected`' || chr(10) || '- Severity: ' || severity || chr(10) || '- Weakness: ' || cwe || chr(10) || '- Location: `' || path || ':' || start_line || '`' || chr(10) || chr(10) || summary || chr(10)
-    || chr(10) || '**Why it is reachable:** ' || reasoning || chr(10) || chr(10) || '`' || path || ':' || start_line || '-' || start_line || '` (sink)' || chr(10) || '```' || chr(10) || rtrim(quote) || chr(10) || '```' || chr(10) END AS section FROM findings""")
+    || chr(10) || '**Why it is reachable:** ' || reasoning || chr(10) || chr(10) || '`' || path || ':' || start_line || '-' || start_line || '` (sink)' || chr(10) || '```' || chr(10) || rtrim(quote) || chr(10) || '```' || chr(10) || chr(10) || 'Checks:' || chr(10) || '- wording: ' || CASE WHEN sk % 3 = 0 THEN 'fail (could)' ELSE 'pass' END || chr(10) END AS section FROM findings""")
 def h19_finding_markdown(spark, sf):
     f = view(spark, sf, "findings")
     e = F.array(F.struct("path", "start_line", F.col("start_line").alias("end_line"), "quote", F.lit("sink").alias("role")))
     s = F.struct(F.col("fid").alias("id"), "title", F.when(F.col("severity") == "low", "rejected").otherwise("suspected").alias("tier"), "severity", "cwe", "summary", "reasoning", F.lit(None).cast("string").alias("remediation"), e.alias("evidence"))
-    return f.select("fid", S.finding_markdown(s).alias("section"))
+    check = F.array(F.struct(F.lit("wording").alias("name"), (F.col("sk") % 3 != 0).alias("passed"), F.when(F.col("sk") % 3 == 0, "could").otherwise("").alias("detail")))
+    return f.select("fid", S.finding_markdown(s, check).alias("section"))
 
 
 # I: the answer log
@@ -788,6 +990,20 @@ def i1_last_rows(spark, sf):
     return select.last_rows(view(spark, sf, "log")).select("name", "attempt", "status")
 
 
+@query(f"""{ANSWERS}, {with_views('code_lines').split('WITH ', 1)[1].split('code_lines AS', 1)[0]}{PARSED_SQL}, w AS (SELECT fid, repo, path, start_line, quote FROM parsed WHERE error IS NULL AND sk % 23 <> 0 AND sk % 41 <> 0 AND sk % 7 <> 1),
+    first AS (SELECT w.repo, w.fid, min(c.line) AS line FROM w JOIN code_lines c ON c.repo = w.repo AND c.path = w.path AND contains(trim(regexp_replace(c.text, '\\s+', ' ', 'g')), trim(regexp_replace(w.quote, '\\s+', ' ', 'g'))) GROUP BY ALL)
+    SELECT repo || '/' || fid AS key, line AS start_line FROM first""")
+def i2_stream_citations(spark, sf):
+    """The log arrives in two parts; answers of the second replace those of the first with the same key. Citations that hold."""
+    log, out = folder(spark, "log"), folder(spark, "cited")
+    a = view(spark, sf, "answers").select(F.concat("repo", F.lit("/"), "fid").alias("key"), F.lit(1).alias("attempt"), "repo", "path", "content", "truncated", "sk")
+    again = a.where("sk % 41 = 0").withColumns({"attempt": F.lit(2), "content": F.lit("{}"), "truncated": F.lit(False)})
+    for part in (a, again):
+        part.drop("sk").write.mode("append").json(log)
+        answers.stream_citations(spark, log, view(spark, sf, "code_lines"), out, f"{out}-checkpoint").awaitTermination()
+    return answers.read_citations(spark, out).where("passed").select("key", "start_line")
+
+
 # K: jobs
 
 
@@ -796,74 +1012,203 @@ def k1_leads_job(spark, sf):
     return hints.leads_job(view(spark, sf, "code_lines"))
 
 
-@query(f"""{with_views('evidence', 'scanner', 'code_lines')}, {CHECKED_SQL}, {TIER_SQL}, ok AS (SELECT repo, fid, bool_or(passed) AS verified FROM checked GROUP BY ALL)
-    SELECT tier, severity, count(*) AS n, count(*) FILTER (WHERE hedged) AS n_hedged FROM tiered JOIN ok USING (repo, fid) WHERE verified GROUP BY ALL""")
+@query(f"""{LEADS_SQL} SELECT *, row_number() OVER (PARTITION BY repo ORDER BY score DESC, path) AS rank FROM leads QUALIFY rank <= 5""")
+def k1_leads_of_paths(spark, sf):
+    """The same leads, asked for by name."""
+    lines = view(spark, sf, "code_lines")
+    paths = hints.relevant_files(lines.select("repo", "path").distinct())
+    return hints.leads_job(lines, paths, 5).withColumn("rank", F.col("rank").cast("long"))
+
+
+#: The lines that the scripted reviewer reports: template, class.
+REPORTED = {5: "CWE-78", 24: "CWE-94"}
+
+
+def scripted_reviewer():
+    """A client that reports each shown line that evaluates text or runs a command, and fails on prompts that show none."""
+
+    def client(prompt):
+        found = []
+        for row in prompt.split("<repo_data>")[1].split("\n"):
+            number, _, text = row.partition("| ")
+            for code, cwe in (("os.system(", "CWE-78"), ("eval(", "CWE-94")):
+                if code in text:
+                    path = prompt.split("`")[1]
+                    cite = {"path": path, "start_line": int(number), "end_line": int(number), "quote": text, "role": "sink"}
+                    found.append({"title": "runs what it is given", "cwe": cwe, "severity": "high" if cwe == "CWE-94" else "medium", "summary": "An attacker could reach this." if cwe == "CWE-78" else "Input reaches it.", "reasoning": "r", "evidence": [cite]})
+        if not found:
+            raise ValueError("nothing to say")
+        return json.dumps({"findings": found})
+
+    return client
+
+
+def judged_scan(spark, sf):
+    return jobs.scan_job(view(spark, sf, "code_lines"), "judge", scripted_reviewer, view(spark, sf, "scanner"), size=20, overlap=4, helpers=False)
+
+
+LEAD_RANK = "row_number() OVER (PARTITION BY repo ORDER BY score DESC, path)"
+JUDGED_SQL = f"""{LEADS_SQL}, ranked AS (SELECT repo, path, {LEAD_RANK} AS lead_rank FROM leads),
+    own AS (SELECT repo, path, min(line) AS line, CASE t WHEN 5 THEN 'CWE-78' ELSE 'CWE-94' END AS cwe FROM src WHERE t IN (5, 24) GROUP BY repo, path, t),
+    kept AS (SELECT o.*, r.lead_rank, printf('F%03d', row_number() OVER (PARTITION BY o.repo ORDER BY r.lead_rank, o.line)) AS id FROM own o JOIN ranked r ON r.repo = o.repo AND r.path = o.path),
+    tiers AS (SELECT k.*, CASE WHEN EXISTS (SELECT 1 FROM scanner s WHERE s.repo = k.repo AND s.path = k.path AND k.line - 3 <= s.end_line AND k.line + 3 >= s.start_line) THEN 'supported' ELSE 'suspected' END AS tier FROM kept k)"""
+
+
+@query(f"""{JUDGED_SQL.replace(CODE, with_views('code_lines', 'scanner'))} SELECT repo, id, path, line AS start_line, cwe, tier, cwe = 'CWE-78' AS hedged, row_number() OVER (PARTITION BY repo ORDER BY tier = 'suspected', cwe = 'CWE-78', id) AS rank FROM tiers""")
 def k4_scan_job(spark, sf):
-    ok = citations.verified_findings(checked(spark, sf)).where("verified").select("repo", "fid")
-    return tiered(spark, sf).join(ok, ["repo", "fid"]).groupBy("tier", "severity").agg(F.count("*").alias("n"), F.count_if("hedged").alias("n_hedged"))
+    found, _, _ = judged_scan(spark, sf)
+    return found.select("repo", "id", "path", "start_line", "cwe", "tier", "hedged", F.col("rank").cast("long").alias("rank"))
+
+
+@query(f"""{JUDGED_SQL.replace(CODE, with_views('code_lines', 'scanner'))}, n AS (SELECT repo, path, max(line) AS n FROM src GROUP BY repo, path),
+    parts AS (SELECT repo, path, n, unnest(range(CASE WHEN n <= 20 THEN 1 ELSE ceil((n - 20) / 16.0)::INT + 1 END))::INT AS i FROM n),
+    quiet AS (SELECT p.*, NOT EXISTS (SELECT 1 FROM src c WHERE c.repo = p.repo AND c.path = p.path AND c.t IN (5, 24) AND c.line BETWEEN p.i * 16 + 1 AND least(p.i * 16 + 20, p.n)) AS failed FROM parts p)
+    SELECT repo, count(DISTINCT path) AS leads, (SELECT count(*) FROM kept k WHERE k.repo = q.repo) AS findings, 0::BIGINT AS discarded_bad_citation, count(DISTINCT path) FILTER (WHERE failed) AS n_errors FROM quiet q GROUP BY repo""")
+def k4_scan_stats(spark, sf):
+    _, _, stats = judged_scan(spark, sf)
+    return stats.select("repo", "leads", "findings", "discarded_bad_citation", F.size("errors").cast("long").alias("n_errors"))
+
+
+PATTERN_SQL = f"""own AS (SELECT repo, path, line, cwe, class FROM (SELECT *, row_number() OVER (PARTITION BY repo, path, line, cwe ORDER BY ord) AS n FROM hits WHERE class <> 'request handler') x WHERE n = 1)"""
+
+
+@query(f"""{LEADS_SQL}, {PATTERN_SQL}, ranked AS (SELECT repo, path, {LEAD_RANK} AS lead_rank FROM leads)
+    SELECT o.repo, printf('F%03d', row_number() OVER (PARTITION BY o.repo ORDER BY lead_rank, line, cwe, class)) AS id, o.path, line AS start_line, cwe, class AS title, 'suspected' AS tier FROM own o JOIN ranked r ON r.repo = o.repo AND r.path = o.path""")
+def k4_scan_patterns(spark, sf):
+    found, _, _ = jobs.scan_job(view(spark, sf, "code_lines"), "patterns")
+    return found.select("repo", "id", "path", "start_line", "cwe", "title", "tier")
 
 
-@query(f"""{with_views('advisories')}, kept AS (SELECT * FROM advisories WHERE published BETWEEN '1993-01-01' AND '1997-12-31' AND NOT withdrawn AND ecosystem IN ('PIP', 'NPM') AND cwe IN ({', '.join(map(str, select.INJECTION + select.MISSING_CHECK))}) AND url2 = 'https://example.org/note'),
+@query(f"""{with_views('scanner', 'code_lines')}, s AS (SELECT DISTINCT repo, path, start_line, cwe, min(check_id) AS title FROM scanner GROUP BY ALL)
+    SELECT repo, count(*) AS n, 'suspected' AS tier FROM s GROUP BY repo""")
+def k4_scan_scanner(spark, sf):
+    scanner = citations.quote_spans(view(spark, sf, "scanner").select("repo", "path", "start_line", "end_line", F.col("check_id").alias("title"), "cwe", F.lit("s").alias("summary")).distinct(), view(spark, sf, "code_lines"))
+    found, _, _ = jobs.scan_job(view(spark, sf, "code_lines"), "scanner", scanner=scanner)
+    return found.groupBy("repo", "tier").agg(F.count("*").alias("n"))
+
+
+@query(f"""{with_views('advisories', 'commit_files')}, keyed AS (SELECT 'own/repo' || o_custkey || '@' || substring('abcdef' || (1000000 + sha), 1, 12) AS key, c.* FROM commit_files c JOIN orders ON o_orderkey = sha),
+    usable AS (SELECT key FROM (SELECT key, bool_and(one_parent) AS p, count(*) FILTER (WHERE {SOURCE_SQL}) AS n, count(*) FILTER (WHERE {SOURCE_SQL} AND status = 'modified') AS m, coalesce(sum(changes) FILTER (WHERE {SOURCE_SQL}), 0) AS c FROM keyed GROUP BY key) x WHERE p AND n BETWEEN 1 AND 3 AND m > 0 AND c <= 80),
+    kept AS (SELECT * FROM advisories WHERE published BETWEEN '1993-01-01' AND '1997-12-31' AND NOT withdrawn AND ecosystem IN ('PIP', 'NPM') AND cwe IN ({', '.join(map(str, select.INJECTION + select.MISSING_CHECK))}) AND url2 = 'https://example.org/note' AND lower(repo) || '@' || substring(split_part(url1, '/commit/', 2), 1, 12) IN (SELECT key FROM usable)),
     {RANKED_SQL.replace('FROM advisories', 'FROM kept')} SELECT * FROM ranked WHERE rank <= 40""")
 def k10_select_advisories(spark, sf):
-    return select.top_per_group(select.one_per_repo(kept_advisories(spark, sf), "s")).select("id", "repo", "grp", "rank")
+    orders = load(spark, sf, "orders").select(F.col("o_orderkey").alias("sha"), "o_custkey")
+    commits = view(spark, sf, "commit_files").join(orders, "sha").withColumns({"repo": F.concat(F.lit("own/Repo"), F.col("o_custkey").cast("string")), "sha": F.concat(F.lit("abcdef"), (1000000 + F.col("sha")).cast("string"))})
+    return select.select_advisories(advisory_rows(spark, sf), commits, "1993-01-01", "1997-12-31", "s").select("id", "repo", "grp", "rank")
 
 
-@query(f"""{LEADS_SQL}, {WINDOWS.split(', n AS', 1)[1].join(['n AS', ''])} SELECT w.repo, w.path, i + 1 AS part, i * 16 + 1 AS first, least(i * 16 + 20, n) AS last, 'Review the file `' || w.path || '`.' || CASE WHEN n <= 20 THEN '' ELSE ' It has ' || n || ' lines; this part shows lines ' || (i * 16 + 1) || ' to ' || least(i * 16 + 20, n) || ', and the other parts are reviewed separately.' END AS head
-    FROM w SEMI JOIN leads l ON w.repo = l.repo AND w.path = l.path""")
-def k2_prompt_heads(spark, sf):
-    p = jobs.build_prompts(view(spark, sf, "code_lines"), size=20, overlap=4)
-    return p.select("repo", "path", "part", "first", "last", F.substring_index("prompt", "\n\n", 1).alias("head"))
+PROMPT_SQL = f"""{LEADS_SQL}, parts AS (SELECT repo, path, n, i + 1 AS part, i * 16 + 1 AS first, least(i * 16 + 20, n) AS last FROM (SELECT repo, path, max(line) AS n, unnest(range(CASE WHEN max(line) <= 20 THEN 1 ELSE ceil((max(line) - 20) / 16.0)::INT + 1 END))::INT AS i FROM src GROUP BY repo, path) x),
+    shown AS (SELECT *, row_number() OVER (PARTITION BY repo, path, part, class ORDER BY line, ord) AS k FROM (SELECT p.repo, p.path, p.part, h.class, h.line, h.ord FROM parts p JOIN hits h ON h.repo = p.repo AND h.path = p.path AND h.line BETWEEN p.first AND p.last) x),
+    pointers AS (SELECT repo, path, part, string_agg('- ' || class || ': line ' || l, chr(10) ORDER BY class) AS t FROM (SELECT repo, path, part, class, string_agg(line::VARCHAR, ', ' ORDER BY line, ord) AS l FROM shown WHERE k <= 8 GROUP BY ALL) x GROUP BY ALL),
+    code AS (SELECT p.repo, p.path, p.part, string_agg(c.line || '| ' || CASE WHEN regexp_matches(c.text, '^\\s*(#|//)') AND NOT starts_with(c.text, '#!') THEN '' ELSE c.text END, chr(10) ORDER BY c.line) AS t FROM parts p JOIN src c ON c.repo = p.repo AND c.path = p.path AND c.line BETWEEN p.first AND p.last GROUP BY ALL)"""
 
 
-@query()
+@query(f"""{PROMPT_SQL} SELECT p.repo, p.path, p.part, p.first, p.last, 'File under review: `' || p.path || '`.' || CASE WHEN n <= 20 THEN '' ELSE ' Lines ' || p.first || '-' || p.last || ' of ' || n || '; the other lines have prompts of their own.' END
+    || chr(10) || chr(10) || CASE WHEN x.t IS NULL THEN '' ELSE 'Lines that match known patterns (hints only; check them, and look beyond them):' || chr(10) || x.t || chr(10) || chr(10) END
+    || '<repo_data>' || chr(10) || '--- ' || p.path || ' ---' || chr(10) || c.t || chr(10) || '</repo_data>' || chr(10) || chr(10) || {quoted(jobs.WALKTHROUGH)} AS prompt
+    FROM parts p JOIN code c USING (repo, path, part) LEFT JOIN pointers x USING (repo, path, part)""")
 def k2_build_prompts(spark, sf):
+    return jobs.build_prompts(view(spark, sf, "code_lines"), "walkthrough", True, size=20, overlap=4, helpers=False).drop("lead_rank")
+
+
+@query()
+def k2_prompts_with_context(spark, sf):
     lines = view(spark, sf, "code_lines")
     return jobs.build_prompts(lines, "walkthrough", True, jobs.render_map(lines), 20, 4)
 
 
+@query(f"""{CODE}, {CALLS_SQL}, {JS_SQL}, e AS (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY line) AS ord FROM js_entries)
+    SELECT repo, path, 'Entry points here:' || chr(10) || string_agg('- line ' || line || ': ' || route || ' (handler), protected by: ' || CASE WHEN guards = '' THEN 'none found' ELSE replace(guards, ',', ', ') END, chr(10) ORDER BY ord) AS mine FROM e WHERE ord <= 20 GROUP BY ALL""")
+def k3_own_entries(spark, sf):
+    entries = defs.js_entries(view(spark, sf, "code_lines"))
+    return jobs.own_entries(entries.withColumn("guards", F.array_sort("guards")))
+
+
 @query()
 def k3_render_map(spark, sf):
     return jobs.render_map(view(spark, sf, "code_lines"))
 
 
-@query(f"""{with_views('code_lines', 'truth', 'evidence')}, {REGIONS_SQL}, met AS (SELECT DISTINCT f.repo, f.fid, f.sk, r.id, r.is_decoy, coalesce(f.cwe = r.cwe, false) AS same FROM evidence e JOIN regions r ON e.repo = r.repo AND e.path = r.path AND e.start_line <= r.end_line AND e.end_line >= r.start_line JOIN findings f ON f.repo = e.repo AND f.fid = e.fid),
-    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, fid ORDER BY same DESC, is_decoy, id) AS n FROM met) x WHERE n = 1 AND NOT is_decoy),
-    hit AS (SELECT id, bool_or(sk % 4 <> 1) AS d, bool_or(sk % 4 = 1) AS s FROM best GROUP BY id),
-    s AS (SELECT t.repo, coalesce(d, false) AS d, coalesce(s, false) AS s FROM truth t LEFT JOIN hit USING (id) WHERE NOT t.is_decoy)
-    SELECT repo, count(*) AS weaknesses, count(*) FILTER (WHERE d) AS found, count(*) FILTER (WHERE s) AS still, count(*) FILTER (WHERE d AND NOT s) AS correct, correct / weaknesses AS pair_accuracy FROM s GROUP BY repo""")
+@query(f"""{PROMPT_SQL}, said AS (SELECT repo, path, part, len(regexp_extract_all(t, 'eval\\(expr\\)')) AS n FROM code)
+    SELECT repo, path, part, CASE WHEN n < 2 THEN n::VARCHAR END AS content, CASE WHEN n >= 2 THEN 'ValueError: too much' END AS error FROM said""")
+def j1_review_prompts(spark, sf):
+    """A scripted client counts the calls of eval in the code that it is shown; on two or more it fails, on its row alone."""
+    prompts = jobs.build_prompts(view(spark, sf, "code_lines"), strip_comments=True, size=20, overlap=4, helpers=False)
+
+    def factory():
+        def client(prompt):
+            n = prompt.count("eval(expr)")
+            if n >= 2:
+                raise ValueError("too much")
+            return str(n)
+
+        return client
+
+    return jobs.review_prompts(prompts, factory).select("repo", "path", "part", "content", "error")
+
+
+SEEDED_SQL = f"""{with_views('code_lines', 'truth')}, {TWIN_SQL}, {lexicon_sql('code_lines')}, {{later}},
+    {REGIONS_SQL}, later_regions AS (SELECT t.id, t.repo, t.path, t.cwe, t.cwe2, t.is_decoy, greatest(1, min(c.line) - t.radius) AS start_line, min(c.line) + t.radius AS end_line FROM truth t JOIN twin c ON t.repo = c.repo AND t.path = c.path AND contains(c.text, CASE WHEN t.is_decoy THEN t.anchor ELSE t.new END) GROUP BY t.id, t.repo, t.path, t.cwe, t.cwe2, t.is_decoy, t.radius HAVING count(*) = 1),
+    found AS (SELECT 0 AS side, repo, path, line, cwe FROM hits WHERE class <> 'request handler' GROUP BY ALL UNION ALL SELECT 1, repo, path, line, cwe FROM hits_later WHERE class <> 'request handler' GROUP BY ALL),
+    met AS (SELECT f.*, r.id, r.is_decoy, row_number() OVER (PARTITION BY f.side, f.repo, f.path, f.line, f.cwe ORDER BY coalesce(f.cwe IN (r.cwe, r.cwe2), false) DESC, r.is_decoy, r.id) AS n FROM found f LEFT JOIN (SELECT 0 AS side, * FROM regions UNION ALL SELECT 1, * FROM later_regions) r ON r.side = f.side AND r.repo = f.repo AND r.path = f.path AND f.line BETWEEN r.start_line AND r.end_line),
+    both_matches AS (SELECT side, repo, id AS item, CASE WHEN is_decoy THEN 2 WHEN NOT is_decoy THEN side END AS kind FROM met WHERE n = 1)""".replace(
+    "{later}", lexicon_sql("twin").replace("hits AS", "hits_later AS", 1)
+)
+
+
+@query(f"""{SEEDED_SQL}, matches AS (SELECT repo, item, kind FROM both_matches WHERE side = 0), {SUMMARY_SQL} SELECT {SCORE_SQL.format(weak='weak', fixed='0')}""")
 def k5_eval_seeded(spark, sf):
-    f = view(spark, sf, "findings")
-    return jobs.eval_seeded(view(spark, sf, "code_lines"), view(spark, sf, "truth"), f.where("sk % 4 <> 1"), f.where("sk % 4 = 1"), view(spark, sf, "evidence"))
+    return flat_score(jobs.eval_seeded(view(spark, sf, "code_lines"), truth(spark, sf))[0])
 
 
-@query(f"""{with_views('log')}, last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY attempt DESC) AS n FROM log) x WHERE n = 1),
-    judged AS (SELECT name, CASE WHEN status = 'invalid JSON' THEN status WHEN status = 'no analysis' THEN status WHEN attempt % 7 = 0 THEN 'mentions the answer key' WHEN NOT real THEN 'ok' WHEN attempt % 5 = 0 THEN 'no verified finding of the labelled class' ELSE 'ok' END AS status, real FROM last)
-    SELECT status, count(*) AS n, count(*) FILTER (WHERE real) AS n_real FROM judged GROUP BY status""")
-def k9_build_training(spark, sf):
-    return jobs.build_training(teacher(spark, sf), "Review.", "v")[1]
+@query(f"""{SEEDED_SQL}, matches AS (SELECT repo, item, kind FROM both_matches WHERE side = 1), {SUMMARY_SQL} SELECT {SCORE_SQL.format(weak='0', fixed='weak')}""")
+def k5_eval_twin(spark, sf):
+    return flat_score(jobs.eval_seeded(view(spark, sf, "code_lines"), truth(spark, sf))[1])
+
+
+@query(f"""{SEEDED_SQL}, s AS (SELECT t.repo, EXISTS (SELECT 1 FROM both_matches m WHERE m.item = t.id AND m.side = 0 AND m.kind = 0) AS d, EXISTS (SELECT 1 FROM both_matches m WHERE m.item = t.id AND m.side = 1 AND m.kind = 1) AS s FROM truth t WHERE NOT t.is_decoy)
+    SELECT repo, count(*) AS weaknesses, count(*) FILTER (WHERE d) AS found, count(*) FILTER (WHERE s) AS still, count(*) FILTER (WHERE d AND NOT s) AS correct, correct / weaknesses AS pair_accuracy FROM s GROUP BY repo""")
+def k5_eval_pairs_of_trees(spark, sf):
+    return jobs.eval_seeded(view(spark, sf, "code_lines"), truth(spark, sf))[2]
+
+
+TEACHER_SQL = f"""{ANSWERS}, last AS (SELECT repo || '/' || fid AS name, *, sk % 41 = 0 AS again FROM answers),
+    judged AS (SELECT *, CASE WHEN again THEN 'no analysis' WHEN truncated OR (sk % 17 <> 0 AND sk % 19 = 0) THEN 'invalid JSON' WHEN sk % 37 = 0 THEN 'no analysis' WHEN sk % 31 = 0 THEN 'mentions the answer key' WHEN pk % 3 = 0 THEN 'ok' WHEN sk % 23 = 0 OR sk % 7 = 1 OR pk % 5 = 0 THEN 'no verified finding of the labelled class' ELSE 'ok' END AS status, pk % 3 <> 0 AS real FROM last)"""
 
 
 def teacher(spark, sf):
-    said = F.when(F.col("status") == "no analysis", F.array(F.lit(" "))).when(F.col("attempt") % 7 == 0, F.array(F.lit("As instructed, nothing."))).otherwise(F.array(F.lit("The handler checks its input.")))
-    one = F.struct(F.lit("CWE-89").alias("cwe"), (F.col("attempt") % 5 != 0).alias("verified"), F.lit("s").alias("summary"), F.lit("r").alias("reasoning"))
-    return view(spark, sf, "log").select("name", "attempt", "real", (F.col("status") != "invalid JSON").alias("parsed"), said.alias("analysis"), F.array(one, one, one).alias("findings"), F.array(F.lit("CWE-89")).alias("classes"), F.lit("p").alias("prompt"))
+    """A log of answers with a second attempt for some names."""
+    a = view(spark, sf, "answers")
+    one = a.select("repo", F.concat("repo", F.lit("/"), "fid").alias("name"), F.lit(1).alias("attempt"), (F.col("pk") % 3 != 0).alias("real"), F.when(F.col("pk") % 5 == 0, F.array(F.lit("CWE-1"))).otherwise(F.array("cwe")).alias("classes"), F.lit("p").alias("prompt"), "content", "truncated", "sk")
+    again = one.where("sk % 41 = 0").withColumns({"attempt": F.lit(2), "content": F.lit("{}"), "truncated": F.lit(False)})
+    return one.unionByName(again).drop("sk")
 
 
-@query()
-def j1_review_prompts(spark, sf):
-    """A scripted client answers each prompt; every thirteenth fails, on its row alone."""
-    p = hints.review_windows(view(spark, sf, "code_lines"), 20, 4).select("repo", "path", "part", F.concat("path", F.lit(" "), F.col("part").cast("string")).alias("prompt"))
+@query(f"""{TEACHER_SQL} SELECT status, count(*) AS n, count(*) FILTER (WHERE real) AS n_real FROM judged GROUP BY status""")
+def k9_training_statuses(spark, sf):
+    return jobs.build_training(teacher(spark, sf), view(spark, sf, "code_lines"), "Review.", "v")[1]
 
-    def factory():
-        def client(prompt):
-            if sum(prompt.encode()) % 13 == 0:
-                raise ValueError("no answer")
-            return '{"findings": []}'
 
-        return client
+@query(f"""{TEACHER_SQL}, ok AS (SELECT *, row_number() OVER (ORDER BY md5('v' || name), name) <= greatest(1, count(*) OVER () // 10) AS valid FROM judged WHERE status = 'ok')
+    SELECT repo, name, CASE WHEN valid THEN 'valid' ELSE 'train' END AS side, real::INT AS n_kept, CASE WHEN real THEN quote ELSE '' END AS quote, 3 AS messages FROM ok""")
+def k9_build_training(spark, sf):
+    records = jobs.build_training(teacher(spark, sf), view(spark, sf, "code_lines"), "Review.", "v")[0]
+    quote = F.get(F.get("kept", F.lit(0))["evidence"], F.lit(0))["quote"]
+    said = F.from_json("record", "messages array<struct<role:string,content:string>>")["messages"]
+    return records.select("repo", "name", "side", F.size("kept").alias("n_kept"), F.coalesce(quote, F.lit("")).alias("quote"), F.size(said).alias("messages"))
+
+
+@query(f"""{TEACHER_SQL}, n AS (SELECT count(*) AS teacher_rows, count(*) FILTER (WHERE status = 'ok') AS accepted, count(*) FILTER (WHERE status = 'ok' AND real) AS accepted_real FROM judged) SELECT *, accepted - greatest(1, accepted // 10) AS train, greatest(1, accepted // 10) AS valid FROM n""")
+def k9_dataset_summary(spark, sf):
+    return jobs.build_training(teacher(spark, sf), view(spark, sf, "code_lines"), "Review.", "v")[2]
 
-    return jobs.review_prompts(p, factory)
+
+@query(f"""{TEACHER_SQL} SELECT repo, name, status, CASE WHEN status = 'ok' THEN real::INT END AS n_kept FROM judged""")
+def b19_accept_answers(spark, sf):
+    parsed = findings.parsed_answers(select.last_rows(teacher(spark, sf), ["repo", "name"]))
+    valid = parsed.withColumn("findings", F.filter("findings", S.valid_finding))
+    checked_ = citations.check_citations(train.teacher_evidence(valid), view(spark, sf, "code_lines"))
+    return train.accept_answers(train.with_verified(valid, checked_)).select("repo", "name", "status", F.size("kept").alias("n_kept"))
 
 
 @query(f"""{with_views('findings', 'modules')}, {MODULES_SQL}, s AS (SELECT m.id, r.repo, coalesce(bool_or(flagged), false) AS v, coalesce(bool_or(flagged AND fid LIKE '%1'), false) AS s
@@ -872,40 +1217,67 @@ def j1_review_prompts(spark, sf):
     SELECT repo, count(*) AS modules, count(*) FILTER (WHERE v) AS detected, count(*) FILTER (WHERE s) AS secure_flagged, count(*) FILTER (WHERE v AND NOT s) / count(*) AS pair_accuracy, any_value(ov) AS other_findings_vulnerable, any_value(os) AS other_findings_secure FROM s JOIN o USING (repo) GROUP BY repo""")
 def k6_eval_pairs(spark, sf):
     f, ev = view(spark, sf, "findings"), view(spark, sf, "evidence")
-    repos = F.sequence(F.lit(0), F.lit(19))
-    modules = view(spark, sf, "modules").select("id", F.array("cwe1", "cwe2").alias("cwes"), F.explode(F.transform(repos, lambda i: F.concat(F.lit("repo"), i.cast("string")))).alias("repo"))
-    modules = modules.join(f.select("repo").distinct(), "repo", "left_semi")
     later = "fid like '%1'"
-    return jobs.eval_pairs((f, ev), (f.where(later), ev.where(later)), modules, ("repo",))
+    return jobs.eval_pairs((f, ev), (f.where(later), ev.where(later)), repo_modules(spark, sf))
+
+
+@query(rf"""{CODE}, {PAIRS_SQL}, code AS (SELECT repo, k, 'm' || (k // 2) AS module, k % 2 = 0 AS low, line, text FROM k), c2 AS (SELECT repo, module AS path, line, text, low FROM code), {lexicon_sql('c2').replace('SELECT repo, path,', 'SELECT low, repo, path,')},
+    f AS (SELECT DISTINCT low, repo, path AS module, line, cwe FROM hits WHERE class <> 'request handler'),
+    per AS (SELECT repo, module, coalesce(bool_or(low AND cwe IN ('CWE-89', 'CWE-94')), false) AS v, coalesce(bool_or(NOT low AND cwe IN ('CWE-89', 'CWE-94')), false) AS s FROM (SELECT DISTINCT repo, module FROM code) m LEFT JOIN f USING (repo, module) GROUP BY ALL),
+    o AS (SELECT repo, count(*) FILTER (WHERE low AND cwe NOT IN ('CWE-89', 'CWE-94')) AS ov, count(*) FILTER (WHERE NOT low AND cwe NOT IN ('CWE-89', 'CWE-94')) AS os FROM f GROUP BY repo)
+    SELECT repo, count(*) AS modules, count(*) FILTER (WHERE v) AS detected, count(*) FILTER (WHERE s) AS secure_flagged, count(*) FILTER (WHERE v AND NOT s) / count(*) AS pair_accuracy, coalesce(any_value(ov), 0) AS other_findings_vulnerable, coalesce(any_value(os), 0) AS other_findings_secure FROM per LEFT JOIN o USING (repo) GROUP BY repo""")
+def k6_review_pairs(spark, sf):
+    """Both versions of each module under neutral names, reviewed by patterns."""
+    files, modules = module_files(spark, sf)
+    return jobs.review_pairs(files, modules, "low.src", "high.src")[0]
 
 
-@query(f"""{with_views('findings', 'items', 'changes')}, {ITEM_SQL}, s AS (SELECT i.id, coalesce(bool_or(own), false) AS d, coalesce(bool_or(own AND sk % 2 = 0), false) AS f, count(*) FILTER (WHERE NOT own) AS ov, count(*) FILTER (WHERE NOT own AND sk % 2 = 0) AS os FROM items i LEFT JOIN item_findings f ON i.id = f.id GROUP BY i.id)
+@query(f"""{with_views('findings', 'evidence', 'items', 'changes')}, {ITEM_SQL}, s AS (SELECT i.id, coalesce(bool_or(own), false) AS d, coalesce(bool_or(own AND sk % 2 = 0), false) AS f, count(*) FILTER (WHERE NOT own) AS ov, count(*) FILTER (WHERE NOT own AND sk % 2 = 0) AS os FROM items i LEFT JOIN item_findings f ON i.id = f.id GROUP BY i.id)
     SELECT count(*) AS items, count(*) FILTER (WHERE d) AS detected, count(n.id) AS detected_at_change, count(*) FILTER (WHERE f) AS fixed_flagged, count(*) FILTER (WHERE d AND NOT f) / count(*) AS pair_accuracy, sum(ov)::BIGINT AS other_findings_vulnerable, sum(os)::BIGINT AS other_findings_fixed FROM s LEFT JOIN near n ON s.id = n.id""")
 def k7_eval_real(spark, sf):
-    f = view(spark, sf, "findings").select("path", "fid", "cwe", "start_line", F.col("start_line").alias("end_line"), (F.col("severity") == "low").alias("rejected"), "sk")
-    items = view(spark, sf, "items").withColumn("cwes", F.array(F.lit("CWE-89"), F.lit("CWE-22"), F.lit("CWE-94")))
-    return jobs.eval_real(f, f.where("sk % 2 = 0"), items, view(spark, sf, "changes"))
+    return jobs.eval_real(citations_of(spark, sf), citations_of(spark, sf, "sk % 2 = 0"), real_items(spark, sf), view(spark, sf, "changes"))
 
 
-@query(f"""{with_views('code_lines', 'findings')}, c AS (SELECT DISTINCT path AS name, split_part(path, '/', 1) AS category, length(path) % 2 = 0 AS real, path FROM code_lines WHERE path LIKE '%.py' OR path LIKE '%.js'),
-    f AS (SELECT c.name, c.category, c.real, coalesce(bool_or(x.cwe IN ('CWE-89', 'CWE-78') AND x.severity <> 'low'), false) AS flagged FROM c LEFT JOIN findings x ON x.path = c.path GROUP BY ALL),
-    n AS (SELECT category, count(*) FILTER (WHERE real) AS n_real, count(*) FILTER (WHERE NOT real) AS n_fake, count(*) FILTER (WHERE real AND flagged) AS tp, count(*) FILTER (WHERE NOT real AND flagged) AS fp FROM f GROUP BY ROLLUP (category))
-    SELECT *, coalesce(tp / nullif(n_real, 0), 0) AS tpr, coalesce(fp / nullif(n_fake, 0), 0) AS fpr, coalesce(tp / nullif(n_real, 0), 0) - coalesce(fp / nullif(n_fake, 0), 0) AS score FROM n""")
+@query(r"""WITH d AS (SELECT o_orderkey AS item, 'repo' || o_custkey % 20 AS repo, o_custkey AS c FROM orders)
+    SELECT item, repo, 'x.py' AS path, c::INT AS start_line, (CASE item % 3 WHEN 0 THEN c + 1 WHEN 1 THEN c ELSE c + 3 END)::INT AS end_line FROM d UNION ALL SELECT item, repo, 'x.py', (c + 40)::INT, (c + 41)::INT FROM d""")
+def k7_changes_of_diffs(spark, sf):
+    items = load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("repo"), (F.col("o_custkey") % 20).cast("string")).alias("repo"))
+    return jobs.changes_of_diffs(view(spark, sf, "diffs"), items)
+
+
+CASE_SCORE_SQL = """n AS (SELECT category, count(*) FILTER (WHERE real) AS n_real, count(*) FILTER (WHERE NOT real) AS n_fake, count(*) FILTER (WHERE real AND flagged) AS tp, count(*) FILTER (WHERE NOT real AND flagged) AS fp FROM f GROUP BY ROLLUP (category))
+    SELECT *, coalesce(tp / nullif(n_real, 0), 0) AS tpr, coalesce(fp / nullif(n_fake, 0), 0) AS fpr, coalesce(tp / nullif(n_real, 0), 0) - coalesce(fp / nullif(n_fake, 0), 0) AS score FROM n"""
+
+
+@query(f"{with_views('code_lines', 'findings')}, {CASES_SQL}, f AS (SELECT * FROM flagged WHERE name::INT % 2 = 0), {CASE_SCORE_SQL}")
 def k8_eval_cases(spark, sf):
-    paths = view(spark, sf, "code_lines").select("path").distinct()
-    cases = paths.select(F.col("path").alias("name"), F.substring_index("path", "/", 1).alias("category"), (F.length("path") % 2 == 0).alias("real"), "path", F.array(F.lit("CWE-89"), F.lit("CWE-78")).alias("classes"))
-    names = paths.where("path like '%.py' or path like '%.js'").select(F.col("path").alias("name"))
-    return jobs.eval_cases(view(spark, sf, "findings").withColumn("rejected", F.col("severity") == "low"), cases, names)
+    cases = file_cases(spark, sf)
+    return jobs.eval_cases(citations_of(spark, sf), cases, cases.where(F.col("name").cast("int") % 2 == 0).select("name"))
+
 
+@query(f"{with_views('code_lines', 'findings')}, {CASES_SQL}, f AS (SELECT * FROM flagged WHERE NOT failed), {CASE_SCORE_SQL}")
+def k8_answered_only(spark, sf):
+    return jobs.eval_cases(citations_of(spark, sf), file_cases(spark, sf), answered_only=True)
 
-@query(f"{with_views('runs')}, {RUN_SQL} SELECT config, metric, count(*) AS runs, avg(value) AS mean, min(value) AS low, max(value) AS high FROM m GROUP BY ALL UNION ALL SELECT config, 'item ' || item, count(DISTINCT run), count(DISTINCT run) FILTER (WHERE value > 50), count(DISTINCT run) FILTER (WHERE value > 80), NULL FROM runs GROUP BY config, item")
+
+@query(f"""{with_views('runs')}, {RUN_FILES_SQL}, per AS (SELECT config, c, seed, count(*) FILTER (WHERE found) AS found, count(*) FILTER (WHERE found AND NOT correct) AS still, count(*) FILTER (WHERE correct) AS right_, sum(n) AS n, count(*) AS items FROM i GROUP BY ALL),
+    m AS (SELECT config, seed, unnest(['found', 'decoys flagged', 'patched still flagged', 'errors', 'seconds']) AS metric, unnest([found::DOUBLE, 0, still, 1, n + 0.5]) AS value FROM per WHERE c < 2
+        UNION ALL SELECT config, seed, unnest(['detected', 'secure flagged', 'pairs correct', 'errors', 'seconds']), unnest([found::DOUBLE, 1, right_, 2, 3]) FROM per WHERE c IN (2, 3)
+        UNION ALL SELECT config, seed, unnest(['detected', 'detected at change', 'fixed flagged', 'pairs correct', 'other findings, vulnerable', 'other findings, fixed', 'errors', 'largest prompt (tokens)', 'seconds']), unnest([found::DOUBLE, found, (SELECT count(*) FROM r WHERE r.config = per.config AND r.seed = per.seed AND r.value <= 10), right_, n, 0, 2 * items, 0, 3.0 * items]) FROM per WHERE c = 4)
+    SELECT config AS model, metric, count(*) AS runs, avg(value) AS mean, min(value) AS low, max(value) AS high FROM m GROUP BY ALL""")
 def k11_summarise_runs(spark, sf):
-    r = view(spark, sf, "runs")
-    metrics, items = jobs.summarise_runs(r.groupBy("config", "run", "metric").agg(F.max("value").alias("value")), r.withColumn("found", F.col("value") > 50).withColumn("correct", F.col("value") > 80))
-    as_rows = items.select("config", F.concat(F.lit("item "), F.col("item").cast("string")).alias("metric"), "runs", F.col("found").cast("double").alias("mean"), F.col("correct").cast("double").alias("low"), F.lit(None).cast("double").alias("high"))
-    return metrics.drop("run_list").unionByName(as_rows)
+    m = jobs.summarise_runs(run_files(spark, sf))[0]
+    return m.select(F.get_json_object("config", "$.model").alias("model"), "metric", "runs", "mean", "low", "high")
+
+
+@query(f"""{with_views('runs')}, {RUN_FILES_SQL}, ids AS (SELECT DISTINCT item FROM i WHERE c < 2 AND found), seeds AS (SELECT DISTINCT config, c, seed FROM i),
+    every AS (SELECT s.config, s.seed, ids.item, coalesce(i.found, false) AS found, coalesce(i.correct, false) AS correct FROM seeds s CROSS JOIN ids LEFT JOIN i ON i.config = s.config AND i.seed = s.seed AND i.item = ids.item WHERE s.c < 2 UNION ALL SELECT config, seed, item, found, correct FROM i WHERE c >= 2)
+    SELECT config AS model, item, count(*) AS runs, count(*) FILTER (WHERE found) AS found, count(*) FILTER (WHERE correct) AS correct FROM every GROUP BY ALL""")
+def k11_item_stability(spark, sf):
+    m = jobs.summarise_runs(run_files(spark, sf))[1]
+    return m.select(F.get_json_object("config", "$.model").alias("model"), "item", "runs", "found", "correct")
 
 
 @query(SIGNALS_SQL)
 def k12_signal_job(spark, sf):
-    return jobs.signal_job(view(spark, sf, "findings"), view(spark, sf, "evidence"), view(spark, sf, "scanner"), regions(spark, sf))
+    return jobs.signal_job(judged_findings(spark, sf).where("tier <> 'rejected'"), view(spark, sf, "evidence"), view(spark, sf, "scanner"), regions(spark, sf))

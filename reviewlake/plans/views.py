@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from reviewlake.plans.storage import stored
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 #: The text of a code line by l_partkey % 32; {a}, {b}, {s} are l_suppkey % 10, l_suppkey % 40, l_suppkey.
@@ -62,11 +66,19 @@ def _cwe(key: str) -> str:
 
 
 V = "varchar(20)"
+
+
+def _path(key: str) -> str:
+    """A file for each customer; customers 2k and 2k + 1 share the path, in two repositories."""
+    k = f"(({key} - {key} % 2) / 2)"
+    k = f"cast({k} AS int)"
+    return f"concat('svc', cast({k} % 7 AS {V}), '/app/f', cast({k} AS {V}), CASE {k} % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.php' WHEN 3 THEN '.py' ELSE '.txt' END)"
+
+
 #: Name to SQL; a view may read the given tables and the views before it.
 VIEWS = {
     "code_lines": f"""
-        SELECT concat('repo', cast(o_custkey % 20 AS {V})) AS repo,
-               concat('svc', cast(o_custkey % 7 AS {V}), '/app/f', cast(o_custkey AS {V}), CASE o_custkey % 5 WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.php' WHEN 3 THEN '.py' ELSE '.txt' END) AS path,
+        SELECT concat('repo', cast(o_custkey % 20 AS {V})) AS repo, {_path('o_custkey')} AS path,
                cast(row_number() OVER (PARTITION BY o_custkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS int) AS line,
                {_text()} AS text, l_orderkey AS ok, l_partkey AS pk, l_suppkey AS sk, cast(l_partkey % 32 AS int) AS t
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
@@ -87,20 +99,22 @@ VIEWS = {
         SELECT repo, path, CASE WHEN line + (sk % 9) - 4 < 1 THEN 1 ELSE line + (sk % 9) - 4 END AS start_line, CASE WHEN line + (sk % 9) - 4 < 1 THEN 1 ELSE line + (sk % 9) - 4 END AS end_line, concat('rules.python.rule-', cast(t AS {V})) AS check_id, {_cwe('t')} AS cwe
         FROM code_lines WHERE ok % 2 = 0 AND {_cwe('t')} IS NOT NULL""",
     "truth": f"""
-        SELECT concat('T', path, '-', cast(min(line) AS {V})) AS id, repo, path, text AS anchor, cast(1 + min(sk) % 4 AS int) AS radius, {_cwe('t')} AS cwe, min(sk) % 5 = 0 AS is_decoy, concat(text, '  # fixed') AS new
+        SELECT concat('T', repo, '/', path, '-', cast(min(line) AS {V})) AS id, repo, path, text AS anchor, cast(1 + min(sk) % 4 AS int) AS radius, {_cwe('t')} AS cwe, CASE WHEN min(sk) % 2 = 0 THEN {_cwe('((t + 1) % 32)')} ELSE 'CWE-20' END AS cwe2,
+               min(sk) % 5 = 0 AS is_decoy, CASE WHEN min(sk) % 3 = 0 THEN concat('    safe_', cast(min(line) AS {V}), '()') ELSE concat(text, '  # fixed') END AS new
         FROM code_lines WHERE {_cwe('t')} IS NOT NULL AND pk % 3 <> 1 GROUP BY repo, path, text, t""",
     "modules": f"""
         SELECT DISTINCT concat('svc', cast(c_custkey % 7 AS {V})) AS id, CASE c_custkey % 7 WHEN 0 THEN 'CWE-89' WHEN 1 THEN 'CWE-78' WHEN 2 THEN 'CWE-79' WHEN 3 THEN 'CWE-22' WHEN 4 THEN 'CWE-94' WHEN 5 THEN 'CWE-601' ELSE 'CWE-502' END AS cwe1, CASE c_custkey % 3 WHEN 0 THEN 'CWE-327' WHEN 1 THEN 'CWE-330' ELSE 'CWE-798' END AS cwe2
         FROM customer WHERE c_custkey % 21 < 7""",
-    "items": f"SELECT DISTINCT path AS id, repo, path FROM code_lines WHERE cast(pk % 97 AS int) = 3",
-    "changes": "SELECT i.id AS item, c.path, c.line AS start_line, c.line + 1 AS end_line FROM items i JOIN code_lines c ON i.path = c.path WHERE c.line % 11 = 0",
+    "items": "SELECT DISTINCT concat(repo, ':', path) AS id, repo, path FROM code_lines WHERE cast(pk % 97 AS int) = 3",
+    "changes": "SELECT i.id AS item, c.repo, c.path, c.line AS start_line, c.line + 1 AS end_line FROM items i JOIN code_lines c ON i.repo = c.repo AND i.path = c.path WHERE c.line % 11 = 0",
     "cases": f"""
         SELECT concat('Case', cast(p_partkey AS {V})) AS name, cast(p_partkey % 14 AS int) AS cat, p_partkey % 3 <> 0 AS real, p_partkey AS pk FROM part""",
     "runs": f"SELECT concat('cfg', cast(user_id % 5 AS {V})) AS config, concat('run', cast(user_id % 3 AS {V})) AS run, event_type AS metric, user_id % 50 AS item, value, event_id FROM events",
     "answers": f"""
-        SELECT fid, repo, path, title, cwe, severity, summary, start_line, quote, sk % 13 = 0 AS truncated,
+        SELECT fid, repo, path, title, cwe, severity, summary, start_line, quote, sk, pk, sk % 13 = 0 AS truncated,
                CASE WHEN sk % 17 = 0 THEN concat('```json\n', body, '\n```') WHEN sk % 19 = 0 THEN substring(body, 1, 30) ELSE body END AS content
-        FROM (SELECT *, concat('{{"analysis": ["the handler is read"], "findings": [{{"title": "', title, '", "cwe": "', cwe, '", "severity": "', CASE WHEN sk % 23 = 0 THEN 'huge' ELSE severity END, '", "summary": "', summary, '", "evidence": [{{"path": "', path, '", "start_line": ', cast(start_line AS {V}), ', "end_line": ', cast(start_line AS {V}), ', "quote": "q", "role": "sink"}}]}}]}}') AS body FROM findings) x""",
+        FROM (SELECT *, concat('{{"analysis": ["', CASE WHEN sk % 37 = 0 THEN ' ' WHEN sk % 31 = 0 THEN 'According to the label it is safe.' ELSE 'the handler is read' END, '"], "findings": [{{"title": "', title, '", "cwe": "', cwe, '", "severity": "', CASE WHEN sk % 23 = 0 THEN 'huge' ELSE severity END, '", "summary": "', summary,
+            '", "evidence": [{{"path": "', path, '", "start_line": ', cast(start_line AS {V}), ', "end_line": ', cast(start_line AS {V}), ', "quote": "12| ', replace(quote, '"', concat(chr(92), '"')), '", "role": "sink"}}]}}]}}') AS body FROM findings) x""",
     "log": f"""
         SELECT concat('n', cast(o_custkey AS {V})) AS name, o_orderkey AS attempt, CASE o_orderkey % 6 WHEN 0 THEN 'invalid JSON' WHEN 1 THEN 'no analysis' ELSE 'ok' END AS status, o_custkey % 3 = 0 AS real FROM orders""",
     "advisories": f"""
@@ -130,10 +144,32 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Derived tables that other views read again and again: written once for each session and folder of tables.
+STORED = ["code_lines", "findings", "evidence", "scanner", "truth"]
+_WRITTEN: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _written(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    key = spark.sparkContext.applicationId, sf_dir, name
+    if key not in _WRITTEN:
+        _WRITTEN[key] = stored(_derived(spark, sf_dir, name), name)
+    return _WRITTEN[key]
+
+
+def _derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """By the view's SQL over stored views, where it reads some, and the given tables."""
+    text = VIEWS[name]
+    for other in [*NEEDS.get(name, []), *TABLES]:
+        if re.search(rf"\b{other}\b", text):
+            if other in STORED:
+                _written(spark, sf_dir, other).createOrReplaceTempView(other)
+            elif other in VIEWS:
+                _derived(spark, sf_dir, other).createOrReplaceTempView(other)
+            else:
+                load(spark, sf_dir, other).createOrReplaceTempView(other)
+    return spark.sql(text)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table in Spark."""
-    text = f"{with_views(name)} SELECT * FROM {name}"
-    for t in TABLES:
-        if t in text:
-            load(spark, sf_dir, t).createOrReplaceTempView(t)
-    return spark.sql(text)
+    return _written(spark, sf_dir, name) if name in STORED else _derived(spark, sf_dir, name)

@@ -11,25 +11,37 @@ from reviewlake.operators.citations import quote_spans
 #: Folders that are not read, the largest file, and how far a NUL byte marks a binary file.
 SKIPPED_FOLDERS = [".git", "node_modules", ".venv", "venv", "vendor", "dist", "build", "__pycache__", ".idea", ".next", "target", ".tox", ".mypy_cache"]
 LARGEST_FILE, BINARY_PROBE = 400_000, 8_192
-SCANNER = "results array<struct<check_id:string,path:string,start:struct<line:int>,end:struct<line:int>,extra:struct<message:string,metadata:struct<cwe:array<string>>>>>"
-RUNS = "target string, prompt string, context string, runs array<struct<seed:int,precision:double,pair_accuracy:double,seconds:double,found:array<string>>>"
+SCANNER = "results array<struct<check_id:string,path:string,start:struct<line:int>,end:struct<line:int>,extra:struct<message:string,metadata:struct<cwe:string>>>>"
+STATS = "struct<errors:array<string>,seconds:double,largest_prompt_tokens:long>"
+#: The layout of saved results: seeded runs, file pairs and real fixes keep different fields of a run.
+RUNS = (
+    "summary struct<target:string,model:string,mode:string,prompt:string,context:string,temperature:double>, runs array<struct<seed:int,pair_accuracy:double,"
+    "vulnerable:struct<recall:double,precision:double,found:array<string>,decoys_flagged:array<string>,unlisted:long,seconds:double,errors:array<string>>,"
+    "patched:struct<patched_still_flagged:array<string>,seconds:double,errors:array<string>>,"
+    f"detected:array<string>,missed:array<string>,secure_flagged:array<string>,pair_correct:array<string>,stats_vulnerable:{STATS},stats_secure:{STATS},"
+    "items:array<struct<id:string,detected:boolean,detected_at_change:boolean,fixed_flagged:boolean,pair_correct:boolean,other_findings_vulnerable:long,other_findings_fixed:long,"
+    f"stats_vulnerable:{STATS},stats_fixed:{STATS}>>>>"
+)
+CONFIG = ["target", "model", "mode", "prompt", "context", "temperature"]
 
 
 def read_tree(spark: SparkSession, root: str, repo: str) -> DataFrame:
     """repo, path, content of a tree's text files. Size and folder limits apply before the bytes are read on."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
-    path = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), f"^{base}/", "")
+    # The path without scheme and host, then without the root, cut by length.
+    path = F.substring(F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?/*", "/"), len(base) + 2, 1 << 20)
     folders = F.split(path, "/")
     kept = raw.where(F.col("length") <= LARGEST_FILE).withColumn("rel", path).where(~F.arrays_overlap(F.slice(folders, 1, F.greatest(F.size(folders) - 1, F.lit(0))), F.array(*map(F.lit, SKIPPED_FOLDERS))))
     text = kept.where(F.position(F.lit(b"\x00"), F.substring("content", 1, BINARY_PROBE)) == 0)
     return text.select(F.lit(repo).alias("repo"), F.col("rel").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
 
-def read_scanner(spark: SparkSession, path: str, lines: DataFrame, repo: str) -> DataFrame:
-    """Scanner JSON as findings that cite the lines they name; results on other files are left out."""
-    r = spark.read.schema(SCANNER).json(path, multiLine=True).select(F.explode("results").alias("r")).select("r.*")
-    rows = r.select(F.lit(repo).alias("repo"), "path", F.substring_index("check_id", ".", -1).alias("title"), F.col("start.line").alias("start_line"), F.col("end.line").alias("end_line"), normalise_cwe(F.get("extra.metadata.cwe", F.lit(0))).alias("cwe"), F.substring(F.coalesce("extra.message", F.lit("")), 1, 400).alias("summary"))
+def read_scanner(spark: SparkSession, path: str, lines: DataFrame, repo: str | None = None) -> DataFrame:
+    """Scanner JSON as findings that cite the lines they name; results on other files are left out. Without repo the files lie in folders repo=<name>."""
+    raw = spark.read.schema(SCANNER if repo else f"{SCANNER}, repo string").json(path, multiLine=True)
+    r = raw.select(F.lit(repo).alias("repo") if repo else "repo", F.explode("results").alias("r")).select("repo", "r.*")
+    rows = r.select("repo", "path", F.substring_index("check_id", ".", -1).alias("title"), F.col("start.line").alias("start_line"), F.col("end.line").alias("end_line"), normalise_cwe(F.col("extra.metadata.cwe")).alias("cwe"), F.substring(F.coalesce("extra.message", F.lit("")), 1, 400).alias("summary"))
     known = rows.join(lines.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
     return quote_spans(known, lines)
 
@@ -39,16 +51,17 @@ def read_cases(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, comment="#", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, schema="name string, category string, real string, cwe int").withColumn("real", F.lower("real") == "true")
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """One row a run of saved result files, with defaults for what older files lack."""
-    r = spark.read.schema(RUNS).json(path, multiLine=True).select(F.coalesce("target", F.lit("bakery")).alias("target"), F.coalesce("prompt", F.lit("")).alias("prompt"), F.coalesce("context", F.lit("none")).alias("context"), F.explode("runs").alias("r"))
-    return r.select("target", "prompt", "context", F.coalesce("r.seed", F.lit(0)).alias("seed"), "r.precision", "r.pair_accuracy", "r.seconds", "r.found")
+def read_runs(spark: SparkSession, path: str, target: str = "seeded") -> DataFrame:
+    """One row a run of saved result files: CONFIG, seed and run (its fields). target names the runs whose file gives none."""
+    r = spark.read.schema(RUNS).json(path, multiLine=True).select("summary.*", F.explode("runs").alias("run"))
+    return r.select(F.coalesce("target", F.lit(target)).alias("target"), "model", "mode", F.coalesce("prompt", F.lit("")).alias("prompt"), F.coalesce("context", F.lit("none")).alias("context"), "temperature", F.coalesce("run.seed", F.lit(0)).alias("seed"), "run")
 
 
 def read_changes(spark: SparkSession, path: str) -> DataFrame:
-    """item, path, start_line, end_line from {fix, parent, ranges: {path: [[start, end]]}}."""
-    raw = spark.read.schema("id string, fix string, parent string, ranges map<string,array<array<int>>>").json(path, multiLine=True)
-    return raw.select(F.col("id").alias("item"), F.explode("ranges").alias("path", "spans")).select("item", "path", F.explode("spans").alias("s")).select("item", "path", F.col("s")[0].alias("start_line"), F.col("s")[1].alias("end_line"))
+    """item (the file's folder), path, start_line, end_line from {fix, parent, ranges: {path: [[start, end]]}}."""
+    raw = spark.read.schema("fix string, parent string, ranges map<string,array<array<int>>>").json(path, multiLine=True, recursiveFileLookup=True)
+    item = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    return raw.select(F.url_decode(item).alias("item"), F.explode("ranges").alias("path", "spans")).select("item", "path", F.explode("spans").alias("s")).select("item", "path", F.col("s")[0].alias("start_line"), F.col("s")[1].alias("end_line"))
 
 
 def write_findings(findings: DataFrame, path: str) -> None:
@@ -56,10 +69,28 @@ def write_findings(findings: DataFrame, path: str) -> None:
     findings.write.partitionBy("repo").mode("overwrite").json(path)
 
 
-def write_report(findings: DataFrame, path: str) -> None:
-    """Markdown sections, a folder for each repository; findings has a struct column finding and rank."""
-    section = findings.select("repo", "rank", finding_markdown(F.col("finding")).alias("value")).where("value is not null")
-    section.repartition("repo").sortWithinPartitions("repo", "rank").drop("rank").write.partitionBy("repo").mode("overwrite").text(path)
+def write_stats(stats: DataFrame, path: str) -> None:
+    """One JSON line a repository, as scan_stats gives it."""
+    stats.write.partitionBy("repo").mode("overwrite").json(path)
+
+
+def report_parts(findings: DataFrame, model: str) -> DataFrame:
+    """repo, rank, value: a heading with counts (rank 0), then a section for each finding that isn't rejected.
+
+    findings: repo, rank, finding (struct), and checks where there are any.
+    """
+    shown = F.count_if(F.col("finding.tier") != "rejected")
+    counts = F.concat(shown.cast("string"), F.lit(" findings reported, "), (F.count("*") - shown).cast("string"), F.lit(" rejected during verification."))
+    tiers = "`supported`: citations verified, and a scanner reported the same place. `suspected`: citations verified. Hedged wording comes last in a tier."
+    head = findings.groupBy("repo").agg(counts.alias("counts")).select("repo", F.lit(0).alias("rank"), F.concat(F.lit("# Security review of `"), "repo", F.lit(f"`\n\nModel: `{model}`.\n"), "counts", F.lit(f"\n\n{tiers}\n")).alias("value"))
+    checks = F.col("checks") if "checks" in findings.columns else None
+    section = findings.select("repo", "rank", finding_markdown(F.col("finding"), checks).alias("value")).where("value is not null")
+    return head.unionByName(section)
+
+
+def write_report(findings: DataFrame, path: str, model: str = "") -> None:
+    """Markdown, a folder for each repository."""
+    report_parts(findings, model).repartition("repo").sortWithinPartitions("repo", "rank").drop("rank").write.partitionBy("repo").mode("overwrite").text(path)
 
 
 def write_chat_jsonl(records: DataFrame, path: str) -> None:
