@@ -5,11 +5,12 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
-from test_llm import LINE, SCHEMA, brute_components, brute_fingerprint, brute_lines, brute_score, each, odd_rows
+from test_llm import LINE, SCHEMA, brute_components, brute_lines, brute_score, each, odd_rows
 
 import corpus_pipeline
-from reviewlake.llm import mixing, toxicity
+from reviewlake.llm import mixing, similar, toxicity
 from reviewlake.llm.common import table
+from reviewlake.llm.substring import WordHashes
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -62,9 +63,12 @@ def test_simhash_stage(spark, sf, given, name):
     docs = given[name]
     out = STAGES["simhash"](spark, docs, sf)
     assert out.columns == docs.columns
-    fp = {i: brute_fingerprint(t) for i, t in each(docs) if i is not None}
+    known = WordHashes()
+    sets = {i: similar.shingle_set(t, known) for i, t in each(docs) if i is not None}
+    fp = {i: similar.fingerprint(x) for i, x in sets.items()}
     ids = sorted(fp)
-    part = brute_components(ids, [(a, b) for k, a in enumerate(ids) for b in ids[:k] if (fp[a] ^ fp[b]).bit_count() <= 3])
+    alike = lambda a, b: similar.alike(fp[a], len(sets[a]), fp[b], len(sets[b]), similar.SIMILARITY, similar.RADIUS)
+    part = brute_components(ids, [(a, b) for k, a in enumerate(ids) for b in ids[:k] if alike(a, b)])
     assert full(out) == Counter(repr(tuple(r)) for r in docs.collect() if r.doc_id is None or part[r.doc_id] == r.doc_id)
 
 
