@@ -948,9 +948,11 @@ def h14_published_between(spark, sf):
     return load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), S.published_between(F.col("o_orderdate"), "1994-03-01", "1995-06-30").alias("inside"))
 
 
-@query("SELECT o_orderkey AS id, CASE WHEN o_custkey % 5 = 0 THEN 0.0 ELSE (o_orderkey % 7) / (o_custkey % 5) END::DOUBLE AS r FROM orders")
+@query("SELECT o_orderkey AS id, CASE WHEN o_custkey % 5 = 0 THEN 0.0 ELSE (o_orderkey % 7) / (o_custkey % 5) END::DOUBLE AS r, CASE WHEN o_custkey % 3 = 0 THEN 0.0 ELSE round_even((o_orderkey % 16) / (16.0 * (o_custkey % 3)), 3) END::DOUBLE AS rounded FROM orders")
 def h15_ratio(spark, sf):
-    return load(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), S.ratio(F.col("o_orderkey") % 7, F.col("o_custkey") % 5, None).alias("r"))
+    """Exact, and rounded half-even where sixteenths and thirty-seconds end in a five."""
+    num, den = F.col("o_orderkey"), F.col("o_custkey")
+    return load(spark, sf, "orders").select(num.alias("id"), S.ratio(num % 7, den % 5, None).alias("r"), S.ratio(num % 16, 16 * (den % 3)).alias("rounded"))
 
 
 @query(f"{LEADS_SQL} SELECT repo, path, hints FROM leads")
@@ -1118,6 +1120,13 @@ def k2_build_prompts(spark, sf):
     return jobs.build_prompts(view(spark, sf, "code_lines"), "walkthrough", True, size=20, overlap=4, helpers=False).drop("lead_rank")
 
 
+@query(f"""{PROMPT_SQL} SELECT repo, path, part, first, last, 'File under review: `' || path || '`.' || CASE WHEN n <= 20 THEN '' ELSE ' Lines ' || first || '-' || last || ' of ' || n || '; the other lines have prompts of their own.' END AS head FROM parts""")
+def k2_prompt_heads(spark, sf):
+    """The first paragraph of each prompt, helpers' definitions included in what follows it."""
+    p = jobs.build_prompts(view(spark, sf, "code_lines"), size=20, overlap=4)
+    return p.select("repo", "path", "part", "first", "last", F.substring_index("prompt", "\n\n", 1).alias("head"))
+
+
 @query()
 def k2_prompts_with_context(spark, sf):
     lines = view(spark, sf, "code_lines")
