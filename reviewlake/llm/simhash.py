@@ -167,7 +167,11 @@ def links(distinct: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, split
             if not len(fps):
                 continue
             new = np.flatnonzero(np.r_[True, (fixed[1:] != fixed[:-1]) | (key[1:] != key[:-1])])
-            for lo, hi in zip(new, [*new[1:], len(fps)], strict=True):
+            ends = np.r_[new[1:], len(fps)]
+            # A lone row links with nothing, unless its group began before this batch or goes on after it.
+            told = ends - new > 1
+            told[[0, -1]] = True
+            for lo, hi in zip(new[told].tolist(), ends[told].tolist(), strict=True):
                 if group != (fixed[lo], key[lo]):
                     yield from edges(held)
                     held, group, passed = [], (fixed[lo], key[lo]), False
