@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from reviewlake.llm import licences, lines, media, mixing, packing, simhash, substring, token_counts, toxicity, vectors
+from reviewlake.llm import bins, licences, lines, media, mixing, packing, simhash, substring, token_counts, toxicity, vectors
 from reviewlake.llm.common import table
 
 
@@ -57,13 +57,18 @@ def op10_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op11_best_fit_packing(spark, sf_dir):
+    path = public_tokenizers.path
+    return bins.pack_best_fit(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_token_counts, op3_substring_dedup, op4_license_scans, op5_mixing, op6_simhash, op7_embedding_dedup, op8_toxicity, op9_line_dedup, op10_packing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_token_counts, op3_substring_dedup, op4_license_scans, op5_mixing, op6_simhash, op7_embedding_dedup, op8_toxicity, op9_line_dedup, op10_packing, op11_best_fit_packing, pipeline)}
 
 SQL = {
     "op3_substring_dedup": r"""
