@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from reviewlake.llm import bins, licences, lines, media, mixing, packing, simhash, spelling, substring, token_counts, toxicity, vectors
+from reviewlake.llm import bins, crossing, licences, lines, media, mixing, packing, simhash, spelling, substring, token_counts, toxicity, vectors
 from reviewlake.llm.common import table
 
 
@@ -66,13 +66,18 @@ def op12_spelling_variants(spark, sf_dir):
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
+def op13_cross_tokenizer(spark, sf_dir):
+    path = public_tokenizers.path
+    return crossing.align(table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"), path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_media_columns, op2_token_counts, op3_substring_dedup, op4_license_scans, op5_mixing, op6_simhash, op7_embedding_dedup, op8_toxicity, op9_line_dedup, op10_packing, op11_best_fit_packing, op12_spelling_variants, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_media_columns, op2_token_counts, op3_substring_dedup, op4_license_scans, op5_mixing, op6_simhash, op7_embedding_dedup, op8_toxicity, op9_line_dedup, op10_packing, op11_best_fit_packing, op12_spelling_variants, op13_cross_tokenizer, pipeline)}
 
 SQL = {
     "op3_substring_dedup": r"""
