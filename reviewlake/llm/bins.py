@@ -3,8 +3,8 @@
 A document longer than a sequence is cut into whole sequences and one shorter first piece, so only first pieces have to be
 packed. They are dealt by hash to blocks of about BLOCK pieces. A block is a packing problem of its own, on several islands:
 each island is a row with its own population, starting from best-fit decreasing on sizes blurred at random. A crossing takes
-whole well-filled bins of one parent into the other, dissolves the bins there that hold a piece twice, and gives the
-displaced pieces to the bins where they fit best. After each epoch an island's elite goes to the next island of its block, by a
+whole well-filled bins of one parent into the other, dissolves the bins there that hold a piece twice, and lets
+larger displaced pieces take the place of smaller ones that leave room, and gives the rest to the bins where they fit best. After each epoch an island's elite goes to the next island of its block, by a
 join; blocks that reach their lower bound stop. Then the pieces of badly filled bins of all blocks are dealt to new blocks and
 packed again, as long as that saves bins, so blocks don't each leave a bin half empty.
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 import random
 import zlib
+from bisect import bisect_right, insort
 from functools import reduce
 
 import numpy as np
@@ -133,11 +134,27 @@ def crossed(mother: np.ndarray, father: np.ndarray, sizes: np.ndarray, length: i
     bins = np.where(taken[father], further[father], numbers[mother]).astype(np.int32)
     left = [*own_loads[~broken].astype(int).tolist(), *loads[taken].astype(int).tolist()]
     seen = sizes.tolist()
-    displaced = np.flatnonzero(~here & ~taken[father])
-    best_fit(displaced[np.argsort(-sizes[displaced], kind="stable")].tolist(), seen, bins, left, length)
+    out = ~here & ~taken[father]
+    displaced = swapped(np.flatnonzero(~out), np.flatnonzero(out), seen, bins, left, length)
+    best_fit(displaced[::-1], seen, bins, left, length)
     return bins
 
 
+def swapped(placed: np.ndarray, displaced: np.ndarray, sizes: list[int], bins: np.ndarray, loads: list[int], length: int) -> list[int]:
+    """Displaced pieces, smallest first, after each placed one gave way to a larger displaced one that fits in its place better."""
+    waiting = sorted((sizes[i], i) for i in displaced.tolist())
+    for i in placed.tolist():
+        k, s = bins[i], sizes[i]
+        room = length - loads[k]
+        at = bisect_right(waiting, (s + room, len(sizes))) - 1
+        if room and at >= 0 and waiting[at][0] > s:
+            d, j = waiting.pop(at)
+            insort(waiting, (s, i))
+            bins[j] = k
+            loads[k] += d - s
+    return [i for _, i in waiting]
+
+
 def lower_bound(sizes: np.ndarray, length: int) -> int:
     return max(math.ceil(int(sizes.sum()) / length), int((2 * sizes > length).sum()))
 
