@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewlake.functions.scalars import GUTTER, norm_ws
 from reviewlake.operators.hints import split_lines
+from reviewlake.operators.matching import asked_of_files, find_runs, run_spans
 
 
 def quote_lines(quote: Column) -> Column:
@@ -14,27 +15,21 @@ def quote_lines(quote: Column) -> Column:
     return F.filter(F.transform(split_lines(quote), lambda x: norm_ws(F.regexp_replace(x, GUTTER, ""))), lambda x: x != "")
 
 
-def dense_files(lines: DataFrame, cited: DataFrame) -> DataFrame:
-    """repo, path, dense: the non-blank lines of the cited files, in order. A file is bounded by the reader's size limit."""
-    rows = lines.join(cited.select("repo", "path").distinct(), ["repo", "path"], "left_semi").withColumn("norm", norm_ws(F.col("text"))).where("norm <> ''")
-    return rows.groupBy("repo", "path").agg(F.array_sort(F.collect_list(F.struct("line", "norm"))).alias("dense"))
-
-
-def locate(dense: Column, wanted: Column) -> Column:
-    """The first place in dense where each wanted line is part of its line, from 1; null if there is none."""
-    starts = F.when((F.size(wanted) > 0) & (F.size(wanted) <= F.size(dense)), F.sequence(F.lit(1), F.size(dense) - F.size(wanted) + 1))
-    fits = lambda i: F.forall(F.zip_with(F.slice(dense, i, F.size(wanted)), wanted, lambda d, w: F.contains(d["norm"], w)), lambda ok: ok)
-    return F.try_element_at(F.filter(starts, fits), F.lit(1))
-
-
 def check_citations(evidence: DataFrame, lines: DataFrame) -> DataFrame:
-    """The columns of evidence with corrected lines, passed and detail."""
-    found = evidence.withColumn("wanted", quote_lines(F.col("quote"))).join(dense_files(lines, evidence), ["repo", "path"], "left").withColumn("at", locate(F.col("dense"), F.col("wanted")))
-    first, last = F.col("dense")[F.col("at") - 1]["line"], F.col("dense")[F.col("at") + F.size("wanted") - 2]["line"]
-    found = found.withColumn("s", F.when(F.col("at").isNotNull(), first)).withColumn("e", F.when(F.col("at").isNotNull(), last))
-    same = (F.col("s") == F.col("start_line")) & (F.col("e") == F.col("end_line"))
-    detail = F.when(F.col("at").isNull(), F.concat(F.lit("quote not found in "), "path")).when(same, "exact").otherwise(F.concat(F.lit("lines corrected from "), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")))
-    return found.select(*(c for c in evidence.columns if c not in ("start_line", "end_line")), F.coalesce("s", "start_line").alias("start_line"), F.coalesce("e", "end_line").alias("end_line"), F.col("at").isNotNull().alias("passed"), detail.alias("detail"))
+    """The columns of evidence with corrected lines, passed and detail. All quotes of a file are looked for in one pass over it."""
+    found = asked_of_files(evidence, quote_lines(F.col("quote")), lines.withColumn("norm", norm_ws(F.col("text"))).where("norm <> ''"), F.col("norm"), run_spans)
+    found = found.select("row.*", F.col("found.first").alias("found_first"), F.col("found.last").alias("found_last"))
+    same = (F.col("found_first") == F.col("start_line")) & (F.col("found_last") == F.col("end_line"))
+    cited = F.concat(F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string"))
+    detail = F.when(F.col("found_first").isNull(), F.concat(F.lit("quote not found in "), "path")).when(same, "exact").otherwise(F.concat(F.lit("lines corrected from "), cited))
+    others = [c for c in evidence.columns if c not in ("start_line", "end_line")]
+    spans = F.coalesce("found_first", "start_line").alias("start_line"), F.coalesce("found_last", "end_line").alias("end_line")
+    return found.select(*others, *spans, F.col("found_first").isNotNull().alias("passed"), detail.alias("detail"))
+
+
+def find_passages(files: DataFrame, passages: DataFrame) -> DataFrame:
+    """repo, path, id, start_line, end_line: where each passage (id, text) first stands in each file (repo, path, content)."""
+    return find_runs(files, passages.select("id", quote_lines(F.col("text")).alias("wanted")))
 
 
 def verified_findings(checked: DataFrame) -> DataFrame:

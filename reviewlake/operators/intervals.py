@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from reviewlake.operators.matching import anchor_counts, asked_of_files
+
 BUCKET = 64
 
 
@@ -42,12 +44,10 @@ def assign_tiers(findings: DataFrame, evidence: DataFrame, scanner: DataFrame |
 
 
 def anchor_regions(truth: DataFrame, lines: DataFrame, anchor: str = "anchor") -> DataFrame:
-    """The columns of truth, start_line, end_line of items whose anchor is on exactly one line of their file."""
-    key = ["repo", "path", "id"]
-    anchors = truth.select(*key, F.col(anchor).alias("anchor_text"))
-    hits = anchors.join(lines.select("repo", "path", "line", "text"), ["repo", "path"]).where(F.contains("text", "anchor_text"))
-    one = hits.groupBy(*key).agg(F.count("*").alias("n"), F.min("line").alias("at")).where("n = 1")
-    return truth.join(one, key).select(*truth.columns, F.greatest(F.lit(1), F.col("at") - F.col("radius")).alias("start_line"), (F.col("at") + F.col("radius")).alias("end_line"))
+    """The columns of truth, start_line, end_line of items whose anchor is on exactly one line of their file: one pass over a file for all its anchors."""
+    found = asked_of_files(truth, F.col(anchor), lines, F.col("text"), anchor_counts).where("found.n = 1")
+    at = F.col("found.first")
+    return found.select("row.*", "found").select(*truth.columns, F.greatest(F.lit(1), at - F.col("radius")).alias("start_line"), (at + F.col("radius")).alias("end_line"))
 
 
 #: Order in which a finding is credited: live weaknesses, fixed ones, decoys.

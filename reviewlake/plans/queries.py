@@ -400,26 +400,10 @@ def checked(spark, sf):
     best AS (SELECT item_id, doc_id, min(p) AS p, n FROM met GROUP BY ALL)
     SELECT item_id, b.doc_id, a.line AS start_line, z.line AS end_line FROM best b JOIN dense a ON a.doc_id = b.doc_id AND a.pos = p JOIN dense z ON z.doc_id = b.doc_id AND z.pos = p + n - 1""")
 def c3_quotes_in_prose(spark, sf):
-    """Benchmark passages located in the documents.
-
-    A line's words but its first and last stand between spaces wherever the line is part of another, so candidates meet on the
-    longest inner word of a passage, an equality join. Passages without one are tried on every line, as one list.
-    """
-    docs, bench = load(spark, sf, "documents"), load(spark, sf, "benchmark")
-    lines = hints.file_lines(docs.select(F.lit("d").alias("repo"), F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content")))
-    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    inner = lambda c: F.slice(words(c), 2, F.greatest(F.size(words(c)) - 2, F.lit(0)))
-    quoted_lines = citations.quote_lines(F.col("text"))
-    pairs = F.flatten(F.transform(quoted_lines, lambda q: F.transform(inner(q), lambda w: F.struct(F.length(w).alias("n"), w.alias("word"), q.alias("part")))))
-    wanted = bench.select("item_id", F.col("text").alias("quote"), F.array_max(pairs).alias("best"), F.get(quoted_lines, F.lit(0)).alias("first")).where("first is not null")
-    held = lines.select("path", S.norm_ws(F.col("text")).alias("norm"))
-    by_word = wanted.where("best is not null").select("item_id", "quote", "best.word", "best.part")
-    near = held.select("path", "norm", F.explode(F.array_distinct(words(F.col("norm")))).alias("word")).join(by_word, "word").where(F.contains("norm", "part")).select("path", "item_id", "quote")
-    short = wanted.where("best is null").agg(F.collect_list(F.struct("item_id", "quote", F.col("first").alias("part"))).alias("short"))  # the stated list of passages: one row
-    rest = held.join(F.broadcast(short)).select("path", F.explode(F.filter("short", lambda x: F.contains(F.col("norm"), x["part"]))).alias("x")).select("path", "x.item_id", "x.quote")
-    ev = near.union(rest).distinct().select(F.lit("d").alias("repo"), "path", F.col("item_id").cast("string").alias("fid"), F.lit(0).alias("ev_ord"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), "quote", F.lit("sink").alias("role"))
-    found = citations.check_citations(ev, lines).where("passed")
-    return found.select(*(F.col(a).cast("long").alias(b) for a, b in (("fid", "item_id"), ("path", "doc_id"), ("start_line", "start_line"), ("end_line", "end_line"))))
+    """Benchmark passages located in the documents: an automaton of all their lines, one pass over the documents."""
+    docs = load(spark, sf, "documents").select(F.lit("d").alias("repo"), F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
+    found = citations.find_passages(docs, load(spark, sf, "benchmark").select(F.col("item_id").alias("id"), "text"))
+    return found.select(F.col("id").cast("long").alias("item_id"), F.col("path").cast("long").alias("doc_id"), F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"))
 
 
 AGREED_SQL = "agreed AS (SELECT DISTINCT e.repo, e.fid FROM evidence e JOIN scanner s ON e.repo = s.repo AND e.path = s.path AND e.start_line - 3 <= s.end_line AND e.end_line + 3 >= s.start_line)"
