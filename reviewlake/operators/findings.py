@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlake.functions.scalars import SEVERITIES, TIERS, hedge_word, parse_answer, valid_finding
+from reviewlake.operators.ranks import ranked_by_range
 
 
 def dedupe_findings(findings: DataFrame, order: list[str]) -> DataFrame:
@@ -16,8 +17,9 @@ def dedupe_findings(findings: DataFrame, order: list[str]) -> DataFrame:
 
 
 def number_findings(findings: DataFrame, order: list[str]) -> DataFrame:
-    """Adds id F001, F002 ... in each repository."""
-    return findings.withColumn("id", F.format_string("F%03d", F.row_number().over(Window.partitionBy("repo").orderBy(*order))))
+    """Adds id F001, F002 ... in each repository, of any size."""
+    numbered = ranked_by_range(findings, ["repo"], order, "number")
+    return numbered.withColumn("id", F.format_string("F%03d", "number")).drop("number")
 
 
 def wording(findings: DataFrame) -> DataFrame:
@@ -34,8 +36,8 @@ def dataflow(evidence: DataFrame) -> DataFrame:
 def rank_findings(findings: DataFrame) -> DataFrame:
     """Adds rank in each repository: best tier, plain wording, highest severity, id."""
     place = lambda c, names: F.array_position(F.array(*map(F.lit, names)), F.col(c))
-    order = Window.partitionBy("repo").orderBy(F.desc(place("tier", TIERS)), "hedged", F.desc(place("severity", SEVERITIES)), "id")
-    return findings.withColumn("rank", F.row_number().over(order))
+    order = [F.desc(place("tier", TIERS)), F.col("hedged"), F.desc(place("severity", SEVERITIES)), F.col("id")]
+    return ranked_by_range(findings, ["repo"], order)
 
 
 def parsed_answers(answers: DataFrame) -> DataFrame:
@@ -62,18 +64,41 @@ def scan_stats(reviews: DataFrame, n_findings: DataFrame | None = None) -> DataF
     those that are left after merging (n_findings: repo, findings), or the files' own without it. errors is the sorted list of `path: error`.
     """
     said = F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.concat("path", F.lit(": "), "error"))))
-    one = reviews.groupBy("repo").agg(F.count("*").alias("leads"), F.sum("n_findings").cast("long").alias("findings"), F.sum("discarded").cast("long").alias("discarded_bad_citation"), F.round(F.sum("seconds"), 1).alias("seconds"), F.sum("prompt_tokens").cast("long").alias("prompt_tokens"), F.max("prompt_tokens").cast("long").alias("largest_prompt_tokens"), F.sum("completion_tokens").cast("long").alias("completion_tokens"), said.alias("errors"))
+    total = lambda c: F.sum(c).cast("long")
+    one = reviews.groupBy("repo").agg(
+        F.count("*").alias("leads"), total("n_findings").alias("findings"), total("discarded").alias("discarded_bad_citation"), F.round(F.sum("seconds"), 1).alias("seconds"),
+        total("prompt_tokens").alias("prompt_tokens"), F.max("prompt_tokens").cast("long").alias("largest_prompt_tokens"), total("completion_tokens").alias("completion_tokens"), said.alias("errors"),
+    )
     return one if n_findings is None else one.drop("findings").join(n_findings, "repo", "left").withColumn("findings", F.coalesce("findings", F.lit(0)))
 
 
+def no_leads(n_findings: DataFrame) -> DataFrame:
+    """scan_stats of a scan that reviewed nothing itself. n_findings: repo, findings."""
+    zero = F.lit(0).cast("long")
+    counts = {c: zero for c in ("leads", "discarded_bad_citation", "prompt_tokens", "largest_prompt_tokens", "completion_tokens")}
+    return n_findings.withColumns(counts | {"seconds": F.lit(0.0), "errors": F.array().cast("array<string>")})
+
+
+def with_errors(stats: DataFrame, errors: DataFrame) -> DataFrame:
+    """scan_stats with further errors (repo, error), behind those of the files; a repository with nothing else has a row too."""
+    more = errors.groupBy("repo").agg(F.array_sort(F.collect_list("error")).alias("more"))
+    rows = stats.join(more, "repo", "full")
+    none = F.array().cast("array<string>")
+    numbers = [c for c in stats.columns if c not in ("repo", "errors")]
+    return rows.select("repo", *(F.coalesce(c, F.lit(0).cast(stats.schema[c].dataType)).alias(c) for c in numbers), F.concat(F.coalesce("errors", none), F.coalesce("more", none)).alias("errors"))
+
+
 def pattern_review(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Findings (repo, fid, path, start_line, cwe, title, summary) of the pattern baseline, merged, and their citations."""
     from reviewlake.operators.hints import pattern_findings
 
-    found = dedupe_findings(pattern_findings(lines), ["ord"])
+    every = pattern_findings(lines)
+    # Class by class in the order of their first hits in the file, as the hints of a lead are listed.
+    first = F.min(F.struct("start_line", "ord")).over(Window.partitionBy("repo", "path", "title"))
+    found = dedupe_findings(every.withColumn("class_first", first), ["ord"])
     fid = F.concat("path", F.lit(":"), F.col("start_line").cast("string"), F.lit(":"), F.coalesce("cwe", F.col("title")))
     found = found.withColumn("fid", fid)
-    return found.drop("quote", "role", "ord", "end_line"), found.select("repo", "fid", F.lit(0).alias("ev_ord"), "path", "start_line", "end_line", "quote", "role")
+    return found.drop("quote", "role", "end_line"), found.select("repo", "fid", F.lit(0).alias("ev_ord"), "path", "start_line", "end_line", "quote", "role")
 
 
 def cap_lists(rows: DataFrame, group: list[str], order: str, value: str, n: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlake.functions.scalars import extension, hint_lines
+from reviewlake.operators.ranks import ranked_by_range
 
 #: Extensions of code and templates, names of deployment files.
 CODE_EXTENSIONS = [
@@ -124,8 +125,11 @@ def lead_hints(lines: DataFrame, paths: DataFrame | None = None) -> DataFrame:
 
 def rank_leads(leads: DataFrame, limit: int | None = None) -> DataFrame:
     """Adds rank in each repository: highest score first, then path."""
-    ranked = leads.withColumn("rank", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("score"), "path")))
-    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
+    order = [F.desc("score"), F.col("path")]
+    if limit is None:
+        return ranked_by_range(leads, ["repo"], order)
+    # The first ones of each group are kept in every task before any row is shuffled.
+    return leads.withColumn("rank", F.row_number().over(Window.partitionBy("repo").orderBy(*order))).where(F.col("rank") <= limit)
 
 
 def leads_job(lines: DataFrame, paths: DataFrame | None = None, limit: int | None = None) -> DataFrame:

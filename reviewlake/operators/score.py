@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.functions.scalars import apply_fixes, ratio
+from reviewlake.functions.scalars import apply_each, apply_fixes, ratio
 from reviewlake.operators.intervals import DECOY, FIXED, LIVE, anchor_regions, touching
+from reviewlake.sources.storage import stored
 
 #: Categories of labelled cases and the CWE numbers that count for each.
 CASE_CLASSES = {
@@ -78,8 +79,10 @@ def score_items(vulnerable: DataFrame, fixed: DataFrame, items: DataFrame, chang
         met = items.join(citations, ["repo", "path"]).withColumn("own", F.array_contains("cwes", F.col("cwe")) & ~F.col("rejected"))
         return met.groupBy("id", "fid").agg(F.bool_or("own").alias("own")).groupBy("id").agg(F.bool_or("own").alias(name), F.count_if(~F.col("own")).alias(f"other_{name}"))
 
-    classes = items.select(F.col("id").alias("s_item"), "repo", "cwes").distinct()
-    near = touching(vulnerable.where("not rejected"), changes, ["repo", "path"], slack).join(classes, ["s_item", "repo"]).where(F.array_contains("cwes", F.col("cwe"))).select(F.col("s_item").alias("id")).distinct().withColumn("near", F.lit(True))
+    # Only changes in an item's own files, and only findings that count as detected there.
+    own = changes.join(items.select(F.col("id").alias("item"), "repo", "path", "cwes"), ["item", "repo", "path"])
+    hit = touching(vulnerable.where("not rejected"), own, ["repo", "path"], slack).where(F.array_contains("s_cwes", F.col("cwe")))
+    near = hit.select(F.col("s_item").alias("id")).distinct().withColumn("near", F.lit(True))
     out = items.select("id").distinct().join(side(vulnerable, "v"), "id", "left").join(side(fixed, "f"), "id", "left").join(near, "id", "left")
     no, zero = F.lit(False), F.lit(0)
     return out.select("id", F.coalesce("v", no).alias("detected"), F.coalesce("near", no).alias("detected_at_change"), F.coalesce("f", no).alias("fixed_flagged"), (F.coalesce("v", no) & ~F.coalesce("f", no)).alias("pair_correct"), F.coalesce("other_v", zero).alias("other_findings_vulnerable"), F.coalesce("other_f", zero).alias("other_findings_fixed"))
@@ -126,8 +129,43 @@ def missed(ids: DataFrame, detected: DataFrame) -> DataFrame:
 
 def apply_truth(files: DataFrame, truth: DataFrame) -> DataFrame:
     """repo, path, text, bad: each file after the ordered fixes of its truth items (id, old, new); bad is the first step that doesn't fit."""
-    steps = truth.groupBy("repo", "path").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "old", "new"))), lambda s: F.struct(s["old"].alias("old"), s["new"].alias("new"))).alias("steps"))
-    return files.join(steps, ["repo", "path"], "left").select("repo", "path", F.when(F.col("steps").isNull(), F.struct(F.col("content").alias("text"), F.lit(None).cast("int").alias("bad"))).otherwise(apply_fixes(F.col("content"), F.col("steps"))).alias("x")).select("repo", "path", "x.text", "x.bad")
+    rows = F.array_sort(F.collect_list(F.struct("id", "old", "new")))
+    steps = truth.groupBy("repo", "path").agg(F.transform(rows, lambda s: F.struct(s["old"].alias("old"), s["new"].alias("new"))).alias("steps"))
+    same = F.struct(F.col("content").alias("text"), F.lit(None).cast("int").alias("bad"))
+    done = F.when(F.col("steps").isNull(), same).otherwise(apply_fixes(F.col("content"), F.col("steps")))
+    return files.join(steps, ["repo", "path"], "left").select("repo", "path", done.alias("x")).select("repo", "path", "x.text", "x.bad")
+
+
+def fix_steps(truth: DataFrame) -> DataFrame:
+    """repo, id, step, path, old, new of all weaknesses. truth has old and new, or fix: an array of (file, old, new), where no file means the item's."""
+    weak = truth.where("not is_decoy")
+    if "fix" not in truth.columns:
+        return weak.select("repo", "id", F.lit(0).alias("step"), "path", "old", "new")
+    each = weak.select("repo", "id", "path", F.posexplode("fix").alias("step", "f"))
+    return each.select("repo", "id", "step", F.coalesce("f.file", "path").alias("path"), "f.old", "f.new")
+
+
+def fixed_tree(files: DataFrame, steps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tree after all steps (repo, path, content), and the items whose fix doesn't apply (repo, id, step, path).
+
+    Steps (repo, id, step, path, old, new) are folded over each file in the order of id and step; each one's old text must stand in the
+    file once at its turn. An item counts as a whole: with one step that doesn't fit, in whatever file, none of its steps is taken, and
+    the fold is done again without it, until all that is left fits. Only files with steps are folded.
+    """
+    key, errors = ["repo", "path"], None
+    while True:
+        row = F.struct("id", "step", "old", "new")
+        per_file = steps.groupBy(*key).agg(F.array_sort(F.collect_list(row)).alias("steps"))
+        touched = stored(files.join(per_file, key).withColumn("x", apply_each(F.col("content"), F.col("steps"))).select(*key, "x.text", "x.bad"), "folded")
+        wrong = touched.select(*key, F.explode("bad").alias("s")).select("repo", "s.id", "s.step", "path")
+        missing = steps.join(files.select(*key), key, "left_anti").select("repo", "id", "step", "path")
+        wrong = stored(wrong.unionByName(missing), "wrong_steps")
+        errors = wrong if errors is None else errors.unionByName(wrong)
+        if not wrong.head(1):
+            break
+        steps = steps.join(wrong.select("repo", "id").distinct(), ["repo", "id"], "left_anti")
+    tree = files.join(touched.select(*key, "text"), key, "left").select(*key, F.coalesce("text", "content").alias("content"))
+    return tree, errors
 
 
 def patched_twin(files: DataFrame, truth: DataFrame) -> DataFrame:

@@ -31,14 +31,19 @@ def filter_advisories(advisories: DataFrame, lo: str, hi: str) -> DataFrame:
 
 
 def usable_commits(files: DataFrame) -> DataFrame:
-    """sha, n_source, n_modified, changes of commits with one parent, 1-3 source files, one modified at least, 80 changed lines at most."""
+    """sha, n_source, n_modified, changes, files (names of modified source files, sorted) of commits with one parent, 1-3 source files, one modified at least, 80 changed lines at most."""
     source = F.col("filename").rlike(SOURCE) & ~F.col("filename").rlike(TEST_OR_DOC)
-    one = files.groupBy("sha").agg(F.bool_and("one_parent").alias("one_parent"), F.count_if(source).alias("n_source"), F.count_if(source & (F.col("status") == "modified")).alias("n_modified"), F.coalesce(F.sum(F.when(source, F.col("changes"))), F.lit(0)).alias("changes"))
+    modified = source & (F.col("status") == "modified")
+    one = files.groupBy("sha").agg(
+        F.bool_and("one_parent").alias("one_parent"), F.count_if(source).alias("n_source"), F.count_if(modified).alias("n_modified"),
+        F.coalesce(F.sum(F.when(source, F.col("changes"))), F.lit(0)).alias("changes"), F.array_sort(F.collect_list(F.when(modified, F.col("filename")))).alias("files"),
+    )
     return one.where("one_parent and n_source between 1 and 3 and n_modified > 0 and changes <= 80").drop("one_parent")
 
 
-def weakness_group(cwe: Column) -> Column:
-    return F.when(cwe.isin(INJECTION), "injection").otherwise("missing check")
+def weakness_group(cwes: Column) -> Column:
+    """Injection if any of the CWE numbers is one."""
+    return F.when(F.arrays_overlap(cwes, F.array(*map(F.lit, INJECTION))), "injection").otherwise("missing check")
 
 
 def hashed_rank(rows: DataFrame, group: list[str], h: str, ties: list[str]) -> DataFrame:
@@ -56,9 +61,9 @@ def hashed_rank(rows: DataFrame, group: list[str], h: str, ties: list[str]) -> D
 
 
 def one_per_repo(rows: DataFrame, seed: str) -> DataFrame:
-    """The first row of each repository (case ignored) in seeded order, with its group and rank in the group."""
+    """The first row of each repository (case ignored) in seeded order, with its group by all its CWE numbers (cwes) and rank in the group."""
     rows = rows.withColumn("h", seeded(seed, F.col("id")))
-    first = rows.withColumn("n", F.row_number().over(Window.partitionBy(F.lower("repo")).orderBy("h", "id"))).where("n = 1").drop("n").withColumn("grp", weakness_group(F.col("cwe")))
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy(F.lower("repo")).orderBy("h", "id"))).where("n = 1").drop("n").withColumn("grp", weakness_group(F.col("cwes")))
     return hashed_rank(first, ["grp"], "h", ["id"]).drop("h", "total")
 
 
@@ -73,10 +78,10 @@ def top_per_group(ranked: DataFrame, n: int = 40) -> DataFrame:
 
 def stratified_split(cases: DataFrame, train: int, holdout: int, seed: str) -> DataFrame:
     """Adds side: per (category, real) in seeded order min(holdout, a third) are held out, the next `train` train, the rest has none."""
-    group = Window.partitionBy("category", "real")
-    n = F.row_number().over(group.orderBy(seeded(seed, F.col("name")), "name"))
-    held = F.least(F.lit(holdout), F.floor(F.count("*").over(group) / 3))
-    return cases.withColumn("n", n).withColumn("held", held).withColumn("side", F.when(F.col("n") <= F.col("held"), "holdout").when(F.col("n") <= F.col("held") + train, "train")).drop("n", "held")
+    ranked = hashed_rank(cases.withColumn("h", seeded(seed, F.col("name"))), ["category", "real"], "h", ["name"])
+    held = F.least(F.lit(holdout), F.floor(F.col("total") / 3))
+    side = F.when(F.col("rank") <= held, "holdout").when(F.col("rank") <= held + train, "train")
+    return ranked.withColumn("side", side).select(*cases.columns, "side")
 
 
 def diff_ranges(diffs: DataFrame) -> DataFrame:
@@ -99,7 +104,9 @@ def compact_history(messages: DataFrame, role: str = "tool", keep_last: int = 6,
 
 
 def resume_todo(cases: DataFrame, log: DataFrame) -> DataFrame:
-    return cases.join(log.select("name"), "name", "left_anti")
+    """The cases that the log has no row of; by repository too, where both have one."""
+    key = [c for c in ("repo", "name") if c in cases.columns and c in log.columns]
+    return cases.join(log.select(*key), key, "left_anti")
 
 
 def last_rows(log: DataFrame, key: list[str] = ("name",)) -> DataFrame:
@@ -114,12 +121,12 @@ def train_valid(accepted: DataFrame, seed: str) -> DataFrame:
 
 
 def select_advisories(advisories: DataFrame, commits: DataFrame, lo: str, hi: str, seed: str, n: int = 40) -> DataFrame:
-    """The first n advisories of each weakness group, one a repository, whose fix commit is usable.
+    """The first n advisories of each weakness group, one a repository, whose fix commit is usable; with the names of its modified files.
 
     commits: the files of each commit, as usable_commits takes them, with repo; a commit is that of the address whose
     lower-cased repository and first 12 characters of the hash are the same.
     """
     key = lambda repo, sha: F.concat(F.lower(repo), F.lit("@"), F.substring(sha, 1, 12))
-    usable = usable_commits(commits.withColumn("sha", key(F.col("repo"), F.col("sha")))).select(F.col("sha").alias("key"))
+    usable = usable_commits(commits.withColumn("sha", key(F.col("repo"), F.col("sha")))).select(F.col("sha").alias("key"), "files", "changes")
     kept = filter_advisories(advisories, lo, hi).withColumn("key", key(F.col("commit.repo"), F.col("commit.sha")))
-    return top_per_group(one_per_repo(kept.join(usable, "key", "left_semi").drop("key"), seed), n)
+    return top_per_group(one_per_repo(kept.join(usable, "key").drop("key"), seed), n)

@@ -13,10 +13,14 @@ CATEGORY_PATH = r"(/benchmark/|web/)[a-z]+-\d+/"
 HASH_COMMENTS = [".py", ".sh", ".yml", ".yaml", ".tf"]
 
 
+#: Why an answer isn't used for training.
+INVALID, NOTHING_KEPT = "not JSON", "no finding of the label that holds"
+
+
 def neutralise(src: Column) -> Column:
-    """Without the header and what names the category."""
-    bare = F.regexp_replace(F.regexp_replace(src, HEADER, ""), CATEGORY_PATH, "$1case/")
-    return F.replace(bare, F.lit("OWASP"), F.lit("X"))
+    """Without the first header and what names the category: in paths, and in a message that all cases of one category share."""
+    bare = F.regexp_replace(F.regexp_replace(src, HEADER, ""), CATEGORY_PATH, "$1cases/")
+    return F.replace(bare, F.lit("executing cmdi"), F.lit("executing command"))
 
 
 def file_texts(lines: DataFrame) -> DataFrame:
@@ -68,7 +72,7 @@ def accept_answers(teacher: DataFrame) -> DataFrame:
     good = F.filter("findings", lambda f: F.array_contains("classes", f["cwe"]) & f["verified"] & ~mentions_key(F.concat_ws(" ", f["summary"], f["reasoning"])))
     rows = teacher.withColumns({"analysis": analysis, "good": good})
     none = lambda c: F.coalesce(F.size(c), F.lit(0)) <= 0
-    status = F.when(F.col("error").isNotNull(), "invalid JSON").when(none("analysis"), "no analysis").when(F.exists("analysis", mentions_key), "mentions the answer key").when(~F.col("real"), "ok").when(none("good"), "no verified finding of the labelled class").otherwise("ok")
-    bare = F.transform(F.slice("good", 1, 2), lambda f: f.withField("evidence", F.transform(f["evidence"], lambda e: e.withField("quote", strip_gutter(e["quote"])))).dropFields("verified"))
+    status = F.when(F.col("error").isNotNull(), INVALID).when(none("analysis"), "analysis missing").when(F.exists("analysis", mentions_key), "key mentioned").when(~F.col("real"), "ok").when(none("good"), NOTHING_KEPT).otherwise("ok")
+    bare = F.transform(F.slice("good", 1, 2), lambda f: f.withField("evidence", F.transform(f["evidence"], lambda e: e.withField("quote", strip_gutter(e["quote"])))).dropFields("verified", "valid"))
     rows = rows.withColumn("status", status)
     return rows.withColumn("kept", F.when(F.col("status") == "ok", F.when(F.col("real"), bare).otherwise(F.slice(bare, 1, 0)))).drop("good")

@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import time
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
-from reviewlake.functions.scalars import hint_lines, language_family, normalise_cwe, primary_evidence, ratio, to_chat_record, valid_finding, wrap_untrusted
+from reviewlake.functions.scalars import hint_lines, language_family, primary_evidence, ratio, to_chat_record, valid_finding, wrap_untrusted
 from reviewlake.operators import citations, defs, findings, hints, intervals, score, select, summary, train
 from reviewlake.operators.train import file_texts, plant_note
-from reviewlake.plans.storage import stored
+from reviewlake.plans import calls
+from reviewlake.plans.calls import Reply, review_prompts
+from reviewlake.sources.storage import stored
 
 WALKTHROUGH = "Answer in JSON: `analysis`, an entry for each function or handler, then `findings`, the weaknesses that follow from it."
 PLAIN = "Answer in JSON with a list `findings`."
@@ -99,38 +97,17 @@ def render_map(lines: DataFrame, most: int = 20) -> DataFrame:
     return full.where(body != "").select(*key, F.concat(note, wrap_untrusted(body)).alias("map"))
 
 
-@dataclass
-class Reply:
-    """What a client may return besides a plain text."""
+def evidence_notes(checked: DataFrame) -> DataFrame:
+    """repo, fid, notes (what the check says of each citation that isn't exact, in order), n_cited."""
+    said = F.when(F.col("detail") != "exact", F.struct("ev_ord", F.concat("path", F.lit(": "), "detail").alias("t")))
+    notes = F.transform(F.array_sort(F.collect_list(said)), lambda x: x["t"])
+    return checked.groupBy("repo", "fid").agg(notes.alias("notes"), F.count("*").alias("n_cited"))
 
-    content: str | None
-    truncated: bool = False
-    prompt_tokens: int = 0
-    completion_tokens: int = 0
 
-
-def review_prompts(prompts: DataFrame, client_factory: Callable[[], Callable[[str], str | Reply]], parts: int | None = None) -> DataFrame:
-    """The columns of prompts but the prompt, content, truncated, tokens, seconds, error. A client is built once a partition; a failure stays on its row."""
-    keep = [c for c in prompts.columns if c != "prompt"]
-    said = [StructField("content", StringType()), StructField("truncated", BooleanType()), StructField("prompt_tokens", LongType()), StructField("completion_tokens", LongType()), StructField("seconds", DoubleType()), StructField("error", StringType())]
-    schema = StructType([prompts.schema[c] for c in keep] + said)
-
-    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = client_factory()
-        for b in batches:
-            rows = []
-            for prompt in b["prompt"]:
-                began = time.monotonic()
-                try:
-                    reply = client(prompt)
-                    reply = reply if isinstance(reply, Reply) else Reply(reply)
-                    rows.append((reply.content, reply.truncated, reply.prompt_tokens, reply.completion_tokens, time.monotonic() - began, None))
-                except Exception as e:  # noqa: BLE001 - any failure of a client belongs to its row
-                    rows.append((None, False, 0, 0, time.monotonic() - began, f"{type(e).__name__}: {e}"))
-            yield pd.concat([b[keep].reset_index(drop=True), pd.DataFrame(rows, columns=[f.name for f in said])], axis=1)
-
-    spread = prompts.repartition(parts, *keep[:3]) if parts else prompts.repartition(*keep[:3])
-    return spread.mapInPandas(answer, schema)
+def removed_note(notes: Column, removed: Column) -> Column:
+    """The notes as one text; citations that were dropped, as wrong or as repeated, are counted at its end."""
+    count = F.when(removed > 0, F.concat(removed.cast("string"), F.lit(" citations dropped")))
+    return F.concat_ws("; ", notes, count)
 
 
 def answered(answers: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -145,11 +122,12 @@ def answered(answers: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame
     fid = F.concat_ws("#", "path", F.col("part").cast("string"), F.col("ord").cast("string"))
     good = each.where("valid").select("repo", fid.alias("fid"), F.col("path").alias("file"), "lead_rank", "part", "ord", "f")
     ev = good.select("repo", "fid", F.posexplode("f.evidence").alias("ev_ord", "e")).select("repo", "fid", "ev_ord", "e.*")
-    checked = findings.dedupe_citations(citations.check_citations(ev, lines).where("passed"))
+    every = stored(citations.check_citations(ev, lines), "citations")
+    checked = findings.dedupe_citations(every.where("passed"))
     first = checked.groupBy("repo", "fid").agg(F.array_sort(F.collect_list(F.struct("ev_ord", "path", "start_line", "end_line", "quote", "role"))).alias("evidence"))
-    kept = good.join(first, ["repo", "fid"]).withColumn("at", primary_evidence(F.col("evidence")))
+    kept = good.join(first, ["repo", "fid"]).join(evidence_notes(every), ["repo", "fid"]).withColumn("at", primary_evidence(F.col("evidence")))
     fields = ["title", "severity", "summary", "reasoning", "remediation"]
-    found = kept.select("repo", "fid", "file", "lead_rank", "part", "ord", "evidence", F.col("at.path").alias("path"), F.col("at.start_line").alias("start_line"), normalise_cwe(F.col("f.cwe")).alias("cwe"), *(F.col(f"f.{c}").alias(c) for c in fields))
+    found = kept.select("repo", "fid", "file", "lead_rank", "part", "ord", "evidence", removed_note(F.col("notes"), F.col("n_cited") - F.size("evidence")).alias("evidence_note"), F.col("at.path").alias("path"), F.col("at.start_line").alias("start_line"), F.col("f.cwe").alias("cwe"), *(F.col(f"f.{c}").alias(c) for c in fields))
     key = ["repo", "path"]
     wrong = each.where(~F.col("valid")).select(*key, "part").distinct().withColumn("bad_field", F.lit("a finding has wrong fields"))
     per_part = parsed.select(*key, "part", "first", "last", "error", "prompt_tokens", "completion_tokens", "seconds").join(wrong, [*key, "part"], "left")
@@ -171,64 +149,93 @@ def scan_job(
     scanner: DataFrame | None = None,
     paths: DataFrame | None = None,
     limit: int | None = None,
+    log: str | None = None,
+    scanner_errors: DataFrame | None = None,
     **prompts,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Merged, numbered, tiered and ranked findings of every repository, their citations, and scan_stats.
 
     mode judge: each lead's windows go to a client; patterns: the lexicon's hits, without corroboration; scanner: the scanner's results
-    as they are. scanner: repo, path, start_line, end_line, cwe, title, summary, quote, as read_scanner gives them. Other
-    arguments are those of build_prompts.
+    as they are, without leads. scanner: repo, path, start_line, end_line, cwe, title, summary, quote, as read_scanner gives them.
+    log: a folder of answers by prompt, from which a stopped scan goes on (calls.logged_answers). scanner_errors: repo, error of
+    repositories whose scanner failed; they are among the errors of the statistics. Other arguments are those of build_prompts.
     """
     no = F.lit(None).cast("string")
+    nothing = [no.alias("error"), *(F.lit(0).alias(c) for c in ("discarded", "prompt_tokens", "completion_tokens", "n_findings")), F.lit(0.0).alias("seconds")]
+    ran = scanner is not None and mode == "judge"
     if mode == "judge":
         from_leads = build_prompts(lines, paths=paths, limit=limit, **prompts)
         # Written out: an answer is paid for once.
-        found, cited, reviews = answered(stored(review_prompts(from_leads, client_factory), "answers"), lines)
+        said = review_prompts(from_leads, client_factory) if log is None else calls.logged_answers(from_leads, client_factory, log)
+        found, cited, reviews = answered(stored(said, "answers"), lines)
         order = ["lead_rank", "part", "ord"]
     elif mode == "patterns":
         leads = hints.rank_leads(hints.lead_hints(lines, paths), limit)
         found, cited = findings.pattern_review(lines.join(leads.select("repo", "path"), ["repo", "path"], "left_semi"))
         ranks = leads.select("repo", "path", F.col("rank").alias("lead_rank"))
         found = found.join(ranks, ["repo", "path"]).withColumns({"severity": F.lit("medium"), "reasoning": no, "remediation": no})
-        reviews = leads.select("repo", "path", no.alias("error"), *(F.lit(0).alias(c) for c in ("discarded", "prompt_tokens", "completion_tokens", "n_findings")), F.lit(0.0).alias("seconds"))
-        order, scanner = ["lead_rank", "start_line", "cwe", "title"], None
+        reviews = leads.select("repo", "path", *nothing)
+        order, scanner = ["lead_rank", "class_first", "start_line", "ord"], None
     elif mode == "scanner":
         wanted = scanner if paths is None else scanner.join(paths.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
         fid = F.concat_ws(":", "path", F.col("start_line").cast("string"), F.col("end_line").cast("string"), "title", F.coalesce("cwe", F.lit("")))
         rows = wanted.withColumn("fid", fid)
         found = rows.select("repo", "fid", "path", "start_line", "cwe", "title", "summary", F.lit("medium").alias("severity"), no.alias("reasoning"), no.alias("remediation"))
         cited = rows.select("repo", "fid", F.lit(0).alias("ev_ord"), "path", "start_line", "end_line", "quote", F.lit("sink").alias("role")).distinct()
-        reviews = rows.groupBy("repo", "path").agg(F.lit(0).alias("n_findings")).select("repo", "path", no.alias("error"), *(F.lit(0).alias(c) for c in ("discarded", "prompt_tokens", "completion_tokens", "n_findings")), F.lit(0.0).alias("seconds"))
+        reviews = None
         order, scanner = ["path", "start_line", "fid"], None
     else:
         raise ValueError(f"mode is judge, patterns or scanner, not {mode}")
     kept = findings.dedupe_findings(found, order)
     numbered = findings.number_findings(kept, order)
-    tiered = intervals.assign_tiers(numbered, cited, scanner)
-    ranked = findings.rank_findings(findings.wording(tiered))
+    tiered = intervals.assign_tiers(numbered, cited, scanner).withColumn("scanned", F.lit(ran))
+    # Written out: results, citations and statistics all read it.
+    ranked = stored(findings.rank_findings(findings.wording(tiered)), "ranked")
     per_repo = ranked.groupBy("repo").agg(F.count("*").alias("findings"))
-    return ranked, cited.join(ranked.select("repo", "fid"), ["repo", "fid"], "left_semi"), findings.scan_stats(reviews, per_repo)
+    if reviews is None:  # a scanner's results come without leads
+        stats = findings.no_leads(per_repo)
+    else:
+        stats = findings.scan_stats(reviews, per_repo)
+    if scanner_errors is not None:
+        stats = findings.with_errors(stats, scanner_errors)
+    return ranked, cited.join(ranked.select("repo", "fid"), ["repo", "fid"], "left_semi"), stats
 
 
 def report_rows(ranked: DataFrame, cited: DataFrame) -> DataFrame:
-    """repo, rank, finding, checks for write_report, from what scan_job returns."""
+    """repo, rank, finding, checks (citations, wording, and the scanner where one ran) for write_report, from what scan_job returns."""
     ev = cited.groupBy("repo", "fid").agg(F.array_sort(F.collect_list(F.struct("ev_ord", "path", "start_line", "end_line", "quote", "role"))).alias("cites"))
     rows = ranked.join(ev, ["repo", "fid"], "left")
     finding = F.struct("id", "title", "tier", "severity", "cwe", "summary", "reasoning", "remediation", F.col("cites").alias("evidence"))
-    wording = F.struct(F.lit("wording").alias("name"), (~F.col("hedged")).alias("passed"), F.col("hedge").alias("detail"))
-    return rows.select("repo", "rank", finding.alias("finding"), F.array(wording).alias("checks"))
-
-
-def eval_seeded(lines: DataFrame, truth: DataFrame, review: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = findings.pattern_review, note: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Scores of the tree and of its patched twin (score_summary), and repo, weaknesses, found, still, correct, pair_accuracy.
-
-    The twin is the tree with every weakness fixed whose anchor is on one line; both trees are reviewed by `review`, which
-    turns lines into findings and citations. truth: repo, path, id, anchor, patched_anchor, old, new, radius, cwes, is_decoy. note
-    is planted before files with a weakness.
+    return rows.select("repo", "rank", finding.alias("finding"), finding_checks(rows).alias("checks"))
+
+
+def finding_checks(rows: DataFrame) -> Column:
+    """array<struct<name, passed, detail>> of ranked findings."""
+    check = lambda name, passed, detail: F.struct(F.lit(name).alias("name"), passed.alias("passed"), detail.alias("detail"))
+    nothing, some = F.lit(""), []
+    if "evidence_note" in rows.columns:
+        some.append(check("citations", F.lit(True), F.coalesce("evidence_note", nothing)))
+    some.append(check("wording", ~F.col("hedged"), F.when(F.col("hedged"), F.concat(F.lit("hedges with "), "hedge")).otherwise("")))
+    if "scanned" in rows.columns:
+        agrees = F.col("tier") == "supported"
+        some.append(check("scanner", agrees, F.when(~F.col("scanned"), "did not run").when(agrees, "reports the same lines").otherwise("")))
+    return F.array(*some)
+
+
+def eval_seeded(
+    lines: DataFrame, truth: DataFrame, review: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = findings.pattern_review, note: str | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Scores of the tree and of its patched twin (score_summary); repo, weaknesses, found, still, correct, pair_accuracy; and the errors.
+
+    The twin is the tree with every weakness fixed, step by step (score.fixed_tree). An item whose fix doesn't apply is an error
+    (repo, id, step, path) and counts in no score: its weakness would still be in the twin. Both trees are reviewed by `review`, which
+    turns lines into findings and citations. truth: repo, path, id, anchor, patched_anchor, radius, cwes, is_decoy, and old and new or
+    fix. note is planted before files with a weakness.
     """
     files = file_texts(lines)
-    usable = truth.join(intervals.anchor_regions(truth, lines).select("repo", "path", "id"), ["repo", "path", "id"], "left_semi")
-    twin = stored(hints.file_lines(score.patched_twin(files, usable).drop("bad")), "twin")
+    tree, errors = score.fixed_tree(files, score.fix_steps(truth))
+    twin = stored(hints.file_lines(tree), "twin")
+    truth = truth.join(errors.select("repo", "id").distinct(), ["repo", "id"], "left_anti")
     if note is not None:
         lines = stored(hints.file_lines(plant_note(files, truth, note)), "planted")
 
@@ -240,8 +247,10 @@ def eval_seeded(lines: DataFrame, truth: DataFrame, review: Callable[[DataFrame]
     weak = truth.where("not is_decoy").select("repo", "id")
     hit = lambda m, kind: m.where(F.col("kind") == kind).select(F.col("item").alias("id")).distinct()
     sides = score.pair_sides(weak, hit(before, intervals.LIVE), hit(after, intervals.FIXED)).join(weak, "id")
-    pairs = sides.groupBy("repo").agg(F.count("*").alias("weaknesses"), F.count_if("detected").alias("found"), F.count_if("still_flagged").alias("still"), F.count_if("pair_correct").alias("correct"), ratio(F.count_if("pair_correct"), F.count("*"), None).alias("pair_accuracy"))
-    return score.score_summary(before, truth), score.score_summary(after, truth, patched=True), pairs
+    right = F.count_if("pair_correct")
+    counts = [F.count("*").alias("weaknesses"), F.count_if("detected").alias("found"), F.count_if("still_flagged").alias("still"), right.alias("correct")]
+    pairs = sides.groupBy("repo").agg(*counts, ratio(right, F.count("*"), None).alias("pair_accuracy"))
+    return score.score_summary(before, truth), score.score_summary(after, truth, patched=True), pairs, errors
 
 
 def build_training(teacher: DataFrame, lines: DataFrame, system: str, seed: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -249,7 +258,7 @@ def build_training(teacher: DataFrame, lines: DataFrame, system: str, seed: str)
 
     teacher: the answer log (repo, name, attempt, real, classes, prompt, content, truncated); the last attempt of a name counts.
     """
-    parsed = findings.parsed_answers(select.last_rows(teacher, ["repo", "name"])).withColumn("findings", F.transform("findings", lambda f: f.withField("cwe", normalise_cwe(f["cwe"]))))
+    parsed = findings.parsed_answers(select.last_rows(teacher, ["repo", "name"]))
     valid = parsed.withColumn("findings", F.filter("findings", valid_finding))
     checked = citations.check_citations(train.teacher_evidence(valid), lines)
     judged = stored(train.accept_answers(train.with_verified(valid, checked)), "judged")

@@ -6,13 +6,13 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewlake.functions import scalars as S
 from reviewlake.operators import citations, defs, findings, hints, intervals, score, select, summary, train
 from reviewlake.plans import jobs
-from reviewlake.plans.storage import shared_dir
+from reviewlake.sources.storage import shared_dir
 from reviewlake.plans.views import load, quoted, view, with_views
 from reviewlake.sources import files
 from reviewlake.streaming import answers
@@ -138,7 +138,7 @@ def a8_read_runs(spark, sf):
     return run_files(spark, sf).select("target", "model", "mode", "prompt", "context", "seed", n.alias("n"))
 
 
-@query(f"""{FOUND}, s AS (SELECT repo, severity <> 'low' AS shown FROM findings) SELECT repo, count(*) AS findings, count(*) FILTER (WHERE shown) * 14 + 7 AS report_lines, count(*) FILTER (WHERE NOT shown) AS rejected, 1::BIGINT AS stats FROM s GROUP BY repo""")
+@query(f"""{FOUND}, s AS (SELECT repo, severity <> 'low' AS shown FROM findings) SELECT repo, count(*) AS findings, count(*) FILTER (WHERE shown) * 11 + 7 AS report_lines, count(*) FILTER (WHERE NOT shown) AS rejected, 1::BIGINT AS stats FROM s GROUP BY repo""")
 def a9_write_findings(spark, sf):
     """Findings, statistics and reports, written and read back: numbers of rows and lines."""
     out = folder(spark, "report")
@@ -150,7 +150,7 @@ def a9_write_findings(spark, sf):
     files.write_report(rows, f"{out}/report", "m")
     files.write_stats(f.groupBy("repo").agg(F.count("*").alias("leads")), f"{out}/stats")
     report = spark.read.text(f"{out}/report")
-    rejected = F.max(F.regexp_extract("value", r"reported, (\d+) rejected", 1).try_cast("int")).cast("long")
+    rejected = F.max(F.regexp_extract("value", r"was found: (\d+)[.]", 1).try_cast("int")).cast("long")
     lines = report.groupBy("repo").agg(F.count("*").alias("report_lines"), rejected.alias("rejected"))
     return spark.read.json(f"{out}/findings").groupBy("repo").agg(F.count("*").alias("findings")).join(lines, "repo").join(spark.read.json(f"{out}/stats").groupBy("repo").agg(F.count("*").alias("stats")), "repo")
 
@@ -285,13 +285,13 @@ def b10_guard_calls(spark, sf):
     return defs.guard_calls(view(spark, sf, "code_lines")).groupBy("repo", "path", "line", "guard").agg(F.count("*").alias("n"))
 
 
-CASE_SOURCE = "concat('''''''\nOWASP ', name, '\n''''''\n@app.route(\"/benchmark/sqli-00/', name, '\")\nrender(\"web/xss-01/a.html\")\n')"
+CASE_SOURCE = "concat('''''''\nOWASP ', name, '\n''''''\n@app.route(\"/benchmark/sqli-00/', name, '\")\nrender(\"web/xss-01/a.html\")\nprint(\"OWASP: executing cmdi\")\n')"
 
 
-@query(rf"""{with_views("cases")} SELECT name, replace(regexp_replace(regexp_replace(src, '\A\s*''''''(?s:.*?)''''''\s*\n', ''), '(/benchmark/|web/)[a-z]+-\d+/', '\1case/', 'g'), 'OWASP', 'X') AS src
+@query(rf"""{with_views("cases")} SELECT name, replace(regexp_replace(regexp_replace(src, '\A\s*''''''(?s:.*?)''''''\s*\n', ''), '(/benchmark/|web/)[a-z]+-\d+/', '\1cases/', 'g'), 'executing cmdi', 'executing command') AS src
     FROM (SELECT name, {CASE_SOURCE} AS src FROM cases) x""")
 def b11_neutralise(spark, sf):
-    cases = view(spark, sf, "cases").withColumn("src", F.concat(F.lit("'''\nOWASP "), "name", F.lit("\n'''\n@app.route(\"/benchmark/sqli-00/"), "name", F.lit("\")\nrender(\"web/xss-01/a.html\")\n")))
+    cases = view(spark, sf, "cases").withColumn("src", F.concat(F.lit("'''\nOWASP "), "name", F.lit("\n'''\n@app.route(\"/benchmark/sqli-00/"), "name", F.lit("\")\nrender(\"web/xss-01/a.html\")\nprint(\"OWASP: executing cmdi\")\n")))
     return cases.select("name", train.neutralise(F.col("src")).alias("src"))
 
 
@@ -303,14 +303,18 @@ def b12_plant_note(spark, sf):
     return train.plant_note(train.file_texts(view(spark, sf, "code_lines")), view(spark, sf, "truth"), "note")
 
 
+EITHER = f"({', '.join(map(str, select.INJECTION + select.MISSING_CHECK))})"
+INJECTED = f"({', '.join(map(str, select.INJECTION))})"
+
+
 @query(f"""{with_views("advisories")} SELECT id, lower(repo) AS repo, cwe FROM advisories WHERE published BETWEEN '1993-01-01' AND '1997-12-31' AND NOT withdrawn AND ecosystem IN ('PIP', 'NPM')
-    AND cwe IN ({', '.join(map(str, select.INJECTION + select.MISSING_CHECK))}) AND url2 = 'https://example.org/note'""")
+    AND (cwe IN {EITHER} OR cwe2 IN {EITHER}) AND url2 = 'https://example.org/note'""")
 def b14_filter_advisories(spark, sf):
     return kept_advisories(spark, sf).select("id", F.lower("repo").alias("repo"), "cwe")
 
 
 def advisory_rows(spark, sf):
-    return view(spark, sf, "advisories").withColumns({"references": F.array("url1", "url2"), "ecosystems": F.array("ecosystem"), "cwes": F.array("cwe")})
+    return view(spark, sf, "advisories").withColumns({"references": F.array("url1", "url2"), "ecosystems": F.array("ecosystem"), "cwes": F.array("cwe2", "cwe")})
 
 
 def kept_advisories(spark, sf):
@@ -320,10 +324,10 @@ def kept_advisories(spark, sf):
 SOURCE_SQL = r"regexp_matches(filename, '(?i)\.(py|js|mjs|cjs|ts|tsx|jsx|vue|svelte|html?|jinja2?|j2|ejs|hbs)$') AND NOT regexp_matches(filename, '(?i)(^|/)tests?(/|$)|(^|/)test_[^/]*$')"
 
 
-@query(f"""{with_views("commit_files")} SELECT sha, count(*) FILTER (WHERE {SOURCE_SQL}) AS n_source, count(*) FILTER (WHERE {SOURCE_SQL} AND status = 'modified') AS n_modified, coalesce(sum(changes) FILTER (WHERE {SOURCE_SQL}), 0)::BIGINT AS changes
+@query(f"""{with_views("commit_files")} SELECT sha, count(*) FILTER (WHERE {SOURCE_SQL}) AS n_source, count(*) FILTER (WHERE {SOURCE_SQL} AND status = 'modified') AS n_modified, coalesce(sum(changes) FILTER (WHERE {SOURCE_SQL}), 0)::BIGINT AS changes, string_agg(filename, ',' ORDER BY filename) FILTER (WHERE {SOURCE_SQL} AND status = 'modified') AS files
     FROM commit_files GROUP BY sha HAVING bool_and(one_parent) AND n_source BETWEEN 1 AND 3 AND n_modified > 0 AND changes <= 80""")
 def b15_usable_commits(spark, sf):
-    return select.usable_commits(view(spark, sf, "commit_files"))
+    return select.usable_commits(view(spark, sf, "commit_files")).withColumn("files", F.array_join("files", ","))
 
 
 @query(f"{FOUND} SELECT fid, regexp_extract(summary || ' ' || reasoning, {quoted(S.HEDGE)}, 0) AS hedge, regexp_matches(summary || ' ' || reasoning, {quoted(S.HEDGE)}) AS hedged FROM findings")
@@ -542,14 +546,14 @@ def c13_quote_lines(spark, sf):
     return citations.quote_spans(spans, view(spark, sf, "code_lines"))
 
 
-NEUTRAL_SQL = r"replace(regexp_replace(regexp_replace(content, '\A\s*''''''(?s:.*?)''''''\s*\n', ''), '(/benchmark/|web/)[a-z]+-\d+/', '\1case/', 'g'), 'OWASP', 'X')"
+NEUTRAL_SQL = r"replace(regexp_replace(regexp_replace(content, '\A\s*''''''(?s:.*?)''''''\s*\n', ''), '(/benchmark/|web/)[a-z]+-\d+/', '\1cases/', 'g'), 'executing cmdi', 'executing command')"
 
 
 @query(rf"""{CODE}, files AS (SELECT repo, path, {CASE_SOURCE.replace('name', 'path')} || string_agg(text, chr(10) ORDER BY line) AS content FROM code_lines GROUP BY repo, path)
     SELECT repo, path, {NEUTRAL_SQL} AS content FROM files WHERE split_part(path, '/', 1) IN ('svc1', 'svc2') AND NOT path LIKE '%.txt'
     UNION ALL SELECT repo, path, content FROM files WHERE path LIKE '%.txt' AND path NOT LIKE 'svc6/%'""")
 def c14_case_tree(spark, sf):
-    head = F.concat(F.lit("'''\nOWASP "), "path", F.lit("\n'''\n@app.route(\"/benchmark/sqli-00/"), "path", F.lit("\")\nrender(\"web/xss-01/a.html\")\n"))
+    head = F.concat(F.lit("'''\nOWASP "), "path", F.lit("\n'''\n@app.route(\"/benchmark/sqli-00/"), "path", F.lit("\")\nrender(\"web/xss-01/a.html\")\nprint(\"OWASP: executing cmdi\")\n"))
     files = train.file_texts(view(spark, sf, "code_lines")).withColumn("content", F.concat(head, "content"))
     cases = files.where("split(path, '/')[0] in ('svc1', 'svc2') and path not like '%.txt'").select("repo", "path")
     return train.case_tree(files, cases, files.where("path like '%.txt'"), "svc6/")
@@ -630,7 +634,15 @@ ITEM_SQL = """item_findings AS (SELECT i.id, f.repo, f.fid, f.cwe IN ('CWE-89',
 @query(f"""{with_views('findings', 'evidence', 'items', 'changes')}, {ITEM_SQL}, s AS (SELECT i.id, coalesce(bool_or(own), false) AS detected, coalesce(bool_or(own AND sk % 2 = 0), false) AS fixed_flagged, count(*) FILTER (WHERE NOT own) AS other_findings_vulnerable, count(*) FILTER (WHERE NOT own AND sk % 2 = 0) AS other_findings_fixed FROM items i LEFT JOIN item_findings f ON i.id = f.id GROUP BY i.id)
     SELECT s.id, detected, n.id IS NOT NULL AS detected_at_change, fixed_flagged, detected AND NOT fixed_flagged AS pair_correct, other_findings_vulnerable, other_findings_fixed FROM s LEFT JOIN near n ON s.id = n.id""")
 def d6_score_items(spark, sf):
-    return score.score_items(citations_of(spark, sf), citations_of(spark, sf, "sk % 2 = 0"), real_items(spark, sf), view(spark, sf, "changes"))
+    return score.score_items(citations_of(spark, sf), citations_of(spark, sf, "sk % 2 = 0"), real_items(spark, sf), all_changes(spark, sf))
+
+
+def all_changes(spark, sf):
+    """The changes of the items, and as many in files that aren't theirs, which must not count."""
+    own = view(spark, sf, "changes")
+    others = view(spark, sf, "findings").select("repo", "path", F.col("start_line"), (F.col("start_line") + 1).alias("end_line"))
+    elsewhere = view(spark, sf, "items").select(F.col("id").alias("item"), "repo", F.col("path").alias("own")).join(others, "repo").where("path <> own and start_line % 7 = 0").drop("own")
+    return own.unionByName(elsewhere.select(own.columns))
 
 
 def real_items(spark, sf):
@@ -741,12 +753,12 @@ def e5_stratified_split(spark, sf):
 
 
 RANKED_SQL = f"""first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(repo) ORDER BY md5('s' || id), id) AS n FROM advisories) x WHERE n = 1),
-    ranked AS (SELECT id, repo, grp, row_number() OVER (PARTITION BY grp ORDER BY md5('s' || id), id) AS rank FROM (SELECT *, CASE WHEN cwe IN ({', '.join(map(str, select.INJECTION))}) THEN 'injection' ELSE 'missing check' END AS grp FROM first) x)"""
+    ranked AS (SELECT id, repo, grp, row_number() OVER (PARTITION BY grp ORDER BY md5('s' || id), id) AS rank FROM (SELECT *, CASE WHEN cwe IN {INJECTED} OR cwe2 IN {INJECTED} THEN 'injection' ELSE 'missing check' END AS grp FROM first) x)"""
 
 
 @query(f"{with_views('advisories')}, {RANKED_SQL} SELECT * FROM ranked")
 def e6_one_per_repo(spark, sf):
-    return select.one_per_repo(view(spark, sf, "advisories"), "s").select("id", "repo", "grp", "rank")
+    return select.one_per_repo(advisory_rows(spark, sf), "s").select("id", "repo", "grp", "rank")
 
 
 @query(r"""WITH hunks AS (SELECT o_orderkey AS diff, o_custkey AS c FROM orders)
@@ -790,7 +802,7 @@ def f2_rank_findings(spark, sf):
 
 @query(f"{with_views('advisories')}, {RANKED_SQL} SELECT * FROM ranked WHERE rank <= 40")
 def f3_top_per_group(spark, sf):
-    return select.top_per_group(select.one_per_repo(view(spark, sf, "advisories"), "s")).select("id", "repo", "grp", "rank")
+    return select.top_per_group(select.one_per_repo(advisory_rows(spark, sf), "s")).select("id", "repo", "grp", "rank")
 
 
 @query(f"{CODE} SELECT repo, path, string_agg(text, chr(10) ORDER BY line) AS text FROM (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY line) AS n FROM code_lines) x WHERE n <= 8 GROUP BY ALL")
@@ -812,9 +824,9 @@ def g2_all_modules(spark, sf):
     return score.all_modules(s.where("detected"), s.where("not detected"))
 
 
-@query(f"{with_views('advisories')} SELECT id, CASE WHEN cwe IN ({', '.join(map(str, select.INJECTION))}) THEN cwe::VARCHAR ELSE '' END AS common FROM advisories")
+@query(f"{with_views('advisories')} SELECT id, array_to_string(list_sort(list_distinct(list_filter([cwe2, cwe], lambda x: x IN {INJECTED}))), ',') AS common FROM advisories")
 def g3_cwe_overlap(spark, sf):
-    return view(spark, sf, "advisories").select("id", F.array_join(select.cwe_overlap(F.array("cwe")).cast("array<string>"), ",").alias("common"))
+    return view(spark, sf, "advisories").select("id", F.array_join(F.array_sort(select.cwe_overlap(F.array("cwe2", "cwe"))).cast("array<string>"), ",").alias("common"))
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
@@ -889,7 +901,13 @@ def h7_apply_fixes(spark, sf):
 
 
 ANSWERS = with_views("answers")
-PARSED_SQL = r"""parsed AS (SELECT *, CASE WHEN truncated THEN 'output budget exhausted before an answer' WHEN NOT coalesce(json_valid(j), false) THEN 'model did not return valid JSON' END AS error FROM (SELECT *, CASE WHEN regexp_matches(content, '(?s)\{.*\}') THEN regexp_extract(content, '(?s)\{.*\}', 0) ELSE content END AS j FROM answers) x)"""
+LINE_SQL = r"coalesce(TRY_CAST(e->>'$.start_line' AS DOUBLE) >= 1 AND TRY_CAST(e->>'$.start_line' AS DOUBLE) = floor(TRY_CAST(e->>'$.start_line' AS DOUBLE)) AND (json_type(e, '$.start_line') <> 'VARCHAR' OR regexp_full_match(e->>'$.start_line', '[0-9]+')), false)"
+VALID_SQL = f"""coalesce(json_type(f, '$.title') = 'VARCHAR', false) AND coalesce(json_type(f, '$.summary') = 'VARCHAR', false) AND (json_type(f, '$.severity') IS NULL OR f->>'$.severity' IN ('low', 'medium', 'high', 'critical'))
+        AND (json_type(f, '$.reasoning') IS NULL OR json_type(f, '$.reasoning') = 'VARCHAR') AND (json_type(f, '$.evidence') IS NULL OR {LINE_SQL})"""
+PARSED_SQL = rf"""extracted AS (SELECT *, CASE WHEN regexp_matches(content, '(?s)\{{.*\}}') THEN regexp_extract(content, '(?s)\{{.*\}}', 0) ELSE content END AS j FROM answers),
+    parsed AS (SELECT *, CASE WHEN NOT coalesce(json_valid(j), false) THEN CASE WHEN truncated THEN {quoted(S.CUT_OFF)} ELSE {quoted(S.NOT_JSON)} END END AS error FROM extracted),
+    each AS (SELECT fid, repo, path, k::INT AS ord, f, f->'$.evidence[0]' AS e FROM (SELECT fid, repo, path, unnest(json_extract(j, '$.findings[*]')) AS f, unnest(range(len(json_extract(j, '$.findings[*]')))) AS k FROM parsed WHERE error IS NULL) x),
+    typed AS (SELECT *, {VALID_SQL} AS valid FROM each)"""
 
 
 @query(f"{ANSWERS}, {PARSED_SQL} SELECT fid, j FROM parsed")
@@ -897,15 +915,20 @@ def h8_extract_json(spark, sf):
     return view(spark, sf, "answers").select("fid", S.extract_json(F.col("content")).alias("j"))
 
 
-@query(f"{ANSWERS}, {PARSED_SQL} SELECT fid, error, CASE WHEN error IS NULL THEN 1 END AS n, CASE WHEN error IS NULL THEN j->>'$.findings[0].title' END AS title FROM parsed")
+@query(f"{ANSWERS}, {PARSED_SQL} SELECT p.fid, p.error, CASE WHEN p.error IS NULL THEN 2 END AS n, t.f->>'$.title' AS title FROM parsed p LEFT JOIN typed t ON t.fid = p.fid AND t.repo = p.repo AND t.valid")
 def h9_parse_answer(spark, sf):
     p = findings.parsed_answers(view(spark, sf, "answers").drop("title"))
-    return p.select("fid", "error", F.when(F.col("error").isNull(), F.size("findings")).alias("n"), F.get("findings", F.lit(0))["title"].alias("title"))
+    kept = F.filter("findings", S.valid_finding)
+    return p.select("fid", "error", F.when(F.col("error").isNull(), F.size("findings")).alias("n"), F.get(kept, F.lit(0))["title"].alias("title"))
 
 
-@query(f"{ANSWERS}, {PARSED_SQL} SELECT fid, j->>'$.findings[0].severity' IN ('low', 'medium', 'high', 'critical') AS valid FROM parsed WHERE error IS NULL")
+@query(rf"""{ANSWERS}, {PARSED_SQL} SELECT repo, fid, ord, valid, CASE WHEN valid THEN coalesce(f->>'$.severity', 'medium') END AS severity, CASE WHEN valid THEN 'CWE-' || CAST(regexp_extract(f->>'$.cwe', '(\d+)', 1) AS INT) END AS cwe,
+    CASE WHEN valid THEN CAST(CAST(e->>'$.start_line' AS DOUBLE) AS INT) END AS start_line, CASE WHEN valid THEN coalesce(e->>'$.role', 'context') END AS role FROM typed""")
 def h10_validate_finding(spark, sf):
-    return findings.answer_findings(view(spark, sf, "answers")).select(F.col("in_fid").alias("fid"), "valid")
+    """Each finding of each answer: whether its fields have their types, and what it is then, defaults included."""
+    f, e = F.col("finding"), F.get(F.col("finding.evidence"), F.lit(0))
+    told = {"severity": f["severity"], "cwe": f["cwe"], "start_line": e["start_line"], "role": e["role"]}
+    return findings.answer_findings(view(spark, sf, "answers")).select(F.col("in_repo").alias("repo"), F.col("in_fid").alias("fid"), "ord", "valid", *(F.when(F.col("valid"), c).alias(n) for n, c in told.items()))
 
 
 @query(f"{FOUND} SELECT fid, length(title) * (pk % 12) <= 120 AND length(summary) * (sk % 40) <= 600 AS within FROM findings")
@@ -960,8 +983,8 @@ def h18_case_hint(spark, sf):
     return view(spark, sf, "cases").select("name", S.case_hint(category, F.col("real"), F.col("pk") % 900).alias("hint"))
 
 
-@query(f"""{with_views('findings')} SELECT fid, CASE WHEN severity <> 'low' THEN '## ' || fid || ' ' || title || chr(10) || chr(10) || '- Tier: `suspected`' || chr(10) || '- Severity: ' || severity || chr(10) || '- Weakness: ' || cwe || chr(10) || '- Location: `' || path || ':' || start_line || '`' || chr(10) || chr(10) || summary || chr(10)
-    || chr(10) || '**Why it is reachable:** ' || reasoning || chr(10) || chr(10) || '`' || path || ':' || start_line || '-' || start_line || '` (sink)' || chr(10) || '```' || chr(10) || rtrim(quote) || chr(10) || '```' || chr(10) || chr(10) || 'Checks:' || chr(10) || '- wording: ' || CASE WHEN sk % 3 = 0 THEN 'fail (could)' ELSE 'pass' END || chr(10) END AS section FROM findings""")
+@query(f"""{with_views('findings')} SELECT fid, CASE WHEN severity <> 'low' THEN '## ' || fid || ': ' || title || chr(10) || chr(10) || severity || ' severity, suspected, ' || cwe || ', ' || path || ':' || start_line || chr(10) || chr(10) || summary || chr(10)
+    || chr(10) || 'Reasoning: ' || reasoning || chr(10) || chr(10) || '`' || path || ':' || start_line || '` to line ' || start_line || ', sink' || chr(10) || '```' || chr(10) || rtrim(quote) || chr(10) || '```' || chr(10) || chr(10) || 'Verified:' || chr(10) || CASE WHEN sk % 3 = 0 THEN '- [ ] wording - could' ELSE '- [x] wording' END || chr(10) END AS section FROM findings""")
 def h19_finding_markdown(spark, sf):
     f = view(spark, sf, "findings")
     e = F.array(F.struct("path", "start_line", F.col("start_line").alias("end_line"), "quote", F.lit("sink").alias("role")))
@@ -983,7 +1006,7 @@ def i1_last_rows(spark, sf):
     return select.last_rows(view(spark, sf, "log")).select("name", "attempt", "status")
 
 
-@query(f"""{ANSWERS}, {with_views('code_lines').split('WITH ', 1)[1].split('code_lines AS', 1)[0]}{PARSED_SQL}, w AS (SELECT fid, repo, path, start_line, quote FROM parsed WHERE error IS NULL AND sk % 23 <> 0 AND sk % 41 <> 0 AND sk % 7 <> 1),
+@query(f"""{ANSWERS}, {with_views('code_lines').split('WITH ', 1)[1].split('code_lines AS', 1)[0]}{PARSED_SQL}, w AS (SELECT p.fid, p.repo, p.path, p.quote FROM parsed p JOIN typed t ON t.repo = p.repo AND t.fid = p.fid AND t.valid WHERE sk % 41 <> 0 AND sk % 7 <> 1),
     first AS (SELECT w.repo, w.fid, min(c.line) AS line FROM w JOIN code_lines c ON c.repo = w.repo AND c.path = w.path AND contains(trim(regexp_replace(c.text, '\\s+', ' ', 'g')), trim(regexp_replace(w.quote, '\\s+', ' ', 'g'))) GROUP BY ALL)
     SELECT repo || '/' || fid AS key, line AS start_line FROM first""")
 def i2_stream_citations(spark, sf):
@@ -1062,11 +1085,11 @@ def k4_scan_stats(spark, sf):
     return stats.select("repo", "leads", "findings", "discarded_bad_citation", F.size("errors").cast("long").alias("n_errors"))
 
 
-PATTERN_SQL = f"""own AS (SELECT repo, path, line, cwe, class FROM (SELECT *, row_number() OVER (PARTITION BY repo, path, line, cwe ORDER BY ord) AS n FROM hits WHERE class <> 'request handler') x WHERE n = 1)"""
+PATTERN_SQL = f"""own AS (SELECT repo, path, line, cwe, class, ord, class_first FROM (SELECT *, row_number() OVER (PARTITION BY repo, path, line, cwe ORDER BY ord) AS n, min(line * 100 + ord) OVER (PARTITION BY repo, path, class) AS class_first FROM hits WHERE class <> 'request handler') x WHERE n = 1)"""
 
 
 @query(f"""{LEADS_SQL}, {PATTERN_SQL}, ranked AS (SELECT repo, path, {LEAD_RANK} AS lead_rank FROM leads)
-    SELECT o.repo, printf('F%03d', row_number() OVER (PARTITION BY o.repo ORDER BY lead_rank, line, cwe, class)) AS id, o.path, line AS start_line, cwe, class AS title, 'suspected' AS tier FROM own o JOIN ranked r ON r.repo = o.repo AND r.path = o.path""")
+    SELECT o.repo, printf('F%03d', row_number() OVER (PARTITION BY o.repo ORDER BY lead_rank, class_first, line, ord)) AS id, o.path, line AS start_line, cwe, class AS title, 'suspected' AS tier FROM own o JOIN ranked r ON r.repo = o.repo AND r.path = o.path""")
 def k4_scan_patterns(spark, sf):
     found, _, _ = jobs.scan_job(view(spark, sf, "code_lines"), "patterns")
     return found.select("repo", "id", "path", "start_line", "cwe", "title", "tier")
@@ -1081,13 +1104,13 @@ def k4_scan_scanner(spark, sf):
 
 
 @query(f"""{with_views('advisories', 'commit_files')}, keyed AS (SELECT 'own/repo' || o_custkey || '@' || substring('abcdef' || (1000000 + sha), 1, 12) AS key, c.* FROM commit_files c JOIN orders ON o_orderkey = sha),
-    usable AS (SELECT key FROM (SELECT key, bool_and(one_parent) AS p, count(*) FILTER (WHERE {SOURCE_SQL}) AS n, count(*) FILTER (WHERE {SOURCE_SQL} AND status = 'modified') AS m, coalesce(sum(changes) FILTER (WHERE {SOURCE_SQL}), 0) AS c FROM keyed GROUP BY key) x WHERE p AND n BETWEEN 1 AND 3 AND m > 0 AND c <= 80),
-    kept AS (SELECT * FROM advisories WHERE published BETWEEN '1993-01-01' AND '1997-12-31' AND NOT withdrawn AND ecosystem IN ('PIP', 'NPM') AND cwe IN ({', '.join(map(str, select.INJECTION + select.MISSING_CHECK))}) AND url2 = 'https://example.org/note' AND lower(repo) || '@' || substring(split_part(url1, '/commit/', 2), 1, 12) IN (SELECT key FROM usable)),
-    {RANKED_SQL.replace('FROM advisories', 'FROM kept')} SELECT * FROM ranked WHERE rank <= 40""")
+    usable AS (SELECT key, files FROM (SELECT key, string_agg(filename, ',' ORDER BY filename) FILTER (WHERE {SOURCE_SQL} AND status = 'modified') AS files, bool_and(one_parent) AS p, count(*) FILTER (WHERE {SOURCE_SQL}) AS n, count(*) FILTER (WHERE {SOURCE_SQL} AND status = 'modified') AS m, coalesce(sum(changes) FILTER (WHERE {SOURCE_SQL}), 0) AS c FROM keyed GROUP BY key) x WHERE p AND n BETWEEN 1 AND 3 AND m > 0 AND c <= 80),
+    kept AS (SELECT a.*, u.files FROM advisories a JOIN usable u ON u.key = lower(repo) || '@' || substring(split_part(url1, '/commit/', 2), 1, 12) WHERE published BETWEEN '1993-01-01' AND '1997-12-31' AND NOT withdrawn AND ecosystem IN ('PIP', 'NPM') AND (cwe IN {EITHER} OR cwe2 IN {EITHER}) AND url2 = 'https://example.org/note'),
+    {RANKED_SQL.replace('FROM advisories', 'FROM kept')} SELECT r.*, k.files FROM ranked r JOIN kept k USING (id) WHERE rank <= 40""")
 def k10_select_advisories(spark, sf):
     orders = load(spark, sf, "orders").select(F.col("o_orderkey").alias("sha"), "o_custkey")
     commits = view(spark, sf, "commit_files").join(orders, "sha").withColumns({"repo": F.concat(F.lit("own/Repo"), F.col("o_custkey").cast("string")), "sha": F.concat(F.lit("abcdef"), (1000000 + F.col("sha")).cast("string"))})
-    return select.select_advisories(advisory_rows(spark, sf), commits, "1993-01-01", "1997-12-31", "s").select("id", "repo", "grp", "rank")
+    return select.select_advisories(advisory_rows(spark, sf), commits, "1993-01-01", "1997-12-31", "s").select("id", "repo", "grp", "rank", F.array_join("files", ",").alias("files"))
 
 
 PROMPT_SQL = f"""{LEADS_SQL}, parts AS (SELECT repo, path, n, i + 1 AS part, i * 16 + 1 AS first, least(i * 16 + 20, n) AS last FROM (SELECT repo, path, max(line) AS n, unnest(range(CASE WHEN max(line) <= 20 THEN 1 ELSE ceil((max(line) - 20) / 16.0)::INT + 1 END))::INT AS i FROM src GROUP BY repo, path) x),
@@ -1147,7 +1170,7 @@ def j1_review_prompts(spark, sf):
     return jobs.review_prompts(prompts, factory).select("repo", "path", "part", "content", "error")
 
 
-SEEDED_SQL = f"""{with_views('code_lines', 'truth')}, {TWIN_SQL}, {lexicon_sql('code_lines')}, {{later}},
+SEEDED_SQL = f"""{with_views('code_lines', 'truth')}, {TWIN_SQL}, fitting AS (SELECT t.* FROM truth t JOIN anchor_hits USING (repo, id) WHERE is_decoy OR n = 1), {lexicon_sql('code_lines')}, {{later}},
     {REGIONS_SQL}, later_regions AS (SELECT t.id, t.repo, t.path, t.cwe, t.cwe2, t.is_decoy, greatest(1, min(c.line) - t.radius) AS start_line, min(c.line) + t.radius AS end_line FROM truth t JOIN twin c ON t.repo = c.repo AND t.path = c.path AND contains(c.text, CASE WHEN t.is_decoy THEN t.anchor ELSE t.new END) GROUP BY t.id, t.repo, t.path, t.cwe, t.cwe2, t.is_decoy, t.radius HAVING count(*) = 1),
     found AS (SELECT 0 AS side, repo, path, line, cwe FROM hits WHERE class <> 'request handler' GROUP BY ALL UNION ALL SELECT 1, repo, path, line, cwe FROM hits_later WHERE class <> 'request handler' GROUP BY ALL),
     met AS (SELECT f.*, r.id, r.is_decoy, row_number() OVER (PARTITION BY f.side, f.repo, f.path, f.line, f.cwe ORDER BY coalesce(f.cwe IN (r.cwe, r.cwe2), false) DESC, r.is_decoy, r.id) AS n FROM found f LEFT JOIN (SELECT 0 AS side, * FROM regions UNION ALL SELECT 1, * FROM later_regions) r ON r.side = f.side AND r.repo = f.repo AND r.path = f.path AND f.line BETWEEN r.start_line AND r.end_line),
@@ -1156,24 +1179,51 @@ SEEDED_SQL = f"""{with_views('code_lines', 'truth')}, {TWIN_SQL}, {lexicon_sql('
 )
 
 
-@query(f"""{SEEDED_SQL}, matches AS (SELECT repo, item, kind FROM both_matches WHERE side = 0), {SUMMARY_SQL} SELECT {SCORE_SQL.format(weak='weak', fixed='0')}""")
+FITTING_SUMMARY = SUMMARY_SQL.replace("FROM truth", "FROM fitting")
+
+
+@query(f"""{SEEDED_SQL}, matches AS (SELECT repo, item, kind FROM both_matches WHERE side = 0), {FITTING_SUMMARY} SELECT {SCORE_SQL.format(weak='weak', fixed='0')}""")
 def k5_eval_seeded(spark, sf):
     return flat_score(jobs.eval_seeded(view(spark, sf, "code_lines"), truth(spark, sf))[0])
 
 
-@query(f"""{SEEDED_SQL}, matches AS (SELECT repo, item, kind FROM both_matches WHERE side = 1), {SUMMARY_SQL} SELECT {SCORE_SQL.format(weak='0', fixed='weak')}""")
+@query(f"""{SEEDED_SQL}, matches AS (SELECT repo, item, kind FROM both_matches WHERE side = 1), {FITTING_SUMMARY} SELECT {SCORE_SQL.format(weak='0', fixed='weak')}""")
 def k5_eval_twin(spark, sf):
     return flat_score(jobs.eval_seeded(view(spark, sf, "code_lines"), truth(spark, sf))[1])
 
 
-@query(f"""{SEEDED_SQL}, s AS (SELECT t.repo, EXISTS (SELECT 1 FROM both_matches m WHERE m.item = t.id AND m.side = 0 AND m.kind = 0) AS d, EXISTS (SELECT 1 FROM both_matches m WHERE m.item = t.id AND m.side = 1 AND m.kind = 1) AS s FROM truth t WHERE NOT t.is_decoy)
+@query(f"""{SEEDED_SQL}, s AS (SELECT t.repo, EXISTS (SELECT 1 FROM both_matches m WHERE m.item = t.id AND m.side = 0 AND m.kind = 0) AS d, EXISTS (SELECT 1 FROM both_matches m WHERE m.item = t.id AND m.side = 1 AND m.kind = 1) AS s FROM fitting t WHERE NOT t.is_decoy)
     SELECT repo, count(*) AS weaknesses, count(*) FILTER (WHERE d) AS found, count(*) FILTER (WHERE s) AS still, count(*) FILTER (WHERE d AND NOT s) AS correct, correct / weaknesses AS pair_accuracy FROM s GROUP BY repo""")
 def k5_eval_pairs_of_trees(spark, sf):
     return jobs.eval_seeded(view(spark, sf, "code_lines"), truth(spark, sf))[2]
 
 
-TEACHER_SQL = f"""{ANSWERS}, last AS (SELECT repo || '/' || fid AS name, *, sk % 41 = 0 AS again FROM answers),
-    judged AS (SELECT *, CASE WHEN again THEN 'no analysis' WHEN truncated OR (sk % 17 <> 0 AND sk % 19 = 0) THEN 'invalid JSON' WHEN sk % 37 = 0 THEN 'no analysis' WHEN sk % 31 = 0 THEN 'mentions the answer key' WHEN pk % 3 = 0 THEN 'ok' WHEN sk % 23 = 0 OR sk % 7 = 1 OR pk % 5 = 0 THEN 'no verified finding of the labelled class' ELSE 'ok' END AS status, pk % 3 <> 0 AS real FROM last)"""
+@query(f"{with_views('code_lines', 'truth')}, {TWIN_SQL} SELECT repo, t.id, 0 AS step, path FROM truth t JOIN anchor_hits USING (repo, id) WHERE NOT is_decoy AND n <> 1")
+def k5_eval_errors(spark, sf):
+    """Weaknesses whose fix doesn't apply."""
+    return jobs.eval_seeded(view(spark, sf, "code_lines"), truth(spark, sf))[3]
+
+
+@query(f"""{with_views('code_lines', 'truth')}, {TWIN_SQL}, weak AS (SELECT u.*, row_number() OVER (PARTITION BY u.repo ORDER BY u.id) % 5 AS m FROM usable u WHERE NOT is_decoy), done AS (SELECT * FROM weak WHERE m < 3),
+    folded AS (SELECT c.repo, c.path, string_agg(CASE WHEN d.id IS NULL THEN c.text ELSE d.new || ' again' END, chr(10) ORDER BY c.line) AS content FROM code_lines c LEFT JOIN done d ON d.repo = c.repo AND d.path = c.path AND d.anchor = c.text GROUP BY ALL)
+    SELECT repo, path, md5(content) AS digest, NULL AS id, NULL::INT AS step FROM folded UNION ALL SELECT repo, path, '', id, 2 FROM weak WHERE m >= 3 UNION ALL SELECT repo, 'none.py', '', id, 1 FROM weak WHERE m = 3""")
+def h7_fix_steps(spark, sf):
+    """Fixes of three steps, each on what the one before left; some name a file that isn't there or a text that is gone, and change nothing."""
+    lines, items = view(spark, sf, "code_lines"), truth(spark, sf)
+    weak = items.join(intervals.anchor_regions(items, lines).select("repo", "path", "id"), ["repo", "path", "id"], "left_semi").where("not is_decoy")
+    kind = F.row_number().over(Window.partitionBy("repo").orderBy("id")) % 5
+    gone, lost = F.col("m") == 3, F.col("m") == 4
+    step = lambda file, old, new: F.struct(file.alias("file"), old.alias("old"), new.alias("new"))
+    own, new = F.lit(None).cast("string"), F.col("new")
+    last = step(own, F.concat(F.when(lost, "no such ").otherwise(""), new, F.lit(" more")), F.concat(new, F.lit(" again")))
+    steps = F.array(step(own, F.col("old"), new), step(F.when(gone, "none.py"), new, F.concat(new, F.lit(" more"))), last)
+    tree, errors = score.fixed_tree(train.file_texts(lines), score.fix_steps(weak.withColumn("m", kind).withColumn("fix", steps)))
+    done = tree.select("repo", "path", F.md5(F.col("content").cast("binary")).alias("digest"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("int").alias("step"))
+    return done.unionByName(errors.select("repo", "path", F.lit("").alias("digest"), "id", "step"))
+
+
+TEACHER_SQL = f"""{ANSWERS}, {PARSED_SQL}, last AS (SELECT p.repo || '/' || p.fid AS name, p.*, sk % 41 = 0 AS again, coalesce(t.valid, false) AS valid FROM parsed p LEFT JOIN typed t ON t.repo = p.repo AND t.fid = p.fid AND t.ord = 0),
+    judged AS (SELECT *, CASE WHEN again THEN 'analysis missing' WHEN error IS NOT NULL THEN {quoted(train.INVALID)} WHEN sk % 37 = 0 THEN 'analysis missing' WHEN sk % 31 = 0 THEN 'key mentioned' WHEN pk % 3 = 0 THEN 'ok' WHEN NOT valid OR sk % 7 = 1 OR pk % 5 = 0 THEN {quoted(train.NOTHING_KEPT)} ELSE 'ok' END AS status, pk % 3 <> 0 AS real FROM last)"""
 
 
 def teacher(spark, sf):
@@ -1235,7 +1285,7 @@ def k6_review_pairs(spark, sf):
 @query(f"""{with_views('findings', 'evidence', 'items', 'changes')}, {ITEM_SQL}, s AS (SELECT i.id, coalesce(bool_or(own), false) AS d, coalesce(bool_or(own AND sk % 2 = 0), false) AS f, count(*) FILTER (WHERE NOT own) AS ov, count(*) FILTER (WHERE NOT own AND sk % 2 = 0) AS os FROM items i LEFT JOIN item_findings f ON i.id = f.id GROUP BY i.id)
     SELECT count(*) AS items, count(*) FILTER (WHERE d) AS detected, count(n.id) AS detected_at_change, count(*) FILTER (WHERE f) AS fixed_flagged, count(*) FILTER (WHERE d AND NOT f) / count(*) AS pair_accuracy, sum(ov)::BIGINT AS other_findings_vulnerable, sum(os)::BIGINT AS other_findings_fixed FROM s LEFT JOIN near n ON s.id = n.id""")
 def k7_eval_real(spark, sf):
-    return jobs.eval_real(citations_of(spark, sf), citations_of(spark, sf, "sk % 2 = 0"), real_items(spark, sf), view(spark, sf, "changes"))
+    return jobs.eval_real(citations_of(spark, sf), citations_of(spark, sf, "sk % 2 = 0"), real_items(spark, sf), all_changes(spark, sf))
 
 
 @query(r"""WITH d AS (SELECT o_orderkey AS item, 'repo' || o_custkey % 20 AS repo, o_custkey AS c FROM orders)

@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlake.plans.storage import stored
+from reviewlake.sources.storage import stored
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -112,14 +112,17 @@ VIEWS = {
     "runs": f"SELECT concat('cfg', cast(user_id % 5 AS {V})) AS config, concat('run', cast(user_id % 3 AS {V})) AS run, event_type AS metric, user_id % 50 AS item, value, event_id FROM events",
     "answers": f"""
         SELECT fid, repo, path, title, cwe, severity, summary, start_line, quote, sk, pk, sk % 13 = 0 AS truncated,
-               CASE WHEN sk % 17 = 0 THEN concat('```json\n', body, '\n```') WHEN sk % 19 = 0 THEN substring(body, 1, 30) ELSE body END AS content
-        FROM (SELECT *, concat('{{"analysis": ["', CASE WHEN sk % 37 = 0 THEN ' ' WHEN sk % 31 = 0 THEN 'According to the label it is safe.' ELSE 'the handler is read' END, '"], "findings": [{{"title": "', title, '", "cwe": "', cwe, '", "severity": "', CASE WHEN sk % 23 = 0 THEN 'huge' ELSE severity END, '", "summary": "', summary,
-            '", "evidence": [{{"path": "', path, '", "start_line": ', cast(start_line AS {V}), ', "end_line": ', cast(start_line AS {V}), ', "quote": "12| ', replace(quote, '"', concat(chr(92), '"')), '", "role": "sink"}}]}}]}}') AS body FROM findings) x""",
+               CASE WHEN sk % 17 = 0 THEN concat('```json\n', body, '\n```') WHEN sk % 19 = 0 THEN substring(body, 1, 30) WHEN sk % 97 = 0 THEN concat('[', body, ']') ELSE body END AS content
+        FROM (SELECT *, concat('{{"analysis": ["', CASE WHEN sk % 37 = 0 THEN ' ' WHEN sk % 31 = 0 THEN 'According to the label it is safe.' ELSE 'the handler is read' END, '"], "findings": [{{"title": ',
+            CASE WHEN sk % 53 = 0 THEN '""' WHEN sk % 59 = 0 THEN '7' ELSE concat('"', title, '"') END, ', "cwe": ', CASE WHEN sk % 61 = 0 THEN substring(cwe, 5, 9) WHEN sk % 67 = 0 THEN concat('["', cwe, '"]') ELSE concat('"', cwe, '"') END,
+            CASE WHEN sk % 43 = 0 THEN '' ELSE concat(', "severity": "', CASE WHEN sk % 23 = 0 THEN 'huge' ELSE severity END, '"') END, ', "summary": "', summary, '", "tier": "confirmed"',
+            CASE WHEN sk % 71 = 0 THEN ', "reasoning": null' ELSE '' END, ', "evidence": [{{"path": "', path, '", "start_line": ', CASE WHEN sk % 47 = 0 THEN concat('"', cast(start_line AS {V}), '"') WHEN sk % 73 = 0 THEN concat(cast(start_line AS {V}), '.0') WHEN sk % 79 = 0 THEN '0' WHEN sk % 83 = 0 THEN concat(cast(start_line AS {V}), '.5') ELSE cast(start_line AS {V}) END,
+            ', "end_line": ', cast(start_line AS {V}), ', "quote": "12| ', replace(quote, '"', concat(chr(92), '"')), '"', CASE WHEN sk % 29 = 0 THEN '' ELSE ', "role": "sink"' END, '}}]}}, {{"title": "other"}}]}}') AS body FROM findings) x""",
     "log": f"""
         SELECT concat('n', cast(o_custkey AS {V})) AS name, o_orderkey AS attempt, CASE o_orderkey % 6 WHEN 0 THEN 'invalid JSON' WHEN 1 THEN 'no analysis' ELSE 'ok' END AS status, o_custkey % 3 = 0 AS real FROM orders""",
     "advisories": f"""
         SELECT concat('GHSA-', cast(o_orderkey AS {V})) AS id, concat('own/Repo', cast(o_custkey AS {V})) AS repo, substring(cast(o_orderdate AS varchar(30)), 1, 10) AS published, o_orderkey % 9 = 0 AS withdrawn, CASE o_orderkey % 4 WHEN 0 THEN 'PIP' WHEN 1 THEN 'NPM' WHEN 2 THEN 'GO' ELSE 'PIP' END AS ecosystem,
-               CASE o_custkey % 6 WHEN 0 THEN 89 WHEN 1 THEN 79 WHEN 2 THEN 862 WHEN 3 THEN 287 WHEN 4 THEN 400 ELSE 22 END AS cwe,
+               CASE o_custkey % 6 WHEN 0 THEN 89 WHEN 1 THEN 79 WHEN 2 THEN 862 WHEN 3 THEN 287 WHEN 4 THEN 400 ELSE 22 END AS cwe, CASE o_orderkey % 5 WHEN 0 THEN 89 WHEN 1 THEN 400 ELSE 862 END AS cwe2,
                concat('https://github.com/own/Repo', cast(o_custkey AS {V}), '/commit/abcdef', cast(1000000 + o_orderkey AS {V})) AS url1, CASE WHEN o_orderkey % 5 = 0 THEN concat('https://github.com/own/Repo', cast(o_custkey AS {V}), '/pull/7/commits/beef', cast(1000000 + o_orderkey AS {V})) ELSE 'https://example.org/note' END AS url2
         FROM orders""",
     "commit_files": f"""

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewlake.functions.scalars import finding_markdown, normalise_cwe
 from reviewlake.operators.citations import quote_spans
+from reviewlake.sources import trees
 
 #: Folders that are not read, the largest file, and how far a NUL byte marks a binary file.
 SKIPPED_FOLDERS = [".git", "node_modules", ".venv", "venv", "vendor", "dist", "build", "__pycache__", ".idea", ".next", "target", ".tox", ".mypy_cache"]
@@ -25,14 +29,25 @@ RUNS = (
 CONFIG = ["target", "model", "mode", "prompt", "context", "temperature"]
 
 
-def read_tree(spark: SparkSession, root: str, repo: str) -> DataFrame:
-    """repo, path, content of a tree's text files. Size and folder limits apply before the bytes are read on."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
-    # The path without scheme and host, then without the root, cut by length.
-    path = F.substring(F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?/*", "/"), len(base) + 2, 1 << 20)
-    folders = F.split(path, "/")
-    kept = raw.where(F.col("length") <= LARGEST_FILE).withColumn("rel", path).where(~F.arrays_overlap(F.slice(folders, 1, F.greatest(F.size(folders) - 1, F.lit(0))), F.array(*map(F.lit, SKIPPED_FOLDERS))))
+def read_tree(spark: SparkSession, root: str, repo: str, partition_bytes: int = trees.PARTITION_BYTES) -> DataFrame:
+    """repo, path, content of a tree's text files.
+
+    Skipped folders are not listed, files over the limit are not opened, and tasks get about partition_bytes each
+    (trees). A store that only Spark opens is read by Spark's own file reader, which lists and filters the whole tree.
+    """
+    root = root if re.match("[a-z0-9]+:", root) else Path(root).absolute().as_uri()
+    if trees.opens(root):
+        trees.register(spark)
+        read = spark.read.format("source_tree").option("skipped", "/".join(SKIPPED_FOLDERS)).option("largest", LARGEST_FILE)
+        kept = read.option("partition_bytes", partition_bytes).load(root).withColumn("rel", F.col("path"))
+    else:
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
+        # The path without scheme and host, then without the root, cut by length.
+        path = F.substring(F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?/*", "/"), len(base) + 2, 1 << 20)
+        folders = F.split(path, "/")
+        above = F.slice(folders, 1, F.greatest(F.size(folders) - 1, F.lit(0)))
+        kept = raw.where(F.col("length") <= LARGEST_FILE).withColumn("rel", path).where(~F.arrays_overlap(above, F.array(*map(F.lit, SKIPPED_FOLDERS))))
     text = kept.where(F.position(F.lit(b"\x00"), F.substring("content", 1, BINARY_PROBE)) == 0)
     return text.select(F.lit(repo).alias("repo"), F.col("rel").alias("path"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
 
@@ -80,9 +95,10 @@ def report_parts(findings: DataFrame, model: str) -> DataFrame:
     findings: repo, rank, finding (struct), and checks where there are any.
     """
     shown = F.count_if(F.col("finding.tier") != "rejected")
-    counts = F.concat(shown.cast("string"), F.lit(" findings reported, "), (F.count("*") - shown).cast("string"), F.lit(" rejected during verification."))
-    tiers = "`supported`: citations verified, and a scanner reported the same place. `suspected`: citations verified. Hedged wording comes last in a tier."
-    head = findings.groupBy("repo").agg(counts.alias("counts")).select("repo", F.lit(0).alias("rank"), F.concat(F.lit("# Security review of `"), "repo", F.lit(f"`\n\nModel: `{model}`.\n"), "counts", F.lit(f"\n\n{tiers}\n")).alias("value"))
+    counts = F.concat(F.lit("Reported: "), shown.cast("string"), F.lit(". Dropped, for nothing that they cite was found: "), (F.count("*") - shown).cast("string"), F.lit("."))
+    tiers = "A finding is `supported` where a scanner points at the same lines, else `suspected`; hedged ones end their tier."
+    title = F.concat(F.lit("# What the review of `"), "repo", F.lit(f"` found\n\nReviewer: `{model}`\n"))
+    head = findings.groupBy("repo").agg(counts.alias("counts")).select("repo", F.lit(0).alias("rank"), F.concat(title, "counts", F.lit(f"\n\n{tiers}\n")).alias("value"))
     checks = F.col("checks") if "checks" in findings.columns else None
     section = findings.select("repo", "rank", finding_markdown(F.col("finding"), checks).alias("value")).where("value is not null")
     return head.unionByName(section)
