@@ -1010,13 +1010,16 @@ def i1_last_rows(spark, sf):
     first AS (SELECT w.repo, w.fid, min(c.line) AS line FROM w JOIN code_lines c ON c.repo = w.repo AND c.path = w.path AND contains(trim(regexp_replace(c.text, '\\s+', ' ', 'g')), trim(regexp_replace(w.quote, '\\s+', ' ', 'g'))) GROUP BY ALL)
     SELECT repo || '/' || fid AS key, line AS start_line FROM first""")
 def i2_stream_citations(spark, sf):
-    """The log arrives in two parts; answers of the second replace those of the first with the same key. Citations that hold."""
-    log, out = folder(spark, "log"), folder(spark, "cited")
-    a = view(spark, sf, "answers").select(F.concat("repo", F.lit("/"), "fid").alias("key"), F.lit(1).alias("attempt"), "repo", "path", "content", "truncated", "sk")
-    again = a.where("sk % 41 = 0").withColumns({"attempt": F.lit(2), "content": F.lit("{}"), "truncated": F.lit(False)})
-    for part in (a, again):
+    """The log arrives in three parts over a bucketed table of the code: a third of all keys late, others twice, some with older attempts."""
+    log, out, code = folder(spark, "log"), folder(spark, "cited"), folder(spark, "code")
+    answers.write_code(view(spark, sf, "code_lines"), code, 16)
+    a = view(spark, sf, "answers").select(F.concat("repo", F.lit("/"), "fid").alias("key"), F.lit(2).alias("attempt"), "repo", "path", "content", "truncated", "sk")
+    empty = {"content": F.lit("{}"), "truncated": F.lit(False)}
+    again = a.where("sk % 41 = 0").withColumns(empty | {"attempt": F.lit(3)})
+    older = a.where("sk % 3 = 1").withColumns(empty | {"attempt": F.lit(1)})
+    for part in (a.where("sk % 3 <> 0"), again.unionByName(a.where("sk % 3 = 0")), older.unionByName(a.where("sk % 5 = 0 and sk % 41 <> 0"))):
         part.drop("sk").write.mode("append").json(log)
-        answers.stream_citations(spark, log, view(spark, sf, "code_lines"), out, f"{out}-checkpoint").awaitTermination()
+        answers.stream_citations(spark, log, code, out, f"{out}-checkpoint", 16).awaitTermination()
     return answers.read_citations(spark, out).where("passed").select("key", "start_line")
 
 

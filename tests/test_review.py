@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reviewlake.functions import scalars as S
-from reviewlake.operators import citations, defs, findings, hints, intervals, score, select
+from reviewlake.operators import citations, defs, findings, hints, intervals, score, select, train
 from reviewlake.plans import jobs
 from reviewlake.sources import files
 from reviewlake.streaming import answers
@@ -83,7 +83,7 @@ def test_entries_and_peers(spark):
 def test_answers(spark):
     good = '{"findings": [{"title": "t", "summary": "s", "severity": "low", "evidence": []}]}'
     got = [value(spark, S.parse_answer(F.lit(c), F.lit(t))) for c, t in ((good, False), (f"```json\n{good}\n```", False), ("no json", False), (good, True), ('{"findings": null}', False))]
-    assert [(x.error, None if x.findings is None else len(x.findings)) for x in got] == [(None, 1), (None, 1), ("model did not return valid JSON", None), ("output budget exhausted before an answer", None), (None, 0)]
+    assert [(x.error, None if x.findings is None else len(x.findings)) for x in got] == [(None, 1), (None, 1), (S.NOT_JSON, None), (None, 1), (None, 0)]
 
 
 def test_fixes(spark):
@@ -162,7 +162,7 @@ def test_scan(spark, tmp_path):
     assert s.errors == ["a.py: a finding has wrong fields", "b.py: RuntimeError: down"]
     files.write_report(jobs.report_rows(found, cited), str(tmp_path / "report"), "m")
     text = "\n".join(r.value for r in spark.read.text(str(tmp_path / "report")).collect())
-    assert "1 findings reported, 0 rejected" in text and "- wording: fail (could)" in text and "`a.py:1-1` (sink)" in text
+    assert "Reported: 1. Dropped" in text and "- [ ] wording - hedges with could" in text and "`a.py:1` to line 1, sink" in text
     suspected, _, _ = jobs.scan_job(lines, "judge", factory)
     assert [r.tier for r in suspected.collect()] == ["suspected"]
 
@@ -244,7 +244,7 @@ def test_training(spark):
     rows = [("r", "ok", 1, True, {"analysis": ["a", " "], "findings": [finding] * 3}), ("r", "blank", 1, True, {"analysis": ["\t"], "findings": []}), ("r", "leak", 1, True, {"analysis": ["as instructed"]}), ("r", "safe", 1, False, {"analysis": ["a"], "findings": [finding]}), ("r", "other", 1, True, {"analysis": ["a"], "findings": [{**finding, "cwe": "CWE-1"}]}), ("r", "ok", 0, True, {})]
     teacher = spark.createDataFrame([(*r[:4], ["CWE-89"], "p", json.dumps(r[4]), False) for r in rows], "repo string, name string, attempt int, real boolean, classes array<string>, prompt string, content string, truncated boolean")
     records, counts, whole = jobs.build_training(teacher, lines, "sys", "v")
-    assert {r.status: r.n for r in counts.collect()} == {"ok": 2, "no analysis": 1, "mentions the answer key": 1, "no verified finding of the labelled class": 1}
+    assert {r.status: r.n for r in counts.collect()} == {"ok": 2, "analysis missing": 1, "key mentioned": 1, train.NOTHING_KEPT: 1}
     got = {r.name: json.loads(r.record)["messages"] for r in records.collect()}
     target = json.loads(got["ok"][2]["content"])
     assert target["analysis"] == ["a"] and len(target["findings"]) == 2 and target["findings"][0]["evidence"][0]["quote"] == "eval(x)" and "verified" not in target["findings"][0]
