@@ -163,13 +163,19 @@ def parse_answer(content: Column, truncated: Column) -> Column:
 
     An absent or null list of findings is an empty one; of the analysis only texts count.
     """
-    v = F.try_parse_json(extract_json(content))
-    listed = F.when(F.schema_of_variant(v).startswith("OBJECT"), list_field(v, "findings"))
-    error = F.when(listed.isNull(), F.when(F.coalesce(truncated, F.lit(False)), CUT_OFF).otherwise(NOT_JSON))
-    findings = F.when(error.isNull(), F.transform(listed, typed_finding))
-    texts = F.filter(list_field(v, "analysis"), lambda a: F.schema_of_variant(a) == "STRING")
-    analysis = F.transform(texts, lambda a: F.try_variant_get(a, "$", "string"))
-    return F.struct(findings.alias("findings"), analysis.alias("analysis"), error.alias("error"))
+    def typed(v: Column, listed: Column) -> Column:
+        error = F.when(listed.isNull(), F.when(F.coalesce(truncated, F.lit(False)), CUT_OFF).otherwise(NOT_JSON))
+        texts = F.filter(list_field(v, "analysis"), lambda a: F.schema_of_variant(a) == "STRING")
+        analysis = F.transform(texts, lambda a: F.try_variant_get(a, "$", "string"))
+        return F.struct(F.transform(listed, typed_finding).alias("findings"), analysis.alias("analysis"), error.alias("error"))
+
+    lists = lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), list_field(v, "findings"))
+    return bound(F.try_parse_json(extract_json(content)), lambda v: bound(lists(v), lambda listed: typed(v, listed)))
+
+
+def bound(x: Column, f) -> Column:
+    """f of a value that is evaluated once, however often f names it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
 
 
 def valid_finding(f: Column) -> Column:

@@ -42,7 +42,8 @@ def rank_findings(findings: DataFrame) -> DataFrame:
 
 def parsed_answers(answers: DataFrame) -> DataFrame:
     """The columns of answers, findings, analysis, error (null if the answer is JSON)."""
-    return answers.withColumn("parsed", parse_answer(F.col("content"), F.col("truncated"))).select("*", "parsed.*").drop("parsed")
+    # A row of its own for the parsed answer: what follows names its fields without parsing again.
+    return answers.select("*", F.explode(F.array(parse_answer(F.col("content"), F.col("truncated")))).alias("parsed")).select("*", "parsed.*").drop("parsed")
 
 
 def answer_findings(answers: DataFrame) -> DataFrame:

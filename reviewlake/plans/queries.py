@@ -1225,8 +1225,8 @@ def h7_fix_steps(spark, sf):
     return done.unionByName(errors.select("repo", "path", F.lit("").alias("digest"), "id", "step"))
 
 
-TEACHER_SQL = f"""{ANSWERS}, {PARSED_SQL}, last AS (SELECT p.repo || '/' || p.fid AS name, p.*, sk % 41 = 0 AS again, coalesce(t.valid, false) AS valid FROM parsed p LEFT JOIN typed t ON t.repo = p.repo AND t.fid = p.fid AND t.ord = 0),
-    judged AS (SELECT *, CASE WHEN again THEN 'analysis missing' WHEN error IS NOT NULL THEN {quoted(train.INVALID)} WHEN sk % 37 = 0 THEN 'analysis missing' WHEN sk % 31 = 0 THEN 'key mentioned' WHEN pk % 3 = 0 THEN 'ok' WHEN NOT valid OR sk % 7 = 1 OR pk % 5 = 0 THEN {quoted(train.NOTHING_KEPT)} ELSE 'ok' END AS status, pk % 3 <> 0 AS real FROM last)"""
+TEACHER_SQL = f"""{ANSWERS}, {PARSED_SQL}, last AS (SELECT p.repo || '/' || p.fid AS name, p.*, sk % 41 = 0 AS again, coalesce(t.valid, false) AS whole FROM parsed p LEFT JOIN typed t ON t.repo = p.repo AND t.fid = p.fid AND t.ord = 0),
+    judged AS (SELECT *, CASE WHEN again THEN 'analysis missing' WHEN error IS NOT NULL THEN {quoted(train.INVALID)} WHEN sk % 37 = 0 THEN 'analysis missing' WHEN sk % 31 = 0 THEN 'key mentioned' WHEN pk % 3 = 0 THEN 'ok' WHEN NOT whole OR sk % 7 = 1 OR pk % 5 = 0 THEN {quoted(train.NOTHING_KEPT)} ELSE 'ok' END AS status, pk % 3 <> 0 AS real FROM last)"""
 
 
 def teacher(spark, sf):
