@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from reviewlake.functions.scalars import extension, hint_lines
 from reviewlake.operators.ranks import ranked_by_range
@@ -38,6 +43,30 @@ LEXICON = [
     ("container hardening", "CWE-250", r"(?i)(^\s*USER\s+root|privileged\s*:\s*true|--privileged|/var/run/docker\.sock|network_mode\s*:\s*host|:latest\b)"),
     ("request handler", "", r"(@\w*\.?(route|get|post|put|delete|patch)\(|\b(app|router)\.(get|post|put|delete|patch|all)\(|@(Get|Post|Put|Delete|Request)Mapping|\$_(GET|POST|REQUEST|COOKIE)|http\.HandleFunc)"),
 ]
+#: Of each pattern, lower-cased texts of which a line that it hits holds one at least.
+LITERALS = [
+    ["execute", "query", "raw", "prepare"],
+    ["select", "insert", "update", "delete"],
+    ["subprocess.", "popen", "exec", "spawn", "passthru", "system", "getruntime"],
+    ["eval", "exec", "function", "compile"],
+    ["pickle.load", "yaml.load", "unserialize", "objectinputstream", "marshal.load", "node-serialize"],
+    ["open", "send_file", "sendfile", "readfile", "createreadstream", "file_get_contents", "include", "require_once"],
+    ["requests.", "urlopen", "fetch", "axios.", "http.get", "curl_exec"],
+    ["innerhtml", "document.write", "safe", "render_template_string", "markup(", "res.send(", "echo"],
+    ["render_template_string", "template(", "env.from_string"],
+    ["md5", "sha1", "des", "rc4", "ecb"],
+    ["random"],
+    ["secret", "passw", "api", "token", "private"],
+    ["secret", "passw", "api", "token", "private"],
+    ["verify", "algorithm", "jwt.decode("],
+    ["verify", "rejectunauthorized"],
+    ["debug", "origin", "allowed_hosts"],
+    ["etree.", "xmlparser(", "documentbuilderfactory", "libxml_disable_entity_loader", "parsestring"],
+    ["redirect"],
+    ["**request.", "object.assign(", ".update(", "setattr("],
+    ["user", "privileged", "docker.sock", "network_mode", ":latest"],
+    ["route(", "get(", "post(", "put(", "delete(", "patch(", "all(", "mapping", "$_", "http.handlefunc"],
+]
 LONGEST_LINE = 500
 SEPARATORS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
@@ -68,10 +97,51 @@ def relevant_files(files: DataFrame) -> DataFrame:
     return files.where(relevant(F.col("path")))
 
 
+@F.arrow_udf(LongType())
+def candidates(texts: pa.Array) -> pa.Array:
+    """A bit for each pattern of LEXICON that a line may hit, by one automaton over the literals of all of them."""
+    automaton = literal_automaton()
+    masks = []
+    for text in texts.to_pylist():
+        mask = 0
+        for _, bits in automaton.iter(text.lower()) if text else ():
+            mask |= bits
+        masks.append(mask)
+    return pa.array(masks, pa.int64())
+
+
+@lru_cache(maxsize=1)
+def literal_automaton() -> ahocorasick.Automaton:
+    bits: dict[str, int] = {}
+    for i, literals in enumerate(LITERALS):
+        for x in literals:
+            bits[x] = bits.get(x, 0) | 1 << i
+    automaton = ahocorasick.Automaton()
+    for x, b in bits.items():
+        automaton.add_word(x, b)
+    automaton.make_automaton()
+    return automaton
+
+
+def patterns_hit(text: Column, may: Column | None, lexicon=LEXICON) -> Column:
+    """The numbers of the patterns that a text hits; a pattern is tried where its bit of `may` is set (None: everywhere)."""
+    tried = lambda i: F.lit(True) if may is None else may.bitwiseAND(F.lit(1 << i)) != 0
+    return F.array_compact(F.array(*(F.when(tried(i) & text.rlike(rx), F.lit(i)) for i, (_, _, rx) in enumerate(lexicon))))
+
+
+def with_candidates(lines: DataFrame) -> DataFrame:
+    """lines and may: what the literals say of each line that isn't too long."""
+    return lines.withColumn("may", candidates(F.when(F.length("text") <= LONGEST_LINE, F.col("text"))))
+
+
 def match_lexicon(lines: DataFrame, lexicon=LEXICON) -> DataFrame:
     """The columns of lines, ord, class and cwe for each pattern that a line hits; long lines are skipped."""
-    hits = F.array_compact(F.array(*(F.when(F.col("text").rlike(rx), F.struct(F.lit(i).alias("ord"), F.lit(cls).alias("class"), F.lit(cwe).alias("cwe"))) for i, (cls, cwe, rx) in enumerate(lexicon))))
-    return lines.where(F.length("text") <= LONGEST_LINE).select("*", F.explode(hits).alias("hit")).select(*lines.columns, "hit.*")
+    known = lexicon is LEXICON
+    found = patterns_hit(F.col("text"), F.col("may") if known else None, lexicon)
+    kept = lines.where(F.length("text") <= LONGEST_LINE)
+    rows = with_candidates(kept).where("may <> 0") if known else kept
+    facts = F.array(*(F.struct(F.lit(i).alias("ord"), F.lit(cls).alias("class"), F.lit(cwe).alias("cwe")) for i, (cls, cwe, _) in enumerate(lexicon)))
+    return rows.select(*lines.columns, F.explode(found).alias("hit_no")).select(*lines.columns, F.get(facts, F.col("hit_no")).alias("hit")).select(*lines.columns, "hit.*")
 
 
 def pattern_findings(lines: DataFrame) -> DataFrame:
@@ -102,9 +172,9 @@ def lead_hints(lines: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     paths (repo, path): only these files, whatever their kind. The patterns are tried once a line and one grouping by file gathers all.
     """
     lines = lines.where(relevant(F.col("path"))) if paths is None else lines.join(paths.select("repo", "path").distinct(), ["repo", "path"], "left_semi")
-    short = F.length("text") <= LONGEST_LINE
     # A line's hits as numbers of patterns; lines without one add nothing to the group but the file.
-    found = F.array_compact(F.array(*(F.when(short & F.col("text").rlike(rx), F.lit(i)) for i, (_, _, rx) in enumerate(LEXICON))))
+    lines = with_candidates(lines.select("repo", "path", "line", "text"))
+    found = F.when(F.col("may") != 0, patterns_hit(F.col("text"), F.col("may"))).otherwise(F.array().cast("array<int>"))
     each = lines.select("repo", "path", "line", found.alias("found"))
     files = each.groupBy("repo", "path").agg(F.array_sort(F.collect_list(F.when(F.size("found") > 0, F.struct("line", "found")))).alias("rows"))
     hits = F.flatten(F.transform("rows", lambda r: F.transform(r["found"], lambda i: F.struct(r["line"].alias("line"), i.alias("ord")))))

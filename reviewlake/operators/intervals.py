@@ -1,7 +1,8 @@
 """Interval matches under an equality on the file: scanner agreement, truth regions, changed lines.
 
-Spans are dealt to buckets of 64 lines, a citation widened by the slack meets each bucket it touches, so a file with very
-many spans is an equality join on (file, bucket), not all pairs of its spans.
+Two spans touch if the first line of one lies in the other. A span of n lines is the union of about 2 log2(n) dyadic blocks (2^level
+lines from a multiple of 2^level on), and a line lies in one block of each level; so "a line lies in a span" is an equality on
+(file, level, block), met once for a pair. A span over a whole file makes a few rows, not one for each stretch of lines.
 """
 
 from __future__ import annotations
@@ -10,29 +11,67 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewlake.operators.matching import anchor_counts, asked_of_files
+from reviewlake.sources.storage import stored
 
-BUCKET = 64
+def block_of(level: int):
+    return lambda x: F.struct(F.lit(level).alias("level"), x.cast("long").alias("block"))
 
 
-def buckets(start: Column, end: Column) -> Column:
-    lo, hi = F.floor(start / BUCKET), F.floor(end / BUCKET)
-    return F.sequence(lo, F.greatest(lo, hi))
+def blocks_of(start: Column, end: Column, levels: int) -> Column:
+    """array<struct<level, block>>: the dyadic blocks of levels 0 to `levels` that make up start to end; disjoint."""
+    parts = []
+    for level in range(levels + 1):
+        lo, hi = F.shiftright(start + ((1 << level) - 1), level), F.shiftright(end + 1, level) - 1
+        block = block_of(level)
+        if level == levels:  # no span is longer than twice these
+            parts.append(F.when(lo <= hi, F.transform(F.sequence(lo, F.greatest(lo, hi)), block)))
+        else:
+            odd, even = F.when((lo <= hi) & (lo % 2 != 0), block(lo)), F.when((lo <= hi) & (hi % 2 == 0), block(hi))
+            parts.append(F.array_compact(F.array(odd, even)))
+    none = F.array().cast("array<struct<level:int,block:bigint>>")
+    return F.flatten(F.array(*(F.coalesce(p, none) for p in parts)))
+
+
+def blocks_around(line: Column, levels: int) -> Column:
+    """array<struct<level, block>>: the block of each level that a line lies in."""
+    return F.array(*(F.struct(F.lit(k).alias("level"), F.shiftright(line, k).cast("long").alias("block")) for k in range(levels + 1)))
+
+
+def level_of(*spans: DataFrame) -> int:
+    """The largest level that spans (a, z: first and last line) need: that of the longest one, 19 for a whole file at the reader's limit."""
+    longest = [r[0] for s in spans if (r := s.agg(F.max(F.col("z") - F.col("a") + 1)).first()) and r[0]]
+    return max(longest, default=1).bit_length() - 1
 
 
 def touching(cited: DataFrame, spans: DataFrame, on: list[str], slack: int = 0) -> DataFrame:
-    """Rows of cited joined with every span (columns s_*) that they touch, within slack lines."""
-    b = spans.select(*on, *(F.col(c).alias(f"s_{c}") for c in spans.columns if c not in on))
-    b = b.withColumn("bucket", F.explode(buckets(F.col("s_start_line"), F.col("s_end_line"))))
-    a = cited.withColumn("bucket", F.explode(buckets(F.col("start_line") - slack, F.col("end_line") + slack)))
-    near = (F.col("start_line") - slack <= F.col("s_end_line")) & (F.col("end_line") + slack >= F.col("s_start_line"))
-    first = F.floor(F.greatest(F.col("start_line") - slack, F.col("s_start_line")) / BUCKET)  # the one bucket in which a pair counts
-    return a.join(b, [*on, "bucket"]).where(near & (F.col("bucket") == first)).drop("bucket")
+    """Rows of cited joined with every span (columns s_*) that they touch, within slack lines; a pair once. cited is read twice, spans are written once."""
+    span_rows = spans.select(*on, *(F.col(c).alias(f"s_{c}") for c in spans.columns if c not in on))
+    b = stored(span_rows.where("s_end_line >= s_start_line").withColumns({"b_a": F.col("s_start_line").cast("long"), "b_z": F.col("s_end_line").cast("long")}), "spans")
+    a = cited.withColumns({"a_a": F.col("start_line").cast("long") - slack, "a_z": F.col("end_line").cast("long") + slack}).where("a_z >= a_a")
+    levels = level_of(a.select(F.col("a_a").alias("a"), F.col("a_z").alias("z")), b.select(F.col("b_a").alias("a"), F.col("b_z").alias("z")))
+    # Kind 0: the first cited line lies in the span. Kind 1: the span's first line lies in the other cited lines.
+    met = met_in(a, blocks_around(F.col("a_a"), levels), blocks_of(F.col("a_a") + 1, F.col("a_z"), levels))
+    held = met_in(b, blocks_of(F.col("b_a"), F.col("b_z"), levels), blocks_around(F.col("b_a"), levels))
+    return met.join(held, [*on, "at"]).drop("at", "b_a", "b_z", "a_a", "a_z")
+
+
+def met_in(rows: DataFrame, zero: Column, one: Column) -> DataFrame:
+    """A row for each block, in column `at`, with the kind of the match that it stands for."""
+    of = lambda blocks, kind: F.transform(blocks, lambda b: F.struct(F.lit(kind).alias("kind"), b["level"].alias("level"), b["block"].alias("block")))
+    return rows.withColumn("at", F.explode(F.concat(of(zero, 0), of(one, 1))))
 
 
 def scanner_agreement(evidence: DataFrame, scanner: DataFrame, slack: int = 3) -> DataFrame:
-    """repo, fid of findings with a citation within slack lines of a scanner's."""
-    spans = scanner.select("repo", "path", "start_line", "end_line").distinct()
-    return touching(evidence.select("repo", "fid", "path", "start_line", "end_line"), spans, ["repo", "path"], slack).select("repo", "fid").distinct()
+    """repo, fid of findings with a citation within slack lines of a scanner's.
+
+    Whether there is one is a semi-join with the distinct blocks of the scanner's spans and of their first lines, so no pairs are made.
+    """
+    a = evidence.select("repo", "fid", "path", (F.col("start_line").cast("long") - slack).alias("a"), (F.col("end_line").cast("long") + slack).alias("z")).where("z >= a")
+    b = scanner.select("repo", "path", F.col("start_line").cast("long").alias("a"), F.col("end_line").cast("long").alias("z")).where("z >= a")
+    levels, line = level_of(a, b), F.col("a")
+    asked = met_in(a, blocks_around(line, levels), blocks_of(line + 1, F.col("z"), levels)).select("repo", "fid", "path", "at")
+    held = met_in(b, blocks_of(line, F.col("z"), levels), blocks_around(line, levels)).select("repo", "path", "at").distinct()
+    return asked.join(held, ["repo", "path", "at"], "left_semi").select("repo", "fid").distinct()
 
 
 def assign_tiers(findings: DataFrame, evidence: DataFrame, scanner: DataFrame | None) -> DataFrame:

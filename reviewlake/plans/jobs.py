@@ -240,7 +240,7 @@ def eval_seeded(
         lines = stored(hints.file_lines(plant_note(files, truth, note)), "planted")
 
     def side(tree, patched):
-        found, evidence = review(tree)
+        found, evidence = (stored(df, name) for df, name in zip(review(tree), ("found", "evidence"), strict=True))
         return intervals.match_truth(evidence, found, intervals.truth_regions(truth, tree, patched))
 
     before, after = stored(side(lines, False), "before"), stored(side(twin, True), "after")

@@ -314,3 +314,61 @@ def test_stream_is_a_compacted_table(spark, tmp_path):
     batch = spark.createDataFrame([("k", 1, "r", "a.py", json.dumps({"findings": [{"title": "t", "summary": "s", "evidence": [{"path": "a.py", "start_line": 1, "end_line": 1, "quote": "one()"}]}]}), False)], answers.ANSWER)
     assert {r.path for r in answers.code_of(code, batch, 4).select("path").distinct().collect()} == {"a.py"}  # b.py lies in another bucket
     assert answers.read_citations(spark, str(tmp_path / "nothing")).collect() == []
+
+
+# Intervals
+
+
+def spans_of(chance, n, longest):
+    out = []
+    for k in range(n):
+        a = chance.randint(1, 300)
+        out.append((f"f{k % 3}", str(k), a, a + chance.randint(0, chance.choice([0, 3, 40, longest]))))
+    return out
+
+
+@pytest.mark.parametrize("slack", [0, 3])
+def test_touching_spans_are_those_of_brute_force(spark, slack):
+    """Short spans and spans of 400,000 lines; each pair once, and existence alike."""
+    chance = random.Random(slack)
+    one, two = spans_of(chance, 60, 400_000), spans_of(chance, 50, 400_000)
+    cited = spark.createDataFrame([("r", p, i, a, z) for p, i, a, z in one], "repo string, path string, fid string, start_line int, end_line int")
+    spans = spark.createDataFrame([("r", p, i, a, z) for p, i, a, z in two], "repo string, path string, id string, start_line int, end_line int")
+    want = sorted((i, j) for p, i, a, z in one for q, j, b, y in two if p == q and a - slack <= y and z + slack >= b)
+    assert sorted((r.fid, r.s_id) for r in intervals.touching(cited, spans, ["repo", "path"], slack).collect()) == want
+    assert {r.fid for r in intervals.scanner_agreement(cited, spans, slack).collect()} == {i for i, _ in want}
+    assert intervals.touching(cited, spans.limit(0), ["repo", "path"]).collect() == []
+
+
+def test_a_long_span_makes_few_rows(spark):
+    blocks = [tuple(b) for b in value(spark, intervals.blocks_of(F.lit(3), F.lit(400_000), 18))]
+    assert len(blocks) <= 40 and sum(1 << level for level, _ in blocks) == 399_998
+    assert sorted(n for level, k in blocks for n in (k << level, ((k + 1) << level) - 1))[0] == 3
+
+
+# First hits
+
+
+def test_literals_never_miss_a_hit(spark):
+    """Each alternative of each pattern in a line of its own: what a pattern hits, its literals let through."""
+    from reviewlake.operators import hints
+
+    words = "execute query raw prepare SELECT INSERT UPDATE DELETE os.system subprocess.run popen exec execSync spawn shell_exec passthru system Runtime.getRuntime eval Function compile open send_file sendFile readFileSync createReadStream file_get_contents include require_once requests.get requests.post urlopen fetch axios.post http.get curl_exec render_template_string Markup res.send redirect sendRedirect res.redirect Object.assign setattr jwt.decode Math.random random.random random.randint random.choice XMLParser parseString etree.parse etree.fromstring".split()
+    others = ["pickle.loads", "yaml.load", "unserialize", "ObjectInputStream", "marshal.load", "node-serialize", "innerHTML", "dangerouslySetInnerHTML", "document.write", "x | safe", "echo $_GET", "Template(request)", "env.from_string", "md5", "sha1", "DES", "RC4", "ECB", "DocumentBuilderFactory", "libxml_disable_entity_loader"]
+    others += ["secret = 'abcdefgh'", "PassWd: \"abcdefgh\"", "password=abcdefgh", "api-key = 'abcdefg'", "API_KEY=abcdefgh", "private-key: 'abcdefg'", "my_token = abcdefgh", "verify = False", "verify_signature x false", "algorithms: none", "algorithm = NONE", "rejectUnauthorized : false", "InsecureSkipVerify: true", "DEBUG = True", "Access-Control-Allow-Origin: *", "origins = '*'", "ALLOWED_HOSTS = ['*']"]
+    others += ["**request.json", "x.update( req.body)", "USER root", "privileged: true", "--privileged", "/var/run/docker.sock", "network_mode: host", "image:latest", "@app.route(", "@get(", "router.all(", "@PostMapping", "@RequestMapping", "$_COOKIE", "http.HandleFunc"]
+    texts = [f"{w}(request.args + url % \"' + \" params f' .format( req.body $_x" for w in words] + others + [t.upper() for t in others] + ["", "x" * 501]
+    lines = spark.createDataFrame([("r", "a.py", n, t) for n, t in enumerate(texts)], LINES)
+    plain = {(r.line, r.ord) for r in hints.match_lexicon(lines, list(hints.LEXICON)).collect()}
+    assert {(r.line, r.ord) for r in hints.match_lexicon(lines).collect()} == plain
+    assert {o for _, o in plain} == set(range(len(hints.LEXICON)))
+
+
+def test_filter_of_names_loses_none(spark):
+    from reviewlake.operators import defs
+
+    rows = spark.createDataFrame([("r", f"n{k}", k) for k in range(2_000)], "repo string, name string, line int")
+    wanted = rows.where("line % 50 = 0").select("repo", "name")
+    kept = {r.line for r in defs.may_hold(rows, ["repo", "name"], wanted).collect()}
+    assert set(range(0, 2_000, 50)) <= kept and len(kept) < 60
+    assert defs.may_hold(rows, ["repo", "name"], wanted.limit(0)).collect() == []
