@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,6 +143,13 @@ def answered(answers: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame
     return found, checked, stats
 
 
+def scan_parts(lines: DataFrame, client_factory: Callable[[], Callable[[str], str | Reply]], log: str | None = None, **prompts) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What `answered` says of a client's answers to the prompts of all leads."""
+    asked = build_prompts(lines, **prompts)
+    said = review_prompts(asked, client_factory) if log is None else calls.logged_answers(asked, client_factory, log)
+    return answered(stored(said, "answers"), lines)  # written out: an answer is paid for once
+
+
 def scan_job(
     lines: DataFrame,
     mode: str = "judge",
@@ -164,10 +172,7 @@ def scan_job(
     nothing = [no.alias("error"), *(F.lit(0).alias(c) for c in ("discarded", "prompt_tokens", "completion_tokens", "n_findings")), F.lit(0.0).alias("seconds")]
     ran = scanner is not None and mode == "judge"
     if mode == "judge":
-        from_leads = build_prompts(lines, paths=paths, limit=limit, **prompts)
-        # Written out: an answer is paid for once.
-        said = review_prompts(from_leads, client_factory) if log is None else calls.logged_answers(from_leads, client_factory, log)
-        found, cited, reviews = answered(stored(said, "answers"), lines)
+        found, cited, reviews = scan_parts(lines, client_factory, log, paths=paths, limit=limit, **prompts)
         order = ["lead_rank", "part", "ord"]
     elif mode == "patterns":
         leads = hints.rank_leads(hints.lead_hints(lines, paths), limit)
@@ -326,12 +331,20 @@ def summarise_runs(runs: DataFrame, groups: DataFrame | None = None) -> tuple[Da
     return summary.metric_summary(of(summary.run_metrics(runs, groups))), summary.item_stability(of(summary.run_items(runs)))
 
 
-def signal_job(found: DataFrame, evidence: DataFrame, scanner: DataFrame, regions: DataFrame) -> DataFrame:
-    """How much each sign of a sound finding tells: precision with and without it, and the share of true findings kept."""
-    signals = ["scanner agrees", "no hedging words", "cites both ends", "severity high or critical"]
+#: Signs of a sound finding, in the order of a side's columns.
+SIGNALS = ["scanner agrees", "no hedging words", "cites both ends", "severity high or critical"]
+
+
+def signal_rows(found: DataFrame, evidence: DataFrame, scanner: DataFrame, regions: DataFrame) -> DataFrame:
+    """is_true and the signs of each finding of one tree; in a patched tree no weakness is live, so nothing is true."""
     true = intervals.match_truth(evidence, found, regions).select("repo", "fid", F.coalesce(F.col("kind") == intervals.LIVE, F.lit(False)).alias("is_true"))
     agreed = intervals.scanner_agreement(evidence, scanner).withColumn("agrees", F.lit(True))
     rows = findings.wording(found).join(true, ["repo", "fid"]).join(agreed, ["repo", "fid"], "left").join(findings.dataflow(evidence), ["repo", "fid"], "left")
     no = F.lit(False)
     values = [F.coalesce("agrees", no), ~F.col("hedged"), F.coalesce("both_ends", no), F.col("severity").isin("high", "critical")]
-    return summary.signal_precision(rows.select("is_true", *(v.alias(s) for v, s in zip(values, signals, strict=True))), signals)
+    return rows.select("is_true", *(v.alias(s) for v, s in zip(values, SIGNALS, strict=True)))
+
+
+def signal_job(*sides: tuple[DataFrame, DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """How much each sign of a sound finding tells over all sides (found, evidence, scanner, regions), as a tree and its patched twin."""
+    return summary.signal_precision(reduce(DataFrame.unionByName, (signal_rows(*side) for side in sides)), SIGNALS)

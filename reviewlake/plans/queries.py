@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from reviewlake.functions import scalars as S
 from reviewlake.operators import citations, defs, findings, hints, intervals, score, select, summary, train
-from reviewlake.plans import jobs
+from reviewlake.plans import evaluations, jobs
 from reviewlake.sources.storage import shared_dir
 from reviewlake.plans.views import load, quoted, view, with_views
 from reviewlake.sources import files
@@ -1331,6 +1331,80 @@ def k11_item_stability(spark, sf):
     return m.select(F.get_json_object("config", "$.model").alias("model"), "item", "runs", "found", "correct")
 
 
-@query(SIGNALS_SQL)
+@query(SIGNALS_SQL.replace("signals AS (SELECT", "first_side AS (SELECT f.sk, ", 1).replace("JOIN flow USING (repo, fid))", "JOIN flow USING (repo, fid)), signals AS (SELECT is_true, s0, s1, s2, s3 FROM first_side UNION ALL SELECT false, s0, s1, s2, s3 FROM first_side WHERE sk % 5 = 0)", 1))
 def k12_signal_job(spark, sf):
-    return jobs.signal_job(judged_findings(spark, sf).where("tier <> 'rejected'"), view(spark, sf, "evidence"), view(spark, sf, "scanner"), regions(spark, sf))
+    """The tree, and its twin, in which a fifth of the findings are still made and none is true."""
+    f, ev, scanner = judged_findings(spark, sf).where("tier <> 'rejected'"), view(spark, sf, "evidence"), view(spark, sf, "scanner")
+    twin = intervals.truth_regions(truth(spark, sf).withColumn("patched_anchor", F.col("anchor")), view(spark, sf, "code_lines"), True)
+    return jobs.signal_job((f, ev, scanner, regions(spark, sf)), (f.where("sk % 5 = 0"), ev, scanner, twin))
+
+
+# Jobs from sources to results, on a labelled case for each file of the code under svc1 and svc2; the rest are helpers.
+
+CASE_ROWS_SQL = rf"""k AS (SELECT repo, path, min(regexp_extract(path, '/f(\d+)\.', 1)::INT) AS n, bool_or(t = 24) AS evals FROM code_lines GROUP BY ALL),
+    cases AS (SELECT *, repo || ':' || path AS name, n % 14 AS cat, n % 3 > 0 AS real FROM k WHERE split_part(path, '/', 1) IN ('svc1', 'svc2'))"""
+
+
+def case_rows(spark, sf):
+    files = view(spark, sf, "code_lines").select("repo", "path").distinct().where("split(path, '/')[0] in ('svc1', 'svc2')")
+    n = F.regexp_extract("path", r"/f(\d+)\.", 1).cast("int")
+    category = F.element_at(F.array(*map(F.lit, CATEGORIES)), n % 14 + 1)
+    classes = F.when(n % 2 == 0, F.array(F.lit("CWE-94"), F.lit("CWE-1"))).otherwise(F.array(F.lit("CWE-2")))
+    return files.withColumns({"name": F.concat_ws(":", "repo", "path"), "category": category, "real": n % 3 > 0, "cwe": n % 900, "classes": classes})
+
+
+def folded_cases(lines):
+    """Case files in a folder of their own, helpers in another."""
+    return lines.withColumn("path", F.when(F.substring_index("path", "/", 1).isin("svc1", "svc2"), F.concat(F.lit("testcode/"), "path")).otherwise(F.concat(F.lit("helpers/"), "path")))
+
+
+def scripted_teacher():
+    """A teacher that reports each line that evaluates text, and is silent on a prompt that shows none."""
+
+    def client(prompt):
+        path, found = prompt.split("`")[1], []
+        for row in prompt.split("<repo_data>")[1].split("\n"):
+            number, _, text = row.partition("| ")
+            if "eval(" in text:
+                found.append({"title": "evaluates text", "cwe": 94, "summary": "s", "evidence": [{"path": path, "start_line": number, "end_line": int(number), "quote": row, "role": "sink"}]})
+        return json.dumps({"analysis": ["the file is read"], "findings": found})
+
+    return client
+
+
+@query(f"""{CODE}, {CASE_ROWS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY cat, real ORDER BY md5('7' || name), name) AS k, least(3, count(*) OVER (PARTITION BY cat, real) // 3) AS held FROM cases),
+    judged AS (SELECT repo, name, CASE WHEN NOT real OR (evals AND n % 2 = 0) THEN 'ok' ELSE {quoted(train.NOTHING_KEPT)} END AS status FROM r WHERE k > held AND k <= held + 6), ok AS (SELECT *, row_number() OVER (ORDER BY md5('7' || name), name) <= greatest(1, count(*) OVER () // 10) AS first FROM judged WHERE status = 'ok')
+    SELECT status, count(*) AS n, (SELECT count(*) FILTER (WHERE first) FROM ok) AS valid, (SELECT count(*) FROM ok) AS records FROM judged GROUP BY status""")
+def k9_training_job(spark, sf):
+    """From the key and the sources to the records: split, neutral tree, prompts with labels, logged answers, filter, sides."""
+    lines = folded_cases(view(spark, sf, "code_lines").select("repo", "path", "line", "text"))
+    cases = case_rows(spark, sf).withColumn("path", F.concat(F.lit("testcode/"), "path"))
+    records, counts, _ = evaluations.training_job(lines, cases, scripted_teacher, folder(spark, "answers"), "Review.", "7", 6, 3)
+    side = records.agg(F.count_if(F.col("side") == "valid").alias("valid"), F.count("*").alias("records"))
+    return counts.select("status", "n").join(F.broadcast(side))  # one row
+
+
+@query(f"""{CODE}, {CASE_ROWS_SQL}, f AS (SELECT cat, real, evals AND n % 2 = 0 AS flagged FROM cases WHERE n % 5 <> 0), {{n}} SELECT * FROM n""".replace("{n}", "n AS (SELECT cat, count(*) FILTER (WHERE real) AS n_real, count(*) FILTER (WHERE NOT real) AS n_fake, count(*) FILTER (WHERE real AND flagged) AS tp, count(*) FILTER (WHERE NOT real AND flagged) AS fp FROM f GROUP BY ROLLUP (cat))"))
+def k8_cases_job(spark, sf):
+    """The held-out cases reviewed in their neutral tree, and scored."""
+    lines = folded_cases(view(spark, sf, "code_lines").select("repo", "path", "line", "text"))
+    cases = case_rows(spark, sf).withColumn("path", F.concat(F.lit("testcode/"), "path"))
+    names = cases.where(F.regexp_extract("path", r"/f(\d+)\.", 1).cast("int") % 5 != 0).select("name")
+    rates = evaluations.cases_job(lines, cases, scripted_teacher, names)
+    number = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category")) - 1
+    return rates.select(number.alias("cat"), "n_real", "n_fake", "tp", "fp")
+
+
+@query(f"""{with_views('code_lines', 'items', 'changes')}, fixed_lines AS (SELECT * REPLACE (CASE WHEN t IN (24, 4) AND sk % 2 = 0 THEN 'safe()' ELSE text END AS text) FROM code_lines), {lexicon_sql('code_lines')}, {lexicon_sql('fixed_lines').replace('hits AS', 'hits_fixed AS', 1)},
+    v AS (SELECT DISTINCT i.id, h.repo, h.path, line, cwe, cwe IN ('CWE-89', 'CWE-22', 'CWE-94') AS own FROM hits h JOIN items i ON i.repo = h.repo AND i.path = h.path WHERE class <> 'request handler'),
+    w AS (SELECT DISTINCT i.id, line, cwe, cwe IN ('CWE-89', 'CWE-22', 'CWE-94') AS own FROM hits_fixed h JOIN items i ON i.repo = h.repo AND i.path = h.path WHERE class <> 'request handler'),
+    near AS (SELECT DISTINCT v.id FROM v JOIN changes c ON c.item = v.id AND c.path = v.path AND v.line - 3 <= c.end_line AND v.line + 3 >= c.start_line WHERE own),
+    s AS (SELECT i.id, EXISTS (SELECT 1 FROM v WHERE v.id = i.id AND own) AS d, EXISTS (SELECT 1 FROM w WHERE w.id = i.id AND own) AS f, (SELECT count(*) FROM v WHERE v.id = i.id AND NOT own) AS ov, (SELECT count(*) FROM w WHERE w.id = i.id AND NOT own) AS ow FROM items i)
+    SELECT 2 AS runs, count(*) FILTER (WHERE d)::DOUBLE AS detected, (SELECT count(*) FROM near)::DOUBLE AS detected_at_change, count(*) FILTER (WHERE f)::DOUBLE AS fixed_flagged, count(*) FILTER (WHERE d AND NOT f) / count(*) AS pair_accuracy, sum(ov)::DOUBLE AS other_findings_vulnerable, sum(ow)::DOUBLE AS other_findings_fixed FROM s""")
+def k7_real_job(spark, sf):
+    """Both sides of the fixes reviewed by patterns, in two runs; the means."""
+    lines = view(spark, sf, "code_lines")
+    fixed = lines.withColumn("text", F.when(F.col("t").isin(24, 4) & (F.col("sk") % 2 == 0), "safe()").otherwise(F.col("text")))
+    plain = lambda df: df.select("repo", "path", "line", "text")
+    runs = [(seed, findings.pattern_review) for seed in (7, 8)]
+    return evaluations.real_job(plain(lines), plain(fixed), real_items(spark, sf), all_changes(spark, sf), runs)[1].drop("pair_accuracy_per_run")
