@@ -86,9 +86,9 @@ def peer_protections(entries: DataFrame, lines: DataFrame) -> DataFrame:
     return peers.groupBy("repo", "path").agg(F.concat(F.lit("Elsewhere "), F.max("peers").cast("string"), F.lit(" entry points of this kind use:\n"), in_order(row)).alias("theirs"))
 
 
-def render_map(lines: DataFrame, most: int = 20) -> DataFrame:
-    """repo, path, map: own entry points, protections of peers, definitions of called names."""
-    entries = defs.entry_points(lines)
+def render_map(lines: DataFrame, most: int = 20, entries: DataFrame | None = None) -> DataFrame:
+    """repo, path, map: own entry points, protections of peers, definitions of called names. entries: those of the lines, if they are known."""
+    entries = defs.entry_points(lines) if entries is None else entries
     called = block_texts(defs.with_bodies(defs.called_definitions(lines), lines)).select("repo", "path", F.concat(F.lit("Functions that it calls, defined elsewhere:\n"), "blocks").alias("called"))
     files = lines.select("repo", "path").distinct().where(language_family(F.col("path")).isNotNull())
     key = ["repo", "path"]

@@ -1137,10 +1137,52 @@ def k2_prompt_heads(spark, sf):
     return p.select("repo", "path", "part", "first", "last", F.substring_index("prompt", "\n\n", 1).alias("head"))
 
 
-@query()
+#: The map of a file, over code with names told apart; protections are listed in the order of their names.
+MAP_SQL = rf"""{CALLS_SQL}, {JS_SQL}, {PYTHON_SQL.removeprefix(GUARDS_SQL + ", ")}, {IMPORTS_SQL}, {DEFS_SQL},
+    php AS (SELECT repo, path, min(line) AS line FROM code_lines WHERE {FAMILY_SQL} = 'php' AND regexp_matches(text, '\$_(GET|POST|REQUEST|COOKIE|FILES)\b') GROUP BY ALL),
+    entry_guards AS (SELECT repo, path, start AS line, guard FROM js_guards UNION SELECT repo, path, line, guard FROM used UNION SELECT p.repo, p.path, p.line, g.guard FROM php p JOIN guards g USING (repo, path)),
+    entry_rows AS (SELECT repo, path, line, 'handler' AS name, route FROM js_entries UNION ALL SELECT repo, path, line, name, route FROM ends UNION ALL SELECT repo, path, line, 'file', 'reads request input' FROM php),
+    listed AS (SELECT e.*, {FAMILY_SQL} AS family, coalesce((SELECT string_agg(guard, ', ' ORDER BY guard) FROM entry_guards g WHERE g.repo = e.repo AND g.path = e.path AND g.line = e.line), 'none found') AS shown FROM entry_rows e),
+    mine AS (SELECT repo, path, 'Entry points here:' || chr(10) || string_agg('- line ' || line || ': ' || route || ' (' || name || '), protected by: ' || shown, chr(10) ORDER BY line) AS t FROM (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY line) AS k FROM listed) x WHERE k <= 20 GROUP BY ALL),
+    all_files AS (SELECT DISTINCT repo, path, {FAMILY_SQL} AS family FROM code_lines WHERE {FAMILY_SQL} IS NOT NULL),
+    peer_count AS (SELECT f.repo, f.path, f.family, count(*) AS peers FROM all_files f JOIN listed e ON e.repo = f.repo AND e.family = f.family AND e.path <> f.path GROUP BY ALL HAVING count(*) >= 2),
+    peer_used AS (SELECT f.repo, f.path, f.family, f.peers, g.guard, count(*) AS uses, count(DISTINCT g.path) AS n_files FROM peer_count f JOIN (SELECT *, {FAMILY_SQL} AS family FROM entry_guards) g ON g.repo = f.repo AND g.family = f.family AND g.path <> f.path GROUP BY ALL),
+    once_at AS (SELECT repo, family, name, min(path || ':' || line) AS seen_at FROM defs GROUP BY ALL HAVING count(*) = 1),
+    theirs AS (SELECT repo, path, 'Elsewhere ' || any_value(peers) || ' entry points of this kind use:' || chr(10) || string_agg('- ' || guard || ': ' || uses || ' uses in ' || n_files || ' files' || coalesce('; see ' || seen_at, ''), chr(10) ORDER BY uses DESC, guard) AS t
+        FROM (SELECT u.*, o.seen_at, row_number() OVER (PARTITION BY u.repo, u.path ORDER BY uses DESC, guard) AS k FROM peer_used u LEFT JOIN once_at o ON o.repo = u.repo AND o.family = u.family AND o.name = split_part(regexp_replace(u.guard, '[()]+$', ''), '.', -1)) x WHERE k <= 10 GROUP BY repo, path),
+    once_def AS (SELECT repo, family, name, min(path) AS "where", min(line) AS "at" FROM defs GROUP BY ALL HAVING count(*) = 1),
+    called_defs AS (SELECT repo, path, name, ord, "where", "at" FROM (SELECT c.repo, c.path, c.name, o."where", o."at", row_number() OVER (PARTITION BY c.repo, c.path ORDER BY NOT regexp_matches(c.name, {quoted(defs.GUARD_WORD)}), c.first) AS ord FROM (SELECT *, {FAMILY_SQL} AS family FROM called) c
+        JOIN once_def o ON c.repo = o.repo AND c.family = o.family AND c.name = o.name AND o."where" <> c.path ANTI JOIN imported i ON i.repo = c.repo AND i.path = c.path AND i.name = c.name) x WHERE ord <= 6),
+    file_size AS (SELECT repo, path, max(line) AS n FROM code_lines GROUP BY ALL),
+    called_bodies AS (SELECT h.repo, h.path, h.name, h.ord, h."where", string_agg(lpad(c.line::VARCHAR, length(least(h."at" + 23, s.n)::VARCHAR)::INT, ' ') || '| ' || c.text, chr(10) ORDER BY c.line) AS body
+        FROM called_defs h JOIN code_lines c ON c.repo = h.repo AND c.path = h."where" AND c.line BETWEEN h."at" AND h."at" + 23 JOIN file_size s ON s.repo = h.repo AND s.path = h."where" GROUP BY h.repo, h.path, h.name, h.ord, h."where", h."at"),
+    called_text AS (SELECT repo, path, 'Functions that it calls, defined elsewhere:' || chr(10) || string_agg('--- ' || name || ' in ' || "where" || ' ---' || chr(10) || body, chr(10) || chr(10) ORDER BY ord) AS t FROM called_bodies GROUP BY ALL),
+    maps AS (SELECT repo, path, 'Map of the repository, made by pattern matching. Use it to compare; cite `' || path || '` alone. A missing protection counts only where this entry point needs it.' || chr(10) || '<repo_data>' || chr(10) || body || chr(10) || '</repo_data>' AS map
+        FROM (SELECT f.repo, f.path, concat_ws(chr(10) || chr(10), m.t, p.t, c.t) AS body FROM all_files f LEFT JOIN mine m USING (repo, path) LEFT JOIN theirs p USING (repo, path) LEFT JOIN called_text c USING (repo, path)) x WHERE body <> '')"""
+
+
+def named_map(spark, sf):
+    lines = called_code(spark, sf)
+    return jobs.render_map(lines, entries=defs.entry_points(lines).withColumn("guards", F.array_sort("guards")))
+
+
+@query(f"{NAMED}, {MAP_SQL} SELECT repo, path, map FROM maps")
+def k3_render_map(spark, sf):
+    return named_map(spark, sf)
+
+
+HELPER_BLOCKS = HELPERS_SQL.removeprefix(f"{CODE}, {IMPORTS_SQL}, ") + """, helper_bodies AS (SELECT h.repo, h.path, h.name, h.ord, h."where", string_agg(lpad(c.line::VARCHAR, length(least(h."at" + 23, s.n)::VARCHAR)::INT, ' ') || '| ' || c.text, chr(10) ORDER BY c.line) AS body
+        FROM helpers h JOIN code_lines c ON c.repo = h.repo AND c.path = h."where" AND c.line BETWEEN h."at" AND h."at" + 23 JOIN file_size s ON s.repo = h.repo AND s.path = h."where" WHERE h.ord <= 6 GROUP BY h.repo, h.path, h.name, h.ord, h."where", h."at"),
+    helper_text AS (SELECT repo, path, string_agg('--- ' || name || ' in ' || "where" || ' ---' || chr(10) || body, chr(10) || chr(10) ORDER BY ord) AS t FROM helper_bodies GROUP BY ALL)"""
+
+
+@query(f"""{PROMPT_SQL.replace(CODE, NAMED, 1)}, {MAP_SQL}, {HELPER_BLOCKS} SELECT p.repo, p.path, r.rank AS lead_rank, p.part, p.first, p.last, concat_ws(chr(10) || chr(10), 'File under review: `' || p.path || '`.' || CASE WHEN n <= 20 THEN '' ELSE ' Lines ' || p.first || '-' || p.last || ' of ' || n || '; the other lines have prompts of their own.' END,
+    'Lines that match known patterns (hints only; check them, and look beyond them):' || chr(10) || x.t, '<repo_data>' || chr(10) || '--- ' || p.path || ' ---' || chr(10) || c.t || chr(10) || '</repo_data>',
+    'Helpers that it imports, as background (cite `' || p.path || '` only):' || chr(10) || '<repo_data>' || chr(10) || h.t || chr(10) || '</repo_data>', m.map, {quoted(jobs.WALKTHROUGH)}) AS prompt
+    FROM parts p JOIN code c USING (repo, path, part) JOIN (SELECT repo, path, {LEAD_RANK}::INT AS rank FROM leads) r USING (repo, path) LEFT JOIN pointers x USING (repo, path, part) LEFT JOIN helper_text h USING (repo, path) LEFT JOIN maps m USING (repo, path)""")
 def k2_prompts_with_context(spark, sf):
-    lines = view(spark, sf, "code_lines")
-    return jobs.build_prompts(lines, "walkthrough", True, jobs.render_map(lines), 20, 4)
+    """Prompts with everything: hints, stripped comments, helpers and the map."""
+    return jobs.build_prompts(called_code(spark, sf), "walkthrough", True, named_map(spark, sf), 20, 4)
 
 
 @query(f"""{CODE}, {CALLS_SQL}, {JS_SQL}, e AS (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY line) AS ord FROM js_entries)
@@ -1150,11 +1192,6 @@ def k3_own_entries(spark, sf):
     return jobs.own_entries(entries.withColumn("guards", F.array_sort("guards")))
 
 
-@query()
-def k3_render_map(spark, sf):
-    return jobs.render_map(view(spark, sf, "code_lines"))
-
-
 @query(f"""{PROMPT_SQL}, said AS (SELECT repo, path, part, len(regexp_extract_all(t, 'eval\\(expr\\)')) AS n FROM code)
     SELECT repo, path, part, CASE WHEN n < 2 THEN n::VARCHAR END AS content, CASE WHEN n >= 2 THEN 'ValueError: too much' END AS error FROM said""")
 def j1_review_prompts(spark, sf):
