@@ -15,8 +15,8 @@ Equal vectors are one class, counted with its size. A pair that both sides visit
 that one side visits is counted for both there, so link numbers need no list of pairs; what leaves a task is a count a
 vector and edges of a spanning forest. Crowded cells are cut into blocks of members and blocks of visitors.
 
-Cases: null vectors, zero vectors and those with null or non-finite components link with nothing, nor do vectors of
-another length than most; repeated rows are vectors of their own (a repeated vec_id too: the rows count each other);
+Cases: null vectors, zero vectors and those with null or non-finite components link with nothing; vectors of
+each length link among themselves; repeated rows are vectors of their own (a repeated vec_id too: the rows count each other);
 a null vec_id is counted by others and keeps a null component unless linked; an empty table gives an empty result; other
 columns are not read.
 """
@@ -24,6 +24,7 @@ columns are not read.
 from __future__ import annotations
 
 import logging
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -110,8 +111,19 @@ def classes_of(vectors: DataFrame) -> DataFrame:
 def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD, target_recall: float = 0.99) -> DataFrame:
     """vec_id, n_links, component_id, kept, measured_recall: one row a vector.
 
-    Recall is measured on a sample and aimed at target_recall; measured_recall (the least of the measures) is the same in all rows.
+    Vectors of each length have codebooks and an index of their own, since a cosine needs equal lengths; a table is expected to have
+    few lengths. Recall is measured on a sample and aimed at target_recall; measured_recall (the least of the measures) is the
+    same in all rows of a length.
     """
+    n = F.coalesce(F.when(F.size("embedding") > 0, F.size("embedding")), F.lit(0))
+    lengths = sorted(r.n for r in vectors.select(n.alias("n")).distinct().collect())
+    if len(lengths) < 2:
+        return link_equally_long(vectors, threshold, target_recall)
+    return reduce(DataFrame.unionByName, (link_equally_long(vectors.where(n == k), threshold, target_recall) for k in lengths))
+
+
+def link_equally_long(vectors: DataFrame, threshold: float, target_recall: float) -> DataFrame:
+    """link_vectors of vectors of one length; null and empty ones are a length as well."""
     classes = stored(classes_of(vectors), "classes")
     lengths = classes.groupBy(F.size("e").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
     flat = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
