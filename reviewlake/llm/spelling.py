@@ -253,7 +253,10 @@ def variants(words: DataFrame, shard: int = SHARD) -> DataFrame:
         found = near_words(text["word"].to_pylist(), text["n"].to_numpy(), asks, key[0].as_py())
         return pa.table([pa.array(asks, pa.string()), *map(pa.array, found[:2]), pa.array(found[2], pa.string())], names=["word", "n_near", "most", "form"]).filter(pa.array(found[0] > 0))
 
-    found = texts.unionByName(asked).groupBy("side", "shard", "part").applyInArrow(search, schema)
+    # A shard is seconds of work on little data: a fixed number of tasks, which Spark doesn't merge by size.
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = texts.unionByName(asked).repartition(tasks, "side", "shard", "part")
+    found = each.groupBy("side", "shard", "part").applyInArrow(search, schema)
     # Largest n first, then the smallest word: of structs, the smallest.
     best = found.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min(F.struct((-F.col("most")).alias("less"), "form")).alias("best"))
     near = best.select("word", "n_near", F.col("best.form").alias("form"), (-F.col("best.less")).alias("form_n"))
