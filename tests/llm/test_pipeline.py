@@ -5,6 +5,7 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from test_llm import LINE, SCHEMA, brute_components, brute_lines, brute_score, each, odd_rows
 
 import corpus_pipeline
@@ -72,6 +73,22 @@ def test_simhash_stage(spark, sf, given, name):
     assert full(out) == Counter(repr(tuple(r)) for r in docs.collect() if r.doc_id is None or part[r.doc_id] == r.doc_id)
 
 
+def test_clashing_columns(spark, sf, given):
+    """Columns named like an operator's own change no stage's result and come out as they went in."""
+    docs = given["odd"]
+    names = ["row", "key", "node", "size", "f0", "component_id", "kept", "score", "mix", "a.b", "my-col", "__id"]
+    names = [n for n in names if n not in docs.columns]
+    more = docs.select("*", *(F.lit(n).alias(n) for n in names))
+    for name in ("toxicity", "line_dedup", "simhash", "mixing"):
+        out = STAGES[name](spark, more, sf)
+        assert out.columns == more.columns
+        rows = out.collect()
+        assert all(list(r)[-len(names) :] == names for r in rows)
+        if name != "mixing":
+            k = len(docs.columns)
+            assert Counter(repr(tuple(r)[:k]) for r in rows) == Counter(repr(tuple(r)) for r in STAGES[name](spark, docs, sf).collect())
+
+
 @pytest.mark.parametrize("name", ["documents", "odd", "empty"])
 def test_mixing_stage(spark, sf, given, name):
     docs = given[name]

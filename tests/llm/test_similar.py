@@ -68,18 +68,81 @@ def test_fingerprint():
     assert not similar.fingerprint(similar.shingle_set(None, known)).any() and len(similar.shingle_set("x y", known)) == 1
 
 
+FPS = "node long, f0 long, f1 long, f2 long, f3 long, size long"
+
+
+def flipped(base, bits):
+    x = base.copy()
+    for b in bits:
+        x[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    return x
+
+
+def frame_of(spark, fps, size=100):
+    return spark.createDataFrame([(i, *(int(w) for w in np.asarray(f, np.uint64).view(np.int64)), size) for i, f in enumerate(fps)], FPS)
+
+
+def found(spark, fps, **options):
+    edges = [(r.a, r.b) for r in similar.links(frame_of(spark, fps), len(fps), **options).collect()]
+    return brute_components(list(range(len(fps))), edges)
+
+
+def near_group(rng, n, bits=12):
+    base = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    return [base, *(flipped(base, rng.choice(256, bits, replace=False)) for _ in range(n))]
+
+
 def test_groups_over_batches(spark):
     """Links of one hot key do not depend on how its rows come: near copies of one fingerprint and others of the same key."""
-    rng = np.random.default_rng(9)
-    base = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
-    fps = {tuple(base.tolist())}
-    for _ in range(400):
-        x = base.copy()
-        for b in rng.choice(256, 12, replace=False):
-            x[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
-        fps.add(tuple(x.tolist()))
-    rows = [(*(int(np.uint64(w).view(np.int64)) for w in f), 100) for f in sorted(fps)]
-    frame = spark.createDataFrame(rows, "f0 long, f1 long, f2 long, f3 long, size long")
-    edges = [(r.a, r.b) for r in similar.links(frame, len(rows)).collect()]
-    nodes = [int(np.bitwise_xor.reduce(np.array(r[:4], np.int64))) for r in rows]
-    assert len(set(brute_components(sorted(nodes), edges).values())) == 1
+    fps = near_group(np.random.default_rng(9), 400)
+    assert len(set(found(spark, fps).values())) == 1
+    assert len(set(found(spark, fps, split=50).values())) == 1
+
+
+def test_chains_in_groups(spark, monkeypatch):
+    """Ends of chains link over members that their group's first row reaches, however many rows meet and wherever batches end."""
+    monkeypatch.setattr(similar, "tables_for", lambda n, *_: np.array([np.arange(244, 256)]))  # one table of bits that all share
+    rng = np.random.default_rng(3)
+    for fillers, split in ((0, 100), (6, 100), (40, 100), (40, 7), (300, 40)):
+        base = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+        fps = [base, flipped(base, range(30)), flipped(base, range(60)), flipped(base, range(60, 130)), flipped(base, range(120, 244))]
+        fps += [flipped(base, rng.choice(244, 3, replace=False)) for _ in range(fillers)]
+        rng.shuffle(fps)
+        want = brute_components(
+            list(range(len(fps))), [(i, j) for i, x in enumerate(fps) for j, y in enumerate(fps[:i]) if similar.apart(x, y) <= similar.RADIUS]
+        )
+        assert len(set(want.values())) == 3
+        assert found(spark, fps, split=split) == want
+
+
+def test_many_components_in_a_hot_group(spark, monkeypatch):
+    """A group over the split whose rows are chains of many components: blocks find the links between what tasks held apart."""
+    monkeypatch.setattr(similar, "tables_for", lambda n, *_: np.array([np.arange(244, 256)]))
+    rng = np.random.default_rng(5)
+    last = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    fps = []
+    for _ in range(30):
+        at = flipped(last, rng.choice(244, 120, replace=False))
+        for _ in range(10):
+            fps.append(at)
+            at = flipped(at, rng.choice(244, 40, replace=False))
+    rng.shuffle(fps)
+    want = brute_components(list(range(len(fps))), [(i, j) for i, x in enumerate(fps) for j, y in enumerate(fps[:i]) if similar.apart(x, y) <= similar.RADIUS])
+    assert 20 < len(set(want.values())) < 40
+    for split in (1000, 60, 16):
+        assert found(spark, fps, split=split) == want
+
+
+def test_pivots_discard():
+    """Tables on blocks discard nearly all random pairs and never a pair within the radius."""
+    rng = np.random.default_rng(6)
+    fps = rng.integers(0, 1 << 63, (300, 4), dtype=np.uint64)
+    assert similar.discarded(fps) > 0.99
+    close = np.array([flipped(f, rng.choice(256, similar.RADIUS, replace=False)) for f in fps])
+    assert (similar.bound(similar.pivot_table(fps), similar.pivot_table(close)) <= similar.RADIUS).all()
+
+
+def test_small_splits_change_nothing(spark, sf):
+    docs = table(spark, sf, "documents")
+    want = sorted(tuple(r) for r in similar.similar_documents(docs).collect())
+    assert sorted(tuple(r) for r in similar.similar_documents(docs, split=2).collect()) == want
