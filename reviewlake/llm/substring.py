@@ -201,12 +201,27 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, buckets: int | None = No
     texts = id_and_text(docs)
     buckets = buckets or sizes(texts)
     lost = losing_windows(texts, buckets, window)
-    mix = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
-    dealt = texts.withColumn("grp", F.pmod(mix, F.lit(buckets)).cast("int"))
-    out = pa.schema([("doc_id", pa.int64()), ("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+    # Documents without an id lose nothing, so they meet no hashes and are dealt to no group.
+    dealt = texts.where("doc_id is not null").withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    span = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+    out = pa.schema([("doc_id", pa.int64()), ("kept", pa.string()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(span))])
+    schema = "doc_id long, kept string, n_words long, n_removed long, removed array<struct<start:long,end:long>>"
+
+    def cut_rows(ids, texts, lost: dict[int, np.ndarray]) -> list[dict]:
+        known, find, rows = WordHashes(), re.compile(WORD).findall, []
+        for doc, text in zip(ids.to_pylist(), texts.to_pylist(), strict=True):
+            words = find(text or "")
+            spans = removal_intervals(np.flatnonzero(np.isin(window_hashes(words, known, window), lost[doc])), window) if doc in lost else []
+            kept, at = [], 0
+            for lo, hi in spans:
+                kept += words[at:lo]
+                at = hi
+            kept += words[at:]
+            removed = [{"start": lo, "end": hi} for lo, hi in spans]
+            rows.append({"doc_id": doc, "kept": " ".join(kept), "n_words": len(words), "n_removed": len(words) - len(kept), "removed": removed})
+        return rows
 
     def cut(texts: pa.Table, pairs: pa.Table) -> pa.Table:
-        known, find = WordHashes(), re.compile(WORD).findall
         lost: dict[int, np.ndarray] = {}
         if pairs.num_rows:
             h = np.concatenate([unpack(x) for x in pairs.column("hashes").to_pylist()])
@@ -214,16 +229,11 @@ def drop_repeats(docs: DataFrame, window: int = WINDOW, buckets: int | None = No
             order = np.argsort(d, kind="stable")
             ids, starts = np.unique(d[order], return_index=True)
             lost = dict(zip(ids.tolist(), np.split(h[order], starts[1:]), strict=True))
-        rows = []
-        for doc, text in zip(texts.column("doc_id").to_pylist(), texts.column("text").to_pylist(), strict=True):
-            words = find(text or "")
-            spans = removal_intervals(np.flatnonzero(np.isin(window_hashes(words, known, window), lost[doc])), window) if doc in lost else []
-            kept, at = [], 0
-            for lo, hi in spans:
-                kept += words[at:lo]
-                at = hi
-            kept += words[at:]
-            rows.append({"doc_id": doc, "kept": " ".join(kept), "n_words": len(words), "n_removed": len(words) - len(kept), "removed": [{"start": lo, "end": hi} for lo, hi in spans]})
-        return pa.Table.from_pylist(rows, schema=out)
+        return pa.Table.from_pylist(cut_rows(texts.column("doc_id"), texts.column("text"), lost), schema=out)
+
+    def whole(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pylist(cut_rows(b.column(0), b.column(1), {}), schema=out)
 
-    return dealt.groupBy("grp").cogroup(lost.groupBy("grp")).applyInArrow(cut, "doc_id long, kept string, n_words long, n_removed long, removed array<struct<start:long,end:long>>")
+    known_ids = dealt.groupBy("grp").cogroup(lost.groupBy("grp")).applyInArrow(cut, schema)
+    return known_ids.unionByName(texts.where("doc_id is null").mapInArrow(whole, schema))

@@ -215,6 +215,16 @@ def test_substring(odd, docs, none, buckets):
     assert substring.drop_repeats(none).count() == 0
 
 
+def test_substring_hot_passage_long_text_and_rows_without_id(spark):
+    """A passage that all blocks hold, one text of 120,000 words that repeats itself and others, many rows without id or text."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    rows_in = [(i, f"own{i} {passage} end{i} " + " ".join(f"w{i * k % 997}" for k in range(30))) for i in range(300)]
+    rows_in += [(1000, " ".join(f"l{k % 70_000}" for k in range(120_000)) + " " + passage), (1001, " ".join(f"l{k}" for k in range(60_000, 65_000)))]
+    rows_in += [(None, None)] * 500 + [(None, passage)] * 20
+    cut = substring.drop_repeats(spark.createDataFrame(rows_in, "doc_id long, text string").repartition(12), buckets=5)
+    assert rows(cut.withColumn("sha", F.sha2(F.col("kept").cast("binary"), 256)), "doc_id", "n_words", "n_removed", "sha") == brute_substring(rows_in)
+
+
 @given(st.lists(st.sampled_from("abc"), max_size=40), st.integers(1, 14))
 @settings(deadline=None, max_examples=60)
 def test_window_hashes(words, n):
