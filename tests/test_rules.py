@@ -180,6 +180,14 @@ def test_totals_of_the_seeded_query_are_those_of_the_truth(spark, sf):
     assert {r.repo: r.weaknesses for r in queries.k5_eval_seeded(spark, sf).collect()} == {r.repo: r["count"] for r in items.collect()}
 
 
+def test_pairs_count_every_weakness(spark, sf):
+    """One whose fix fails is found in the tree, and no correct pair."""
+    pairs = jobs.eval_seeded(*failing_fix(spark), every=True)[2]
+    assert tuple(pairs.first()) == ("r", 2, 2, 0, 1, 0.5)
+    items = view(spark, sf, "truth").where("not is_decoy").groupBy("repo").count()
+    assert {r.repo: r.weaknesses for r in queries.k5_eval_pairs_of_trees(spark, sf).collect()} == {r.repo: r["count"] for r in items.collect()}
+
+
 def test_pattern_findings_go_class_by_class(spark):
     lines = spark.createDataFrame([("r", "a.py", 1, "hashlib.md5(a)"), ("r", "a.py", 2, "eval(b)"), ("r", "a.py", 3, "hashlib.md5(c)")], LINES)
     found, _, _ = jobs.scan_job(lines, "patterns")
