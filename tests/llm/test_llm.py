@@ -306,6 +306,20 @@ def test_licences_unseen(spark, licence_model):
     assert n == [2 + 2 + 2, 1]
 
 
+def test_every_line_is_an_example(spark):
+    """No line is left to a sample; those like a licence are no examples of the class unknown."""
+    d = spark.range(2500).select(F.col("id").alias("doc_id"), F.concat(F.lit("some line "), F.col("id").cast("string"), F.lit("\n\nReleased under the MIT License.\nother words")).alias("text"))
+    got = licences.unknown_lines(d)
+    assert got.count() == 2500 * 2 and {r.w for r in got.select(F.array_join("words", " ").alias("w")).distinct().collect()} >= {f"some line {i}" for i in range(2500)}
+
+
+def test_order_statistic(spark):
+    p = [float(x) for x in np.random.default_rng(5).beta(0.1, 3, 3000)] + [1.0] * 50 + [0.25] * 40
+    values, p = spark.createDataFrame([(x,) for x in p], "p double"), sorted(p)
+    assert [licences.order_statistic(values, k) for k in (0, 1700, 3036, 3039, 3089)] == [p[k] for k in (0, 1700, 3036, 3039, 3089)]
+    assert licences.percentile(values, 0.95) == pytest.approx(np.percentile(p, 95), rel=1e-12) and licences.percentile(values.limit(0), 0.5) is None
+
+
 def test_frequent_notices(spark, sf):
     """Notices in a third of all documents: as sure as rare ones."""
     notice, family = "Licensed under CC BY 4.0.", "CC-BY-4.0"
