@@ -320,6 +320,45 @@ def test_order_statistic(spark):
     assert licences.percentile(values, 0.95) == pytest.approx(np.percentile(p, 95), rel=1e-12) and licences.percentile(values.limit(0), 0.5) is None
 
 
+def test_fit_knows_classes_by_their_means(spark, docs, licence_model):
+    """The weights are those of every line's counts, by numpy."""
+    known, size = licences.variations(spark), len(licences.FAMILIES)
+    counts, n = np.zeros((size, licences.DIMENSIONS)), np.zeros(size)
+    n[0] = 1  # the line without words
+    for r in licences.vectors(known.unionByName(licences.unknown_lines(docs).select(*known.columns))).where("train").select("label", "features").collect():
+        counts[r.label, r.features.indices] += 1
+        n[r.label] += 1
+    weight = np.minimum(n, [licences.UNKNOWN_WEIGHT] + [np.inf] * (size - 1))
+    counts = counts * (weight / n)[:, None] + licences.SMOOTHING
+    assert np.allclose(licence_model.model.coefficientMatrix.toArray(), np.log(counts / counts.sum(1, keepdims=True)), rtol=1e-9)
+    weight = weight + licences.SMOOTHING
+    assert np.allclose(licence_model.model.interceptVector.toArray(), np.log(weight / weight.sum()), rtol=1e-9)
+
+
+def test_bound_loses_no_licence(spark, docs, licence_model):
+    """Lines that the bound leaves out are under LEAST_P by their vectors; the limit is that of all unseen lines."""
+    pieces = [(9000 + i, "\n".join([" ".join(x.split()[: 2 + i]) + " and other words in this line" * (i % 3) for v in licences.TEMPLATES.values() for x in v])) for i in range(12)]
+    d = docs.select("doc_id", "text").union(spark.createDataFrame(pieces, "doc_id long, text string"))
+    w, b0 = licence_model.model.coefficientMatrix.toArray(), licence_model.model.interceptVector.toArray()
+
+    def p(r):
+        z = w[:, r.features.indices].sum(1) + b0
+        return 1 - np.exp(z[0] - z.max()) / np.exp(z - z.max()).sum()
+
+    every = {(r.doc_id, r.line): p(r) for r in licences.vectors(licences.lines(d)).select("doc_id", "line", "features").collect()}
+    kept = {(r.doc_id, r.line) for r in licences.likely(licences.lines(d), licence_model.model).select("doc_id", "line").collect()}
+    got = {(r.doc_id, r.line): r.p for r in licences.judge(d, licence_model.model).collect()}
+    assert got == pytest.approx({k: x for k, x in every.items() if x >= licences.LEAST_P}) and set(got) <= kept and 300 < len(got) and len(kept) < len(every) / 2
+    unseen = [p(r) for r in licences.vectors(licences.unknown_lines(docs).where("not train").select("words")).collect()]
+    exact, lower = (np.percentile(unseen, 100 * (1 - licences.FALSE_RATE), method=m) for m in ("linear", "lower"))
+    # Between a line under LEAST_P and one over it the limit is LEAST_P, which lets the same unseen lines pass.
+    assert licence_model.limit == pytest.approx(exact if lower >= licences.LEAST_P else licences.LEAST_P)
+    passed = sum(x >= max(exact, licences.LEAST_P) for x in unseen)
+    assert sum(x >= licence_model.limit for x in unseen) == passed and licence_model.false_rate == pytest.approx(passed / len(unseen))
+    values = spark.createDataFrame([(x / 1000,) for x in range(1001)], "p double")
+    assert licences.percentile(values.where("p >= 0.6"), 0.9995, 1001) == pytest.approx(0.9995) and licences.percentile(values.where("p >= 0.6"), 0.5, 1001) is None
+
+
 def test_frequent_notices(spark, sf):
     """Notices in a third of all documents: as sure as rare ones."""
     notice, family = "Licensed under CC BY 4.0.", "CC-BY-4.0"
