@@ -335,6 +335,19 @@ def test_fit_knows_classes_by_their_means(spark, docs, licence_model):
     assert np.allclose(licence_model.model.interceptVector.toArray(), np.log(weight / weight.sum()), rtol=1e-9)
 
 
+def test_fit_counts_places_without_vectors(spark, docs):
+    """Each place of each line for the fit is counted once, as HashingTF has it; no function outside SQL takes part."""
+    long = spark.createDataFrame([(9001, "again and again and again\n" + " ".join(f"w{i % 700}" for i in range(3000))), (9002, "x"), (9003, None)], "doc_id long, text string")
+    lines_of = licences.unknown_lines(docs.select("doc_id", "text").union(long))
+    counted = licences.place_counts(lines_of)
+    assert "UDF" not in counted._jdf.queryExecution().executedPlan().toString()
+    want = Counter()
+    for r in licences.vectors(lines_of.select("train", "words")).select("train", "features").collect():
+        want[licences.SHOWN if r.train else licences.HIDDEN] += 1
+        want.update(map(int, r.features.indices) if r.train else ())
+    assert {r.place: r.n for r in counted.collect()} == want and min(want[licences.SHOWN], want[licences.HIDDEN]) > 100
+
+
 def test_bound_loses_no_licence(spark, docs, licence_model):
     """Lines that the bound leaves out are under LEAST_P by their vectors; the limit is that of all unseen lines."""
     pieces = [(9000 + i, "\n".join([" ".join(x.split()[: 2 + i]) + " and other words in this line" * (i % 3) for v in licences.TEMPLATES.values() for x in v])) for i in range(12)]
