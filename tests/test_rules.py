@@ -403,3 +403,14 @@ def test_filter_of_names_loses_none(spark):
     kept = {r.line for r in defs.may_hold(rows, ["repo", "name"], wanted).collect()}
     assert set(range(0, 2_000, 50)) <= kept and len(kept) < 60
     assert defs.may_hold(rows, ["repo", "name"], wanted.limit(0)).collect() == []
+
+
+def test_patterns_mean_the_same_beside_letters_outside_ascii(spark):
+    """A word ends at a letter outside ASCII; (?i) takes the long s and the Kelvin sign; only white space of ASCII counts, and a dot any separator but a newline."""
+    from reviewlake.operators import hints
+
+    texts = {"éDESö": {9}, "eval (x)": set(), "eval\x0b(x)": set(), "eval\x0c(x)": {3}, "ſecret = 'abcdefgh'": {11}, "toKen = 'abcdefgh'": {11}, "open(a  + params)": {5}, "password=abcdefgh\r": {12}, "password=abc\x0bdefgh": {12}, "md5_": set()}
+    lines = spark.createDataFrame([("r", "a.py", n, t) for n, t in enumerate(texts)], LINES)
+    for lexicon in (hints.LEXICON, list(hints.LEXICON)):
+        found = hints.match_lexicon(lines, lexicon).collect()
+        assert {t: {r.ord for r in found if r.line == n} for n, t in enumerate(texts)} == texts
