@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 from pathlib import Path
+from urllib.parse import unquote
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ SKIPPED_FOLDERS = [".git", "node_modules", ".venv", "venv", "vendor", "dist", "b
 LARGEST_FILE, BINARY_PROBE = 400_000, 8_192
 SCANNER = "results array<struct<check_id:string,path:string,start:struct<line:int>,end:struct<line:int>,extra:struct<message:string,metadata:struct<cwe:string>>>>"
 STATS = "struct<errors:array<string>,seconds:double,largest_prompt_tokens:long>"
+#: Files and folders that Spark's readers leave out.
+HIDDEN = r"(^|/)(\.|_[^/=]*(/|$))|\._COPYING_$"
 #: The layout of saved results: seeded runs, file pairs and real fixes keep different fields of a run.
 RUNS = (
     "summary struct<target:string,model:string,mode:string,prompt:string,context:string,temperature:double>, runs array<struct<seed:int,pair_accuracy:double,"
@@ -37,9 +41,7 @@ def read_tree(spark: SparkSession, root: str, repo: str, partition_bytes: int =
     """
     root = root if re.match("[a-z0-9]+:", root) else Path(root).absolute().as_uri()
     if trees.opens(root):
-        trees.register(spark)
-        read = spark.read.format("source_tree").option("skipped", "/".join(SKIPPED_FOLDERS)).option("largest", LARGEST_FILE)
-        kept = read.option("partition_bytes", partition_bytes).load(root).withColumn("rel", F.col("path"))
+        kept = tree_files(spark, root, skipped="/".join(SKIPPED_FOLDERS), largest=LARGEST_FILE, partition_bytes=partition_bytes).withColumn("rel", F.col("path"))
     else:
         raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
         base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
@@ -72,11 +74,55 @@ def read_runs(spark: SparkSession, path: str, target: str = "seeded") -> DataFra
     return r.select(F.coalesce("target", F.lit(target)).alias("target"), "model", "mode", F.coalesce("prompt", F.lit("")).alias("prompt"), F.coalesce("context", F.lit("none")).alias("context"), "temperature", F.coalesce("run.seed", F.lit(0)).alias("seed"), "run")
 
 
+CHANGES = "fix string, parent string, ranges map<string,array<array<int>>>"
+#: How many files a task reads at a time: as few bytes as they have, what costs is opening them.
+CHANGES_BYTES = 32 << 20
+
+
+def tree_files(spark: SparkSession, root: str, **options) -> DataFrame:
+    """path (below the root), length, content of a tree that Arrow opens."""
+    trees.register(spark)
+    return spark.read.format("source_tree").options(**options).load(root)
+
+
 def read_changes(spark: SparkSession, path: str) -> DataFrame:
-    """item (the file's folder), path, start_line, end_line from {fix, parent, ranges: {path: [[start, end]]}}."""
-    raw = spark.read.schema("fix string, parent string, ranges map<string,array<array<int>>>").json(path, multiLine=True, recursiveFileLookup=True)
-    item = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    return raw.select(F.url_decode(item).alias("item"), F.explode("ranges").alias("path", "spans")).select("item", "path", F.explode("spans").alias("s")).select("item", "path", F.col("s")[0].alias("start_line"), F.col("s")[1].alias("end_line"))
+    """item (the file's folder), path, start_line, end_line from {fix, parent, ranges: {path: [[start, end]]}}.
+
+    There are as many folders as items, so they are walked by the tree reader; Spark's own lists each of them in a task. Names that
+    Spark takes for hidden are left out.
+    """
+    root = path if re.match("[a-z0-9]+:", path) else Path(path).absolute().as_uri()
+    if trees.opens(root):
+        whole = F.concat(F.lit("/" + unquote(root.rstrip("/").rsplit("/", 1)[-1]) + "/"), "path")
+        shown = tree_files(spark, root, partition_bytes=CHANGES_BYTES).where(~F.col("path").rlike(HIDDEN))
+        raw = shown.select(F.element_at(F.split(whole, "/"), -2).alias("item"), F.from_json(F.col("content").cast("string"), CHANGES)["ranges"].alias("ranges"))
+    else:
+        raw = spark.read.schema(CHANGES).json(path, multiLine=True, recursiveFileLookup=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("item"), "ranges")
+        raw = raw.withColumn("item", F.url_decode("item"))
+    return raw.select("item", F.explode("ranges").alias("path", "spans")).select("item", "path", F.explode("spans").alias("s")).select("item", "path", F.col("s")[0].alias("start_line"), F.col("s")[1].alias("end_line"))
+
+
+def write_changes(changes: DataFrame, path: str, tasks: int | None = None) -> None:
+    """A file of changed ranges, as read_changes reads it, in a folder for each item. changes: item, value (the file's text), an item once.
+
+    Dealt to tasks by item; where Arrow opens the store a task writes through it, since Spark's writer on a local disk starts a
+    process for each file.
+    """
+    root = path if re.match("[a-z0-9]+:", path) else Path(path).absolute().as_uri()
+    dealt = changes.select("item", "value").repartition(tasks or 4 * changes.sparkSession.sparkContext.defaultParallelism, "item")
+    if not trees.opens(root):
+        dealt.write.partitionBy("item").mode("overwrite").text(path)
+        return
+
+    def write(rows):
+        store, top = fs.FileSystem.from_uri(root)
+        for row in rows:
+            folder = f"{top.rstrip('/')}/{row.item}"
+            store.create_dir(folder)
+            with store.open_output_stream(f"{folder}/changes.json") as f:
+                f.write(row.value.encode())
+
+    dealt.foreachPartition(write)
 
 
 def write_findings(findings: DataFrame, path: str) -> None:

@@ -428,3 +428,19 @@ def test_tables_that_grow_are_never_broadcast(spark, sf):
     for df in (spark.range(10).join(small, "id"), small.join(small.groupBy("id").count(), "id", "left"), QUERIES["d12_signal_precision"](spark, sf), QUERIES["k12_signal_job"](spark, sf), QUERIES["c7_hits_at_change"](spark, sf)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "h_repo" not in x], plan
+
+
+def test_changes_of_many_items_are_walked_not_listed_in_tasks(spark, tmp_path):
+    """A folder for each item: written and read through the store, hidden files left out, broken ones without ranges."""
+    from reviewlake.sources import files
+
+    rows = [(f"i {k}%+", '{"fix": "f",\n "ranges": {"a.py": [[%d, 9]]}}' % k) for k in range(40)] + [("bad", "{")]
+    out = str(tmp_path / "many changes")
+    files.write_changes(spark.createDataFrame(rows, "item string, value string"), out)
+    assert len(list(tmp_path.glob("many changes/*/changes.json"))) == 41
+    (tmp_path / "many changes/_SUCCESS").write_text('{"ranges": {"b.py": [[1, 1]]}}')
+    (tmp_path / "many changes/.x").mkdir()
+    (tmp_path / "many changes/.x/changes.json").write_text('{"ranges": {"b.py": [[1, 1]]}}')
+    read = files.read_changes(spark, out)
+    assert "source_tree" in read._jdf.queryExecution().toString()
+    assert {tuple(r) for r in read.collect()} == {(f"i {k}%+", "a.py", k, 9) for k in range(40)}
