@@ -444,3 +444,13 @@ def test_changes_of_many_items_are_walked_not_listed_in_tasks(spark, tmp_path):
     read = files.read_changes(spark, out)
     assert "source_tree" in read._jdf.queryExecution().toString()
     assert {tuple(r) for r in read.collect()} == {(f"i {k}%+", "a.py", k, 9) for k in range(40)}
+
+
+def test_changes_elsewhere_grow_with_the_findings(spark, sf):
+    """Changes outside an item's files are there, in files with findings, and a file's are those of one item; not all pairs of a repository."""
+    from reviewlake.plans.queries import all_changes, view
+
+    away = all_changes(spark, sf).where("item <> concat(repo, ':', path)")
+    counts = away.groupBy("repo", "path").agg(F.count_distinct("item").alias("items")).agg(F.max("items").alias("most"), F.count("*").alias("files")).first()
+    assert counts.most == 1 and counts.files > 5
+    assert away.join(view(spark, sf, "findings"), ["repo", "path"], "left_anti").count() == 0
