@@ -454,3 +454,58 @@ def test_changes_elsewhere_grow_with_the_findings(spark, sf):
     counts = away.groupBy("repo", "path").agg(F.count_distinct("item").alias("items")).agg(F.max("items").alias("most"), F.count("*").alias("files")).first()
     assert counts.most == 1 and counts.files > 5
     assert away.join(view(spark, sf, "findings"), ["repo", "path"], "left_anti").count() == 0
+
+
+# Work done once, or not at all
+
+
+def written(spark, monkeypatch, *modules):
+    """The names of tables that these modules store from now on."""
+    import importlib
+
+    names = []
+    for m in modules:
+        module = importlib.import_module(f"reviewlake.{m}")
+        monkeypatch.setattr(module, "stored", lambda df, name, f=module.stored: names.append(name) or f(df, name))
+    return names
+
+
+def test_evaluation_does_what_is_asked_for(spark, monkeypatch):
+    """The tree's score needs no fix, the errors no review, the twin's score no review of the tree."""
+    from reviewlake.plans import jobs
+
+    names = written(spark, monkeypatch, "plans.jobs", "operators.score")
+    jobs.eval_seeded(*failing_fix(spark), every=True)[0]
+    assert "folded" not in names and names.count("matches") == 1
+    names.clear()
+    jobs.eval_seeded(*failing_fix(spark))[3]
+    assert set(names) == {"folded", "wrong_steps"}
+    names.clear()
+    jobs.eval_seeded(*failing_fix(spark))[1]
+    assert names.count("twin") == 1 and names.count("matches") == 1
+    names.clear()
+    assert len([x.count() for x in jobs.eval_seeded(*failing_fix(spark))]) == 4 and names.count("matches") == 2
+
+
+def test_answers_are_parsed_once(spark, sf):
+    """What reads parsed answers doesn't hold the parser: it reads a table."""
+    from reviewlake.operators import train
+    from reviewlake.plans import queries
+    from reviewlake.streaming import answers
+
+    said = queries.teacher(spark, sf)
+    valid = train.parsed_teacher(said)
+    batch = queries.view(spark, sf, "answers").select(F.col("fid").alias("key"), F.lit(1).alias("attempt"), "repo", "path", "content", "truncated")
+    rows = (train.teacher_evidence(valid), queries.b19_accept_answers(spark, sf), answers.cited(batch, answers.evidence_of(batch), queries.view(spark, sf, "code_lines")))
+    for df in rows:
+        assert "variant" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_fix_steps_rank_a_repository_by_ranges(spark, sf, monkeypatch):
+    from reviewlake.operators import ranks
+    from reviewlake.plans import queries
+
+    monkeypatch.setattr(ranks.ranked_by_range, "__defaults__", ("rank", 200))  # several ranges at sf0.001
+    plain = queries.h7_fix_steps(spark, sf).count()
+    names = written(spark, monkeypatch, "operators.ranks")
+    assert queries.h7_fix_steps(spark, sf).count() == plain and "ranges" in names
